@@ -129,3 +129,100 @@ def tickets() -> str:
        ([{statuses}])[event_id % 3 + 1] AS status,
        ts AS created_at
 FROM events"""
+
+
+# -- chunking ----------------------------------------------------------------
+
+
+def fixed_ctes(src: str, keys: list[str], size: int, overlap: int, out: str) -> str:
+    """CTEs: ``src(keys, t)`` -> ``out(keys, w, start, chunk_text)``; a recursive
+    walk over aligned window starts (the statement must use WITH RECURSIVE)."""
+    from quire.functions.text import NON_WS
+
+    k = ", ".join(keys)
+    fk = ", ".join(f"f.{c}" for c in keys)
+    on = " AND ".join(f"f.{c} = s.{c}" for c in keys)
+    step = size - overlap
+    align = q(f"^{NON_WS}*{WS}+")
+    return f"""
+{out}_src AS (SELECT {k}, t, length(t) AS n FROM {src} WHERE length(t) > 0),
+{out}_starts AS (
+  SELECT {k}, 0 AS w, 0 AS s FROM {out}_src
+  UNION ALL
+  SELECT {k}, w + 1, s + {step} + length(m) FROM (
+    SELECT {fk}, f.w, f.s, s.n, regexp_extract(substr(s.t, f.s + {step} + 1), {align}) AS m
+    FROM {out}_starts f JOIN {out}_src s ON {on}
+    WHERE f.s + {size} < s.n) x
+  WHERE m <> '' AND s + {step} + length(m) < n
+),
+{out}_win AS (
+  SELECT {k}, w, s, t, n, least(s + {size}, n) AS e0,
+         greatest(s + 1, least(s + {size}, n) - {size // 5}) AS lo
+  FROM {out}_starts JOIN {out}_src USING ({k})
+),
+{out}_cut AS (
+  SELECT {k}, w, s, t,
+         CASE WHEN e0 < n AND contains(substr(t, lo + 1, e0 - lo), ' ')
+              THEN lo + length(regexp_extract(substr(t, lo + 1, e0 - lo), '(?s)^(.*) ', 1))
+              ELSE e0 END AS e
+  FROM {out}_win
+),
+{out} AS (SELECT {k}, w, s AS start, {strip('substr(t, s + 1, e - s)')} AS chunk_text FROM {out}_cut)"""
+
+
+def paragraphs_list(t: str) -> str:
+    brk = q(chr(10) + WS + "*" + chr(10))
+    return f"list_filter(list_transform(string_split_regex({t}, {brk}), lambda p: {strip('p')}), lambda p: p <> '')"
+
+
+def sentences_list(t: str) -> str:
+    per = f"list_transform({paragraphs_list(t)}, lambda p: string_split(regexp_replace(p, {q('([.!?])' + WS + '+')}, '\\1' || chr(1), 'g'), chr(1)))"
+    return f"list_filter(list_transform(flatten({per}), lambda s: {strip('s')}), lambda s: s <> '')"
+
+
+def units_ctes(src: str, keys: list[str], strategy: str, out: str) -> str:
+    """``src(keys, t)`` -> ``out(keys, i, unit, L)``, i = 1..n per key."""
+    k = ", ".join(keys)
+    lst = sentences_list("t") if strategy == "sentence" else paragraphs_list("t")
+    return f"""
+{out}_list AS (SELECT {k}, {lst} AS units FROM {src}),
+{out}_raw AS (SELECT {k}, unnest(units) AS unit, generate_subscripts(units, 1) AS i FROM {out}_list),
+{out} AS (SELECT {k}, i, unit, length(unit) AS L FROM {out}_raw)"""
+
+
+def pack_ctes(units: str, keys: list[str], size: int, overlap: int, out: str) -> str:
+    """Greedy packing of ``units(keys, i, unit, L)`` -> ``out(keys, chunk_index, chunk_text)``."""
+    k = ", ".join(keys)
+    pk = ", ".join(f"p.{c}" for c in keys)
+    on = " AND ".join(f"u.{c} = p.{c}" for c in keys)
+    return f"""
+{out}_pk AS (
+  SELECT {k}, i, 1 AS grp, CASE WHEN L > {size} THEN 0 ELSE L END AS used, L > {size} AS big
+  FROM {units} WHERE i = 1
+  UNION ALL
+  SELECT {pk}, p.i + 1,
+         CASE WHEN u.L > {size} OR p.big OR p.used + 1 + u.L > {size} THEN p.grp + 1 ELSE p.grp END,
+         CASE WHEN u.L > {size} THEN 0 WHEN p.big OR p.used + 1 + u.L > {size} THEN u.L
+              ELSE p.used + 1 + u.L END,
+         u.L > {size}
+  FROM {out}_pk p JOIN {units} u ON {on} AND u.i = p.i + 1
+),
+{out}_grp AS (SELECT u.{k.replace(', ', ', u.')}, u.i, u.unit, p.grp, p.big
+              FROM {units} u JOIN {out}_pk p ON {on} AND u.i = p.i),
+{out}_small AS (SELECT {k}, grp, 0 AS w, string_agg(unit, ' ' ORDER BY i) AS chunk_text
+                FROM {out}_grp WHERE NOT big GROUP BY {k}, grp),
+{out}_bigsrc AS (SELECT {k}, grp, unit AS t FROM {out}_grp WHERE big),{fixed_ctes(f'{out}_bigsrc', keys + ['grp'], size, overlap, f'{out}_bigfx')},
+{out} AS (
+  SELECT {k}, CAST(row_number() OVER (PARTITION BY {k} ORDER BY grp, w) - 1 AS INTEGER) AS chunk_index, chunk_text
+  FROM (SELECT {k}, grp, w, chunk_text FROM {out}_small
+        UNION ALL SELECT {k}, grp, w, chunk_text FROM {out}_bigfx WHERE chunk_text <> ''))"""
+
+
+def chunk_ctes(src: str, keys: list[str], strategy: str, size: int, overlap: int, out: str) -> str:
+    """``src(keys, t)`` -> ``out(keys, chunk_index, chunk_text)`` for one strategy."""
+    k = ", ".join(keys)
+    if strategy == "fixed":
+        return f"""{fixed_ctes(src, keys, size, overlap, out + '_fx')},
+{out} AS (SELECT {k}, CAST(row_number() OVER (PARTITION BY {k} ORDER BY w) - 1 AS INTEGER) AS chunk_index, chunk_text
+          FROM {out}_fx WHERE chunk_text <> '')"""
+    return f"""{units_ctes(src, keys, strategy, out + '_u')},{pack_ctes(out + '_u', keys, size, overlap, out)}"""
