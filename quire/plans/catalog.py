@@ -43,6 +43,8 @@ def round_doubles(df: DataFrame, places: int = ROUND) -> DataFrame:
 # Importing the modules fills QUERIES.
 from quire.plans import (  # noqa: E402,F401
     q_chunking,
+    q_index,
     q_retrieval,
+    q_support,
     q_text,
 )

@@ -40,8 +40,8 @@ def soiled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", soil("text").alias("text"))
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """support_requests at scale, one ticket per event."""
+def tickets(spark: SparkSession, sf_dir: str, with_value: bool = False) -> DataFrame:
+    """support_requests at scale, one ticket per event (``value`` optional)."""
     ev = read_table(spark, sf_dir, "events")
     cat = F.create_map(*[F.lit(x) for kv in CATEGORY_BY_EVENT.items() for x in kv])
     status = F.element_at(F.array(*[F.lit(s) for s in STATUS_BY_MOD3]), (F.col("event_id") % 3 + 1).cast("int"))
@@ -56,6 +56,7 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         priority.alias("priority"),
         status.alias("status"),
         F.col("ts").alias("created_at"),
+        *([F.col("value")] if with_value else []),
     )
 
 
