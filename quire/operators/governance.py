@@ -41,12 +41,17 @@ def rule_hits(line: Column) -> Column:
 
 
 # G1
-def scan_secrets(df: DataFrame, id_col: str, text_col: str, source: str) -> DataFrame:
-    """``(source, row_id, line_no, rule)`` for every rule hit, 1-based lines."""
-    lines = df.select(F.col(id_col).alias("row_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    hits = lines.select("row_id", (F.col("pos") + 1).alias("line_no"), "line", rule_hits(F.col("line")).alias("rules"))
+def scan_secrets(df: DataFrame, id_col: str, text_col: str, source: str, origin: Column | None = None) -> DataFrame:
+    """``(source, row_id, origin, line_no, rule, placeholder)`` per rule hit,
+    1-based lines. ``origin`` (for allow-listing) rides along, no join back."""
+    org = origin if origin is not None else F.lit(None).cast("string")
+    lines = df.select(
+        F.col(id_col).alias("row_id"), org.alias("origin"),
+        F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"),
+    )
+    hits = lines.select("row_id", "origin", (F.col("pos") + 1).alias("line_no"), "line", rule_hits(F.col("line")).alias("rules"))
     return hits.where(F.size("rules") > 0).select(
-        F.lit(source).alias("source"), "row_id", "line_no", F.explode("rules").alias("rule"),
+        F.lit(source).alias("source"), "row_id", "origin", "line_no", F.explode("rules").alias("rule"),
         F.col("line").rlike(PLACEHOLDER).alias("placeholder"),
     )
 

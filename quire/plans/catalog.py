@@ -43,8 +43,10 @@ def round_doubles(df: DataFrame, places: int = ROUND) -> DataFrame:
 # Importing the modules fills QUERIES.
 from quire.plans import (  # noqa: E402,F401
     q_chunking,
+    q_governance,
     q_index,
     q_retrieval,
+    q_routing,
     q_support,
     q_text,
 )
