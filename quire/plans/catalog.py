@@ -47,6 +47,7 @@ from quire.plans import (  # noqa: E402,F401
     q_index,
     q_retrieval,
     q_routing,
+    q_sources,
     q_sql,
     q_support,
     q_text,

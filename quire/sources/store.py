@@ -132,3 +132,49 @@ def write_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int) -> i
         .write.mode("errorifexists").partitionBy("split_strategy").parquet(f"{root}/v={v}")
     )
     return new.count()
+
+
+# S7 (physical form at scale): rewrite only the affected buckets
+BUCKETS = 64
+
+
+def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("filename"), F.lit(buckets)).cast("int"))
+
+
+def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buckets: int = BUCKETS) -> None:
+    """Replace by (filename, split_strategy) rewriting only the (strategy,
+    bucket) partitions the new rows touch, with dynamic partition overwrite.
+
+    The merged rows are checkpointed to the shared checkpoint location first:
+    that cuts the lineage back to the partitions being overwritten (Spark
+    refuses to overwrite a path it is reading) and lets a lost executor
+    recompute from the checkpoint instead of the half-written table. Each
+    partition swap is atomic; the set of partitions is not (documented).
+    """
+    from quire.session import ensure_checkpoint_dir
+
+    cols = [f.name for f in chunk_schema(dims).fields]
+    fresh = with_bucket(new.select(*cols), buckets)
+    fs, p, _ = _fs(spark, root)
+    if fs.exists(p):
+        existing = with_bucket(spark.read.parquet(root).select(*cols), buckets)
+        touched = fresh.select("split_strategy", "bucket").distinct()
+        affected = existing.join(touched, ["split_strategy", "bucket"], "left_semi")
+        merged = replace_chunks(affected, fresh)
+    else:
+        merged = fresh
+    ensure_checkpoint_dir(spark)
+    merged = merged.checkpoint(eager=True)
+    (
+        merged.repartition("split_strategy", "bucket").sortWithinPartitions("filename", "chunk_index")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("split_strategy", "bucket").parquet(root)
+    )
+
+
+def read_upserted(spark: SparkSession, root: str, dims: int) -> DataFrame:
+    fs, p, _ = _fs(spark, root)
+    if not fs.exists(p):
+        return spark.createDataFrame([], chunk_schema(dims))
+    return spark.read.parquet(root).select(*[f.name for f in chunk_schema(dims).fields])
