@@ -25,6 +25,11 @@ WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 NON_WS = WS.replace("[", "[^", 1)
+# The same set as literal characters, for btrim.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 # A "word" character: letters, numbers and underscore (Unicode).
 WORD = r"[\p{L}\p{N}_]"
 # Control characters removed by cleaning (TAB, LF and CR are kept).
@@ -81,8 +86,9 @@ def collapse_blank_lines(col) -> Column:
 
 # T8
 def strip_text(col) -> Column:
-    """Unicode strip of both ends (Spark's trim removes only U+0020)."""
-    return F.regexp_replace(_c(col), rf"\A{WS}+|{WS}+\z", "")
+    """Unicode strip of both ends (Spark's trim removes only U+0020): ``btrim``
+    with the explicit whitespace set, linear in the trimmed length."""
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 # T9
@@ -154,7 +160,8 @@ def reflow_paragraphs(df: DataFrame, col: str, out: str | None = None) -> DataFr
     def emit(line, i):
         prev = F.try_element_at(lines, F.greatest(i, F.lit(1)))  # lines[i-1] when i >= 1
         prev_head = F.try_element_at(heads, F.greatest(i, F.lit(1)))
-        joins = (prev != "") & ~prev_head & (F.length(prev) >= thr) & ~is_heading(line)
+        own_head = F.try_element_at(heads, i + 1)
+        joins = (prev != "") & ~prev_head & (F.length(prev) >= thr) & ~own_head
         sep = F.when(i + 1 == first, F.lit("")).when(joins, F.lit(" ")).otherwise(F.lit("\n\n"))
         return F.when(line != "", F.concat(sep, line))
 

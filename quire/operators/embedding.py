@@ -14,6 +14,7 @@ engine with ``md5`` can reproduce.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import time
@@ -38,6 +39,12 @@ class EmbeddingError(Exception):
     pass
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def _md5_prefix(token: str) -> int:
+    """First 8 hex digits of md5(token) as an integer (cached per worker)."""
+    return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
+
+
 class Provider(Protocol):
     name: str
     dims: int
@@ -60,7 +67,7 @@ class HashingProvider:
         return [t for t in self._split.split((text or "").lower()) if t]
 
     def bucket(self, token: str) -> int:
-        return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % self.dims
+        return _md5_prefix(token) % self.dims
 
     def embed(self, texts: list[str], task_type: str) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float64)

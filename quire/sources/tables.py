@@ -9,15 +9,33 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows carry whole texts: per-row CPU work (regex, chunking,
+# embedding) dominates, so they must be spread over all cores.
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def spread_rows(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
+    """Hash-spread rows when the scan yields fewer partitions than the cluster
+    can run at once (e.g. a file written as a single row group). On large
+    inputs the scan already has enough splits and nothing is added."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """Read one driver table; Parquet carries the schema, nothing is inferred."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if spread and name in TEXT_TABLES:
+        df = spread_rows(df, TEXT_TABLES[name])
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose driver tables as temporary views (the only thing guarded SQL sees)."""
     for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+        read_table(spark, sf_dir, name, spread=False).createOrReplaceTempView(name)
