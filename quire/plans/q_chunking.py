@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import chunking as C
 from quire.plans import oracle as O
-from quire.plans.catalog import register
+from quire.plans.registry import register
 from quire.sources.tables import read_table
 
 SIZE, OVERLAP = C.DEFAULT_CHUNK_SIZE, C.DEFAULT_OVERLAP

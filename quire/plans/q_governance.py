@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import governance as G
 from quire.plans import oracle as O
-from quire.plans.catalog import register, round_doubles
+from quire.plans.registry import register, round_doubles
 from quire.plans.fixtures import tickets
 from quire.sources.tables import read_table
 

@@ -10,7 +10,7 @@ from quire.operators import embedding as E
 from quire.operators import retrieval as R
 from quire.plans import indexing as I
 from quire.plans import oracle as O
-from quire.plans.catalog import register, round_doubles
+from quire.plans.registry import register, round_doubles
 from quire.plans.fixtures import chunk_store
 from quire.plans.q_chunking import _ALL_SQL, _PREP, SIZE, OVERLAP, all_chunks, prepared
 from quire.sources import store as S

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import vectors as V
 from quire.operators import retrieval as R
 from quire.plans import oracle as O
-from quire.plans.catalog import register, round_doubles
+from quire.plans.registry import register, round_doubles
 from quire.plans.fixtures import chunk_store, query_vectors
 from quire.sources.tables import read_table
 from quire.functions.text import WS

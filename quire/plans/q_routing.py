@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import WS
 from quire.operators import routing as G
 from quire.plans import oracle as O
-from quire.plans.catalog import register, round_doubles
+from quire.plans.registry import register, round_doubles
 from quire.plans.fixtures import INTENTS, messages
 from quire.sources.tables import read_table
 

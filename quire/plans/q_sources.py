@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import sql as QS
 from quire.operators import structure as ST
 from quire.plans import oracle as O
-from quire.plans.catalog import register
+from quire.plans.registry import register
 from quire.plans.q_chunking import _chunk_sql, prepared
 from quire.session import shared_dir
 from quire.sources import files as FS

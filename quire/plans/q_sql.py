@@ -5,7 +5,7 @@ same statement text executed by DuckDB."""
 from __future__ import annotations
 
 from quire.operators import support as U
-from quire.plans.catalog import register
+from quire.plans.registry import register
 from quire.sources.tables import register_views
 
 MATRIX = {
