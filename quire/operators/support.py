@@ -166,6 +166,23 @@ def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
     return [c for c in expected if c not in have]
 
 
+def required_columns(result: DataFrame, expected: list[str]) -> DataFrame:
+    """Per expected column: present in the result, and how many rows carry a
+    value for it (one aggregation pass over the result)."""
+    have = set(result.columns)
+    aggs = [F.count(F.lit(1)).alias("__rows")] + [
+        F.count(F.col(c)).alias(c) if c in have else F.lit(0).cast("long").alias(c) for c in expected
+    ]
+    counted = result.agg(*aggs)
+    stack = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.lit(c in have).alias("present"), F.col(c).alias("non_null_rows"))
+        for c in expected
+    ]))
+    return counted.select("__rows", stack.alias("s")).select(
+        "s.column_name", "s.present", "s.non_null_rows", F.col("__rows").alias("result_rows")
+    )
+
+
 # A8
 def run_select(spark: SparkSession, query: str, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     """Guard, plan with Spark SQL over the registered views, encode. Never

@@ -256,3 +256,24 @@ def reconcile(spark, sf_dir):
         "priority", "status",
     )
     return U.reconcile(t, actual, "id", _REC_COLS)
+
+
+_ELIDED_Q = "SELECT id, customer_name, status, created_at FROM support_requests WHERE status ILIKE 'open'"
+_EXPECTED = ["id", "customer_name", "email", "category", "priority", "status", "created_at"]
+
+
+@register(
+    "required_columns",
+    f"""{_T}, r AS (SELECT id, customer_name, status, created_at FROM t WHERE status ILIKE 'open'),
+c AS (SELECT count(*) AS n, count(id) AS c_id, count(customer_name) AS c_name, count(status) AS c_status,
+             count(created_at) AS c_created FROM r)
+SELECT * FROM (VALUES ('id', TRUE), ('customer_name', TRUE), ('email', FALSE), ('category', FALSE),
+                      ('priority', FALSE), ('status', TRUE), ('created_at', TRUE)) v(column_name, present),
+  LATERAL (SELECT CASE v.column_name WHEN 'id' THEN c_id WHEN 'customer_name' THEN c_name WHEN 'status' THEN c_status
+                               WHEN 'created_at' THEN c_created ELSE 0 END AS non_null_rows, n AS result_rows FROM c)""",
+)
+def required_columns(spark, sf_dir):
+    """A result that elides columns (as the built-in tool did) is caught: every
+    source column must be present and carry its values."""
+    tickets(spark, sf_dir).createOrReplaceTempView("support_requests")
+    return U.required_columns(U.guarded_sql(spark, _ELIDED_Q), _EXPECTED)
