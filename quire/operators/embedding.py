@@ -71,9 +71,11 @@ class HashingProvider:
 
     def embed(self, texts: list[str], task_type: str) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), dtype=np.float64)
+        d = self.dims
         for i, text in enumerate(texts):
-            for tok in self.tokens(text):
-                out[i, self.bucket(tok)] += 1.0
+            ids = [_md5_prefix(tok) % d for tok in self.tokens(text)]
+            if ids:
+                out[i] = np.bincount(ids, minlength=d)
         return out
 
 
