@@ -88,10 +88,36 @@ def classify_intent(text: str = "message", subject: str | None = "subject") -> C
 
 
 # R3
-def carry_subject(messages: DataFrame, session: str = "session_id", order: str = "turn", subject: str = "subject") -> DataFrame:
-    """Latest named subject so far in the session (window per session)."""
-    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return messages.withColumn("session_subject", F.last(subject, ignorenulls=True).over(w))
+CARRY_BLOCK = 1024
+
+
+def carry_subject(messages: DataFrame, session: str = "session_id", order: str = "turn", subject: str = "subject",
+                  block: int = CARRY_BLOCK) -> DataFrame:
+    """Latest named subject so far in the session, as a two-level prefix scan.
+
+    A plain window over the session puts a whole session in one task. Here
+    turns are cut into blocks of ``block`` consecutive turn numbers: (1) the
+    last subject inside each block is an aggregation keyed by (session,
+    block); (2) the subject carried into each block is a window over those
+    per-block rows (one row per block); (3) inside a block a window over at
+    most ``block`` turns, falling back to the carried value. No window
+    partition ever holds more than ``block`` rows or one row per block.
+    """
+    blk = F.floor(F.col(order) / block)
+    m = messages.withColumn("__blk", blk)
+    per_block = m.where(F.col(subject).isNotNull()).groupBy(session, "__blk").agg(
+        F.max_by(subject, order).alias("__last")
+    )
+    # every block (also those without a subject) gets the value carried into it
+    starts = m.select(session, "__blk").distinct().join(per_block, [session, "__blk"], "left")
+    wb = Window.partitionBy(session).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    into = starts.withColumn("__in", F.last("__last", ignorenulls=True).over(wb)).select(session, "__blk", "__in")
+    wi = Window.partitionBy(session, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = m.withColumn("__own", F.last(subject, ignorenulls=True).over(wi))
+    out = inner.join(into, [session, "__blk"], "left").withColumn(
+        "session_subject", F.coalesce(F.col("__own"), F.col("__in"))
+    )
+    return out.drop("__blk", "__own", "__in")
 
 
 # R4

@@ -63,3 +63,14 @@ def test_subject_carry_and_one_email(spark):
     assert got == ["John Smith", "John Smith", "Emma", "Emma"]
     a = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 5, "c")], "request_id int, attempt int, x string")
     assert sorted((r["request_id"], r["x"]) for r in G.one_email_per_request(a).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_carry_subject_two_level_equals_plain_window(spark):
+    from pyspark.sql import Window
+
+    rows = [(s, t, (f"subj{s}-{t}" if (s * 7 + t) % 5 == 0 else None)) for s in range(3) for t in range(23)]
+    m = spark.createDataFrame(rows, "session_id int, turn int, subject string")
+    w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = {(r["session_id"], r["turn"]): r["v"] for r in m.select("session_id", "turn", F.last("subject", True).over(w).alias("v")).collect()}
+    got = {(r["session_id"], r["turn"]): r["session_subject"] for r in G.carry_subject(m, block=4).collect()}
+    assert got == want
