@@ -312,14 +312,22 @@ def index_summary(chunks: DataFrame) -> DataFrame:
 
 
 # Q5
-def build_ivf(chunks: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 20):
-    """Train IVF cells with ``pyspark.ml`` KMeans on unit vectors."""
+def build_ivf(chunks: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 20,
+              train_fraction: float | None = None):
+    """Train IVF cells with ``pyspark.ml`` KMeans on unit vectors.
+
+    ``train_fraction`` trains the centroids on a sample (each KMeans
+    iteration is a pass over the training rows); search still scores every
+    chunk of the probed cells, so no result row is dropped.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = chunks.select(array_to_vector(V.l2_normalize("embedding")).alias("features")).where(
         F.col("features").isNotNull()
     )
+    if train_fraction is not None and 0 < train_fraction < 1:
+        unit = unit.sample(fraction=train_fraction, seed=seed)
     return KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(unit)
 
 

@@ -218,13 +218,11 @@ def tickets_by_status(tickets: DataFrame, status: str, max_rows: int = DEFAULT_M
 
 # A2
 def ticket_counts(tickets: DataFrame) -> DataFrame:
-    """Counts by status, by priority, by category and overall in one pass."""
-    t = tickets.select("status", "priority", "category")
-    t.createOrReplaceTempView("__quire_tickets")
-    return t.sparkSession.sql(
-        """SELECT status, priority, category, count(*) AS n, grouping_id() AS level
-           FROM __quire_tickets GROUP BY GROUPING SETS ((status), (priority), (category), ())"""
-    )
+    """Counts by status, by priority, by category and overall in one pass
+    (grouping sets; partial aggregation map-side)."""
+    return tickets.groupingSets(
+        [["status"], ["priority"], ["category"], []], "status", "priority", "category"
+    ).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
 
 
 # A4

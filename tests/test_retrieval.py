@@ -87,3 +87,32 @@ def test_rank_results_preview(spark):
     r = R.rank_results(df).first()
     assert r["rank"] == 1 and r["similarity_text"] == "0.1235" and r["created_text"] == "2026-01-02 03:04"
     assert r["preview"].endswith(" ...") and len(r["preview"]) <= 340
+
+
+def test_embedding_retry_contract():
+    from quire.operators import embedding as E
+
+    class Flaky:
+        dims, name = 4, "flaky"
+
+        def __init__(self, fails, wrong=False):
+            self.fails, self.wrong, self.calls = fails, wrong, 0
+
+        def embed(self, texts, task_type):
+            self.calls += 1
+            if self.calls <= self.fails:
+                raise RuntimeError("boom")
+            return np.ones((len(texts) + (1 if self.wrong else 0), 4))
+
+    waits = []
+    p = Flaky(2)
+    assert E.embed_batch(p, ["a", "b"], E.DOCUMENT_TASK, 0, sleep=waits.append).shape == (2, 4)
+    assert waits == [2.0, 4.0] and p.calls == 3
+    with pytest.raises(E.EmbeddingError, match="failed after 3 attempts"):
+        E.embed_batch(Flaky(5), ["a"], E.DOCUMENT_TASK, 100, sleep=lambda s: None)
+    wrong = Flaky(0, wrong=True)
+    with pytest.raises(E.EmbeddingError, match=r"returned 2 embeddings for 1 inputs \(batch starting at chunk 7\)"):
+        E.embed_batch(wrong, ["a"], E.DOCUMENT_TASK, 7, sleep=lambda s: None)
+    assert wrong.calls == 1
+    with pytest.raises(E.EmbeddingError, match="Nothing to embed"):
+        E.embed_batch(wrong, [], E.DOCUMENT_TASK, 0)
