@@ -54,3 +54,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable: reuse the configured dir if any."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared_dir(spark, "init")
+
+
+def cluster_conf(input_bytes: int | None = None, advisory_mb: int = 256) -> dict[str, str]:
+    """Settings we recommend for a large cluster (to pass to a session builder).
+
+    Shuffle partitions are sized from the input (about ``advisory_mb`` per
+    partition, at least 2000) and AQE coalesces them at runtime; skewed join
+    partitions are split; scans read ``advisory_mb`` splits; Arrow batches
+    stay small because rows carry whole documents.
+    """
+    parts = 2000
+    if input_bytes:
+        parts = max(parts, int(input_bytes // (advisory_mb * 1024 * 1024)))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": f"{advisory_mb}m",
+        "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+        "spark.sql.session.timeZone": "UTC",
+    }
