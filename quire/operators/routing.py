@@ -105,13 +105,12 @@ def carry_subject(messages: DataFrame, session: str = "session_id", order: str =
     """
     blk = F.floor(F.col(order) / block)
     m = messages.withColumn("__blk", blk)
-    per_block = m.where(F.col(subject).isNotNull()).groupBy(session, "__blk").agg(
-        F.max_by(subject, order).alias("__last")
+    # last subject inside every block (null when the block names none), in one aggregation
+    per_block = m.groupBy(session, "__blk").agg(
+        F.max_by(subject, F.when(F.col(subject).isNotNull(), F.col(order))).alias("__last")
     )
-    # every block (also those without a subject) gets the value carried into it
-    starts = m.select(session, "__blk").distinct().join(per_block, [session, "__blk"], "left")
     wb = Window.partitionBy(session).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    into = starts.withColumn("__in", F.last("__last", ignorenulls=True).over(wb)).select(session, "__blk", "__in")
+    into = per_block.withColumn("__in", F.last("__last", ignorenulls=True).over(wb)).select(session, "__blk", "__in")
     wi = Window.partitionBy(session, "__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inner = m.withColumn("__own", F.last(subject, ignorenulls=True).over(wi))
     out = inner.join(into, [session, "__blk"], "left").withColumn(

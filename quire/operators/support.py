@@ -277,45 +277,65 @@ def ticket_lookup(requests: DataFrame, tickets: DataFrame, term: str = "term") -
     """Case-insensitive exact match on name or e-mail; unmatched requests get
     one broader try on the first name only; the rest are not found.
 
-    Each try is an equi-join against per-customer / per-first-name aggregates.
+    One equi-join and one aggregation: every request is probed twice - with
+    its whole term (level 0) and with its first word (level 1) - against one
+    lookup table holding per-customer rows keyed by e-mail and by name
+    (level 0) and per-first-name aggregates (level 1). Tickets are
+    pre-aggregated per customer before anything is joined.
     """
     prof = _customer_profiles(tickets)
-    req = requests.withColumn("__t", F.lower(strip_text(F.col(term))))
-    by_email = req.join(prof, req["__t"] == prof["email_lc"]).drop("email_lc", "name_lc")
-    by_name = req.join(prof, req["__t"] == prof["name_lc"]).drop("email_lc", "name_lc")
-    exact = by_email.unionByName(by_name)
-    rank_names = ["Critical", "High", "Medium", "Low"]
-    rank_txt = F.element_at(F.array(*[F.lit(x) for x in rank_names]), F.col("best_rank") + 1)
-    keys = [c for c in requests.columns]
-    exact_agg = exact.groupBy(*keys).agg(
-        F.lit("exact").alias("match_kind"),
-        F.count_distinct("email").alias("n_customers"),
-        F.sum("n_records").alias("n_records"),
-        F.min_by("classification", _rank_key()).alias("classification"),
-        F.min("best_rank").alias("best_rank"),
+    exact_side = prof.select(
+        F.explode(F.array("email_lc", "name_lc")).alias("__k"), F.lit(0).alias("__lvl"), "email", "n_records",
+        "best_rank", "classification", "top_id",
     )
-    missed = requests.join(exact_agg.select(*keys), keys, "left_anti")
-    first = prof.withColumn("first_lc", F.split("name_lc", " ").getItem(0)).groupBy("first_lc").agg(
-        F.count_distinct("email").alias("n_customers"),
+    firsts = prof.withColumn("first_lc", F.split("name_lc", " ").getItem(0)).groupBy("first_lc").agg(
+        F.count_distinct("email").alias("n_cust"),
         F.sum("n_records").alias("n_records"),
         F.min_by("classification", _rank_key()).alias("classification"),
         F.min("best_rank").alias("best_rank"),
     )
-    broad = missed.withColumn("__f", F.split(F.lower(strip_text(F.col(term))), " ").getItem(0)).join(
-        first, F.col("__f") == first["first_lc"], "left"
+    first_side = firsts.select(
+        F.col("first_lc").alias("__k"), F.lit(1).alias("__lvl"), "n_cust", "n_records", "best_rank", "classification"
     )
-    broad = broad.select(
+    lookup = exact_side.unionByName(first_side, allowMissingColumns=True)
+    keys = list(requests.columns)
+    t = F.lower(strip_text(F.col(term)))
+    probes = requests.select(
+        *keys,
+        F.explode(F.array(
+            F.struct(t.alias("probe"), F.lit(0).alias("lvl")),
+            F.struct(F.split(t, " ").getItem(0).alias("probe"), F.lit(1).alias("lvl")),
+        )).alias("__p"),
+    )
+    j = probes.join(lookup, (F.col("__p.probe") == F.col("__k")) & (F.col("__p.lvl") == F.col("__lvl")), "left")
+    lv0 = F.col("__lvl") == 0
+    lv1 = F.col("__lvl") == 1
+    agg = j.groupBy(*keys).agg(
+        F.count_distinct(F.when(lv0, F.col("email"))).alias("n0c"),
+        F.sum(F.when(lv0, F.col("n_records"))).alias("n0r"),
+        F.min_by(F.when(lv0, F.col("classification")), F.when(lv0, _rank_key())).alias("c0"),
+        F.min(F.when(lv0, F.col("best_rank"))).alias("r0"),
+        F.max(F.when(lv1, F.col("n_cust"))).alias("n1c"),
+        F.max(F.when(lv1, F.col("n_records"))).alias("n1r"),
+        F.max(F.when(lv1, F.col("classification"))).alias("c1"),
+        F.max(F.when(lv1, F.col("best_rank"))).alias("r1"),
+        F.max(lv1.cast("int")).alias("has1"),
+    )
+    exact = F.coalesce(F.col("n0r"), F.lit(0)) > 0
+    first = F.coalesce(F.col("has1"), F.lit(0)) == 1
+    rank_names = ["Critical", "High", "Medium", "Low"]
+    best = F.when(exact, F.col("r0")).when(first, F.col("r1"))
+    out = agg.select(
         *keys,
-        F.when(F.col("first_lc").isNotNull(), F.lit("first_name")).otherwise(F.lit("none")).alias("match_kind"),
-        F.coalesce("n_customers", F.lit(0)).alias("n_customers"),
-        F.coalesce("n_records", F.lit(0)).alias("n_records"),
-        "classification",
-        "best_rank",
+        F.when(exact, "exact").when(first, "first_name").otherwise("none").alias("match_kind"),
+        F.when(exact, F.col("n0c")).when(first, F.col("n1c")).otherwise(F.lit(0)).cast("long").alias("n_customers"),
+        F.when(exact, F.col("n0r")).when(first, F.col("n1r")).otherwise(F.lit(0)).cast("long").alias("n_records"),
+        F.when(exact, F.col("c0")).when(first, F.col("c1")).alias("classification"),
+        best.alias("__best"),
     )
-    out = exact_agg.unionByName(broad)
     return out.withColumn("found", F.col("n_records") > 0).withColumn(
-        "urgency", F.when(F.col("best_rank").isNotNull(), rank_txt)
-    ).drop("best_rank")
+        "urgency", F.when(F.col("__best").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in rank_names]), F.col("__best") + 1))
+    ).drop("__best")
 
 
 # A5
