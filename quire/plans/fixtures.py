@@ -91,7 +91,7 @@ def chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("file"), F.col("label").cast("string")).alias("filename"),
         strat.alias("split_strategy"),
         (F.col("vec_id") / 30).cast("int").alias("chunk_index"),
-        F.lit(FIXTURE_TIME).cast("timestamp").alias("created_at"),
+        F.lit(FIXTURE_TIME).cast("timestamp_ntz").alias("created_at"),
     )
 
 
