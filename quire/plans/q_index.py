@@ -166,3 +166,24 @@ FROM scored ORDER BY sim DESC NULLS LAST, id LIMIT 5"""
 def index_and_search(spark, sf_dir):
     """The flagship (entry) without the wall-clock ``created_at`` column."""
     return round_doubles(I.flagship(spark, sf_dir).drop("created_at"))
+
+
+_HIT_SQL = _FLAG_SQL.replace(
+    "\nSELECT id, chunk_text, filename, split_strategy, chunk_index, round(sim, 6) AS similarity\nFROM scored ORDER BY sim DESC NULLS LAST, id LIMIT 5",
+    """,
+hits AS (SELECT doc_id, chunk_index AS hit_index FROM scored JOIN cp USING (chunk_index, chunk_text)
+         WHERE scored.filename = 'doc' || cp.doc_id ORDER BY sim DESC NULLS LAST, id LIMIT 5),
+want AS (SELECT doc_id, hit_index, o AS "offset", hit_index + o AS chunk_index FROM hits, (VALUES (-1), (0), (1)) v(o))
+SELECT 'doc' || cp.doc_id AS filename, 'paragraph' AS split_strategy, want.hit_index, want."offset", cp.chunk_text
+FROM want JOIN cp ON cp.doc_id = want.doc_id AND cp.chunk_index = want.chunk_index""",
+)
+
+
+@register("hit_context", _HIT_SQL)
+def hit_context(spark, sf_dir):
+    """C14: neighbouring chunks (index -1, 0, +1) of the flagship's top-5 hits."""
+    hits = I.flagship(spark, sf_dir).select("filename", "split_strategy", "chunk_index")
+    chunks = C.chunk_text(prepared(spark, sf_dir), "text", "paragraph", SIZE, OVERLAP, keep=["doc_id"]).withColumn(
+        "filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
+    )
+    return C.hit_context(hits, chunks)
