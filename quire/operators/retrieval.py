@@ -70,21 +70,40 @@ def apply_filters(chunks: DataFrame, filename: str | None = None, split_strategy
 
 
 # Q2 (+Q3)
+ARROW_MIN_DIMS = 256  # from this width on, numpy beats per-row higher-order functions
+
+
 def search_topk(
     chunks: DataFrame,
     query_vector: Sequence[float],
     k: int = DEFAULT_TOP_K,
     filename: str | None = None,
     split_strategy: str | None = None,
+    engine: str = "auto",
 ) -> DataFrame:
-    """The k chunks most similar to ``query_vector`` (ties broken by id)."""
+    """The k chunks most similar to ``query_vector`` (ties broken by id).
+
+    ``engine="expr"``: per-row cosine as a native expression, then
+    ``TakeOrderedAndProject`` - one pass, all in the JVM. ``engine="arrow"``:
+    the (id, embedding) columns stream through the numpy top-k kernel (k rows
+    per task), the global k are taken, and a broadcast join of those k ids
+    (a proven bound) fetches the result rows. ``auto`` picks arrow for wide
+    vectors, where the per-row expression is the bottleneck.
+    """
     if k <= 0:
         raise ValueError("top_k must be greater than 0.")
-    q = F.array(*[F.lit(float(x)) for x in query_vector])
-    scored = apply_filters(chunks, filename, split_strategy).withColumn(
-        "similarity", V.cosine_similarity(F.col("embedding"), q)
-    )
-    return scored.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).limit(k).select(*RESULT_COLUMNS)
+    filtered = apply_filters(chunks, filename, split_strategy)
+    use_arrow = engine == "arrow" or (engine == "auto" and len(query_vector) >= ARROW_MIN_DIMS)
+    if not use_arrow:
+        q = F.array(*[F.lit(float(x)) for x in query_vector])
+        scored = filtered.withColumn("similarity", V.cosine_similarity(F.col("embedding"), q))
+        return scored.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).limit(k).select(*RESULT_COLUMNS)
+    qmat = np.array([query_vector], dtype=np.float64)
+    vecs = filtered.select(F.col("id").cast("long").alias("id"), F.col("embedding"))
+    local = vecs.mapInArrow(_knn_partition(np.array([0], np.int64), qmat, k, qmat.shape[1]), KNN_SCHEMA)
+    top = local.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).limit(k).select("id", "similarity")
+    rows = filtered.drop("similarity").join(F.broadcast(top), "id")
+    return rows.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).select(*RESULT_COLUMNS)
 
 
 # -- batch top-k --------------------------------------------------------------

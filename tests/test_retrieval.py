@@ -116,3 +116,14 @@ def test_embedding_retry_contract():
     assert wrong.calls == 1
     with pytest.raises(E.EmbeddingError, match="Nothing to embed"):
         E.embed_batch(wrong, [], E.DOCUMENT_TASK, 0)
+
+
+def test_topk_arrow_engine_equals_expression(spark):
+    cs = chunk_store(spark, SF_SMALL)
+    q = cs.where("id = 11").first()["embedding"]
+    a = [(r["id"], round(r["similarity"], 9)) for r in R.search_topk(cs, q, 6, engine="expr").collect()]
+    b = [(r["id"], round(r["similarity"], 9)) for r in R.search_topk(cs, q, 6, engine="arrow").collect()]
+    assert a == b
+    fa = [r["id"] for r in R.search_topk(cs, q, 4, filename="file1", engine="arrow").collect()]
+    fe = [r["id"] for r in R.search_topk(cs, q, 4, filename="file1", engine="expr").collect()]
+    assert fa == fe
