@@ -139,7 +139,14 @@ def rows_to_json(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
         n = DEFAULT_MAX_ROWS
     fields = df.schema.fields
     names = [f.name for f in fields]
-    obj = F.to_json(F.struct(*[json_value(f.name, f.dataType).alias(f.name) for f in fields]), {"ignoreNullFields": "false"})
+    # duplicate names: every name stays in ``columns``, the last value wins in ``rows``
+    pos = [f"__c{i}" for i in range(len(fields))]
+    df = df.toDF(*pos)
+    last = {name: i for i, name in enumerate(names)}
+    kept = [i for i, name in enumerate(names) if last[name] == i]
+    obj = F.to_json(
+        F.struct(*[json_value(pos[i], fields[i].dataType).alias(names[i]) for i in kept]), {"ignoreNullFields": "false"}
+    )
     capped = df.limit(n).select(F.monotonically_increasing_id().alias("__ord"), obj.alias("__json"))
     cols_json = "[" + ",".join('"' + c.replace('"', '\\"') + '"' for c in names) + "]"
     return capped.agg(

@@ -80,3 +80,10 @@ def test_reconcile(spark):
     a = spark.createDataFrame([(1, "a"), (3, "c")], "id int, v string")
     got = sorted((r["id"], r["kind"]) for r in U.reconcile(e, a, "id", ["v"]).collect())
     assert got == [(2, "missing_row"), (3, "extra_row")]
+
+
+def test_envelope_duplicate_names_last_wins(spark):
+    df = spark.sql("SELECT 1 AS a, 2 AS a, CAST(NULL AS STRING) AS b")
+    env = U.rows_to_json(df).first()
+    assert json.loads(env["columns"]) == ["a", "a", "b"]
+    assert json.loads(env["rows"]) == [{"a": 2, "b": None}]
