@@ -99,11 +99,22 @@ def table_rows_to_text(spark, sf_dir):
     return ST.blocks_to_text(paras.unionByName(rows))
 
 
-@register("incremental_index")
+def _incremental_sql() -> str:
+    from quire.plans.q_index import _PREP, SIZE, OVERLAP, hashed_vectors_ctes
+    from quire.sources.store import INDEX_BITS
+
+    return f"""{_PREP},{O.chunk_ctes('prep', ['doc_id'], 'paragraph', SIZE, OVERLAP, 'cp')},{hashed_vectors_ctes('cp', ['doc_id', 'chunk_index'], 'chunk_text', 'hv')}
+SELECT doc_id * {1 << (INDEX_BITS + 2)} + 2 * {1 << INDEX_BITS} + chunk_index AS id, 'doc' || doc_id AS filename,
+       'paragraph' AS split_strategy, chunk_index, chunk_text
+FROM cp JOIN hv USING (doc_id, chunk_index) WHERE hv.n > 0"""
+
+
+@register("incremental_index", _incremental_sql())
 def incremental_index(spark, sf_dir):
     """Stream the documents file through the indexer (availableNow) into a
     chunk table in the shared checkpoint folder, twice: the second run finds
-    no new files and the table is unchanged. No SQL oracle (stateful)."""
+    no new files and the table is unchanged. The oracle is the table the
+    batch indexer would produce."""
     from quire.streaming.incremental import incremental_index as run
 
     root = shared_dir(spark, "chunks")
