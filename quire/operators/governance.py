@@ -12,7 +12,6 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS
 
 # Fixed values ---------------------------------------------------------------
 SECRET_RULES = [

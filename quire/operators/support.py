@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions.text import WS, strip_text
+from quire.functions.text import strip_text
 
 # Fixed values ---------------------------------------------------------------
 DEFAULT_MAX_ROWS = 50

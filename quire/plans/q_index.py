@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quire.functions import vectors as V
 from quire.operators import chunking as C
 from quire.operators import embedding as E
-from quire.operators import retrieval as R
 from quire.plans import indexing as I
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles

@@ -9,7 +9,6 @@ from quire.operators import routing as G
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles
 from quire.plans.fixtures import INTENTS, messages
-from quire.sources.tables import read_table
 
 _WS_IN = WS[1:-1]
 _EMAIL_FIND_RE2 = f"[^@{_WS_IN}]+@[^@{_WS_IN}]+\\.[A-Za-z]{{2,}}"

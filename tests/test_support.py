@@ -3,7 +3,6 @@ envelope behaviour)."""
 
 import json
 
-from pyspark.sql import functions as F
 
 from quire.operators import support as U
 
