@@ -87,11 +87,11 @@ req AS ({_REQ_SQL}),
 ex AS (SELECT req.request_id, req.term, p.* FROM req JOIN prof p ON lower({O.strip('req.term')}) = p.email_lc
        UNION ALL
        SELECT req.request_id, req.term, p.* FROM req JOIN prof p ON lower({O.strip('req.term')}) = p.name_lc),
-exa AS (SELECT request_id, term, 'exact' AS match_kind, count(DISTINCT email) AS n_customers, sum(n_records) AS n_records,
+exa AS (SELECT request_id, term, 'exact' AS match_kind, count(DISTINCT email) AS n_customers, CAST(sum(n_records) AS BIGINT) AS n_records,
                arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank
         FROM ex GROUP BY request_id, term),
 missed AS (SELECT * FROM req WHERE request_id NOT IN (SELECT request_id FROM exa)),
-firsts AS (SELECT split_part(name_lc, ' ', 1) AS first_lc, count(DISTINCT email) AS n_customers, sum(n_records) AS n_records,
+firsts AS (SELECT split_part(name_lc, ' ', 1) AS first_lc, count(DISTINCT email) AS n_customers, CAST(sum(n_records) AS BIGINT) AS n_records,
                   arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank
            FROM prof GROUP BY 1),
 br AS (SELECT m.request_id, m.term, CASE WHEN f.first_lc IS NOT NULL THEN 'first_name' ELSE 'none' END AS match_kind,
