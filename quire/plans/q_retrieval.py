@@ -70,7 +70,7 @@ def search_filtered(spark, sf_dir):
 
 
 _BATCH_SQL = f"""WITH cs AS ({O.chunk_store()}),
-qs AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 10),
+qs AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings),
 scored AS (SELECT qs.query_id, cs.id, {O.cosine('cs.embedding', 'qs.v')} AS sim FROM qs, cs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity FROM ranked WHERE rank <= {TOP_K}"""
