@@ -164,18 +164,57 @@ def _cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(s), s, -np.inf)
 
 
+class _DenseTopK:
+    """Best k per query when every row is scored against every query: one
+    ``argpartition`` over the (rows x queries) block per Arrow batch, exact
+    per-column fallback only where a tie straddles the k-th place."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.ids = np.empty((0, n_queries), np.int64)
+        self.sims = np.empty((0, n_queries), np.float64)
+
+    def offer_all(self, ids: np.ndarray, sims: np.ndarray) -> None:
+        all_s = np.vstack([self.sims, sims])
+        all_i = np.vstack([self.ids, np.broadcast_to(ids[:, None], sims.shape)])
+        k = self.k
+        if all_s.shape[0] <= k:
+            self.ids, self.sims = all_i, all_s
+            return
+        neg = -all_s
+        part = np.argpartition(neg, k - 1, axis=0)[:k]
+        kth = np.take_along_axis(neg, part, axis=0).max(axis=0)
+        keep_i = np.take_along_axis(all_i, part, axis=0)
+        keep_s = np.take_along_axis(all_s, part, axis=0)
+        for j in np.nonzero((neg <= kth).sum(axis=0) > k)[0]:  # boundary ties: decide by id
+            pick = _best_of(all_s[:, j], all_i[:, j], k)
+            keep_i[:, j], keep_s[:, j] = all_i[pick, j], all_s[pick, j]
+        self.ids, self.sims = keep_i, keep_s
+
+    def batch(self, qids: np.ndarray) -> pa.RecordBatch | None:
+        if self.ids.shape[0] == 0:
+            return None
+        sim = self.sims.T.ravel()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(qids, self.ids.shape[0]), pa.int64()),
+                pa.array(self.ids.T.ravel(), pa.int64()),
+                pa.array(np.where(np.isfinite(sim), sim, np.nan), pa.float64(), from_pandas=True),
+            ],
+            names=["query_id", "id", "similarity"],
+        )
+
+
 def _knn_partition(qids: np.ndarray, qmat: np.ndarray, k: int, dims: int):
     """mapInArrow body: exact running top-k per query over one task's chunks."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        best = _RunningTopK(len(qids), k)
+        best = _DenseTopK(len(qids), k)
         for rb in batches:
             if rb.num_rows == 0:
                 continue
             ids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sims = _cosine(_vectors(rb, 1, dims), qmat)
-            for j in range(len(qids)):
-                best.offer(j, ids, sims[:, j])
+            best.offer_all(ids, _cosine(_vectors(rb, 1, dims), qmat))
         out = best.batch(qids)
         if out is not None:
             yield out

@@ -127,3 +127,18 @@ def test_topk_arrow_engine_equals_expression(spark):
     fa = [r["id"] for r in R.search_topk(cs, q, 4, filename="file1", engine="arrow").collect()]
     fe = [r["id"] for r in R.search_topk(cs, q, 4, filename="file1", engine="expr").collect()]
     assert fa == fe
+
+
+def test_dense_topk_kernel_ties_by_id():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    X = np.vstack([base, base[[0, 0, 1]]])  # exact duplicates create boundary ties
+    ids = np.array([9, 3, 7, 1, 5, 8, 2, 6, 4], np.int64)
+    Q = base[[0, 1, 2]]
+    best = R._DenseTopK(len(Q), 2)
+    for lo in range(0, len(X), 4):  # several Arrow-sized batches
+        best.offer_all(ids[lo:lo + 4], R._cosine(X[lo:lo + 4], Q))
+    S = R._cosine(X, Q)
+    for j in range(len(Q)):
+        want = set(ids[np.lexsort((ids, -S[:, j]))[:2]])
+        assert set(best.ids[:, j]) == want
