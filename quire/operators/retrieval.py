@@ -120,36 +120,6 @@ def _best_of(col: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return cand[np.lexsort((ids[cand], -col[cand]))[:k]]
 
 
-class _RunningTopK:
-    """Per-query best k (id, similarity) seen so far inside one task."""
-
-    def __init__(self, n_queries: int, k: int):
-        self.k = k
-        self.ids = [np.empty(0, np.int64) for _ in range(n_queries)]
-        self.sims = [np.empty(0, np.float64) for _ in range(n_queries)]
-
-    def offer(self, j: int, ids: np.ndarray, sims: np.ndarray) -> None:
-        pick = _best_of(sims, ids, self.k)
-        ci = np.concatenate([self.ids[j], ids[pick]])
-        cs = np.concatenate([self.sims[j], sims[pick]])
-        order = np.lexsort((ci, -cs))[: self.k]
-        self.ids[j], self.sims[j] = ci[order], cs[order]
-
-    def batch(self, qids: np.ndarray) -> pa.RecordBatch | None:
-        counts = np.array([len(x) for x in self.ids])
-        if counts.sum() == 0:
-            return None
-        sim = np.concatenate(self.sims)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(qids, counts), pa.int64()),
-                pa.array(np.concatenate(self.ids), pa.int64()),
-                pa.array(np.where(np.isfinite(sim), sim, np.nan), pa.float64(), from_pandas=True),
-            ],
-            names=["query_id", "id", "similarity"],
-        )
-
-
 def _vectors(rb: pa.RecordBatch, col: int, dims: int) -> np.ndarray:
     arr = rb.column(col)
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -390,10 +360,12 @@ def build_ivf(chunks: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int
 
 
 def _ivf_partition(qids: np.ndarray, qmat: np.ndarray, probes: dict, k: int, dims: int):
-    """mapInArrow body: score each chunk only against queries probing its cell."""
+    """mapInArrow body: score each chunk only against the queries probing its
+    cell; one dense running top-k per cell (k rows per query and cell leave
+    the task, at most n_probe x k per query)."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        best = _RunningTopK(len(qids), k)
+        per_cell: dict[int, _DenseTopK] = {}
         for rb in batches:
             if rb.num_rows == 0:
                 continue
@@ -405,12 +377,12 @@ def _ivf_partition(qids: np.ndarray, qmat: np.ndarray, probes: dict, k: int, dim
                 if qs is None:
                     continue
                 rows = np.nonzero(cells == cell)[0]
-                sims = _cosine(x[rows], qmat[qs])
-                for col, j in enumerate(qs):
-                    best.offer(int(j), ids[rows], sims[:, col])
-        out = best.batch(qids)
-        if out is not None:
-            yield out
+                best = per_cell.setdefault(int(cell), _DenseTopK(len(qs), k))
+                best.offer_all(ids[rows], _cosine(x[rows], qmat[qs]))
+        for cell, best in per_cell.items():
+            out = best.batch(qids[probes[cell]])
+            if out is not None:
+                yield out
 
     return run
 

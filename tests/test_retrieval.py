@@ -142,3 +142,15 @@ def test_dense_topk_kernel_ties_by_id():
     for j in range(len(Q)):
         want = set(ids[np.lexsort((ids, -S[:, j]))[:2]])
         assert set(best.ids[:, j]) == want
+
+
+def test_ivf_recall_grows_with_probes(spark):
+    cs = chunk_store(spark, SF_SMALL)
+    qs = query_vectors(spark, SF_SMALL).where("query_id % 5 = 0")
+    exact = R.search_batch(cs, qs, 5)
+    model = R.build_ivf(cs, n_cells=8)
+    rec = []
+    for probe in (1, 4, 8):
+        ap = R.search_approx(cs, qs, 5, n_cells=8, n_probe=probe, model=model)
+        rec.append(R.recall_at_k(ap, exact).agg(F.avg("recall")).first()[0])
+    assert rec[0] <= rec[1] <= rec[2] == 1.0
