@@ -24,7 +24,7 @@ from typing import Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,6 +224,10 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
 def _run_passes(n_pass: int, fetch, build) -> DataFrame | None:
     """One lazy plan for a single pass; several passes are checkpointed one by one
     so the driver never holds more than one pass of query vectors."""
+    if n_pass > 1:
+        from quire.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(SparkSession.getActiveSession())
     parts = []
     for p in range(n_pass):
         got = fetch(p)
