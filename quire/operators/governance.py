@@ -23,6 +23,8 @@ SECRET_RULES = [
     ("private_key", r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
     ("app_password", r"(?i)app[_-]?password[\"']?\s*[:=]\s*[\"']?[a-z]{4} ?[a-z]{4} ?[a-z]{4} ?[a-z]{4}"),
 ]
+ENV_FILE = r"(^|/)\.env(\.[A-Za-z0-9_-]+)?$"  # .env, .env.local ... (a template such as .env.example is allowed)
+ENV_TEMPLATE = r"\.env\.(example|sample|template)$"
 PLACEHOLDER = r"(?i)(your[_-]|example[_-]?key|placeholder|xxxx|changeme|dummy|<[a-z_ -]+>)"
 LITERAL_TOKEN_SPLIT = r"[^A-Za-z0-9@._-]+"
 # Price per 1M tokens (input, output) from the model comparison slide.
@@ -63,6 +65,16 @@ def scan_allowlist(findings: DataFrame, allowlist: DataFrame, key: list[str]) ->
     return findings.join(allowlist, key, "left_anti").where(~F.col("placeholder"))
 
 
+def env_file_findings(paths: DataFrame, id_col: str, path_col: str, source: str) -> DataFrame:
+    """Tracked environment files are findings by their path alone."""
+    p = F.col(path_col)
+    hit = p.rlike(ENV_FILE) & ~p.rlike(ENV_TEMPLATE)
+    return paths.where(hit).select(
+        F.lit(source).alias("source"), F.col(id_col).alias("row_id"), F.lit(None).cast("string").alias("origin"),
+        F.lit(0).alias("line_no"), F.lit("tracked_env_file").alias("rule"), F.lit(False).alias("placeholder"),
+    )
+
+
 # G3
 def scan_literals(df: DataFrame, id_col: str, text_col: str, literals: DataFrame, value_col: str = "value") -> DataFrame:
     """Rows containing any given literal, matched on SHA-256 of tokens so the

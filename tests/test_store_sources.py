@@ -117,3 +117,10 @@ def test_entry_contract(spark):
     rows = df.collect()
     assert len(rows) == 5 and df.columns[-1] == "similarity"
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_env_files_flagged(spark):
+    paths = spark.createDataFrame([(1, "app/.env"), (2, ".env.local"), (3, "conf/.env.example"), (4, "env.py")],
+                                  "id int, path string")
+    got = sorted(r["row_id"] for r in GV.env_file_findings(paths, "id", "path", "files").collect())
+    assert got == [1, 2]
