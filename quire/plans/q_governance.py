@@ -18,7 +18,8 @@ def findings(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     d = G.scan_secrets(docs, "doc_id", "text", "documents", F.col("source"))
     p = G.scan_secrets(pages, "page_id", "html", "pages", F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1))
-    return d.unionByName(p)
+    env = G.env_file_findings(pages, "page_id", "url", "pages")
+    return d.unionByName(p).unionByName(env)
 
 
 _LINES = f"""lines AS (
@@ -27,7 +28,9 @@ _LINES = f"""lines AS (
   UNION ALL
   SELECT 'pages', page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), unnest(string_split(html, chr(10))),
          generate_subscripts(string_split(html, chr(10)), 1) FROM pages),
-hits AS ({' UNION ALL '.join(f"SELECT source, row_id, origin, line_no, '{name}' AS rule, regexp_matches(line, {O.q(G.PLACEHOLDER)}) AS placeholder FROM lines WHERE regexp_matches(line, {O.q(p)})" for name, p in G.SECRET_RULES)})"""
+hits AS ({' UNION ALL '.join(f"SELECT source, row_id, origin, line_no, '{name}' AS rule, regexp_matches(line, {O.q(G.PLACEHOLDER)}) AS placeholder FROM lines WHERE regexp_matches(line, {O.q(p)})" for name, p in G.SECRET_RULES)}
+  UNION ALL SELECT 'pages', page_id, NULL, 0, 'tracked_env_file', FALSE FROM pages
+  WHERE regexp_matches(url, {O.q(G.ENV_FILE)}) AND NOT regexp_matches(url, {O.q(G.ENV_TEMPLATE)}))"""
 
 
 @register("scan_secrets", f"WITH {_LINES}\nSELECT source, row_id, line_no, rule, placeholder FROM hits")
@@ -39,7 +42,7 @@ def scan_secrets(spark, sf_dir):
     "scan_allowlist",
     f"""WITH {_LINES}
 SELECT source, row_id, line_no, rule FROM hits
-WHERE NOT placeholder AND origin NOT IN ({', '.join(O.q(a) for a in ALLOWLIST)})""",
+WHERE NOT placeholder AND (origin IS NULL OR origin NOT IN ({', '.join(O.q(a) for a in ALLOWLIST)}))""",
 )
 def scan_allowlist(spark, sf_dir):
     allow = spark.createDataFrame([(a,) for a in ALLOWLIST], "origin string")
