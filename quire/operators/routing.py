@@ -64,7 +64,8 @@ def route_intents(messages: DataFrame, intent: str = "intent", text: str = "mess
         F.col(intent) == "ACTION_REQUEST", ~has_email(text)
     ).otherwise(False)
     m = messages.withColumn("needs_lookup", needs)
-    return m.join(F.broadcast(routes(messages.sparkSession)), [intent, "needs_lookup"], "left")
+    table = routes(messages.sparkSession).withColumnRenamed("intent", intent)
+    return m.join(F.broadcast(table), [intent, "needs_lookup"], "left")
 
 
 def tools_of(prefix: str = "") -> Column:

@@ -277,3 +277,35 @@ def required_columns(spark, sf_dir):
     source column must be present and carry its values."""
     tickets(spark, sf_dir).createOrReplaceTempView("support_requests")
     return U.required_columns(U.guarded_sql(spark, _ELIDED_Q), _EXPECTED)
+
+
+def _flow_sql() -> str:
+    from quire.plans.q_routing import _MSG, _ROUTES, _EMAIL_FIND_RE2, _classify_sql
+
+    routed = f"""SELECT p.*, rt.runs_analysis, rt.runs_sql, rt.runs_response, rt.runs_gmail FROM (
+  SELECT c.*, {_classify_sql('c.message', 'c.session_subject')} AS predicted, c.intent AS route_intent FROM (
+    SELECT m.*, last_value(subject IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_subject
+    FROM ({_MSG}) m) c) p0
+  CROSS JOIN LATERAL (SELECT CASE WHEN p0.route_intent = 'DATA_LOOKUP' THEN TRUE
+        WHEN p0.route_intent = 'ACTION_REQUEST' THEN NOT coalesce(regexp_matches(p0.message, {O.q(_EMAIL_FIND_RE2)}), FALSE)
+        ELSE FALSE END AS needs_lookup) nl
+  JOIN LATERAL (SELECT p0.*, nl.needs_lookup) p ON TRUE
+  LEFT JOIN ({_ROUTES}) rt ON p.route_intent = rt.intent AND p.needs_lookup = rt.needs_lookup"""
+    req = f"SELECT session_id * 100 + turn AS request_id, coalesce(session_subject, '') AS term FROM ({routed}) WHERE runs_sql"
+    body = _LOOKUP_SQL.replace(f"req AS ({_REQ_SQL})", f"req AS ({req})")
+    return f"""{body},
+flow AS ({routed})
+SELECT f.session_id, f.turn, f.session_subject, f.route_intent, f.predicted, f.needs_lookup, f.runs_analysis, f.runs_sql,
+       f.runs_response, f.runs_gmail, res.found AS lookup_found, res.match_kind AS lookup_match,
+       res.urgency AS lookup_urgency
+FROM flow f LEFT JOIN res ON res.request_id = f.session_id * 100 + f.turn"""
+
+
+@register("support_flow", _flow_sql())
+def support_flow(spark, sf_dir):
+    """Section 3.3 end to end for every user message."""
+    from quire.plans.fixtures import messages
+    from quire.plans.support_flow import support_flow as flow
+
+    return flow(messages(spark, sf_dir), tickets(spark, sf_dir))

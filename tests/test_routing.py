@@ -74,3 +74,19 @@ def test_carry_subject_two_level_equals_plain_window(spark):
     want = {(r["session_id"], r["turn"]): r["v"] for r in m.select("session_id", "turn", F.last("subject", True).over(w).alias("v")).collect()}
     got = {(r["session_id"], r["turn"]): r["session_subject"] for r in G.carry_subject(m, block=4).collect()}
     assert got == want
+
+
+def test_support_flow_golden(spark):
+    from quire.operators import support as U
+    from quire.plans.support_flow import support_flow
+
+    msgs = spark.createDataFrame(
+        [(1, 0, "Hi there", None), (1, 1, "What is the status of her ticket?", "Sarah Cohen"),
+         (2, 0, "Tickets from alice@example.com?", "alice@example.com"), (3, 0, "Send the email", None)],
+        "session_id int, turn int, message string, subject string")
+    got = {(r["session_id"], r["turn"]): r for r in support_flow(msgs, U.load_support_requests(spark)).collect()}
+    assert got[(1, 0)]["predicted"] == got[(1, 0)]["route_intent"] == "SMALL_TALK" and not got[(1, 0)]["runs_sql"]
+    assert got[(1, 1)]["predicted"] == "DATA_LOOKUP" and got[(1, 1)]["lookup_found"]
+    assert got[(1, 1)]["lookup_urgency"] == "Medium"
+    assert got[(2, 0)]["runs_sql"] and got[(2, 0)]["lookup_found"] is False
+    assert got[(3, 0)]["predicted"] == "UNCLEAR" and not got[(3, 0)]["runs_gmail"]
