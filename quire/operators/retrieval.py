@@ -280,6 +280,9 @@ def search_batch(
 def rank_results(results: DataFrame, full: bool = False) -> DataFrame:
     """Rank (1-based), similarity to 4 places, word-cut preview, minute timestamp.
 
+    ``results`` is a top-k (at most k rows), so the rank is a row number over
+    one small partition; rank a large frame with a partitioned window instead.
+
     The preview collapses whitespace; longer than 340 characters it keeps the
     longest whole-word prefix of at most 336 characters plus `` ...``.
     """
