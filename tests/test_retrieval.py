@@ -154,3 +154,12 @@ def test_ivf_recall_grows_with_probes(spark):
         ap = R.search_approx(cs, qs, 5, n_cells=8, n_probe=probe, model=model)
         rec.append(R.recall_at_k(ap, exact).agg(F.avg("recall")).first()[0])
     assert rec[0] <= rec[1] <= rec[2] == 1.0
+
+
+def test_l2_normalize_gives_unit_vectors(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    u = emb.select(V.l2_normalize(V.truncate_dims("embedding", 16)).alias("u"))
+    norms = [r["n"] for r in u.select(V.norm("u").alias("n")).collect()]
+    assert norms and max(abs(n - 1.0) for n in norms) < 1e-6  # float32 components, double sums
+    zero = spark.createDataFrame([([0.0, 0.0],)], "v array<float>")
+    assert zero.select(V.l2_normalize("v").alias("u")).first()["u"] is None
