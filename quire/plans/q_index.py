@@ -153,7 +153,7 @@ def count_chunks(spark, sf_dir):
 _FLAG_SQL = f"""{_PREP},{O.chunk_ctes('prep', ['doc_id'], 'paragraph', SIZE, OVERLAP, 'cp')},{hashed_vectors_ctes('cp', ['doc_id', 'chunk_index'], 'chunk_text', 'hv')},
 bq AS (SELECT item_id, text FROM benchmark WHERE item_id = {I.FLAGSHIP_QUERY_ITEM}),{hashed_vectors_ctes('bq', ['item_id'], 'text', 'qv')},
 scored AS (
-  SELECT doc_id * {1 << (S.INDEX_BITS + 2)} + 2 * {1 << S.INDEX_BITS} + cp.chunk_index AS id, cp.chunk_text,
+  SELECT cp.doc_id, doc_id * {1 << (S.INDEX_BITS + 2)} + 2 * {1 << S.INDEX_BITS} + cp.chunk_index AS id, cp.chunk_text,
          'doc' || cp.doc_id AS filename, 'paragraph' AS split_strategy, cp.chunk_index,
          {O.cosine('hv.vec', 'qv.vec')} AS sim
   FROM cp JOIN hv USING (doc_id, chunk_index), qv WHERE hv.vec IS NOT NULL)
@@ -170,8 +170,7 @@ def index_and_search(spark, sf_dir):
 _HIT_SQL = _FLAG_SQL.replace(
     "\nSELECT id, chunk_text, filename, split_strategy, chunk_index, round(sim, 6) AS similarity\nFROM scored ORDER BY sim DESC NULLS LAST, id LIMIT 5",
     """,
-hits AS (SELECT doc_id, chunk_index AS hit_index FROM scored JOIN cp USING (chunk_index, chunk_text)
-         WHERE scored.filename = 'doc' || cp.doc_id ORDER BY sim DESC NULLS LAST, id LIMIT 5),
+hits AS (SELECT doc_id, chunk_index AS hit_index FROM scored ORDER BY sim DESC NULLS LAST, id LIMIT 5),
 want AS (SELECT doc_id, hit_index, o AS "offset", hit_index + o AS chunk_index FROM hits, (VALUES (-1), (0), (1)) v(o))
 SELECT 'doc' || cp.doc_id AS filename, 'paragraph' AS split_strategy, want.hit_index, want."offset", cp.chunk_text
 FROM want JOIN cp ON cp.doc_id = want.doc_id AND cp.chunk_index = want.chunk_index""",
