@@ -322,6 +322,7 @@ def ticket_lookup(requests: DataFrame, tickets: DataFrame, term: str = "term") -
         F.sum(F.when(lv0, F.col("n_records"))).alias("n0r"),
         F.min_by(F.when(lv0, F.col("classification")), F.when(lv0, _rank_key())).alias("c0"),
         F.min(F.when(lv0, F.col("best_rank"))).alias("r0"),
+        F.min(F.when(lv0, F.col("email"))).alias("e0"),
         F.max(F.when(lv1, F.col("n_cust"))).alias("n1c"),
         F.max(F.when(lv1, F.col("n_records"))).alias("n1r"),
         F.max(F.when(lv1, F.col("classification"))).alias("c1"),
@@ -338,6 +339,7 @@ def ticket_lookup(requests: DataFrame, tickets: DataFrame, term: str = "term") -
         F.when(exact, F.col("n0c")).when(first, F.col("n1c")).otherwise(F.lit(0)).cast("long").alias("n_customers"),
         F.when(exact, F.col("n0r")).when(first, F.col("n1r")).otherwise(F.lit(0)).cast("long").alias("n_records"),
         F.when(exact, F.col("c0")).when(first, F.col("c1")).alias("classification"),
+        F.when(exact & (F.col("n0c") == 1), F.col("e0")).alias("email"),
         best.alias("__best"),
     )
     return out.withColumn("found", F.col("n_records") > 0).withColumn(

@@ -130,9 +130,9 @@ def email_requests(spark, sf_dir):
     )
 
 
-def _validate_sql() -> str:
+def _validate_sql(subject: str = "subject") -> str:
     to = O.strip("coalesce(to_email, '')")
-    sub = O.strip("coalesce(subject, '')")
+    sub = O.strip(f"coalesce({subject}, '')")
     bod = O.strip("coalesce(body, '')")
     snd = O.strip("coalesce(sender, '')")
     pwd = O.strip("coalesce(password, '')")

@@ -88,14 +88,16 @@ ex AS (SELECT req.request_id, req.term, p.* FROM req JOIN prof p ON lower({O.str
        UNION ALL
        SELECT req.request_id, req.term, p.* FROM req JOIN prof p ON lower({O.strip('req.term')}) = p.name_lc),
 exa AS (SELECT request_id, term, 'exact' AS match_kind, count(DISTINCT email) AS n_customers, CAST(sum(n_records) AS BIGINT) AS n_records,
-               arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank
+               arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank,
+               CASE WHEN count(DISTINCT email) = 1 THEN min(email) END AS email
         FROM ex GROUP BY request_id, term),
 missed AS (SELECT * FROM req WHERE request_id NOT IN (SELECT request_id FROM exa)),
 firsts AS (SELECT split_part(name_lc, ' ', 1) AS first_lc, count(DISTINCT email) AS n_customers, CAST(sum(n_records) AS BIGINT) AS n_records,
                   arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank
            FROM prof GROUP BY 1),
 br AS (SELECT m.request_id, m.term, CASE WHEN f.first_lc IS NOT NULL THEN 'first_name' ELSE 'none' END AS match_kind,
-              coalesce(f.n_customers, 0) AS n_customers, coalesce(f.n_records, 0) AS n_records, f.classification, f.best_rank
+              coalesce(f.n_customers, 0) AS n_customers, coalesce(f.n_records, 0) AS n_records, f.classification, f.best_rank,
+              NULL::VARCHAR AS email
        FROM missed m LEFT JOIN firsts f ON split_part(lower({O.strip('m.term')}), ' ', 1) = f.first_lc),
 res AS (SELECT *, n_records > 0 AS found,
                CASE best_rank WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Medium' WHEN 3 THEN 'Low' END AS urgency
@@ -294,12 +296,21 @@ def _flow_sql() -> str:
   LEFT JOIN ({_ROUTES}) rt ON p.route_intent = rt.intent AND p.needs_lookup = rt.needs_lookup"""
     req = f"SELECT session_id * 100 + turn AS request_id, coalesce(session_subject, '') AS term FROM ({routed}) WHERE runs_sql"
     body = _LOOKUP_SQL.replace(f"req AS ({_REQ_SQL})", f"req AS ({req})")
+    from quire.plans.q_routing import _validate_sql
+
     return f"""{body},
-flow AS ({routed})
-SELECT f.session_id, f.turn, f.session_subject, f.route_intent, f.predicted, f.needs_lookup, f.runs_analysis, f.runs_sql,
-       f.runs_response, f.runs_gmail, res.found AS lookup_found, res.match_kind AS lookup_match,
-       res.urgency AS lookup_urgency
-FROM flow f LEFT JOIN res ON res.request_id = f.session_id * 100 + f.turn"""
+flow AS ({routed}),
+j AS (SELECT f.*, res.found AS lookup_found, res.match_kind AS lookup_match, res.urgency AS lookup_urgency,
+             coalesce(nullif(regexp_extract(f.message, {O.q(_EMAIL_FIND_RE2)}, 0), ''), res.email) AS to_email,
+             CASE WHEN res.classification IS NOT NULL THEN 'Update on your ' || res.classification || ' request' END AS mail_subject,
+             f.message AS body, 'support@example.com' AS sender, 'app-password' AS password
+      FROM flow f LEFT JOIN res ON res.request_id = f.session_id * 100 + f.turn),
+v AS (SELECT session_id, turn, session_subject, route_intent, predicted, needs_lookup, runs_analysis, runs_sql,
+             runs_response, runs_gmail, lookup_found, lookup_match, lookup_urgency, {_validate_sql('mail_subject')} FROM j)
+SELECT session_id, turn, session_subject, route_intent, predicted, needs_lookup, runs_analysis, runs_sql,
+       runs_response, runs_gmail, lookup_found, lookup_match, lookup_urgency,
+       CASE WHEN runs_gmail THEN success END AS email_sent, CASE WHEN runs_gmail THEN message END AS email_result
+FROM v"""
 
 
 @register("support_flow", _flow_sql())

@@ -82,7 +82,8 @@ def test_support_flow_golden(spark):
 
     msgs = spark.createDataFrame(
         [(1, 0, "Hi there", None), (1, 1, "What is the status of her ticket?", "Sarah Cohen"),
-         (2, 0, "Tickets from alice@example.com?", "alice@example.com"), (3, 0, "Send the email", None)],
+         (2, 0, "Tickets from alice@example.com?", "alice@example.com"), (3, 0, "Send the email", None),
+         (4, 0, "Email John Smith about his login issue", "John Smith")],
         "session_id int, turn int, message string, subject string")
     got = {(r["session_id"], r["turn"]): r for r in support_flow(msgs, U.load_support_requests(spark)).collect()}
     assert got[(1, 0)]["predicted"] == got[(1, 0)]["route_intent"] == "SMALL_TALK" and not got[(1, 0)]["runs_sql"]
@@ -90,3 +91,7 @@ def test_support_flow_golden(spark):
     assert got[(1, 1)]["lookup_urgency"] == "Medium"
     assert got[(2, 0)]["runs_sql"] and got[(2, 0)]["lookup_found"] is False
     assert got[(3, 0)]["predicted"] == "UNCLEAR" and not got[(3, 0)]["runs_gmail"]
+    act = got[(4, 0)]
+    assert act["predicted"] == "ACTION_REQUEST" and act["runs_sql"] and act["runs_gmail"]
+    assert act["email_sent"] and act["email_result"] == "Email sent successfully to john@example.com."
+    assert got[(1, 0)]["email_sent"] is None
