@@ -200,25 +200,42 @@ KNN_SCHEMA = T.StructType(
 def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
     """Plan passes over the query table whose matrices fit the broadcast bound.
 
-    Returns ``(dims, n_pass, fetch)``; ``fetch(p)`` collects pass ``p`` only
-    (at most ``max_broadcast_bytes`` of vectors, checked by count first).
+    Returns ``(dims, n_pass, fetch)``; ``fetch(p)`` collects pass ``p`` only.
+    Passes are hash slices of ``query_id``; every slice is counted and a slice
+    over the bound is split again with another hash seed, so each collected
+    matrix is proven to hold at most ``max_broadcast_bytes`` of vectors.
     """
     n_q = queries.count()
     if n_q == 0:
         return 0, 0, None
     dims = queries.select(F.size("query").alias("d")).first()["d"]
     per_pass = max(1, max_broadcast_bytes // (8 * max(dims, 1)))
-    # hash split; 2x headroom keeps an unlucky pass within the bound
-    n_pass = math.ceil(2 * n_q / per_pass) if n_q > per_pass else 1
+    preds: list = []
+
+    def split(pred, n: int, depth: int) -> None:
+        if n <= per_pass:
+            preds.append(pred)
+            return
+        if depth > 8:
+            raise ValueError("query_id values must be unique to split the query set into bounded passes")
+        parts = math.ceil(2 * n / per_pass)
+        for p in range(parts):
+            sub = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(parts)) == p
+            cond = sub if pred is None else pred & sub
+            c = queries.where(cond).count()
+            if c:
+                split(cond, c, depth + 1)
+
+    split(None, n_q, 0)
 
     def fetch(p: int):
-        qpart = queries if n_pass == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_pass)) == p)
-        rows = qpart.select("query_id", "query").collect()
+        qpart = queries if preds[p] is None else queries.where(preds[p])
+        rows = qpart.select("query_id", "query").collect()  # at most per_pass rows, counted above
         if not rows:
             return None
         return np.array([r["query_id"] for r in rows], np.int64), np.array([r["query"] for r in rows], np.float64)
 
-    return dims, n_pass, fetch
+    return dims, len(preds), fetch
 
 
 def _run_passes(n_pass: int, fetch, build) -> DataFrame | None:
