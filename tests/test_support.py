@@ -86,3 +86,13 @@ def test_envelope_duplicate_names_last_wins(spark):
     env = U.rows_to_json(df).first()
     assert json.loads(env["columns"]) == ["a", "a", "b"]
     assert json.loads(env["rows"]) == [{"a": 2, "b": None}]
+
+
+def test_guard_column_equals_python_guard_on_derived_statements(spark):
+    from conftest import SF_SMALL
+    from quire.plans.q_support import guard_queries
+
+    rows = guard_queries(spark, SF_SMALL).select("query", U.guard_column("query").alias("e")).collect()
+    assert rows
+    for r in rows:
+        assert r["e"] == U.guard_select(r["query"])[1], r["query"][:80]
