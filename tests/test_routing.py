@@ -95,3 +95,31 @@ def test_support_flow_golden(spark):
     assert act["predicted"] == "ACTION_REQUEST" and act["runs_sql"] and act["runs_gmail"]
     assert act["email_sent"] and act["email_result"] == "Email sent successfully to john@example.com."
     assert got[(1, 0)]["email_sent"] is None
+
+
+def test_validate_email_column_equals_plain_python(spark):
+    import re
+
+    from conftest import SF_SMALL
+    from quire.plans.q_routing import email_requests
+
+    pattern = re.compile(r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$")
+
+    def check(to, sub, body, snd, pwd):
+        to, sub, body, snd, pwd = ((x or "").strip() for x in (to, sub, body, snd, pwd))
+        if not to:
+            return False, G.MSG_NO_RECIPIENT
+        if not pattern.match(to):
+            return False, f"'{to}" + G.MSG_BAD_ADDRESS_TAIL
+        if not sub:
+            return False, G.MSG_NO_SUBJECT
+        if not body:
+            return False, G.MSG_NO_BODY
+        if not snd or not pwd:
+            return False, G.MSG_NO_CREDENTIALS
+        return True, f"Email sent successfully to {to}."
+
+    rows = email_requests(spark, SF_SMALL).withColumn("v", G.validate_email()).collect()
+    assert rows
+    for r in rows:
+        assert (r["v"]["success"], r["v"]["message"]) == check(r["to_email"], r["subject"], r["body"], r["sender"], r["password"])
