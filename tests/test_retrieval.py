@@ -163,3 +163,20 @@ def test_l2_normalize_gives_unit_vectors(spark):
     assert norms and max(abs(n - 1.0) for n in norms) < 1e-6  # float32 components, double sums
     zero = spark.createDataFrame([([0.0, 0.0],)], "v array<float>")
     assert zero.select(V.l2_normalize("v").alias("u")).first()["u"] is None
+
+
+def test_preview_equals_textwrap_shorten_without_hyphens(spark):
+    import textwrap
+
+    from quire.operators import chunking as C
+    from quire.plans.q_chunking import prepared
+
+    ch = C.chunk_text(prepared(spark, SF_SMALL), "text", "paragraph", 1000, 200, keep=["doc_id"])
+    ch = ch.where(~F.col("chunk_text").contains("-")).select(
+        F.monotonically_increasing_id().alias("id"), "chunk_text", F.lit("f").alias("filename"), "split_strategy",
+        "chunk_index", F.lit(0.5).alias("similarity"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
+    )
+    rows = R.rank_results(ch).select("preview", "id").join(ch.select("id", "chunk_text"), "id").collect()
+    assert any(len(r["chunk_text"]) > 340 for r in rows)
+    for r in rows:
+        assert r["preview"] == textwrap.shorten(r["chunk_text"], width=340, placeholder=" ...")
