@@ -24,6 +24,9 @@ SELECT_ONLY = r"(?iu)^(select|with)(?!" + WORDCH + ")"
 SELECT_ONLY_RE2 = r"(?i)^(select|with)([^\pL\pN_]|$)"
 FORBIDDEN_RE2 = r"(?i)(^|[^\pL\pN_])(" + "|".join(FORBIDDEN_WORDS) + r")([^\pL\pN_]|$)"
 FORBIDDEN = r"(?iu)(?<!" + WORDCH + r")(" + "|".join(FORBIDDEN_WORDS) + r")(?!" + WORDCH + ")"
+# Spark-specific: functions that call arbitrary JVM methods. The reference
+# relies on a read-only database role; in Spark the tool itself refuses them.
+UNSAFE_FUNCTIONS = r"(?i)(?<![\p{L}\p{N}_])(reflect|java_method|try_reflect)\s*\("
 MSG_EMPTY = "No SQL query was provided."
 MSG_NOT_SELECT = "Only SELECT queries are permitted. This tool is read-only."
 MSG_MULTI = "Multiple statements are not permitted. Send a single SELECT."
@@ -195,6 +198,7 @@ def run_select(spark: SparkSession, query: str, max_rows: int = DEFAULT_MAX_ROWS
     """Guard, plan with Spark SQL over the registered views, encode. Never
     raises: a refusal or failure becomes an error envelope."""
     q, refusal = guard_select(query)
+    refusal = refusal or _spark_refusal(q)
     if refusal:
         return error_envelope(spark, refusal)
     try:
@@ -205,9 +209,19 @@ def run_select(spark: SparkSession, query: str, max_rows: int = DEFAULT_MAX_ROWS
     return rows_to_json(df, max_rows)
 
 
+def _spark_refusal(q: str) -> str | None:
+    import regex
+
+    m = regex.search(UNSAFE_FUNCTIONS, q)
+    if m:
+        return f"The function '{m.group(1).upper()}' is not permitted. This tool is read-only."
+    return None
+
+
 def guarded_sql(spark: SparkSession, query: str) -> DataFrame:
     """The result of a guarded statement as a DataFrame (raises on refusal)."""
     q, refusal = guard_select(query)
+    refusal = refusal or _spark_refusal(q)
     if refusal:
         raise PermissionError(refusal)
     return spark.sql(q)

@@ -96,3 +96,13 @@ def test_guard_column_equals_python_guard_on_derived_statements(spark):
     assert rows
     for r in rows:
         assert r["e"] == U.guard_select(r["query"])[1], r["query"][:80]
+
+
+def test_run_select_refuses_jvm_reflection(spark):
+    env = U.run_select(spark, "SELECT reflect('java.lang.System', 'currentTimeMillis') AS t").first()
+    assert env["error"] == "The function 'REFLECT' is not permitted. This tool is read-only."
+    assert U.guard_select("SELECT java_method ('a', 'b')")[1] is None  # A7 itself keeps the reference rule
+    import pytest
+
+    with pytest.raises(PermissionError):
+        U.guarded_sql(spark, "SELECT java_method('java.lang.Math', 'abs', -1)")
