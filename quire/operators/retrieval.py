@@ -456,3 +456,46 @@ def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
     """Fraction of exact hits the approximate search returned, per query."""
     hit = exact.alias("e").join(approx.select("query_id", "id", F.lit(1).alias("found")), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg(F.avg(F.col("found").isNotNull().cast("double")).alias("recall"))
+
+
+# Q5, stored form: chunks partitioned by IVF cell, searches read probed cells only
+def write_ivf_index(chunks: DataFrame, model, root: str) -> None:
+    """Persist the KMeans model and the chunk vectors partitioned by cell."""
+    from pyspark.ml.functions import array_to_vector
+
+    model.write().overwrite().save(f"{root}/model")
+    celled = model.transform(
+        chunks.select(F.col("id").cast("long").alias("id"), "embedding").withColumn(
+            "features", array_to_vector(V.l2_normalize("embedding"))
+        ).where(F.col("features").isNotNull())
+    ).select("id", "embedding", F.col("cell").cast("int").alias("cell"))
+    celled.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/vectors")
+
+
+def search_ivf_index(spark, root: str, queries: DataFrame, k: int = DEFAULT_TOP_K, n_probe: int = 4,
+                     max_broadcast_bytes: int = MAX_QUERY_BROADCAST_BYTES) -> DataFrame:
+    """Approximate top-k over a stored IVF index: each pass reads only the
+    cell partitions its queries probe (a partition filter on ``cell``)."""
+    from pyspark.ml.clustering import KMeansModel
+
+    if k <= 0:
+        raise ValueError("top_k must be greater than 0.")
+    model = KMeansModel.load(f"{root}/model")
+    centers = np.array(model.clusterCenters(), np.float64)
+    stored = spark.read.parquet(f"{root}/vectors")
+    dims, n_pass, fetch = _query_passes(queries, max_broadcast_bytes)
+
+    def build(qids, qmat):
+        near = np.argsort(-_cosine(qmat, centers), axis=1)[:, : min(n_probe, len(centers))]
+        probes: dict[int, list[int]] = {}
+        for j, cells in enumerate(near):
+            for c in cells:
+                probes.setdefault(int(c), []).append(j)
+        probes = {c: np.array(v, np.int64) for c, v in probes.items()}
+        wanted = stored.where(F.col("cell").isin(sorted(probes))).select("id", "embedding", "cell")
+        return wanted.mapInArrow(_ivf_partition(qids, qmat, probes, k, dims), KNN_SCHEMA)
+
+    local = _run_passes(n_pass, fetch, build)
+    if local is None:
+        return spark.createDataFrame([], "query_id long, rank int, id long, similarity double")
+    return _merge_topk(local, k)

@@ -180,3 +180,24 @@ def test_preview_equals_textwrap_shorten_without_hyphens(spark):
     assert any(len(r["chunk_text"]) > 340 for r in rows)
     for r in rows:
         assert r["preview"] == textwrap.shorten(r["chunk_text"], width=340, placeholder=" ...")
+
+
+def test_stored_ivf_reads_probed_cells_and_matches_on_the_fly(spark):
+    import contextlib
+    import io
+
+    from quire.session import shared_dir
+
+    cs = chunk_store(spark, SF_SMALL)
+    qs = query_vectors(spark, SF_SMALL).where("query_id % 10 = 0")
+    model = R.build_ivf(cs, n_cells=8)
+    root = shared_dir(spark, "test-ivf")
+    R.write_ivf_index(cs, model, root)
+    stored = sorted(tuple(r) for r in R.search_ivf_index(spark, root, qs, 5, n_probe=2).collect())
+    live = sorted(tuple(r) for r in R.search_approx(cs, qs, 5, n_probe=2, model=model).collect())
+    assert [(a, b, c) for a, b, c, _ in stored] == [(a, b, c) for a, b, c, _ in live]
+    one = query_vectors(spark, SF_SMALL).where("query_id = 0")
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        R.search_ivf_index(spark, root, one, 5, n_probe=1).explain()
+    assert "PartitionFilters: [isnotnull(cell" in buf.getvalue() and "cell#" in buf.getvalue()
