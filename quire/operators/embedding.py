@@ -167,6 +167,16 @@ def embed_texts(
     return df.mapInArrow(_embed_partition(provider, idx, task_type, batch_size, provider.dims), schema)
 
 
+def check_same_space(doc_provider: Provider, query_provider: Provider) -> None:
+    """Documents and queries use different task types but must come from
+    the same provider at the same width, or similarities are meaningless."""
+    if doc_provider.name != query_provider.name or doc_provider.dims != query_provider.dims:
+        raise EmbeddingError(
+            f"Query embeddings ({query_provider.name}, {query_provider.dims}) do not match "
+            f"document embeddings ({doc_provider.name}, {doc_provider.dims})."
+        )
+
+
 def embed_query(text: str, provider: Provider | None = None) -> list[float]:
     """Embed one search query (driver side, one short text) with the query task."""
     provider = provider or HashingProvider()

@@ -48,9 +48,12 @@ def index_documents(
 
 
 def flagship(spark: SparkSession, sf_dir: str, k: int = R.DEFAULT_TOP_K) -> DataFrame:
+    provider = E.HashingProvider(DIMS)
     docs = read_table(spark, sf_dir, "documents")
-    index = index_documents(docs).where(F.col("embed_error").isNull())
+    index = index_documents(docs, provider=provider).where(F.col("embed_error").isNull())
     text = read_table(spark, sf_dir, "benchmark").where(F.col("item_id") == FLAGSHIP_QUERY_ITEM).first()["text"]
     R.validate_query(text, k)
-    qv = E.embed_query(text, E.HashingProvider(DIMS))
+    query_provider = E.HashingProvider(DIMS)
+    E.check_same_space(provider, query_provider)
+    qv = E.embed_query(text, query_provider)
     return R.search_topk(index, qv, k)

@@ -201,3 +201,11 @@ def test_stored_ivf_reads_probed_cells_and_matches_on_the_fly(spark):
     with contextlib.redirect_stdout(buf):
         R.search_ivf_index(spark, root, one, 5, n_probe=1).explain()
     assert "PartitionFilters: [isnotnull(cell" in buf.getvalue() and "cell#" in buf.getvalue()
+
+
+def test_query_and_document_space_must_match():
+    from quire.operators import embedding as E
+
+    E.check_same_space(E.HashingProvider(64), E.HashingProvider(64))
+    with pytest.raises(E.EmbeddingError, match="do not match"):
+        E.check_same_space(E.HashingProvider(64), E.HashingProvider(32))
