@@ -4,6 +4,7 @@ oracle statement at least parses in DuckDB."""
 
 import importlib.util
 import os
+import re
 
 import duckdb
 
@@ -21,7 +22,8 @@ def test_inventory_covers_registry():
     import __spark_entry__ as E
 
     mapped = {k.strip() for *_, reg in _inventory_rows() for k in reg.split(",") if k.strip()}
-    assert mapped == set(E.queries())
+    # the training-data queries are an optional part with an inventory of its own
+    assert mapped == {q for q in E.queries() if q != "pipeline" and not re.match(r"op\d+_", q)}
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
