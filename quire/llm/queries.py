@@ -8,8 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, mixing, neardup, records, shards, toxicity, vectors
+from quire.llm import decontam, html, lines, mixing, neardup, pii, records, shards, toxicity, vectors
 
+#: The registered query's key; a real run passes its own.
+SURROGATE_KEY = "example key"
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -37,6 +39,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replaced(table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "n_entities", "kinds", "text")
+
+
 @query("op3_mix_sources", mixing.MIX_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +59,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.embedding_links(table(spark, sf_dir, "embeddings"))
 
 
+@query("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+@query("op7_site_line_dedup", lines.LINES_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.page_lines(table(spark, sf_dir, "pages"))
+
+
 @query("op8_shard_packing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, sf_dir, "documents"))
