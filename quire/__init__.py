@@ -35,7 +35,6 @@ _EXPORTS = {
     # store
     "replace_chunks": "quire.sources.store",
     "upsert_chunks": "quire.sources.store",
-    "write_chunks": "quire.sources.store",
     "read_chunks": "quire.sources.store",
     # support
     "run_select": "quire.operators.support",

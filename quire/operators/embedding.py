@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import time
-from typing import Iterable, Protocol
+from typing import Callable, Iterable, Iterator, Protocol, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ from pyspark.sql import types as T
 
 # Fixed values
 BATCH_SIZE = 100
-MAX_ATTEMPTS = 3
-BACKOFF_SECONDS = 2.0  # waits 2 s then 4 s (linear)
+RETRY_WAITS = (2.0, 4.0)  # seconds before the second and the third attempt
 DOCUMENT_TASK = "RETRIEVAL_DOCUMENT"
 QUERY_TASK = "RETRIEVAL_QUERY"
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"  # Spark/RE2 spelling of the token separator
 
 
+T_ = TypeVar("T_")
+
+
 class EmbeddingError(Exception):
     pass
 
@@ -87,62 +90,99 @@ def _normalise(mat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return unit.astype(np.float32), ok
 
 
-def embed_batch(provider: Provider, texts: list[str], task_type: str, offset: int, sleep=time.sleep):
-    """One request with up to 3 attempts; a wrong count is not retried."""
+class RetriesExhausted(Exception):
+    """All tries failed; ``causes`` holds every failure."""
+
+    def __init__(self, causes: list[Exception]):
+        super().__init__(str(causes[-1]))
+        self.causes = causes
+
+
+def with_retries(call: Callable[[], T_], waits: Iterable[float], sleep: Callable[[float], None]) -> T_:
+    """The result of ``call``, tried again after each of ``waits`` (seconds)."""
+    causes: list[Exception] = []
+    for wait in (0.0, *waits):
+        if causes:
+            sleep(wait)
+        try:
+            return call()
+        except Exception as exc:  # noqa: BLE001 - a provider's errors are transient until proven otherwise
+            causes.append(exc)
+    raise RetriesExhausted(causes)
+
+
+def embed_batch(provider: Provider, texts: list[str], task_type: str, offset: int, sleep=time.sleep, waits: Iterable[float] = RETRY_WAITS) -> np.ndarray:
+    """The vectors of one request; a wrong number of them is final."""
     if not texts:
         raise EmbeddingError("Nothing to embed: received an empty list of texts.")
-    last: Exception | None = None
-    for attempt in range(1, MAX_ATTEMPTS + 1):
+    where = f"(batch starting at chunk {offset})"
+    try:
+        mat = np.asarray(with_retries(lambda: provider.embed(texts, task_type), waits, sleep), dtype=np.float64)
+    except RetriesExhausted as exc:
+        raise EmbeddingError(f"Embedding request failed after {len(exc.causes)} attempts {where}: {exc}") from exc
+    got = len(mat) if mat.ndim == 2 else 0
+    if got != len(texts):
+        raise EmbeddingError(f"Provider returned {got} embeddings for {len(texts)} inputs {where}.")
+    if mat.shape[1] != provider.dims:
+        raise EmbeddingError(f"Provider returned width {mat.shape[1]}, expected {provider.dims}.")
+    return mat
+
+
+def _embed_rows(provider: Provider, texts: list[str], task_type: str, batch_size: int, waits: Iterable[float], first: int) -> tuple[np.ndarray, list[str | None]]:
+    """Unit vectors and errors of consecutive rows, in requests of ``batch_size``."""
+    vecs = np.zeros((len(texts), provider.dims), np.float32)
+    errors: list[str | None] = [None] * len(texts)
+    for lo in range(0, len(texts), batch_size):
+        some = [t or "" for t in texts[lo : lo + batch_size]]
         try:
-            mat = np.asarray(provider.embed(texts, task_type), dtype=np.float64)
-        except Exception as exc:  # provider errors are transient until proven otherwise
-            last = exc
-            if attempt < MAX_ATTEMPTS:
-                sleep(BACKOFF_SECONDS * attempt)
-                continue
-            break
-        if mat.ndim != 2 or mat.shape[0] != len(texts):
-            got = 0 if mat.ndim != 2 else mat.shape[0]
-            raise EmbeddingError(
-                f"Provider returned {got} embeddings for {len(texts)} inputs (batch starting at chunk {offset})."
-            )
-        return mat
-    raise EmbeddingError(
-        f"Embedding request failed after {MAX_ATTEMPTS} attempts (batch starting at chunk {offset}): {last}"
-    )
+            unit, ok = _normalise(embed_batch(provider, some, task_type, first + lo, waits=waits))
+            vecs[lo : lo + len(some)] = unit
+            for j in np.flatnonzero(~ok):
+                errors[lo + j] = "Provider returned a zero-magnitude embedding."
+        except EmbeddingError as exc:
+            errors[lo : lo + len(some)] = [str(exc)] * len(some)
+    return vecs, errors
+
+
+def _with_vectors(rows: pa.Table, vecs: np.ndarray, errors: list[str | None]) -> Iterator[pa.RecordBatch]:
+    dims = vecs.shape[1]
+    offsets = pa.array(np.arange(0, (rows.num_rows + 1) * dims, dims, dtype=np.int32))
+    emb = pa.ListArray.from_arrays(offsets, pa.array(vecs.ravel(), pa.float32()), mask=pa.array([e is not None for e in errors]))
+    yield from rows.append_column("embedding", emb).append_column("embed_error", pa.array(errors, pa.string())).to_batches()
 
 
-def _embed_partition(provider: Provider, text_idx: int, task_type: str, batch_size: int, dims: int):
-    def run(batches: Iterable[pa.RecordBatch]):
+def _embed_partition(provider: Provider, text_idx: int, task_type: str, batch_size: int, waits: Iterable[float], doc_idx: int | None):
+    def rows_alone(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = 0
         for rb in batches:
-            if rb.num_rows == 0:
+            if rb.num_rows:
+                yield from _with_vectors(pa.Table.from_batches([rb]), *_embed_rows(provider, rb.column(text_idx).to_pylist(), task_type, batch_size, waits, seen))
+                seen += rb.num_rows
+
+    def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A document's rows stand together; those at a batch's end wait for the next."""
+        held: pa.Table | None = None
+        for rb in itertools.chain(batches, [None]):
+            if rb is not None and rb.num_rows == 0:
                 continue
-            texts = rb.column(text_idx).to_pylist()
-            vecs = np.zeros((rb.num_rows, dims), np.float32)
-            errors: list[str | None] = [None] * rb.num_rows
-            for lo in range(0, rb.num_rows, batch_size):
-                chunk = [t or "" for t in texts[lo : lo + batch_size]]
-                try:
-                    mat = embed_batch(provider, chunk, task_type, seen + lo)
-                    if mat.shape[1] != dims:
-                        raise EmbeddingError(f"Provider returned width {mat.shape[1]}, expected {dims}.")
-                    unit, ok = _normalise(mat)
-                    vecs[lo : lo + len(chunk)] = unit
-                    for j in np.nonzero(~ok)[0]:
-                        errors[lo + j] = "Provider returned a zero-magnitude embedding."
-                except EmbeddingError as exc:
-                    for j in range(len(chunk)):
-                        errors[lo + j] = str(exc)
-            seen += rb.num_rows
-            flat = pa.array(vecs.ravel(), pa.float32())
-            offsets = pa.array(np.arange(0, (rb.num_rows + 1) * dims, dims, dtype=np.int32))
-            emb = pa.ListArray.from_arrays(offsets, flat, mask=pa.array([e is not None for e in errors]))
-            cols = [rb.column(i) for i in range(rb.num_columns)] + [emb, pa.array(errors, pa.string())]
-            names = list(rb.schema.names) + ["embedding", "embed_error"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    return run
+            new = [] if rb is None else [pa.Table.from_batches([rb])]
+            table = pa.concat_tables(([held] if held is not None else []) + new) if held is not None or new else None
+            if table is None:
+                return
+            keys = table.column(doc_idx).to_pylist()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            whole = cuts if rb is None else cuts[:-1]
+            vecs, errors, texts = [], [], table.column(text_idx).to_pylist()
+            for lo, hi in zip(whole, whole[1:]):
+                v, e = _embed_rows(provider, texts[lo:hi], task_type, batch_size, waits, 0)
+                failed = next((x for x in e if x is not None), None)
+                vecs.append(v)
+                errors += e if failed is None else [failed] * len(e)
+            if errors:
+                yield from _with_vectors(table.slice(0, whole[-1]), np.concatenate(vecs), errors)
+            held = table.slice(whole[-1]) if rb is not None else None
+
+    return rows_alone if doc_idx is None else documents
 
 
 # E2 (+E1 batching, E4 normalisation, E6 task type)
@@ -152,9 +192,15 @@ def embed_texts(
     provider: Provider | None = None,
     task_type: str = DOCUMENT_TASK,
     batch_size: int = BATCH_SIZE,
+    document_col: str | None = None,
+    waits: Iterable[float] = RETRY_WAITS,
 ) -> DataFrame:
     """Append ``embedding ARRAY<FLOAT>`` (unit length, null on failure) and
-    ``embed_error``. Narrow: runs where the rows already are."""
+    ``embed_error``. Narrow: runs where the rows already are.
+
+    With ``document_col`` requests never span documents (whose rows must stand
+    together, as chunking leaves them), and one failed chunk fails its document whole:
+    no document is ever left with holes. A task then holds one document's chunks."""
     provider = provider or HashingProvider()
     idx = df.columns.index(text_col)
     schema = T.StructType(
@@ -164,7 +210,8 @@ def embed_texts(
             T.StructField("embed_error", T.StringType(), True),
         ]
     )
-    return df.mapInArrow(_embed_partition(provider, idx, task_type, batch_size, provider.dims), schema)
+    doc_idx = df.columns.index(document_col) if document_col else None
+    return df.mapInArrow(_embed_partition(provider, idx, task_type, batch_size, tuple(waits), doc_idx), schema)
 
 
 def check_same_space(doc_provider: Provider, query_provider: Provider) -> None:
@@ -187,14 +234,6 @@ def embed_query(text: str, provider: Provider | None = None) -> list[float]:
     return [float(x) for x in unit[0]]
 
 
-def hashed_counts(text_col) -> Column:
-    """Native form of the hashing provider's buckets (for cross-checks): array
-    of bucket ids, one per token."""
-    c = F.col(text_col) if isinstance(text_col, str) else text_col
-    toks = F.filter(F.split(F.lower(c), TOKEN_SPLIT, -1), lambda t: t != "")
-    return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"))
-
-
 # E1
 def assign_batches(chunks: DataFrame, batch_size: int = BATCH_SIZE, keys=("doc_id", "split_strategy")) -> DataFrame:
     """Consecutive request batches per document in chunk order (no global

@@ -37,13 +37,16 @@ def index_documents(
     chunk_size: int = C.DEFAULT_CHUNK_SIZE,
     overlap: int = C.DEFAULT_OVERLAP,
     provider: E.Provider | None = None,
+    waits: tuple[float, ...] = E.RETRY_WAITS,
 ) -> DataFrame:
-    """Rows of the chunk table (plus ``doc_id`` and ``embed_error``)."""
+    """Rows of the chunk table (plus ``doc_id`` and ``embed_error``). A document with a
+    chunk that cannot be embedded has the error on all its rows, so what is left out
+    (or quarantined by ``upsert_chunks``) is always a whole document."""
     provider = provider or E.HashingProvider(DIMS)
     prepared = prepare_documents(docs.select("doc_id", "text"))
     chunks = C.chunk_text(prepared, "text", strategy, chunk_size, overlap, keep=["doc_id"])
     chunks = chunks.withColumn("filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    embedded = E.embed_texts(chunks, "chunk_text", provider, E.DOCUMENT_TASK)
+    embedded = E.embed_texts(chunks, "chunk_text", provider, E.DOCUMENT_TASK, document_col="doc_id", waits=waits)
     return S.assign_ids(embedded, "doc_id")
 
 

@@ -156,7 +156,8 @@ scored AS (
   SELECT cp.doc_id, doc_id * {1 << (S.INDEX_BITS + 2)} + 2 * {1 << S.INDEX_BITS} + cp.chunk_index AS id, cp.chunk_text,
          'doc' || cp.doc_id AS filename, 'paragraph' AS split_strategy, cp.chunk_index,
          {O.cosine('hv.vec', 'qv.vec')} AS sim
-  FROM cp JOIN hv USING (doc_id, chunk_index), qv WHERE hv.vec IS NOT NULL)
+  FROM cp JOIN hv USING (doc_id, chunk_index), qv
+  WHERE cp.doc_id NOT IN (SELECT doc_id FROM hv WHERE vec IS NULL))
 SELECT id, chunk_text, filename, split_strategy, chunk_index, round(sim, 6) AS similarity
 FROM scored ORDER BY sim DESC NULLS LAST, id LIMIT 5"""
 
@@ -185,3 +186,45 @@ def hit_context(spark, sf_dir):
         "filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
     )
     return C.hit_context(hits, chunks)
+
+
+# A table written, then part of it indexed again - a third of the documents, of
+# which one in three is empty now (nothing to write: the old rows stay), one fails to
+# embed (quarantined: the old rows stay) and one has shrunk (replaced). The oracle
+# chunks each document's surviving version.
+FAILS = "zzfailzz"
+
+
+class FailingProvider(E.HashingProvider):
+    """Refuses any request with the marker."""
+
+    def embed(self, texts, task_type):
+        if any(FAILS in t for t in texts):
+            raise RuntimeError("refused")
+        return super().embed(texts, task_type)
+
+
+def second_version(docs):
+    first = F.concat(F.substring_index("text", ".", 1), F.lit("."))
+    kind = F.col("doc_id") % 9
+    text = F.when(kind == 0, "").when(kind == 3, F.concat(F.lit(FAILS + " "), F.col("text"))).otherwise(first)
+    return docs.where(F.col("doc_id") % 3 == 0).withColumn("text", text)
+
+
+_UPSERT_SQL = (
+    f"""{_PREP},{O.chunk_ctes('prep', ['doc_id'], 'paragraph', SIZE, OVERLAP, 'cp')},{hashed_vectors_ctes('cp', ['doc_id', 'chunk_index'], 'chunk_text', 'hv')}
+SELECT 'doc' || cp.doc_id AS filename, cp.chunk_index, cp.chunk_text FROM cp
+WHERE cp.doc_id NOT IN (SELECT doc_id FROM hv WHERE n = 0)"""
+).replace("FROM documents", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 9 = 6 THEN split_part(text, '.', 1) || '.' ELSE text END AS text) FROM documents)")
+
+
+@register("upsert_chunks", _UPSERT_SQL)
+def upsert_chunks(spark, sf_dir):
+    from quire.session import shared_dir
+
+    docs = read_table(spark, sf_dir, "documents")
+    root = shared_dir(spark, "upserted")
+    S.upsert_chunks(spark, root, I.index_documents(docs), DIMS, buckets=16)
+    again = I.index_documents(second_version(docs), provider=FailingProvider(DIMS), waits=())
+    S.upsert_chunks(spark, root, again, DIMS)
+    return S.read_chunks(spark, root, DIMS).select("filename", "chunk_index", "chunk_text")

@@ -106,7 +106,7 @@ def _incremental_sql() -> str:
     return f"""{_PREP},{O.chunk_ctes('prep', ['doc_id'], 'paragraph', SIZE, OVERLAP, 'cp')},{hashed_vectors_ctes('cp', ['doc_id', 'chunk_index'], 'chunk_text', 'hv')}
 SELECT doc_id * {1 << (INDEX_BITS + 2)} + 2 * {1 << INDEX_BITS} + chunk_index AS id, 'doc' || doc_id AS filename,
        'paragraph' AS split_strategy, chunk_index, chunk_text
-FROM cp JOIN hv USING (doc_id, chunk_index) WHERE hv.n > 0"""
+FROM cp JOIN hv USING (doc_id, chunk_index) WHERE doc_id NOT IN (SELECT doc_id FROM hv WHERE n = 0)"""
 
 
 @register("incremental_index", _incremental_sql())
@@ -122,7 +122,7 @@ def incremental_index(spark, sf_dir):
     for _ in range(2):
         q = run(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", root, ckpt)
         q.awaitTermination()
-    return S.read_upserted(spark, root, 64).select("id", "filename", "split_strategy", "chunk_index", "chunk_text")
+    return S.read_chunks(spark, root, 64).select("id", "filename", "split_strategy", "chunk_index", "chunk_text")
 
 
 @register("chunk_text_udtf", _chunk_sql("fixed").replace("SELECT doc_id, chunk_index, chunk_text FROM ch", "SELECT doc_id, chunk_index, chunk_text FROM ch"))

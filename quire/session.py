@@ -33,48 +33,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint location.
-
-    The location comes from ``spark.checkpoint.dir`` (or the context's
-    checkpoint dir). Only when neither is set - local tests - do we create one
-    under the system temp folder and register it, so that ``checkpoint()`` works.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A fresh folder under the cluster's shared checkpoint location
+    (``spark.checkpoint.dir``, else the context's checkpoint dir).
+
+    A session that runs on this machine alone (``local[...]``) may do without: one is
+    then made in the temp folder. On a cluster that would be every executor's own disk,
+    so a missing setting is an error."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quire/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable: reuse the configured dir if any."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared_dir(spark, "init")
-
-
-def cluster_conf(input_bytes: int | None = None, advisory_mb: int = 256) -> dict[str, str]:
-    """Settings we recommend for a large cluster (to pass to a session builder).
-
-    Shuffle partitions are sized from the input (about ``advisory_mb`` per
-    partition, at least 2000) and AQE coalesces them at runtime; skewed join
-    partitions are split; scans read ``advisory_mb`` splits; Arrow batches
-    stay small because rows carry whole documents.
-    """
-    parts = 2000
-    if input_bytes:
-        parts = max(parts, int(input_bytes // (advisory_mb * 1024 * 1024)))
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{advisory_mb}m",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": f"{advisory_mb}m",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-        "spark.sql.session.timeZone": "UTC",
-    }

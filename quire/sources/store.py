@@ -1,11 +1,17 @@
 """The chunk table (S6-S9): schema, checks, ids, and idempotent replacement.
 
-Storage is plain Parquet partitioned by ``split_strategy`` (partition pruning
-serves the strategy filter) and sorted by filename within files (Parquet
-min/max serves the filename filter). Replacement is expressed logically as
-``existing anti-join new-keys union new`` and made visible atomically by
-writing a new version directory: readers take the newest version whose
-``_SUCCESS`` marker exists, so a crashed write is simply never seen.
+Layout under a table's root:
+
+* ``data/gen=G/split_strategy=S/bucket=B/*.parquet`` - rows, written once and never
+  changed. ``bucket`` is the hash of the filename modulo the table's bucket count.
+* ``manifest/v=N`` - which generation each (strategy, bucket) partition is read from,
+  and the bucket count and vector width the table was created with.
+* ``quarantine/v=N`` - documents that version N refused, with the reason.
+
+An upsert embeds nothing twice: new rows are written once to the shared folder, checked,
+merged with the partitions they touch (found by partition filter), and written as a new
+generation; publishing the manifest's next version makes all of it visible at once.
+A crashed write leaves files that no manifest names.
 """
 
 from __future__ import annotations
@@ -52,18 +58,20 @@ def check_chunks(df: DataFrame, dims: int) -> DataFrame:
 
 # S8
 STRATEGY_CODE = {"fixed": 0, "sentence": 1, "paragraph": 2}
-INDEX_BITS = 22  # up to 4,194,304 chunks per document and strategy
+INDEX_BITS = 22  # 4,194,304 chunks per document and strategy
+DOC_BITS = 39  # documents: what is left of 63 bits, 2 going to the strategy
 
 
 def assign_ids(df: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """Deterministic ids from (document, strategy, chunk_index): unique while
-    the index fits ``INDEX_BITS``; re-indexing keeps ids stable.
-    ``created_at`` defaults to the statement time."""
-    code = F.create_map(*[F.lit(x) for kv in STRATEGY_CODE.items() for x in kv])[F.col("split_strategy")]
-    ident = (F.col(doc_key).cast("long") * F.lit(1 << (INDEX_BITS + 2))) + code.cast("long") * F.lit(1 << INDEX_BITS) + F.col(
-        "chunk_index"
-    ).cast("long")
-    out = df.withColumn("id", ident)
+    """Deterministic ids from (document, strategy, chunk_index), so re-indexing keeps
+    them; a chunk or document number that does not fit its bits stops the job rather
+    than take another chunk's id. ``created_at`` defaults to the statement time."""
+    doc, idx = F.col(doc_key).cast("long"), F.col("chunk_index").cast("long")
+    code = F.create_map(*[F.lit(x) for kv in STRATEGY_CODE.items() for x in kv])[F.col("split_strategy")].cast("long")
+    ident = doc * F.lit(1 << (INDEX_BITS + 2)) + code * F.lit(1 << INDEX_BITS) + idx
+    too_big = (doc < 0) | (doc >= F.lit(1 << DOC_BITS)) | (idx < 0) | (idx >= F.lit(1 << INDEX_BITS))
+    refuse = F.raise_error(F.concat(F.lit("no id for document "), doc.cast("string"), F.lit(", chunk "), idx.cast("string"))).cast("long")
+    out = df.withColumn("id", F.when(too_big, refuse).otherwise(ident))
     if "created_at" not in df.columns:
         out = out.withColumn("created_at", F.current_timestamp())
     return out
@@ -85,13 +93,10 @@ def replace_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(*existing.columns))
 
 
-def check_replace_counts(chunks: DataFrame, vectors: DataFrame) -> None:
-    """The reference refuses a replacement whose chunk and vector counts differ."""
-    if chunks.count() != vectors.count():
-        raise ValueError("chunks and embeddings must be the same length.")
+# S7 (physical form)
+BUCKETS = 64  # of a table created without a count of its own
 
 
-# S7 (physical form)
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -99,82 +104,95 @@ def _fs(spark: SparkSession, path: str):
 
 
 def current_version(spark: SparkSession, root: str) -> int | None:
-    fs, p, jvm = _fs(spark, root)
+    """The newest manifest that was written to its end."""
+    fs, p, jvm = _fs(spark, f"{root}/manifest")
     if not fs.exists(p):
         return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name[2:])
-            best = n if best is None or n > best else best
-    return best
+    found = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().startswith("v=")]
+    done = [int(x.getName()[2:]) for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    return max(done, default=None)
 
 
-def read_chunks(spark: SparkSession, root: str, dims: int) -> DataFrame:
+def _manifest(spark: SparkSession, root: str) -> tuple[int, int | None, dict[tuple[str, int], int]]:
+    """(version, bucket count, generation of each partition): 3 rows a bucket at most."""
     v = current_version(spark, root)
     if v is None:
-        return spark.createDataFrame([], chunk_schema(dims))
-    return spark.read.schema(chunk_schema(dims)).parquet(f"{root}/v={v}")
-
+        return 0, None, {}
+    rows = spark.read.parquet(f"{root}/manifest/v={v}").collect()
+    return v, rows[0]["buckets"], {(r["split_strategy"], r["bucket"]): r["gen"] for r in rows if r["gen"] is not None}
+
+
+def _partitions(wanted: dict[tuple[str, int], int]):
+    """A filter on partition columns alone, so only the named folders are listed and read."""
+    by: dict[tuple[int, str], list[int]] = {}
+    for (strategy, bucket), gen in wanted.items():
+        by.setdefault((gen, strategy), []).append(bucket)
+    out = F.lit(False)
+    for (gen, strategy), buckets in sorted(by.items()):
+        out = out | ((F.col("gen") == gen) & (F.col("split_strategy") == strategy) & F.col("bucket").isin(sorted(buckets)))
+    return out
 
-def write_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int) -> int:
-    """Replace by (filename, split_strategy) and publish a new version.
 
-    Returns the number of rows written for the new keys. Idempotent: writing
-    the same ``new`` twice leaves the same visible table.
-    """
-    existing = read_chunks(spark, root, dims)
-    merged = replace_chunks(existing, new.select(*[f.name for f in chunk_schema(dims).fields]))
-    v = (current_version(spark, root) or 0) + 1
-    (
-        merged.repartition("split_strategy").sortWithinPartitions("filename", "chunk_index")
-        .write.mode("errorifexists").partitionBy("split_strategy").parquet(f"{root}/v={v}")
-    )
-    return new.count()
+def _stored(spark: SparkSession, root: str, dims: int, wanted: dict[tuple[str, int], int]) -> DataFrame:
+    names = [f.name for f in chunk_schema(dims).fields]
+    if not wanted:
+        return spark.createDataFrame([], chunk_schema(dims))
+    schema = T.StructType([*chunk_schema(dims).fields, T.StructField("gen", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{root}/data").where(_partitions(wanted)).select(*names)
 
 
-# S7 (physical form at scale): rewrite only the affected buckets
-BUCKETS = 64
+def read_chunks(spark: SparkSession, root: str, dims: int) -> DataFrame:
+    """The table as its newest manifest has it."""
+    return _stored(spark, root, dims, _manifest(spark, root)[2])
 
 
-def with_bucket(df: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64("filename"), F.lit(buckets)).cast("int"))
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """(filename, split_strategy, reason) of what the newest version refused."""
+    v = current_version(spark, root)
+    if v is None:
+        return spark.createDataFrame([], "filename string, split_strategy string, reason string")
+    return spark.read.parquet(f"{root}/quarantine/v={v}")
 
 
-def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buckets: int = BUCKETS) -> None:
-    """Replace by (filename, split_strategy) rewriting only the (strategy,
-    bucket) partitions the new rows touch, with dynamic partition overwrite.
+def bucket_of(buckets: int):
+    return F.pmod(F.xxhash64("filename"), F.lit(buckets)).cast("int")
 
-    The merged rows are checkpointed to the shared checkpoint location first:
-    that cuts the lineage back to the partitions being overwritten (Spark
-    refuses to overwrite a path it is reading) and lets a lost executor
-    recompute from the checkpoint instead of the half-written table. Each
-    partition swap is atomic; the set of partitions is not (documented).
-    """
-    from quire.session import ensure_checkpoint_dir
 
-    cols = [f.name for f in chunk_schema(dims).fields]
-    fresh = with_bucket(new.select(*cols), buckets)
-    fs, p, _ = _fs(spark, root)
-    if fs.exists(p):
-        existing = with_bucket(spark.read.parquet(root).select(*cols), buckets)
-        touched = fresh.select("split_strategy", "bucket").distinct()
-        affected = existing.join(touched, ["split_strategy", "bucket"], "left_semi")
-        merged = replace_chunks(affected, fresh)
-    else:
-        merged = fresh
-    ensure_checkpoint_dir(spark)
-    merged = merged.checkpoint(eager=True)
-    (
-        merged.repartition("split_strategy", "bucket").sortWithinPartitions("filename", "chunk_index")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("split_strategy", "bucket").parquet(root)
-    )
+def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buckets: int | None = None) -> int:
+    """Replace by (filename, split_strategy) and return the version published.
 
+    ``new`` may carry ``embed_error``. A document with a failed or unfit chunk
+    (``check_chunks``) goes to quarantine whole: none of its rows is written and
+    its old rows stay. The bucket count is the table's own; another one is refused.
+    Writing the same rows twice leaves the same table."""
+    from quire.session import shared_dir
 
-def read_upserted(spark: SparkSession, root: str, dims: int) -> DataFrame:
-    fs, p, _ = _fs(spark, root)
-    if not fs.exists(p):
-        return spark.createDataFrame([], chunk_schema(dims))
-    return spark.read.parquet(root).select(*[f.name for f in chunk_schema(dims).fields])
+    version, stored, gens = _manifest(spark, root)
+    if stored is not None and buckets not in (None, stored):
+        raise ValueError(f"the table has {stored} buckets, not {buckets}")
+    buckets = stored or buckets or BUCKETS
+    cols = [f.name for f in chunk_schema(dims).fields]
+    error = F.col("embed_error") if "embed_error" in new.columns else F.lit(None).cast("string")
+    path = shared_dir(spark, "new-chunks")
+    checked = check_chunks(new.withColumn("embed_error", error), dims)
+    checked.select(*cols, F.coalesce("embed_error", "violation").alias("reason"), bucket_of(buckets).alias("bucket")).write.parquet(path)
+    fresh = spark.read.parquet(path)
+
+    refused = fresh.where("reason is not null").groupBy(*KEY).agg(F.min("reason").alias("reason"))
+    key = [F.col(f"n.{c}").eqNullSafe(F.col(f"q.{c}")) for c in KEY]
+    good = fresh.alias("n").join(refused.alias("q"), key[0] & key[1], "left_anti")
+    touched = {(r["split_strategy"], r["bucket"]) for r in good.select("split_strategy", "bucket").distinct().collect()}
+    existing = _stored(spark, root, dims, {p: g for p, g in gens.items() if p in touched})
+    merged = replace_chunks(existing, good.select(*cols)).withColumn("bucket", bucket_of(buckets))
+
+    gen = version + 1
+    if touched:
+        # AQE splits a large partition into several files and tasks: none is one task's alone
+        merged = merged.hint("rebalance", "split_strategy", "bucket").sortWithinPartitions("split_strategy", "bucket", "filename", "chunk_index")
+        merged.write.mode("overwrite").partitionBy("split_strategy", "bucket").parquet(f"{root}/data/gen={gen}")
+    refused.write.mode("overwrite").parquet(f"{root}/quarantine/v={gen}")
+    gens = gens | {p: gen for p in touched}
+    rows = [(s, b, g, buckets, dims) for (s, b), g in sorted(gens.items())] or [(None, None, None, buckets, dims)]
+    table = spark.createDataFrame(rows, "split_strategy string, bucket int, gen int, buckets int, dims int")
+    table.coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifest/v={gen}")
+    return gen

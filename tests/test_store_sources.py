@@ -5,45 +5,97 @@ streaming restart, governance, and the driver entry points."""
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from quire.operators import embedding as E
 from quire.operators import governance as GV
 from quire.operators import structure as ST
 from quire.plans import indexing as I
+from quire.plans.q_index import FAILS, FailingProvider
 from quire.session import shared_dir
 from quire.sources import files as FS
 from quire.sources import store as S
 
 
-def _rows(spark, pairs):
+def _rows(spark, pairs, provider=None):
     df = spark.createDataFrame(pairs, "doc_id long, text string")
-    return I.index_documents(df, "fixed", 40, 10).where("embed_error IS NULL")
+    return I.index_documents(df, "fixed", 40, 10, provider=provider, waits=())
+
+
+LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"
+
+
+def _texts(spark, root, name):
+    return [r["chunk_text"] for r in S.read_chunks(spark, root, 64).where(F.col("filename") == name).orderBy("chunk_index").collect()]
 
 
 def test_replace_twice_equals_once_and_shrink(spark):
     root = shared_dir(spark, "test-store")
-    big = _rows(spark, [(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho"),
-                        (2, "one two three four five six seven eight nine ten eleven twelve")])
+    big = _rows(spark, [(1, LONG), (2, "one two three four five six seven eight nine ten eleven twelve")])
     S.upsert_chunks(spark, root, big, 64)
-    n1 = S.read_upserted(spark, root, 64).count()
+    once = sorted(r["id"] for r in S.read_chunks(spark, root, 64).collect())
     S.upsert_chunks(spark, root, big, 64)
-    assert S.read_upserted(spark, root, 64).count() == n1
-    small = _rows(spark, [(1, "alpha beta")])
-    S.upsert_chunks(spark, root, small, 64)
-    doc1 = S.read_upserted(spark, root, 64).where("filename = 'doc1'").collect()
-    assert [r["chunk_text"] for r in doc1] == ["alpha beta"]
-    assert S.read_upserted(spark, root, 64).where("filename = 'doc2'").count() > 0
-
-
-def test_versioned_write_is_idempotent(spark):
-    root = shared_dir(spark, "test-versioned")
-    rows = _rows(spark, [(7, "some words to index here and there and everywhere else too")])
-    S.write_chunks(spark, root, rows, 64)
-    a = sorted(r["id"] for r in S.read_chunks(spark, root, 64).collect())
-    S.write_chunks(spark, root, rows, 64)
-    assert sorted(r["id"] for r in S.read_chunks(spark, root, 64).collect()) == a
-    assert S.current_version(spark, root) == 2
+    assert sorted(r["id"] for r in S.read_chunks(spark, root, 64).collect()) == once
+    S.upsert_chunks(spark, root, _rows(spark, [(1, "alpha beta")]), 64)
+    assert _texts(spark, root, "doc1") == ["alpha beta"]
+    assert len(_texts(spark, root, "doc2")) > 1
+    assert S.current_version(spark, root) == 3
+
+
+def test_bucket_count_is_the_tables_own(spark):
+    root = shared_dir(spark, "test-buckets")
+    S.upsert_chunks(spark, root, _rows(spark, [(i, f"text number {i}") for i in range(200)]), 64, buckets=4)
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        S.upsert_chunks(spark, root, _rows(spark, [(1, "new")]), 64, buckets=8)
+    S.upsert_chunks(spark, root, _rows(spark, [(1, "new")]), 64)
+    assert S.read_chunks(spark, root, 64).count() == 200 and _texts(spark, root, "doc1") == ["new"]
+
+
+def test_failed_document_is_quarantined_whole(spark):
+    root = shared_dir(spark, "test-quarantine")
+    S.upsert_chunks(spark, root, _rows(spark, [(1, LONG), (2, "fine")]), 64)
+    before = _texts(spark, root, "doc1")
+    changed = LONG + f" {FAILS} and some more words to fill another chunk of it"
+    S.upsert_chunks(spark, root, _rows(spark, [(1, changed), (2, "better"), (3, "")], FailingProvider(64)), 64)
+    assert _texts(spark, root, "doc1") == before and _texts(spark, root, "doc2") == ["better"]
+    refused = S.read_quarantine(spark, root).collect()
+    assert [r["filename"] for r in refused] == ["doc1"] and "refused" in refused[0]["reason"]
+
+
+def test_each_chunk_is_embedded_once_an_upsert(spark):
+    counted = spark.sparkContext.accumulator(0)
+
+    class Counting(E.HashingProvider):
+        def embed(self, texts, task_type):
+            counted.add(len(texts))
+            return super().embed(texts, task_type)
+
+    root = shared_dir(spark, "test-once")
+    S.upsert_chunks(spark, root, _rows(spark, [(i, LONG) for i in range(10)]), 64)
+    new = _rows(spark, [(i, LONG + " sigma") for i in range(5)], Counting(64))
+    S.upsert_chunks(spark, root, new, 64)
+    assert counted.value == sum(len(_texts(spark, root, f"doc{i}")) for i in range(5)) > 5
+
+
+def test_document_is_embedded_whole_across_arrow_batches(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = _rows(spark, [(i, LONG + (f" {FAILS}" if i == 3 else "")) for i in range(6)], FailingProvider(64)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {r["doc_id"] for r in rows if r["embed_error"]} == {3} and all(r["embed_error"] for r in rows if r["doc_id"] == 3)
+    assert len(rows) == len({r["id"] for r in rows})
+
+
+def test_ids_that_do_not_fit_stop_the_job(spark):
+    ok = spark.createDataFrame([((1 << 39) - 1, "paragraph", (1 << 22) - 1)], "doc_id long, split_strategy string, chunk_index int")
+    assert S.assign_ids(ok).first()["id"] > 0
+    for row in ((1, "fixed", 1 << 22), (1 << 39, "fixed", 0)):
+        with pytest.raises(Exception, match="no id for document"):
+            S.assign_ids(spark.createDataFrame([row], ok.schema)).collect()
 
 
 def test_ids_unique(spark):
@@ -105,9 +157,30 @@ def test_streaming_restart_is_idempotent(spark):
     root = shared_dir(spark, "test-stream")
     ckpt = shared_dir(spark, "test-stream-ckpt")
     incremental_index(spark, f"{SF_SMALL}/documents*.parquet", root, ckpt).awaitTermination()
-    n = S.read_upserted(spark, root, 64).count()
+    n = S.read_chunks(spark, root, 64).count()
     incremental_index(spark, f"{SF_SMALL}/documents*.parquet", root, ckpt).awaitTermination()
-    assert S.read_upserted(spark, root, 64).count() == n > 0
+    assert S.read_chunks(spark, root, 64).count() == n > 0
+
+
+def test_changed_file_is_indexed_again(spark, tmp_path):
+    from quire.streaming.incremental import incremental_index, reindex_changed
+
+    def put(name, rows):
+        import pandas as pd
+
+        pd.DataFrame([(i, t, "en", "s", len(t)) for i, t in rows], columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(tmp_path / name)
+
+    root, ckpt = shared_dir(spark, "test-changed"), shared_dir(spark, "test-changed-ckpt")
+    put("a.parquet", [(1, "first text"), (2, "other text")])
+    put("b.parquet", [(3, "third text")])
+    incremental_index(spark, str(tmp_path), root, ckpt).awaitTermination()
+    assert reindex_changed(spark, str(tmp_path), root) == 0
+    put("a.parquet", [(1, "second and rather longer text"), (2, "other text")])
+    incremental_index(spark, str(tmp_path), root, ckpt).awaitTermination()  # the stream knows the path
+    assert _texts(spark, root, "doc1") == ["first text"]
+    assert reindex_changed(spark, str(tmp_path), root) == 1
+    assert _texts(spark, root, "doc1") == ["second and rather longer text"] and _texts(spark, root, "doc3") == ["third text"]
+    assert reindex_changed(spark, str(tmp_path), root) == 0
 
 
 def test_entry_contract(spark):
