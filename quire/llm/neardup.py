@@ -2,19 +2,24 @@
 shingles, banded, every candidate verified by weighted Jaccard similarity.
 
 * A shingle is five consecutive words (a shorter text is one shingle); its weight
-  is ``tf * idf`` with ``idf = 1 + ln(N / df) / (4 ln N)`` in 16 steps from 1 to 1.25:
+  is ``tf * idf`` with ``idf = 1 + ln(N / df) / (8 ln N)`` in 16 steps from 1 to 1.125:
   damped, or the document frequency of a large group of near copies would push
   what they share under what they differ in, and split the group.
   ``df`` comes from a two-row count-min sketch over all documents: its size is a
   parameter, so what is broadcast does not grow with the corpus.
 * Consistent weighted sampling draws (r, c, beta) of each shingle and sample from
   one table of 65,536 gamma/uniform triples, so a sample is a lookup and a minimum.
-* 12 bands of 3 samples: a pair of similarity 0.8 is missed with probability 2e-4.
-* A bucket of up to ``SMALL`` members compares all pairs. In a larger one every
-  member is compared with the least member; who fails, and who the triangle
-  inequality (1 - weighted Jaccard is a metric) cannot excuse from a comparison with
-  those, goes on into sub-buckets by the other bands. No group is ever expanded
-  into all pairs or collected.
+* 18 bands of 4 samples: a pair of similarity 0.8 is missed with probability 8e-5.
+  Total weights bound the similarity, so pairs whose weights differ more than
+  ``similarity`` allows are never candidates.
+* A bucket of up to ``SMALL`` members gives all pairs. In a larger one every member is
+  compared with the least member only. Who fails, and who the triangle inequality
+  (1 - weighted Jaccard is a metric) cannot excuse from a comparison with those, is
+  left over; the left-over of a bucket is split by total weight and compared in blocks
+  of at most about BLOCK members: first by the number of equal samples of 72 (fewer than
+  EQUAL has probability 3e-4 at similarity 0.8), then exactly, skipping pairs that are
+  connected already. So a group of near copies costs as many comparisons as it has
+  members, whatever its size, and pairs that are not links never become rows.
 
 Defined results: null text links with nothing; texts without words are copies only
 of equal texts; documents with the same word sequence are exact copies. Rows that
@@ -25,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +42,14 @@ from quire.llm.words import U, Words, mix, portions, signed
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 18, 4
 SMALL = 8
+BLOCK = 512
+EQUAL = 46
 SKETCH_BITS = 21  # buckets of each of the sketch's two rows, as a power of two
 CHUNK = 1 << 14
 STEPS = 15
-DAMP = 4.0 * STEPS
+DAMP = 8.0 * STEPS
 TRIPLES = 1 << 16
 SALT_ROWS = 256  # members that one shipped copy of a leader serves
 
@@ -134,13 +142,14 @@ class Sampler:
     def weights(self, key: np.ndarray, tf: np.ndarray) -> np.ndarray:
         return tf * (1 + self.idf(key) / DAMP)
 
-    def bands(self, row: np.ndarray, key: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows that have shingles, and their band keys (rows x BANDS)."""
+    def bands(self, row: np.ndarray, key: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows that have shingles, their band keys (rows x BANDS), 16 bits of every
+        sample and the total weights."""
         first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
         q = self.idf(key).astype(np.int64)
         shift, low, many = q * TRIPLES, key & U(0xFFFFFFFF), np.flatnonzero(tf > 1)
         heavy = tf[many] * (1 + q[many] / DAMP)
-        out = np.zeros((len(first), BANDS), U)
+        out, short = np.zeros((len(first), BANDS), U), np.zeros((len(first), BANDS * ROWS), np.uint16)
         for s in range(BANDS * ROWS if len(first) else 0):
             j = ((key * self.turns[s]) >> U(48)).astype(np.int64)
             a = self.once[shift + j]
@@ -148,16 +157,25 @@ class Sampler:
                 a[many] = self.score(j[many], heavy)
             got = np.minimum.reduceat(a | low, first)
             out[:, s // ROWS] = mix(out[:, s // ROWS] + got + U(s + 1))
-        return row[first], out
+            short[:, s] = mix(got) >> U(48)
+        total = np.add.reduceat(tf * (1 + q / DAMP), first) if len(first) else np.zeros(0)
+        return row[first], out, short, total
+
+
+@lru_cache(maxsize=1)
+def _sampler(shared) -> Sampler:
+    """A worker's sampler for a broadcast idf table."""
+    return Sampler(shared.value)
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, codes: np.ndarray) -> DataFrame:
-    """(id, h1, h2, bands): the word sequence's hash and the band keys; bands is
-    null without words, h1 and h2 are null for null text."""
+    """(id, h1, h2, bands, samples, weight): the word sequence's hash, the band keys, 16
+    bits of every sample, and the total weight; the last three are null without words,
+    h1 and h2 for null text."""
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(shared.value)
+        sampler = _sampler(shared)
         for batch in batches:
             for part in portions(batch, "text"):
                 texts = part.column(1)
@@ -167,15 +185,17 @@ def signatures(docs: DataFrame, doc_id: str, text: str, codes: np.ndarray) -> Da
                 for i in np.flatnonzero((w.counts == 0) & ~none):
                     raw = hashlib.blake2b(texts[int(i)].as_py().encode(), digest_size=16).digest()
                     h1[i], h2[i] = np.frombuffer(raw, np.int64)
-                rows, bands = sampler.bands(*shingles(w))
+                rows, bands, short, total = sampler.bands(*shingles(w))
                 at = np.zeros(part.num_rows + 1, np.int32)
                 at[rows + 1] = BANDS
                 empty = np.ones(part.num_rows, bool)
                 empty[rows] = False
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32), mask=np.append(empty, False)), pa.array(signed(bands).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, mask=none), pa.array(h2, mask=none), lists], names=["id", "h1", "h2", "bands"])
+                samples, weight = np.full(part.num_rows, None, object), np.zeros(part.num_rows)
+                samples[rows], weight[rows] = [x.tobytes() for x in short], total
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h1, mask=none), pa.array(h2, mask=none), lists, pa.array(samples, pa.binary()), pa.array(weight, mask=empty)], names=["id", "h1", "h2", "bands", "samples", "weight"])
 
-    return docs.select(col(doc_id).cast("long").alias("id"), col(text).cast("string").alias("text")).mapInArrow(sign, "id long, h1 long, h2 long, bands array<long>")
+    return docs.select(col(doc_id).cast("long").alias("id"), col(text).cast("string").alias("text")).mapInArrow(sign, "id long, h1 long, h2 long, bands array<long>, samples binary, weight double")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, codes: np.ndarray) -> DataFrame:
@@ -190,7 +210,7 @@ def verified(pairs: DataFrame, texts: DataFrame, codes: np.ndarray) -> DataFrame
     rows = lead.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(shared.value)
+        sampler = _sampler(shared)
         held, keys, weights, total = None, None, None, 0.0
         for batch in batches:
             for part in portions(batch, "text"):
@@ -203,45 +223,113 @@ def verified(pairs: DataFrame, texts: DataFrame, codes: np.ndarray) -> DataFrame
                     if b is None:
                         held, keys, weights, total = (a, salt), mine, own, own.sum()
                     elif held == (a, salt):
-                        at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-                        hit = keys[at] == mine if len(keys) else np.zeros(len(mine), bool)
-                        common = np.minimum(weights[at[hit]], own[hit]).sum()
-                        out.append((a, b, float(common / max(total + own.sum() - common, 1e-300))))
+                        out.append((a, b, jaccard(keys, weights, total, mine, own, float(own.sum()))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["a", "b", "sim"])
 
     return rows.mapInArrow(compare, "a long, b long, sim double")
 
 
-def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b): verified pairs among class representatives (rep, bands)."""
-    active = reps.select("rep", F.array().cast("array<int>").alias("used"), F.posexplode("bands").alias("pos", "key")).select("rep", F.array("pos").alias("used"), F.xxhash64("pos", "key").alias("bucket"))
-    texts, found, done = docs, [], None
+def alike(samples: list[bytes]) -> np.ndarray:
+    """Which pairs of rows have EQUAL equal samples or more."""
+    x = np.frombuffer(b"".join(samples), np.uint16).reshape(len(samples), -1).T.copy()
+    n = np.zeros((x.shape[1], x.shape[1]), np.uint8)
+    for sample in x:
+        n += sample[:, None] == sample[None, :]
+    out = n >= EQUAL
+    np.fill_diagonal(out, False)
+    return out
+
+
+def groups_of(table: pa.Table) -> pa.Table:
+    """Of one pair of blocks, the members that may link, by connected component of
+    ``alike``: (group, rep), group being a hash of its members, so that what several
+    buckets hold alike is compared once."""
+    rows = table.select(["rep", "samples"]).group_by("rep").aggregate([("samples", "min")]).sort_by("rep")
+    reps, found = rows["rep"].to_numpy(), alike(rows["samples_min"].to_pylist())
+    label = np.arange(len(reps))
     while True:
-        sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("lead")).where("n > 1")
-        last = F.size("used") >= BANDS  # no band is left to split by: all pairs
-        full = staged(active.join(sizes, "bucket").select("bucket", "rep", "used", "lead", ((F.col("n") <= SMALL) | last).alias("small")), "buckets")
-        few = full.where("small").select("bucket", "rep")
-        star = full.where("not small and rep != lead")
-        pairs = few.select("bucket", F.col("rep").alias("a")).join(few.select("bucket", F.col("rep").alias("b")), "bucket").where("a < b").select("a", "b").unionByName(star.select(F.col("lead").alias("a"), F.col("rep").alias("b"))).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = staged(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
-        sims = staged(verified(pairs, texts, codes), "sims")
-        found.append(sims)
-        done = sims.select("a", "b") if done is None else done.unionByName(sims.select("a", "b"))
-        known = found[0]
-        for s in found[1:]:
-            known = known.unionByName(s)
-        judged = star.join(known, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b"))).select("bucket", "rep", "used", "sim")
-        worst = judged.where(F.col("sim") < similarity).groupBy("bucket").agg(F.max("sim").alias("missed"))
-        again = judged.join(worst, "bucket").where(F.col("sim") <= F.greatest(F.col("missed") + (1 - similarity), F.lit(0.0)))
-        again = staged(again.where((F.col("sim") < similarity) | (F.col("missed") >= 2 * similarity - 1)).select("bucket", "rep", "used"), "strays")
-        if again.isEmpty():
-            return known.where(F.col("sim") >= similarity).select("a", "b")
-        active = again.join(reps, "rep").select("rep", "bucket", "used", F.posexplode("bands").alias("pos", "key")).where("not array_contains(used, pos)").select("rep", F.array_append("used", F.col("pos")).alias("used"), F.xxhash64("bucket", "pos", "key").alias("bucket"))
+        new = np.minimum(label, np.where(found, label[None, :], len(reps)).min(1, initial=len(reps)))
+        if (new == label).all():
+            break
+        label = new
+    out: list[tuple[int, int]] = []
+    for x in np.unique(label[found.any(1)]):
+        members = reps[label == x]
+        name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+        out += [(name, int(r)) for r in members]
+    return pa.table({"group": pa.array([g for g, _ in out], pa.int64()), "rep": pa.array([r for _, r in out], pa.int64())})
+
+
+def compared(texts: pa.Table, sampler: Sampler, similarity: float) -> pa.Table:
+    """Verified links of one group (rep, samples, text) that connect all its links:
+    pairs that are connected already are not compared."""
+    rows = texts.combine_chunks().sort_by("rep")
+    reps, found = rows["rep"].to_numpy(), alike(rows["samples"].to_pylist())
+    sets = []
+    for batch in rows.select(["text"]).to_batches():
+        for part in portions(batch, "text"):
+            row, key, tf = shingles(Words(part.column(0)))
+            w = sampler.weights(key, tf)
+            cut = np.searchsorted(row, np.arange(part.num_rows + 1))
+            sets += [(key[x:y], w[x:y], float(w[x:y].sum())) for x, y in zip(cut, cut[1:])]
+    label, out = np.arange(len(reps)), []
+    for i in range(len(reps)):
+        for j in np.flatnonzero(found[i, :i]):
+            if label[i] != label[j] and jaccard(*sets[i], *sets[j]) >= similarity:
+                out.append((int(reps[j]), int(reps[i])))
+                label[label == label[i]] = label[j]
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def jaccard(a: np.ndarray, wa: np.ndarray, ta: float, b: np.ndarray, wb: np.ndarray, tb: float) -> float:
+    """Weighted Jaccard similarity of two sorted sets with weights and their totals."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    hit = a[at] == b
+    common = np.minimum(wa[at[hit]], wb[hit]).sum()
+    return float(common / (ta + tb - common))
+
+
+def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): verified pairs among class representatives (rep, bands, samples, weight)
+    that connect all links."""
+    spark = reps.sparkSession
+    active = reps.select("rep", "weight", F.posexplode("bands").alias("pos", "key")).select("rep", "weight", F.xxhash64("pos", "key").alias("bucket"))
+    sizes = active.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "weight")).alias("lead")).where("n > 1")
+    full = staged(active.join(sizes, "bucket"), "buckets")
+    ratio = lambda x, y: F.least(x, y) / F.greatest(x, y)  # noqa: E731  an upper bound of the similarity
+    few = full.where(F.col("n") <= SMALL).select("bucket", "rep", "weight")
+    two = few.select("bucket", F.col("rep").alias("a"), F.col("weight").alias("wa")).join(few.select("bucket", F.col("rep").alias("b"), F.col("weight").alias("wb")), "bucket")
+    two = two.where((F.col("a") < F.col("b")) & (ratio(F.col("wa"), F.col("wb")) >= similarity)).select("a", "b")
+    star = full.where((F.col("n") > SMALL) & (F.col("rep") != F.col("lead.rep"))).select("bucket", "rep", "weight", F.col("lead.rep").alias("lead"), ratio(F.col("weight"), F.col("lead.weight")).alias("most"))
+    one = star.where(F.col("most") >= similarity).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    pairs = staged(two.unionByName(one).distinct(), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = staged(docs.join(wanted, "id", "left_semi"), "texts")
+    sims = staged(verified(pairs, texts, codes), "sims")
+
+    # the left-over of large buckets: sim is exact or, where not compared, its bound
+    judged = star.join(sims, (F.col("lead") == F.col("a")) & (F.col("rep") == F.col("b")), "left").select("bucket", "rep", "weight", F.coalesce("sim", "most").alias("sim"))
+    worst = judged.where(F.col("sim") < similarity).groupBy("bucket").agg(F.max("sim").alias("missed"))
+    rest = judged.join(worst, "bucket").where((F.col("sim") < similarity) | ((F.col("missed") >= 2 * similarity - 1) & (F.col("sim") <= F.col("missed") + (1 - similarity))))
+    # weights within the similarity's ratio meet in the class of either or the next
+    size = F.floor(F.log("weight") / F.lit(-np.log(similarity) * (1 + 1e-9))).cast("int")
+    rest = staged(rest.select("bucket", "rep", F.explode(F.array(size, size + 1)).alias("size")), "left-over")
+    known = sims.where(F.col("sim") >= similarity).select("a", "b")
+    if rest.isEmpty():
+        return known
+    keys = ["bucket", "size"]
+    counts = rest.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rest.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(*keys, F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "rep").join(reps.select("rep", "samples"), "rep")
+    found = staged(rows.groupBy(*keys, "p", "q").applyInArrow(groups_of, "group long, rep long").distinct(), "groups")
+    shared = spark.sparkContext.broadcast(codes)
+    whole = docs.join(found.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    work = found.join(reps.select("rep", "samples"), "rep").join(whole, F.col("rep") == F.col("id")).select("group", "rep", "samples", "text")
+    more = work.groupBy("group").applyInArrow(lambda t: compared(t, _sampler(shared), similarity), "a long, b long")
+    return known.unionByName(staged(more, "more-links"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -253,8 +341,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     codes = idf_codes(docs, text, sketch_bits)
     sig = staged(signatures(docs.where(col(doc_id).isNotNull()), doc_id, text, codes), "signatures")
     classes = sig.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    cls = staged(sig.join(classes, ["h1", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "bands"), "classes")
-    reps = cls.where("id = rep and bands is not null").select("rep", "bands").dropDuplicates(["rep"])
+    cls = staged(sig.join(classes, ["h1", "h2"], "left").select("id", F.coalesce("rep", "id").alias("rep"), "bands", "samples", "weight"), "classes")
+    reps = cls.where("id = rep and bands is not null").select("rep", "bands", "samples", "weight").dropDuplicates(["rep"])
     whole = docs.where(col(doc_id).isNotNull()).select(col(doc_id).cast("long").alias("id"), col(text).cast("string").alias("text"))
     joined = components(links(reps, whole, codes, similarity))
     out = cls.groupBy("id").agg(F.min("rep").alias("rep")).join(joined, F.col("rep") == F.col("node"), "left").select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of"), F.coalesce("component", "rep").alias("component_id"))
