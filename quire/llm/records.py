@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import col, need, staged
-from quire.llm.words import portions
+from quire.llm.words import BASE, PIECE, U, grown, mix, portions, powers, text_bytes
 from quire.session import shared_dir
 
 END = 2
 NONE = -(1 << 63)
 HEAD = np.dtype([("size", "<u8"), ("crc", "<u4")])
-CACHE_WORDS = 800_000  # about 180 MB a worker
+CACHE_PIECES = 1_000_000  # about 120 MB a worker
 FILES = "part string, path string, records bigint, tokens bigint, bytes bigint"
 
 
@@ -54,10 +54,12 @@ def frame(payload: bytes) -> bytes:
 
 
 class Encoder:
-    """Ids of whole texts, from the tokenizers library. A byte-level tokenizer that
-    splits words before spaces encodes every " word" alone, so distinct words are
-    encoded once a worker and kept in a bounded cache; any text with doubled or odd
-    white space, and any other kind of tokenizer, is encoded as it is."""
+    """Ids of whole texts, from the tokenizers library. A byte-level tokenizer encodes
+    what lies between spaces, or between ASCII letters and punctuation, each alone. So the
+    distinct pieces of a portion are found by hash, new ones are encoded, many in a text,
+    and kept in a bounded cache, and the texts' ids are gathered from it. A text with
+    doubled or odd white space or a special token's string, and any tokenizer that a probe
+    shows to work otherwise, is encoded as it is."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has the parallelism
@@ -67,51 +69,182 @@ class Encoder:
         size = self.tok.get_vocab_size()
         self.width = 2 if size <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.leads = np.zeros(size, bool)
         for token, i in self.tok.get_vocab().items():
             self.leads[i] = token.startswith("Ġ")
-        self.by_word = self._splits_before_spaces()
-        self.words: dict[str, bytes] = {}
-
-    def _splits_before_spaces(self) -> bool:
-        probe = "Ab c's d1 2e, f.g\nh\téß 中文 \U0001f600!"
-        parts = probe.split(" ")
-        alone = [i for n, p in enumerate(parts) for i in self._plain(p if n == 0 else " " + p)]
-        return self.tok.normalizer is None and alone == self._plain(probe) and int(self.leads.sum()) > 1
+        self.line = self._plain("\n")
+        self.by_word = self._splits_so()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[int, int] = {}  # a word's hash -> its number
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+        self.ends = np.zeros(1 << 14, np.int64)  # word n has ids[ends[n]:ends[n + 1]]
+
+    def _splits_so(self) -> bool:
+        probe = "Ab c's, (d1) 2e, f.g\nh; I\téß. 中文 \U0001f600!"
+        data = np.frombuffer(probe.encode(), np.uint8)
+        pieces = zip(*pieces_of(data, np.array([0, len(data)]), np.zeros(1, bool)), strict=True)
+        alone = [i for a, b, lead in pieces for i in self._plain(" " * bool(lead) + data[a:b].tobytes().decode())]
+        return self.tok.normalizer is None and alone == self._plain(probe) and int(self.leads.sum()) > 1 and len(self.line) == 1
 
     def _plain(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def bytes_of(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        split: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if self.by_word and not _odd(t) and not any(s in t for s in self.special):
-                split[i] = t.split(" ")
-            else:
-                out[i] = np.array(self._plain(t), self.kind).tobytes()
-        words = self.words
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        new = list({w for parts in split.values() for w in parts[1:]}.difference(words))
-        self._learn(new)
-        for i, parts in split.items():
-            head = np.array(self._plain(parts[0]), self.kind).tobytes()
-            out[i] = head + b"".join(map(words.__getitem__, parts[1:]))
+    def of(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of every row of a text column; null is empty."""
+        data, off = text_bytes(column)
+        low = int(off[0]) if len(off) else 0
+        off = off - low
+        data = data[low : low + int(off[-1])] if len(off) else data
+        odd = odd_rows(data, off, self.special) if self.by_word else np.ones(len(column), bool)
+        out = [np.zeros(0, self.kind)] * len(column)
+        if not odd.all():
+            starts, ends, lead = pieces_of(data, off, odd)
+            word = self._numbers(data, starts, ends, hashed(data, starts, ends, lead), lead)
+            first = np.searchsorted(starts, off)
+            size = self.ends[word + 1] - self.ends[word]
+            upto = np.concatenate(([0], np.cumsum(size)))
+            ids = self.ids[np.arange(upto[-1]) + np.repeat(self.ends[word] - upto[:-1], size)]
+            out = [ids[upto[x] : upto[y]] for x, y in zip(first[:-1], first[1:])]  # noqa: B905
+        for i in np.flatnonzero(odd):
+            out[i] = np.array(self._plain(data[off[i] : off[i + 1]].tobytes().decode()), self.kind)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode new words, many in a text; each starts at an id that leads with a space."""
-        groups = [new[at : at + 200] for at in range(0, len(new), 200)]
-        for some, made in zip(groups, self.tok.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(made.ids, self.kind)
-            first = np.flatnonzero(self.leads[ids])
-            if len(first) != len(some) or first[0] != 0:
-                self.words.update((w, np.array(self._plain(" " + w), self.kind).tobytes()) for w in some)
-                continue
-            raw, ends = ids.tobytes(), (np.append(first[1:], len(ids)) * self.width).tolist()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends], ends))  # noqa: B905
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, lead: np.ndarray) -> np.ndarray:
+        """The number of every piece."""
+        if len(self.place) > CACHE_PIECES:
+            self._forget()
+        unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        names = unique.tolist()
+        got = np.array([self.place.get(h, -1) for h in names], np.int64)
+        for kind, gap, glue in ((True, self.leads, b" "), (False, None, b"\n")):
+            new = np.flatnonzero((got < 0) & (lead[at] == kind))
+            raw = [data[a:b].tobytes() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+            got[new] = self._learn([names[i] for i in new.tolist()], raw, gap, glue)
+        return got[back]
+
+    def _learn(self, names: list[int], raw: list[bytes], leads: np.ndarray | None, glue: bytes) -> np.ndarray:
+        """Encode new pieces, 200 in a text: each begins at an id that leads with the
+        space between them, or they stand between the ids of single line ends."""
+        groups = [raw[k : k + 200] for k in range(0, len(raw), 200)]
+        joined = [(b" " * (leads is not None) + glue.join(g)).decode() for g in groups]
+        flat, sizes = [], []
+        for group, enc in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(enc.ids, self.kind)
+            if leads is not None:
+                cut = np.flatnonzero(leads[ids])
+                size = np.diff(np.append(cut, len(ids)))
+                fits = len(cut) == len(group) and cut[0] == 0
+            else:
+                cut = np.flatnonzero(ids == self.line[0])
+                size = np.diff(np.concatenate(([-1], cut, [len(ids)]))) - 1
+                fits = len(size) == len(group) and all(size) and not any(b"\n" in g for g in group)
+                ids = ids[ids != self.line[0]] if fits else ids
+            if not fits:
+                alone = [np.array(self._plain((b" " * (leads is not None) + g).decode()), self.kind) for g in group]
+                ids, size = np.concatenate(alone), np.array([len(x) for x in alone])
+            flat.append(ids)
+            sizes.append(size)
+        n = len(self.place)
+        if names:
+            self._keep(np.concatenate(flat), np.concatenate(sizes), n)
+            self.place.update(zip(names, range(n, n + len(names)), strict=True))
+        return np.arange(n, n + len(names))
+
+    def _keep(self, flat: np.ndarray, sizes: np.ndarray, n: int) -> None:
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while len(self.ends) < n + len(sizes) + 1:
+            self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.ends[n + 1 : n + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        self.used += len(flat)
+
+
+def pieces_of(data: np.ndarray, off: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the pieces of each row that is not odd, and which have a space before
+    them: cut at spaces, between an ASCII letter or digit and ASCII punctuation (but the
+    apostrophe), and before and after a line end that stands alone."""
+    mark = np.zeros(len(data), bool)
+    kind, line, white = CLASS[data], data == 10, ODD[data]
+    mark[1:] |= (kind[1:] + kind[:-1]) == 3
+    alone = line.copy()
+    alone[1:] &= ~white[:-1]
+    alone[:-1] &= ~white[1:]
+    mark[1:] |= alone[:-1] | (line[1:] & ~white[:-1])
+    mark[1:] |= data[:-1] == 32
+    mark[off[:-1][np.diff(off) > 0]] = True
+    starts = np.flatnonzero(mark)
+    row = np.searchsorted(off, starts, side="right") - 1
+    starts, row = starts[~odd[row]], row[~odd[row]]
+    first = np.ones(len(starts), bool)
+    first[1:] = row[1:] != row[:-1]
+    lead = (data[np.maximum(starts - 1, 0)] == 32) & ~first
+    ends = off[row + 1].copy()
+    ends[:-1] = np.where(first[1:], ends[:-1], starts[1:] - lead[1:])
+    return starts, ends, lead
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk's bytes, length and place (never 0), piece by piece."""
+    out, at = np.zeros(len(starts), U), 0
+    while at < len(starts):
+        last = max(at + 1, int(np.searchsorted(ends, starts[at] + PIECE)))
+        b = data[starts[at] : ends[last - 1]].astype(U) + U(1)
+        up, down = powers(BASE, grown(len(b) + 1))
+        total = np.zeros(len(b) + 1, U)
+        np.cumsum(b * up[: len(b)], out=total[1:])
+        s, e = starts[at:last] - starts[at], ends[at:last] - starts[at]
+        out[at:last] = mix(mix((total[e] - total[s]) * down[s]) + (e - s).astype(U) * U(2) + head[at:last])
+        at = last
+    return np.maximum(out, 1)
+
+
+def odd_rows(data: np.ndarray, off: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Rows that begin or end with a space, have a space beside other white space,
+    white space beyond ASCII, or a special token's string."""
+    bad = np.zeros(len(data), bool)
+    space, white = data == 32, ODD[data]
+    bad[1:] |= (space[1:] & white[:-1]) | (white[1:] & space[:-1])
+    for lead in ODD_LEADS:
+        at = np.flatnonzero(data == lead)
+        at = at[at + 2 < len(data) + (lead == 0xC2)]
+        second = data[at + 1]
+        third = data[np.minimum(at + 2, len(data) - 1)]
+        if lead == 0xC2:
+            hit = (second == 0x85) | (second == 0xA0)
+        elif lead == 0xE1:
+            hit = (second == 0x9A) & (third == 0x80)
+        elif lead == 0xE2:
+            hit = (second == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)) | (second == 0x81) & (third == 0x9F)
+        else:
+            hit = (second == 0x80) & (third == 0x80)
+        bad[at[hit]] = True
+    some = np.flatnonzero(np.diff(off))
+    bad[off[some]] |= space[off[some]]
+    bad[off[some + 1] - 1] |= space[off[some + 1] - 1]
+    raw = data.tobytes() if special else b""
+    for token in special:
+        at = raw.find(token)
+        while at >= 0:
+            bad[at] = True
+            at = raw.find(token, at + 1)
+    # a space and white space on two sides of a row's end is no harm, only slower
+    return np.diff(np.concatenate(([0], np.cumsum(bad)))[off]) > 0
+
+
+#: ASCII white space, a space included.
+ODD = np.zeros(256, bool)
+ODD[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: 1 for ASCII letters and digits, 2 for ASCII punctuation but the apostrophe.
+CLASS = np.zeros(256, np.uint8)
+CLASS[33:127] = 2
+CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+CLASS[39] = 0
+#: First bytes of white space beyond ASCII.
+ODD_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
 
 
 @lru_cache(maxsize=2)
@@ -119,16 +252,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _odd(t: str) -> bool:
-    """White space that the library may join to a neighbouring space."""
-    if not t.isascii() and any(c in t for c in ODD_SPACES):
-        return True
-    return "  " in t or " \n" in t or "\n " in t or " \t" in t or "\t " in t or " \r" in t or "\r " in t or "\x0b" in t or "\x0c" in t or any(c in t for c in "\x1c\x1d\x1e\x1f") or t[-1:] == " "
-
-
-ODD_SPACES = "\u0085                 　"
-
-
 def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
     """Write record and index files under ``folder`` and return the manifest (part,
     path, records, tokens, bytes), parts in ascending doc_id order. ``tokenizer`` is
@@ -154,10 +277,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "d
                 if out is None:
                     out, index = store.open_output_stream(path), store.open_output_stream(f"{base}/{name}.idx")
                 ids = some.column(0).fill_null(NONE).to_pylist()
-                texts = some.column(1).fill_null("").to_pylist()
                 tail, frames, entries = np.array([end], enc.kind).tobytes(), [], []
-                for i, raw in zip(ids, enc.bytes_of(texts), strict=True):
-                    raw += tail
+                for i, found in zip(ids, enc.of(some.column(1)), strict=True):
+                    raw = found.tobytes() + tail
                     made = frame(i.to_bytes(8, "little", signed=True) + bytes([enc.width]) + raw)
                     frames.append(made)
                     entries.append((at, i, len(raw) // enc.width))
