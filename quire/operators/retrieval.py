@@ -19,11 +19,15 @@ Plans:
 
 from __future__ import annotations
 
+import functools
 import math
+import textwrap
 from typing import Iterable, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +38,7 @@ from quire.functions.text import WS, strip_text
 DEFAULT_TOP_K = 5
 PREVIEW_WIDTH = 340
 PREVIEW_PLACEHOLDER = " ..."
+MOST_RANKED = 10_000
 # Bytes of query matrix we agree to ship to every task in one pass.
 MAX_QUERY_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -70,40 +75,21 @@ def apply_filters(chunks: DataFrame, filename: str | None = None, split_strategy
 
 
 # Q2 (+Q3)
-ARROW_MIN_DIMS = 256  # from this width on, numpy beats per-row higher-order functions
-
-
 def search_topk(
     chunks: DataFrame,
     query_vector: Sequence[float],
     k: int = DEFAULT_TOP_K,
     filename: str | None = None,
     split_strategy: str | None = None,
-    engine: str = "auto",
 ) -> DataFrame:
-    """The k chunks most similar to ``query_vector`` (ties broken by id).
-
-    ``engine="expr"``: per-row cosine as a native expression, then
-    ``TakeOrderedAndProject`` - one pass, all in the JVM. ``engine="arrow"``:
-    the (id, embedding) columns stream through the numpy top-k kernel (k rows
-    per task), the global k are taken, and a broadcast join of those k ids
-    (a proven bound) fetches the result rows. ``auto`` picks arrow for wide
-    vectors, where the per-row expression is the bottleneck.
-    """
+    """The k chunks most similar to ``query_vector`` (ties broken by id, null and zero
+    vectors last): per-row cosine as a native expression, then
+    ``TakeOrderedAndProject`` - one pass, all in the JVM, whatever the width."""
     if k <= 0:
         raise ValueError("top_k must be greater than 0.")
-    filtered = apply_filters(chunks, filename, split_strategy)
-    use_arrow = engine == "arrow" or (engine == "auto" and len(query_vector) >= ARROW_MIN_DIMS)
-    if not use_arrow:
-        q = F.array(*[F.lit(float(x)) for x in query_vector])
-        scored = filtered.withColumn("similarity", V.cosine_similarity(F.col("embedding"), q))
-        return scored.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).limit(k).select(*RESULT_COLUMNS)
-    qmat = np.array([query_vector], dtype=np.float64)
-    vecs = filtered.select(F.col("id").cast("long").alias("id"), F.col("embedding"))
-    local = vecs.mapInArrow(_knn_partition(np.array([0], np.int64), qmat, k, qmat.shape[1]), KNN_SCHEMA)
-    top = local.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).limit(k).select("id", "similarity")
-    rows = filtered.drop("similarity").join(F.broadcast(top), "id")
-    return rows.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).select(*RESULT_COLUMNS)
+    q = F.array(*[F.lit(float(x)) for x in query_vector])
+    scored = apply_filters(chunks, filename, split_strategy).withColumn("similarity", V.cosine_similarity(F.col("embedding"), q))
+    return scored.orderBy(F.desc_nulls_last("similarity"), F.asc("id")).limit(k).select(*RESULT_COLUMNS)
 
 
 # -- batch top-k --------------------------------------------------------------
@@ -121,7 +107,8 @@ def _best_of(col: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _vectors(rb: pa.RecordBatch, col: int, dims: int) -> np.ndarray:
-    arr = rb.column(col)
+    """The batch's vectors; a null one is zero, so its similarity is null too."""
+    arr = pc.fill_null(rb.column(col), pa.scalar([0.0] * dims, rb.column(col).type))
     flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if flat.size != rb.num_rows * dims:
         raise ValueError(f"vector width differs from {dims} in this batch")
@@ -175,19 +162,30 @@ class _DenseTopK:
         )
 
 
-def _knn_partition(qids: np.ndarray, qmat: np.ndarray, k: int, dims: int):
-    """mapInArrow body: exact running top-k per query over one task's chunks."""
+# Rows and queries scored at once: bounds the block of similarities (16 MB) that a task
+# holds beside its running top-k, whatever the batch and the query set.
+TILE_ROWS, TILE_QUERIES = 2048, 1024
+
+
+def _knn_partition(shared, k: int, dims: int):
+    """mapInArrow body: exact running top-k per query over one task's chunks, tile by
+    tile. ``shared`` is the broadcast (ids, matrix) of one pass of queries."""
 
     def run(batches: Iterable[pa.RecordBatch]):
-        best = _DenseTopK(len(qids), k)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            best.offer_all(ids, _cosine(_vectors(rb, 1, dims), qmat))
-        out = best.batch(qids)
-        if out is not None:
-            yield out
+        qids, qmat = shared.value
+        tiles = [slice(at, at + TILE_QUERIES) for at in range(0, len(qids), TILE_QUERIES)]
+        best = [_DenseTopK(len(qids[t]), k) for t in tiles]
+        for whole in batches:
+            for at in range(0, whole.num_rows, TILE_ROWS):
+                rb = whole.slice(at, TILE_ROWS)
+                ids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                x = _vectors(rb, 1, dims)
+                for tile, top in zip(tiles, best):
+                    top.offer_all(ids, _cosine(x, qmat[tile]))
+        for tile, top in zip(tiles, best):
+            out = top.batch(qids[tile])
+            if out is not None:
+                yield out
 
     return run
 
@@ -205,9 +203,11 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
     over the bound is split again with another hash seed, so each collected
     matrix is proven to hold at most ``max_broadcast_bytes`` of vectors.
     """
-    n_q = queries.count()
+    n_q, n_ids = queries.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
     if n_q == 0:
         return 0, 0, None
+    if n_q != n_ids:
+        raise ValueError("query_id values must be unique and not null")
     dims = queries.select(F.size("query").alias("d")).first()["d"]
     per_pass = max(1, max_broadcast_bytes // (8 * max(dims, 1)))
     preds: list = []
@@ -216,8 +216,6 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
         if n <= per_pass:
             preds.append(pred)
             return
-        if depth > 8:
-            raise ValueError("query_id values must be unique to split the query set into bounded passes")
         parts = math.ceil(2 * n / per_pass)
         for p in range(parts):
             sub = F.pmod(F.xxhash64("query_id", F.lit(depth)), F.lit(parts)) == p
@@ -239,25 +237,9 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
 
 
 def _run_passes(n_pass: int, fetch, build) -> DataFrame | None:
-    """One lazy plan for a single pass; several passes are checkpointed one by one
-    so the driver never holds more than one pass of query vectors."""
-    if n_pass > 1:
-        from quire.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(SparkSession.getActiveSession())
-    parts = []
-    for p in range(n_pass):
-        got = fetch(p)
-        if got is None:
-            continue
-        part = build(*got)
-        parts.append(part if n_pass == 1 else part.checkpoint(eager=True))
-    if not parts:
-        return None
-    local = parts[0]
-    for extra in parts[1:]:
-        local = local.unionByName(extra)
-    return local
+    """One lazy plan, a branch for each pass; a pass's queries go out as a broadcast."""
+    parts = [build(*got) for got in map(fetch, range(n_pass)) if got is not None]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _merge_topk(local: DataFrame, k: int) -> DataFrame:
@@ -285,8 +267,9 @@ def search_batch(
         raise ValueError("top_k must be greater than 0.")
     dims, n_pass, fetch = _query_passes(queries, max_broadcast_bytes)
     vecs = chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding"))
+    share = chunks.sparkSession.sparkContext.broadcast
     local = _run_passes(
-        n_pass, fetch, lambda qids, qmat: vecs.mapInArrow(_knn_partition(qids, qmat, k, dims), KNN_SCHEMA)
+        n_pass, fetch, lambda qids, qmat: vecs.mapInArrow(_knn_partition(share((qids, qmat)), k, dims), KNN_SCHEMA)
     )
     if local is None:
         return chunks.sparkSession.createDataFrame([], "query_id long, rank int, id long, similarity double")
@@ -294,30 +277,30 @@ def search_batch(
 
 
 # Q6
-def rank_results(results: DataFrame, full: bool = False) -> DataFrame:
-    """Rank (1-based), similarity to 4 places, word-cut preview, minute timestamp.
+@F.pandas_udf(T.StringType())
+def shortened(text: pd.Series) -> pd.Series:
+    """White space collapsed; over 340 characters cut after a whole word, or a hyphen
+    within one, and marked (the standard library's rule)."""
+    return text.map(lambda t: None if t is None else textwrap.shorten(t, PREVIEW_WIDTH, placeholder=PREVIEW_PLACEHOLDER))
 
-    ``results`` is a top-k (at most k rows), so the rank is a row number over
-    one small partition; rank a large frame with a partitioned window instead.
 
-    The preview collapses whitespace; longer than 340 characters it keeps the
-    longest whole-word prefix of at most 336 characters plus `` ...``.
+def rank_results(results: DataFrame, full: bool = False, most: int = MOST_RANKED) -> DataFrame:
+    """Rank (1-based), similarity to 4 places, word-cut preview, minute timestamp.
+
+    ``results`` is a top-k; its best ``most`` rows are ranked, so that the rank is a row
+    number over one small partition by construction.
     """
-    w = Window.orderBy(F.desc_nulls_last("similarity"), F.asc("id"))
-    collapsed = F.regexp_replace(F.regexp_replace(F.col("chunk_text"), WS + "+", " "), r"\A | \z", "")
-    cut = F.regexp_extract(F.substring(collapsed, 1, PREVIEW_WIDTH - len(PREVIEW_PLACEHOLDER) + 1), r"(?s)^(.*) ", 1)
-    preview = collapsed if full else F.when(F.length(collapsed) <= PREVIEW_WIDTH, collapsed).otherwise(
-        F.concat(cut, F.lit(PREVIEW_PLACEHOLDER))
-    )
-    return results.select(
-        F.row_number().over(w).alias("rank"),
+    order = [F.desc_nulls_last("similarity"), F.asc("id")]
+    collapsed = F.btrim(F.regexp_replace(F.col("chunk_text"), WS + "+", " "))
+    return results.orderBy(*order).limit(most).select(
+        F.row_number().over(Window.orderBy(*order)).alias("rank"),
         F.format_number(F.col("similarity"), 4).alias("similarity_text"),
         "id",
         "filename",
         "split_strategy",
         "chunk_index",
         F.date_format("created_at", "yyyy-MM-dd HH:mm").alias("created_text"),
-        preview.alias("preview"),
+        (collapsed if full else shortened("chunk_text")).alias("preview"),
     )
 
 
@@ -357,16 +340,23 @@ def index_summary(chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_chunks"),
         F.min(F.size("embedding")).alias("min_dims"),
         F.max(F.size("embedding")).alias("max_dims"),
-        F.min_by(F.left(F.col("chunk_text"), F.lit(42)), F.col("chunk_index") * F.lit(1 << 40) + F.col("id")).alias(
-            "first_preview"
-        ),
+        F.min_by(F.left(F.col("chunk_text"), F.lit(42)), F.struct("chunk_index", "id")).alias("first_preview"),
     )
 
 
 # Q5
-def build_ivf(chunks: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int = 20,
+MIN_CELLS, MAX_CELLS = 16, 65_536
+
+
+def cells_for(n: int) -> int:
+    """The square root of the number of vectors: cells and their size grow alike."""
+    return min(MAX_CELLS, max(MIN_CELLS, math.isqrt(n)))
+
+
+def build_ivf(chunks: DataFrame, n_cells: int | None = None, seed: int = 7, max_iter: int = 20,
               train_fraction: float | None = None):
-    """Train IVF cells with ``pyspark.ml`` KMeans on unit vectors.
+    """Train IVF cells (``cells_for`` the rows unless given) with ``pyspark.ml``
+    KMeans on unit vectors.
 
     ``train_fraction`` trains the centroids on a sample (each KMeans
     iteration is a pass over the training rows); search still scores every
@@ -375,6 +365,7 @@ def build_ivf(chunks: DataFrame, n_cells: int = 16, seed: int = 7, max_iter: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    n_cells = n_cells or cells_for(chunks.count())
     unit = chunks.select(array_to_vector(V.l2_normalize("embedding")).alias("features")).where(
         F.col("features").isNotNull()
     )
@@ -415,7 +406,7 @@ def search_approx(
     chunks: DataFrame,
     queries: DataFrame,
     k: int = DEFAULT_TOP_K,
-    n_cells: int = 16,
+    n_cells: int | None = None,
     n_probe: int = 4,
     model=None,
     max_broadcast_bytes: int = MAX_QUERY_BROADCAST_BYTES,
@@ -469,7 +460,8 @@ def write_ivf_index(chunks: DataFrame, model, root: str) -> None:
             "features", array_to_vector(V.l2_normalize("embedding"))
         ).where(F.col("features").isNotNull())
     ).select("id", "embedding", F.col("cell").cast("int").alias("cell"))
-    celled.repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/vectors")
+    # rebalanced, so that AQE writes a large cell by many tasks
+    celled.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{root}/vectors")
 
 
 def search_ivf_index(spark, root: str, queries: DataFrame, k: int = DEFAULT_TOP_K, n_probe: int = 4,

@@ -7,6 +7,10 @@ driver-side work is parsing a single guarded statement.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +19,7 @@ from quire.functions.text import strip_text
 
 # Fixed values ---------------------------------------------------------------
 DEFAULT_MAX_ROWS = 50
+MOST_ROWS = 1000
 FORBIDDEN_WORDS = (
     "insert", "update", "delete", "drop", "alter", "create", "truncate", "grant", "revoke", "copy", "call", "do",
 )
@@ -24,9 +29,11 @@ SELECT_ONLY = r"(?iu)^(select|with)(?!" + WORDCH + ")"
 SELECT_ONLY_RE2 = r"(?i)^(select|with)([^\pL\pN_]|$)"
 FORBIDDEN_RE2 = r"(?i)(^|[^\pL\pN_])(" + "|".join(FORBIDDEN_WORDS) + r")([^\pL\pN_]|$)"
 FORBIDDEN = r"(?iu)(?<!" + WORDCH + r")(" + "|".join(FORBIDDEN_WORDS) + r")(?!" + WORDCH + ")"
-# Spark-specific: functions that call arbitrary JVM methods. The reference
-# relies on a read-only database role; in Spark the tool itself refuses them.
-UNSAFE_FUNCTIONS = r"(?i)(?<![\p{L}\p{N}_])(reflect|java_method|try_reflect)\s*\("
+# Spark expressions that call arbitrary JVM methods (whatever name they go by), and the
+# leaves a plan may have beside the listed views.
+SQL_ON_FILES = "spark.sql.runSQLOnFiles"
+UNSAFE_EXPRESSIONS = ("CallMethodViaReflection", "TryReflect")
+PLAN_LEAVES = ("OneRowRelation", "OneRowRelation$", "LocalRelation", "CTERelationRef", "UnionLoopRef")
 MSG_EMPTY = "No SQL query was provided."
 MSG_NOT_SELECT = "Only SELECT queries are permitted. This tool is read-only."
 MSG_MULTI = "Multiple statements are not permitted. Send a single SELECT."
@@ -134,12 +141,15 @@ def json_value(col: str, dtype: T.DataType) -> Column:
 
 
 def rows_to_json(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """One-row envelope ``(error, row_count, columns, rows)``; ``rows`` is a
-    JSON array of objects keeping every column and nulls. The row cap is the
-    feature (the tool's hard cap), so at most ``max_rows`` rows are gathered."""
+    """One-row envelope ``(error, row_count, columns, rows, truncated)``; ``columns``
+    and ``rows`` are JSON arrays, a row keeping every column and nulls. The row cap is
+    the tool's contract (50, MOST_ROWS at most, as all rows become one string);
+    ``truncated`` tells whether there were more."""
     n = int(max_rows or DEFAULT_MAX_ROWS)
     if n <= 0:
         n = DEFAULT_MAX_ROWS
+    if n > MOST_ROWS:
+        raise ValueError(f"max_rows must not be greater than {MOST_ROWS}.")
     fields = df.schema.fields
     names = [f.name for f in fields]
     # duplicate names: every name stays in ``columns``, the last value wins in ``rows``
@@ -150,32 +160,29 @@ def rows_to_json(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     obj = F.to_json(
         F.struct(*[json_value(pos[i], fields[i].dataType).alias(names[i]) for i in kept]), {"ignoreNullFields": "false"}
     )
-    capped = df.limit(n).select(F.monotonically_increasing_id().alias("__ord"), obj.alias("__json"))
-    cols_json = "[" + ",".join('"' + c.replace('"', '\\"') + '"' for c in names) + "]"
-    return capped.agg(
+    capped = df.limit(n + 1).select(F.monotonically_increasing_id().alias("__ord"), obj.alias("__json"))
+    cols_json = json.dumps(names, ensure_ascii=False, separators=(",", ":"))
+    held = capped.agg(F.array_sort(F.collect_list(F.struct("__ord", "__json"))).alias("__rows"))
+    shown = F.slice(F.transform("__rows", lambda s: s["__json"]), 1, n)
+    return held.select(
         F.lit(None).cast("string").alias("error"),
-        F.count(F.lit(1)).cast("int").alias("row_count"),
+        F.least(F.size("__rows"), F.lit(n)).alias("row_count"),
         F.lit(cols_json).alias("columns"),
-        F.concat(
-            F.lit("["),
-            F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__ord", "__json"))), lambda s: s["__json"]), ","), F.lit("")),
-            F.lit("]"),
-        ).alias("rows"),
+        F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]")).alias("rows"),
+        (F.size("__rows") > n).alias("truncated"),
     )
 
 
+ENVELOPE = "error string, row_count int, columns string, rows string, truncated boolean"
+
+
 def error_envelope(spark: SparkSession, message: str) -> DataFrame:
     return spark.createDataFrame(
-        [(message, 0, None, "[]")], "error string, row_count int, columns string, rows string"
+        [(message, 0, None, "[]", False)], ENVELOPE
     )
 
 
 # A11
-def missing_columns(df: DataFrame, expected: list[str]) -> list[str]:
-    have = set(df.columns)
-    return [c for c in expected if c not in have]
-
-
 def required_columns(result: DataFrame, expected: list[str]) -> DataFrame:
     """Per expected column: present in the result, and how many rows carry a
     value for it (one aggregation pass over the result)."""
@@ -194,37 +201,75 @@ def required_columns(result: DataFrame, expected: list[str]) -> DataFrame:
 
 
 # A8
-def run_select(spark: SparkSession, query: str, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    """Guard, plan with Spark SQL over the registered views, encode. Never
-    raises: a refusal or failure becomes an error envelope."""
-    q, refusal = guard_select(query)
-    refusal = refusal or _spark_refusal(q)
-    if refusal:
-        return error_envelope(spark, refusal)
-    try:
-        df = spark.sql(q)
-        df.schema  # analysis errors surface here
-    except Exception as exc:  # noqa: BLE001 - any engine error becomes data
-        return error_envelope(spark, f"SQL execution failed: {redact_message(str(exc), type(exc).__name__)}")
-    return rows_to_json(df, max_rows)
+class Refused(PermissionError):
+    """A statement that reaches for more than the listed views."""
 
 
-def _spark_refusal(q: str) -> str | None:
-    import regex
+def _seq(jvm_seq) -> list:
+    return [jvm_seq.apply(i) for i in range(jvm_seq.size())]
+
+
+def _class(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _check_expression(e) -> None:
+    if _class(e) in UNSAFE_EXPRESSIONS:
+        raise Refused(f"The function '{e.prettyName().upper()}' is not permitted. This tool is read-only.")
+    for child in _seq(e.children()):
+        _check_expression(child)
 
-    m = regex.search(UNSAFE_FUNCTIONS, q)
-    if m:
-        return f"The function '{m.group(1).upper()}' is not permitted. This tool is read-only."
-    return None
 
+def _check_plan(plan, views: set[str]) -> None:
+    """Walk an analysed plan: its leaves are the listed views, constants and references
+    to its own common tables; no expression calls into the JVM."""
+    kind = _class(plan)
+    if kind == "View":
+        name = plan.desc().identifier().table()
+        if not plan.isTempView() or name.lower() not in views:
+            raise Refused(f"The table '{name}' is not available.")
+        return  # what a listed view reads is its owner's matter
+    if kind not in PLAN_LEAVES and plan.children().isEmpty():
+        raise Refused("Only the listed views are available.")
+    for e in _seq(plan.expressions()):
+        _check_expression(e)
+    for inner in (*_seq(plan.children()), *_seq(plan.subqueries())):
+        _check_plan(inner, views)
 
-def guarded_sql(spark: SparkSession, query: str) -> DataFrame:
-    """The result of a guarded statement as a DataFrame (raises on refusal)."""
+
+def guarded_sql(spark: SparkSession, query: str, views: Iterable[str] | None = None) -> DataFrame:
+    """The result of one guarded statement over ``views`` (default: all temporary views
+    of the session). Raises ``Refused``; nothing is run, and no file is opened, before
+    the plan is checked: file paths are no tables here."""
     q, refusal = guard_select(query)
-    refusal = refusal or _spark_refusal(q)
     if refusal:
-        raise PermissionError(refusal)
-    return spark.sql(q)
+        raise Refused(refusal)
+    if views is None:
+        views = [t.name for t in spark.catalog.listTables() if t.isTemporary]
+    before = spark.conf.get(SQL_ON_FILES, "true")
+    spark.conf.set(SQL_ON_FILES, "false")
+    try:
+        df = spark.sql(q)
+    except AnalysisException as exc:
+        if exc.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":
+            raise Refused("Only the listed views are available.") from exc
+        raise
+    finally:
+        spark.conf.set(SQL_ON_FILES, before)
+    _check_plan(df._jdf.queryExecution().analyzed(), {v.lower() for v in views})
+    return df
+
+
+def run_select(spark: SparkSession, query: str, max_rows: int = DEFAULT_MAX_ROWS, views: Iterable[str] | None = None) -> DataFrame:
+    """Guard, analyse, check the plan, run and encode at most ``max_rows`` rows. Never
+    raises: a refusal or a failure, at run time too, becomes an error envelope."""
+    try:
+        rows = rows_to_json(guarded_sql(spark, query, views), max_rows).collect()
+        return spark.createDataFrame(rows, ENVELOPE)
+    except Refused as exc:
+        return error_envelope(spark, str(exc))
+    except Exception as exc:  # noqa: BLE001 - any engine error becomes data
+        return error_envelope(spark, f"SQL execution failed: {redact_message(str(exc), type(exc).__name__)}")
 
 
 # A1
@@ -280,85 +325,54 @@ def _customer_profiles(tickets: DataFrame) -> DataFrame:
     """Pre-aggregate tickets per customer (map-side partial aggregation), so
     the lookup joins requests to one row per customer, not to every ticket."""
     t = derive_urgency(tickets)
-    key = F.col("urgency_rank").cast("long") * F.lit(10**12) + F.col("id").cast("long")
+    first = F.struct("urgency_rank", "id")
     return t.groupBy(F.lower("email").alias("email_lc"), F.lower("customer_name").alias("name_lc")).agg(
         F.count(F.lit(1)).alias("n_records"),
-        F.min("urgency_rank").alias("best_rank"),
-        F.min_by("category", key).alias("classification"),
-        F.min_by("email", key).alias("email"),
-        F.min_by("id", key).alias("top_id"),
+        F.min(first).alias("best"),
+        F.min_by("category", first).alias("classification"),
+        F.min_by("email", first).alias("email"),
     )
 
 
-def _rank_key() -> Column:
-    return F.col("best_rank").cast("long") * F.lit(10**12) + F.col("top_id").cast("long")
+def _per_key(prof: DataFrame, key: str) -> DataFrame:
+    """One row for each lookup key, however many customers share it."""
+    return prof.groupBy(F.col(key).alias("__key")).agg(
+        F.count_distinct("email").alias("n_customers"),
+        F.sum("n_records").alias("n_records"),
+        F.min_by("classification", "best").alias("classification"),
+        F.min("best")["urgency_rank"].alias("__rank"),
+        F.min("email").alias("email"),
+    )
 
 
 def ticket_lookup(requests: DataFrame, tickets: DataFrame, term: str = "term") -> DataFrame:
     """Case-insensitive exact match on name or e-mail; unmatched requests get
     one broader try on the first name only; the rest are not found.
 
-    One equi-join and one aggregation: every request is probed twice - with
-    its whole term (level 0) and with its first word (level 1) - against one
-    lookup table holding per-customer rows keyed by e-mail and by name
-    (level 0) and per-first-name aggregates (level 1). Tickets are
-    pre-aggregated per customer before anything is joined.
-    """
+    Both sides of each join have one row a key: exact keys (e-mail or name; a customer
+    whose name is its e-mail counts once) and first names. The first-name join sees only
+    unmatched requests; matched ones carry keys that meet nothing, spread by hash."""
     prof = _customer_profiles(tickets)
-    exact_side = prof.select(
-        F.explode(F.array("email_lc", "name_lc")).alias("__k"), F.lit(0).alias("__lvl"), "email", "n_records",
-        "best_rank", "classification", "top_id",
-    )
-    firsts = prof.withColumn("first_lc", F.split("name_lc", " ").getItem(0)).groupBy("first_lc").agg(
-        F.count_distinct("email").alias("n_cust"),
-        F.sum("n_records").alias("n_records"),
-        F.min_by("classification", _rank_key()).alias("classification"),
-        F.min("best_rank").alias("best_rank"),
-    )
-    first_side = firsts.select(
-        F.col("first_lc").alias("__k"), F.lit(1).alias("__lvl"), "n_cust", "n_records", "best_rank", "classification"
-    )
-    lookup = exact_side.unionByName(first_side, allowMissingColumns=True)
-    keys = list(requests.columns)
-    t = F.lower(strip_text(F.col(term)))
-    probes = requests.select(
-        *keys,
-        F.explode(F.array(
-            F.struct(t.alias("probe"), F.lit(0).alias("lvl")),
-            F.struct(F.split(t, " ").getItem(0).alias("probe"), F.lit(1).alias("lvl")),
-        )).alias("__p"),
-    )
-    j = probes.join(lookup, (F.col("__p.probe") == F.col("__k")) & (F.col("__p.lvl") == F.col("__lvl")), "left")
-    lv0 = F.col("__lvl") == 0
-    lv1 = F.col("__lvl") == 1
-    agg = j.groupBy(*keys).agg(
-        F.count_distinct(F.when(lv0, F.col("email"))).alias("n0c"),
-        F.sum(F.when(lv0, F.col("n_records"))).alias("n0r"),
-        F.min_by(F.when(lv0, F.col("classification")), F.when(lv0, _rank_key())).alias("c0"),
-        F.min(F.when(lv0, F.col("best_rank"))).alias("r0"),
-        F.min(F.when(lv0, F.col("email"))).alias("e0"),
-        F.max(F.when(lv1, F.col("n_cust"))).alias("n1c"),
-        F.max(F.when(lv1, F.col("n_records"))).alias("n1r"),
-        F.max(F.when(lv1, F.col("classification"))).alias("c1"),
-        F.max(F.when(lv1, F.col("best_rank"))).alias("r1"),
-        F.max(lv1.cast("int")).alias("has1"),
-    )
-    exact = F.coalesce(F.col("n0r"), F.lit(0)) > 0
-    first = F.coalesce(F.col("has1"), F.lit(0)) == 1
-    rank_names = ["Critical", "High", "Medium", "Low"]
-    best = F.when(exact, F.col("r0")).when(first, F.col("r1"))
-    out = agg.select(
+    exact = _per_key(prof.withColumn("__k", F.explode(F.array_distinct(F.array("email_lc", "name_lc")))), "__k")
+    firsts = _per_key(prof.withColumn("__k", F.split("name_lc", " ").getItem(0)), "__k")
+    keys = [F.col(f"r.{c}") for c in requests.columns]
+    t = F.lower(strip_text(F.col(f"r.{term}")))
+    one = requests.alias("r").join(exact.alias("x"), t == F.col("x.__key"), "left")
+    missed = F.col("x.__key").isNull()
+    word = F.when(missed, F.split(t, " ").getItem(0)).otherwise(F.concat(F.lit("\u0000"), F.xxhash64(t).cast("string")))
+    both = one.join(firsts.alias("f"), word == F.col("f.__key"), "left")
+    got = lambda c: F.when(~missed, F.col(f"x.{c}")).otherwise(F.col(f"f.{c}"))
+    rank_names = F.array(*[F.lit(x) for x in URGENCY_RANK])
+    return both.select(
         *keys,
-        F.when(exact, "exact").when(first, "first_name").otherwise("none").alias("match_kind"),
-        F.when(exact, F.col("n0c")).when(first, F.col("n1c")).otherwise(F.lit(0)).cast("long").alias("n_customers"),
-        F.when(exact, F.col("n0r")).when(first, F.col("n1r")).otherwise(F.lit(0)).cast("long").alias("n_records"),
-        F.when(exact, F.col("c0")).when(first, F.col("c1")).alias("classification"),
-        F.when(exact & (F.col("n0c") == 1), F.col("e0")).alias("email"),
-        best.alias("__best"),
+        F.when(~missed, "exact").when(F.col("f.__key").isNotNull(), "first_name").otherwise("none").alias("match_kind"),
+        F.coalesce(got("n_customers"), F.lit(0)).cast("long").alias("n_customers"),
+        F.coalesce(got("n_records"), F.lit(0)).cast("long").alias("n_records"),
+        got("classification").alias("classification"),
+        F.when(~missed & (F.col("x.n_customers") == 1), F.col("x.email")).alias("email"),
+        (F.coalesce(got("n_records"), F.lit(0)) > 0).alias("found"),
+        F.when(~missed | F.col("f.__key").isNotNull(), F.element_at(rank_names, got("__rank") + 1)).alias("urgency"),
     )
-    return out.withColumn("found", F.col("n_records") > 0).withColumn(
-        "urgency", F.when(F.col("__best").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in rank_names]), F.col("__best") + 1))
-    ).drop("__best")
 
 
 # A5
@@ -381,7 +395,8 @@ def lookup_verdict(lookups: DataFrame) -> DataFrame:
 
 # A10
 def reconcile(expected: DataFrame, actual: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Row-by-row comparison: one output row per differing (key, column)."""
+    """Row-by-row comparison: one output row per differing (key, column). A missing or
+    extra row whose compared values are all null gives one row with a null column."""
     e = expected.select(key, *[F.col(c).cast("string").alias(f"e__{c}") for c in columns], F.lit(True).alias("e__"))
     a = actual.select(key, *[F.col(c).cast("string").alias(f"a__{c}") for c in columns], F.lit(True).alias("a__"))
     j = e.join(a, key, "full_outer")
@@ -397,5 +412,9 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str, columns: list[st
     rowstate = (
         F.when(F.col("a__").isNull(), "missing_row").when(F.col("e__").isNull(), "extra_row").otherwise("differs")
     )
-    out = j.select(key, rowstate.alias("kind"), F.explode(cells).alias("c")).where(~F.col("c.same"))
+    found = F.filter(cells, lambda c: ~c["same"])
+    none = F.lit(None).cast("string")
+    nothing = F.array(F.struct(none.alias("column"), none.alias("expected"), none.alias("actual"), F.lit(False).alias("same")))
+    found = F.when((F.size(found) == 0) & (rowstate != "differs"), nothing).otherwise(found)
+    out = j.select(key, rowstate.alias("kind"), F.explode(found).alias("c"))
     return out.select(key, "kind", "c.column", "c.expected", "c.actual")

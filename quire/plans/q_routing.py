@@ -99,7 +99,7 @@ def email_gate(spark, sf_dir):
     return messages(spark, sf_dir).select("session_id", "turn", G.email_gate(_instructions()).alias("send"))
 
 
-_EREQ = f"""SELECT session_id * 100 + turn AS request_id, session_id, turn, message AS body, {_INSTR} AS instructions,
+_EREQ = f"""SELECT session_id || ':' || turn AS request_id, session_id, turn, message AS body, {_INSTR} AS instructions,
   CASE turn % 5 WHEN 0 THEN 'user' || session_id || '@example.com' WHEN 1 THEN 'Customer ' || session_id
        WHEN 2 THEN '' WHEN 3 THEN 'user' || session_id || '@example.com' ELSE '  USER@Example.org  ' END AS to_email,
   CASE WHEN turn % 3 = 0 THEN NULL ELSE 'Update on your request (ticket #' || session_id || ')' END AS subject,
@@ -120,7 +120,7 @@ def email_requests(spark, sf_dir):
         .otherwise(F.lit("  USER@Example.org  "))
     )
     return m.select(
-        (F.col("session_id") * 100 + F.col("turn")).alias("request_id"), "session_id", "turn",
+        F.concat_ws(":", "session_id", "turn").alias("request_id"), "session_id", "turn",
         F.col("message").alias("body"), _instructions().alias("instructions"), to.alias("to_email"),
         F.when(F.col("turn") % 3 == 0, F.lit(None).cast("string")).otherwise(
             F.concat(F.lit("Update on your request (ticket #"), sid, F.lit(")"))

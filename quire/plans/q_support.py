@@ -35,13 +35,26 @@ def ticket_counts(spark, sf_dir):
     return U.ticket_counts(tickets(spark, sf_dir))
 
 
+# Each ticket comes with a message that its event's properties and number spell out.
+_DESC = """t.id || ' ' || e.props || CASE t.id % 6 WHEN 0 THEN ' we had DATA LOSS' WHEN 1 THEN ' my account is Suspended'
+     WHEN 2 THEN ' we lost all data' WHEN 3 THEN ' the service is slow' ELSE '' END"""
+
+
 @register(
     "derive_urgency",
-    f"""{_T}, u AS (SELECT id, category, priority, status, {_URG} AS urgency FROM t)
+    f"""{_T}, d AS (SELECT t.*, lower({_DESC}) AS m FROM t JOIN events e ON e.event_id = t.id),
+u AS (SELECT id, category, priority, status, CASE
+     WHEN regexp_matches(m, 'data loss|lost data|lost all data|breach|hacked|outage|down for everyone|service down') THEN 'Critical'
+     WHEN status = 'Closed' THEN 'Low'
+     WHEN category IN ('Login Issue', 'Account Access') OR priority = 'High' OR contains(m, 'suspend') THEN 'High'
+     WHEN category IN ('Billing', 'Subscription') THEN 'Medium' ELSE 'Low' END AS urgency FROM d)
 SELECT id, category, priority, status, urgency, {_RANK} AS urgency_rank FROM u""",
 )
 def derive_urgency(spark, sf_dir):
-    return U.derive_urgency(tickets(spark, sf_dir)).select("id", "category", "priority", "status", "urgency", "urgency_rank")
+    said = F.element_at(F.array(*map(F.lit, (" we had DATA LOSS", " my account is Suspended", " we lost all data", " the service is slow", "", ""))), (F.col("id") % 6 + 1).cast("int"))
+    events = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "props")
+    t = tickets(spark, sf_dir).join(events, "id").withColumn("description", F.concat(F.col("id").cast("string"), F.lit(" "), F.col("props"), said))
+    return U.derive_urgency(t, "description").select("id", "category", "priority", "status", "urgency", "urgency_rank")
 
 
 @register(
@@ -53,7 +66,7 @@ def triage_order(spark, sf_dir):
     return U.triage_order(tickets(spark, sf_dir)).select("id", "status", "urgency", "urgency_rank")
 
 
-_REQ_SQL = """SELECT conv_id * 100 + turn AS request_id,
+_REQ_SQL = """SELECT conv_id || ':' || turn AS request_id,
   CASE (conv_id + turn) % 4
     WHEN 0 THEN 'USER' || (conv_id % 200) || '@EXAMPLE.COM'
     WHEN 1 THEN 'customer ' || (conv_id % 200)
@@ -72,28 +85,26 @@ def lookup_requests(spark, sf_dir):
         .when(v == 2, F.concat(F.lit("Customer "), k, F.lit(" Jr")))
         .otherwise(F.concat(F.lit("alice"), F.col("conv_id").cast("string"), F.lit("@example.com")))
     )
-    return conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("request_id"), term.alias("term"))
+    return conv.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), term.alias("term"))
 
 
 _LOOKUP_SQL = f"""{_T},
 u AS (SELECT *, {_URG} AS urgency FROM t),
 r AS (SELECT *, {_RANK} AS rnk FROM u),
 prof AS (SELECT lower(email) AS email_lc, lower(customer_name) AS name_lc, count(*) AS n_records, min(rnk) AS best_rank,
-                arg_min(category, rnk::BIGINT * 1000000000000 + id) AS classification,
-                arg_min(email, rnk::BIGINT * 1000000000000 + id) AS email,
-                arg_min(id, rnk::BIGINT * 1000000000000 + id) AS top_id
+                first(category ORDER BY rnk, id) AS classification, first(email ORDER BY rnk, id) AS email,
+                first(id ORDER BY rnk, id) AS top_id
          FROM r GROUP BY 1, 2),
 req AS ({_REQ_SQL}),
-ex AS (SELECT req.request_id, req.term, p.* FROM req JOIN prof p ON lower({O.strip('req.term')}) = p.email_lc
-       UNION ALL
-       SELECT req.request_id, req.term, p.* FROM req JOIN prof p ON lower({O.strip('req.term')}) = p.name_lc),
+ex AS (SELECT req.request_id, req.term, p.* FROM req JOIN prof p
+       ON lower({O.strip('req.term')}) = p.email_lc OR lower({O.strip('req.term')}) = p.name_lc),
 exa AS (SELECT request_id, term, 'exact' AS match_kind, count(DISTINCT email) AS n_customers, CAST(sum(n_records) AS BIGINT) AS n_records,
-               arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank,
+               first(classification ORDER BY best_rank, top_id) AS classification, min(best_rank) AS best_rank,
                CASE WHEN count(DISTINCT email) = 1 THEN min(email) END AS email
         FROM ex GROUP BY request_id, term),
 missed AS (SELECT * FROM req WHERE request_id NOT IN (SELECT request_id FROM exa)),
 firsts AS (SELECT split_part(name_lc, ' ', 1) AS first_lc, count(DISTINCT email) AS n_customers, CAST(sum(n_records) AS BIGINT) AS n_records,
-                  arg_min(classification, best_rank::BIGINT * 1000000000000 + top_id) AS classification, min(best_rank) AS best_rank
+                  first(classification ORDER BY best_rank, top_id) AS classification, min(best_rank) AS best_rank
            FROM prof GROUP BY 1),
 br AS (SELECT m.request_id, m.term, CASE WHEN f.first_lc IS NOT NULL THEN 'first_name' ELSE 'none' END AS match_kind,
               coalesce(f.n_customers, 0) AS n_customers, coalesce(f.n_records, 0) AS n_records, f.classification, f.best_rank,
@@ -138,8 +149,8 @@ _GUARD_Q_SQL = """SELECT conv_id, turn, CASE (conv_id + turn) % 6
     WHEN 1 THEN '  with x AS (SELECT 1) SELECT * FROM x WHERE y = ' || '''' || replace(text, '''', '''''') || ''';'
     WHEN 2 THEN 'SELECT 1; SELECT ' || '''' || replace(text, '''', '''''') || ''''
     WHEN 3 THEN 'DELETE FROM support_requests WHERE note = ' || '''' || replace(text, '''', '''''') || ''''
-    WHEN 4 THEN text ELSE '   ' END AS query
-FROM conversations"""
+    WHEN 4 THEN text ELSE 'with ' || text END AS query
+FROM conversations UNION ALL SELECT DISTINCT conv_id, -1, CASE conv_id % 2 WHEN 0 THEN '   ' ELSE ' ;; ' END FROM conversations"""
 
 
 def guard_queries(spark, sf_dir):
@@ -152,9 +163,11 @@ def guard_queries(spark, sf_dir):
         .when(v == 2, F.concat(F.lit("SELECT 1; SELECT "), quoted))
         .when(v == 3, F.concat(F.lit("DELETE FROM support_requests WHERE note = "), quoted))
         .when(v == 4, F.col("text"))
-        .otherwise(F.lit("   "))
+        .otherwise(F.concat(F.lit("with "), F.col("text")))
     )
-    return conv.select("conv_id", "turn", q.alias("query"))
+    blank = F.when(F.col("conv_id") % 2 == 0, "   ").otherwise(" ;; ")
+    blanks = conv.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), blank.alias("query"))
+    return conv.select("conv_id", "turn", q.alias("query")).unionByName(blanks)
 
 
 def _guard_sql_expr(x: str) -> str:
@@ -194,7 +207,8 @@ def _ts_text(c: str) -> str:
 SELECT NULL::VARCHAR AS error, CAST(count(*) AS INTEGER) AS row_count,
   '["id","customer_name","email","category","priority","status","created_at"]' AS columns,
   '[' || coalesce(string_agg(to_json({{'id': id, 'customer_name': customer_name, 'email': email, 'category': category,
-        'priority': priority, 'status': status, 'created_at': {_ts_text('created_at')}}}), ',' ORDER BY id), '') || ']' AS rows
+        'priority': priority, 'status': status, 'created_at': {_ts_text('created_at')}}}), ',' ORDER BY id), '') || ']' AS rows,
+  (SELECT count(*) FROM t WHERE status ILIKE 'open') < 0 AS truncated
 FROM r""",
 )
 def run_select(spark, sf_dir):
@@ -203,23 +217,61 @@ def run_select(spark, sf_dir):
     return U.run_select(spark, _OPEN_Q)
 
 
+# One statement for each kind of outcome, about the ticket counts of each category.
+TOOL_CASES = {
+    "success": "SELECT category, count(*) AS n FROM support_requests GROUP BY category ORDER BY category",
+    "capped": "SELECT id FROM support_requests ORDER BY id",
+    "with": "WITH x AS (SELECT status, count(*) AS n FROM support_requests GROUP BY status) SELECT * FROM x ORDER BY status",
+    "path": "SELECT * FROM text.`/etc/hostname`",
+    "quoted": "SELECT `reflect`('java.lang.System', 'currentTimeMillis') AS t FROM support_requests",
+    "commented": "SELECT java_method/**/('java.lang.Math', 'abs', -1) AS t",
+    "nested": "SELECT id FROM support_requests WHERE id IN (SELECT count(*) FROM parquet.`/etc`)",
+    "zero": "SELECT id / (id - id) AS x FROM support_requests",
+    "cast": "SELECT CAST(email AS INT) AS x FROM support_requests",
+    "delete": "DELETE FROM support_requests",
+    "two": "SELECT 1; SELECT 2",
+}
+
+
+@register(
+    "run_select_cases",
+    f"""{_T}, c AS (SELECT category, count(*) AS n FROM t GROUP BY 1), st AS (SELECT status, count(*) AS n FROM t GROUP BY 1)
+SELECT 'success' AS name, 'rows' AS outcome, count(*)::INTEGER AS row_count,
+       '[' || string_agg(to_json({{'category': category, 'n': n}}), ',' ORDER BY category) || ']' AS rows, FALSE AS truncated FROM c
+UNION ALL SELECT 'with', 'rows', count(*)::INTEGER, '[' || string_agg(to_json({{'status': status, 'n': n}}), ',' ORDER BY status) || ']', FALSE FROM st
+UNION ALL SELECT 'capped', 'rows', 50, '[' || string_agg(to_json({{'id': id}}), ',' ORDER BY id) || ']', TRUE FROM (SELECT id FROM t ORDER BY id LIMIT 50)
+UNION ALL SELECT unnest(['path', 'quoted', 'commented', 'nested', 'delete', 'two']), 'refused', 0, '[]', FALSE
+UNION ALL SELECT unnest(['zero', 'cast']), 'failed', 0, '[]', FALSE""",
+)
+def run_select_cases(spark, sf_dir):
+    """The SQL tool's contract: rows, refusals and failures, all as data."""
+    tickets(spark, sf_dir).createOrReplaceTempView("support_requests")
+    out = None
+    for name, statement in TOOL_CASES.items():
+        e = U.run_select(spark, statement, views=["support_requests"])
+        outcome = F.when(F.col("error").isNull(), "rows").when(F.col("error").startswith("SQL execution failed:"), "failed").otherwise("refused")
+        one = e.select(F.lit(name).alias("name"), outcome.alias("outcome"), "row_count", "rows", "truncated")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @register(
     "rows_to_json",
-    f"""{_T}, r AS (SELECT id, email, status, created_at FROM t WHERE category = 'Billing' ORDER BY created_at DESC, id LIMIT 50)
+    f"""{_T}, r AS (SELECT id, email, status, created_at FROM t ORDER BY created_at DESC, id LIMIT 50)
 SELECT NULL::VARCHAR AS error, CAST(count(*) AS INTEGER) AS row_count, '["id","email","status","created_at"]' AS columns,
   '[' || coalesce(string_agg(to_json({{'id': id, 'email': email, 'status': status, 'created_at': {_ts_text('created_at')}}}), ','
-        ORDER BY created_at DESC, id), '') || ']' AS rows
+        ORDER BY created_at DESC, id), '') || ']' AS rows, (SELECT count(*) FROM t) > 50 AS truncated
 FROM r""",
 )
 def rows_to_json(spark, sf_dir):
-    t = tickets(spark, sf_dir).where(F.col("category") == "Billing").orderBy(F.desc("created_at"), "id")
+    t = tickets(spark, sf_dir).orderBy(F.desc("created_at"), "id")
     return U.rows_to_json(t.select("id", "email", "status", "created_at"), 50)
 
 
 @register(
     "redact_error",
-    f"""WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'could not connect to server at ' || url
-                                   WHEN 1 THEN html ELSE '   ' END AS message FROM pages),
+    f"""WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'could not connect to server at ' || url || html
+                                   WHEN 1 THEN replace(html, '://', ' ') ELSE CASE WHEN contains(html, url) THEN html ELSE '   ' END END AS message FROM pages),
 s AS (SELECT page_id, {O.strip("coalesce(message, '')")} AS m FROM m),
 c AS (SELECT page_id, CASE WHEN m = '' THEN 'OperationalError' ELSE m END AS m FROM s)
 SELECT page_id, CASE WHEN contains(m, '://') THEN 'OperationalError (details withheld: may contain credentials)'
@@ -228,9 +280,10 @@ SELECT page_id, CASE WHEN contains(m, '://') THEN 'OperationalError (details wit
 def redact_error(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages")
     v = F.col("page_id") % 3
-    msg = F.when(v == 0, F.concat(F.lit("could not connect to server at "), F.col("url"))).when(v == 1, F.col("html")).otherwise(
-        F.lit("   ")
-    )
+    # the third kind: a page that names its own address, else one with nothing to say
+    own = F.when(F.contains("html", "url"), F.col("html")).otherwise(F.lit("   "))
+    plain = F.replace(F.col("html"), F.lit("://"), F.lit(" "))
+    msg = F.when(v == 0, F.concat(F.lit("could not connect to server at "), F.col("url"), F.col("html"))).when(v == 1, plain).otherwise(own)
     return pages.select("page_id", U.redact_column(msg, F.lit("OperationalError")).alias("redacted"))
 
 
@@ -239,7 +292,8 @@ _REC_COLS = ["customer_name", "email", "category", "priority", "status"]
 
 @register(
     "reconcile",
-    f"""{_T},
+    f"""WITH t0 AS ({O.tickets()}),
+t AS (SELECT id, {', '.join(f"CASE WHEN id % 26 <> 0 THEN {c} END AS {c}" for c in _REC_COLS)} FROM t0),
 a AS (SELECT id, customer_name, CASE WHEN id % 7 = 0 THEN NULL ELSE email END AS email,
              CASE WHEN id % 11 = 0 THEN 'Technical Support' ELSE category END AS category, priority, status
       FROM t WHERE id % 13 <> 0),
@@ -247,10 +301,14 @@ j AS (SELECT coalesce(t.id, a.id) AS id,
              CASE WHEN a.id IS NULL THEN 'missing_row' WHEN t.id IS NULL THEN 'extra_row' ELSE 'differs' END AS kind,
              {', '.join(f't.{c} AS e_{c}, a.{c} AS a_{c}' for c in _REC_COLS)}
       FROM t FULL OUTER JOIN a ON t.id = a.id)
-{' UNION ALL '.join(f"SELECT id, kind, '{c}' AS column, e_{c} AS expected, a_{c} AS actual FROM j WHERE e_{c} IS DISTINCT FROM a_{c}" for c in _REC_COLS)}""",
+{' UNION ALL '.join(f"SELECT id, kind, '{c}' AS column, e_{c} AS expected, a_{c} AS actual FROM j WHERE e_{c} IS DISTINCT FROM a_{c}" for c in _REC_COLS)}
+UNION ALL SELECT id, kind, NULL, NULL, NULL FROM j
+WHERE kind <> 'differs' AND coalesce({', '.join(f'e_{c}, a_{c}' for c in _REC_COLS)}) IS NULL""",
 )
 def reconcile(spark, sf_dir):
+    """Expected rows whose number 26 divides hold nulls only, and are missing below."""
     t = tickets(spark, sf_dir)
+    t = t.select("id", *[F.when(F.col("id") % 26 != 0, F.col(c)).alias(c) for c in _REC_COLS])
     actual = t.where(F.col("id") % 13 != 0).select(
         "id", "customer_name",
         F.when(F.col("id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.col("email")).alias("email"),
@@ -294,7 +352,7 @@ def _flow_sql() -> str:
         ELSE FALSE END AS needs_lookup) nl
   JOIN LATERAL (SELECT p0.*, nl.needs_lookup) p ON TRUE
   LEFT JOIN ({_ROUTES}) rt ON p.route_intent = rt.intent AND p.needs_lookup = rt.needs_lookup"""
-    req = f"SELECT session_id * 100 + turn AS request_id, coalesce(session_subject, '') AS term FROM ({routed}) WHERE runs_sql"
+    req = f"SELECT session_id || ':' || turn AS request_id, coalesce(session_subject, '') AS term FROM ({routed}) WHERE runs_sql"
     body = _LOOKUP_SQL.replace(f"req AS ({_REQ_SQL})", f"req AS ({req})")
     from quire.plans.q_routing import _validate_sql
 
@@ -304,7 +362,7 @@ j AS (SELECT f.*, res.found AS lookup_found, res.match_kind AS lookup_match, res
              coalesce(nullif(regexp_extract(f.message, {O.q(_EMAIL_FIND_RE2)}, 0), ''), res.email) AS to_email,
              CASE WHEN res.classification IS NOT NULL THEN 'Update on your ' || res.classification || ' request' END AS mail_subject,
              f.message AS body, 'support@example.com' AS sender, 'app-password' AS password
-      FROM flow f LEFT JOIN res ON res.request_id = f.session_id * 100 + f.turn),
+      FROM flow f LEFT JOIN res ON res.request_id = f.session_id || ':' || f.turn),
 v AS (SELECT session_id, turn, session_subject, route_intent, predicted, needs_lookup, runs_analysis, runs_sql,
              runs_response, runs_gmail, lookup_found, lookup_match, lookup_urgency, {_validate_sql('mail_subject')} FROM j)
 SELECT session_id, turn, session_subject, route_intent, predicted, needs_lookup, runs_analysis, runs_sql,

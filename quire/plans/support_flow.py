@@ -14,29 +14,24 @@ from pyspark.sql import functions as F
 from quire.operators import routing as G
 from quire.operators import support as U
 
-# Fixed configuration of the sending account (the reference binds these to
-# operator-controlled variables; the agent never sets them).
-SENDER = "support@example.com"
-APP_PASSWORD = "app-password"
-
-
-def support_flow(messages: DataFrame, tickets: DataFrame) -> DataFrame:
+def support_flow(messages: DataFrame, tickets: DataFrame, mail_configured: bool = True) -> DataFrame:
     """Routes on the given ``intent`` when the messages carry one (the
     decision of the reference's model), otherwise on the rule baseline; the
-    baseline's ``predicted`` intent is always reported beside it."""
+    baseline's ``predicted`` intent is always reported beside it. A message is known by
+    (session_id, turn). ``mail_configured``: whether the sending account is set up (its
+    credentials are the sender's matter and never enter the plan)."""
     m = G.carry_subject(messages)
     m = m.withColumn("predicted", G.classify_intent("message", "session_subject"))
     m = m.withColumn("route_intent", F.col("intent") if "intent" in messages.columns else F.col("predicted"))
     routed = G.route_intents(m, intent="route_intent", text="message")
     requests = routed.where(F.col("runs_sql")).select(
-        (F.col("session_id") * 100 + F.col("turn")).alias("request_id"),
-        F.coalesce(F.col("session_subject"), F.lit("")).alias("term"),
+        "session_id", "turn", F.coalesce(F.col("session_subject"), F.lit("")).alias("term"),
     )
     lookups = U.ticket_lookup(requests, tickets).select(
-        "request_id", F.col("found").alias("lookup_found"), F.col("match_kind").alias("lookup_match"),
+        "session_id", "turn", F.col("found").alias("lookup_found"), F.col("match_kind").alias("lookup_match"),
         F.col("urgency").alias("lookup_urgency"), F.col("classification").alias("__class"), F.col("email").alias("__email"),
     )
-    out = routed.withColumn("request_id", F.col("session_id") * 100 + F.col("turn")).join(lookups, "request_id", "left")
+    out = routed.join(lookups, ["session_id", "turn"], "left")
     in_msg = F.regexp_extract("message", G.EMAIL_FIND, 0)
     mail = out.select(
         "*",
@@ -45,12 +40,10 @@ def support_flow(messages: DataFrame, tickets: DataFrame) -> DataFrame:
             "mail_subject"
         ),
         F.col("message").alias("body"),
-        F.lit(SENDER).alias("sender"),
-        F.lit(APP_PASSWORD).alias("password"),
         # the orchestrator adds the gate line to every action it hands over
         F.concat(F.col("message"), F.lit("\nSEND_EMAIL: yes")).alias("instructions"),
     )
-    v = G.validate_email(subject="mail_subject")
+    v = G.validate_email(subject="mail_subject", configured=F.lit(mail_configured))
     sent = G.email_gate("instructions") & v["success"]
     return mail.select(
         "session_id", "turn", "session_subject", "route_intent", "predicted", "needs_lookup", "runs_analysis", "runs_sql",

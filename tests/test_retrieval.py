@@ -118,15 +118,21 @@ def test_embedding_retry_contract():
         E.embed_batch(wrong, [], E.DOCUMENT_TASK, 0)
 
 
-def test_topk_arrow_engine_equals_expression(spark):
+def test_null_zero_and_wide_vectors_rank_alike_in_both_searches(spark):
+    rows = [(1, [1.0] * 300), (2, None), (3, [0.0] * 300), (4, [1.0] * 299 + [0.5])]
+    cs = spark.createDataFrame([(i, "t", v, "f", "fixed", 0) for i, v in rows], "id long, chunk_text string, embedding array<float>, filename string, split_strategy string, chunk_index int")
+    cs = cs.withColumn("created_at", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    one = [(r["id"], r["similarity"] is None) for r in R.search_topk(cs, [1.0] * 300, 4).collect()]
+    qs = spark.createDataFrame([(7, [1.0] * 300)], "query_id long, query array<float>")
+    many = [(r["id"], r["similarity"] is None) for r in R.search_batch(cs, qs, 4).orderBy("rank").collect()]
+    assert one == many == [(1, False), (4, False), (2, True), (3, True)]
+
+
+def test_repeated_query_ids_are_refused_at_any_size(spark):
     cs = chunk_store(spark, SF_SMALL)
-    q = cs.where("id = 11").first()["embedding"]
-    a = [(r["id"], round(r["similarity"], 9)) for r in R.search_topk(cs, q, 6, engine="expr").collect()]
-    b = [(r["id"], round(r["similarity"], 9)) for r in R.search_topk(cs, q, 6, engine="arrow").collect()]
-    assert a == b
-    fa = [r["id"] for r in R.search_topk(cs, q, 4, filename="file1", engine="arrow").collect()]
-    fe = [r["id"] for r in R.search_topk(cs, q, 4, filename="file1", engine="expr").collect()]
-    assert fa == fe
+    qs = query_vectors(spark, SF_SMALL).where("query_id < 2")
+    with pytest.raises(ValueError, match="unique"):
+        R.search_batch(cs, qs.unionByName(qs), 3)
 
 
 def test_dense_topk_kernel_ties_by_id():
@@ -165,21 +171,19 @@ def test_l2_normalize_gives_unit_vectors(spark):
     assert zero.select(V.l2_normalize("v").alias("u")).first()["u"] is None
 
 
-def test_preview_equals_textwrap_shorten_without_hyphens(spark):
-    import textwrap
+PREVIEWS = [
+    ("a  b\n c", "a b c"),
+    ("x" * 400, "..."),
+    ("ab " * 150, "ab " * 111 + "ab ..."),
+    ("well-" * 100, "well-" * 67 + " ..."),
+    ("w" * 340, "w" * 340),
+]
 
-    from quire.operators import chunking as C
-    from quire.plans.q_chunking import prepared
 
-    ch = C.chunk_text(prepared(spark, SF_SMALL), "text", "paragraph", 1000, 200, keep=["doc_id"])
-    ch = ch.where(~F.col("chunk_text").contains("-")).select(
-        F.monotonically_increasing_id().alias("id"), "chunk_text", F.lit("f").alias("filename"), "split_strategy",
-        "chunk_index", F.lit(0.5).alias("similarity"), F.lit("2026-01-01 00:00:00").cast("timestamp").alias("created_at"),
-    )
-    rows = R.rank_results(ch).select("preview", "id").join(ch.select("id", "chunk_text"), "id").collect()
-    assert any(len(r["chunk_text"]) > 340 for r in rows)
-    for r in rows:
-        assert r["preview"] == textwrap.shorten(r["chunk_text"], width=340, placeholder=" ...")
+def test_preview_golden(spark):
+    df = spark.createDataFrame([(i, t, "f", "fixed", 0, 1.0 - i / 10) for i, (t, _) in enumerate(PREVIEWS)], "id long, chunk_text string, filename string, split_strategy string, chunk_index int, similarity double")
+    rows = R.rank_results(df.withColumn("created_at", F.lit("2026-01-02 03:04:05").cast("timestamp"))).orderBy("rank").collect()
+    assert [r["preview"] for r in rows] == [p for _, p in PREVIEWS]
 
 
 def test_stored_ivf_reads_probed_cells_and_matches_on_the_fly(spark):

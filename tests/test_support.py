@@ -98,11 +98,65 @@ def test_guard_column_equals_python_guard_on_derived_statements(spark):
         assert r["e"] == U.guard_select(r["query"])[1], r["query"][:80]
 
 
-def test_run_select_refuses_jvm_reflection(spark):
-    env = U.run_select(spark, "SELECT reflect('java.lang.System', 'currentTimeMillis') AS t").first()
-    assert env["error"] == "The function 'REFLECT' is not permitted. This tool is read-only."
-    assert U.guard_select("SELECT java_method ('a', 'b')")[1] is None  # A7 itself keeps the reference rule
-    import pytest
-
-    with pytest.raises(PermissionError):
-        U.guarded_sql(spark, "SELECT java_method('java.lang.Math', 'abs', -1)")
+REFUSED = [
+    "SELECT reflect('java.lang.System', 'currentTimeMillis') AS t",
+    "SELECT `reflect`('java.lang.System', 'currentTimeMillis') AS t",
+    "SELECT java_method/**/('java.lang.Math', 'abs', -1)",
+    "SELECT try_reflect('java.lang.System', 'currentTimeMillis')",
+    "SELECT * FROM text.`/etc/hostname`",
+    "SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS x",
+    "SELECT * FROM support_requests WHERE EXISTS (SELECT 1 FROM hidden)",
+    "WITH x AS (SELECT * FROM hidden) SELECT * FROM x",
+    "SELECT * FROM range(10)",
+]
+
+
+def test_run_select_reaches_listed_views_only(spark):
+    U.load_support_requests(spark).createOrReplaceTempView("support_requests")
+    spark.range(3).createOrReplaceTempView("hidden")
+    for q in REFUSED:
+        env = U.run_select(spark, q, views=["support_requests"]).first()
+        assert env["error"] and not env["error"].startswith("SQL execution failed") and env["rows"] == "[]", q
+    ok = "WITH x AS (SELECT id FROM Support_Requests UNION SELECT 9) SELECT count(*) AS n FROM x JOIN (VALUES (1), (9)) v(id) USING (id)"
+    assert json.loads(U.run_select(spark, ok, views=["support_requests"]).first()["rows"]) == [{"n": 2}]
+
+
+def test_run_select_never_raises(spark):
+    U.load_support_requests(spark).createOrReplaceTempView("support_requests")
+    for q in ("SELECT 1/0", "SELECT CAST('x' AS INT)", "SELECT nope FROM support_requests", "SELECT id FROM", "SELECT raise_error('https://u:p@h')"):
+        env = U.run_select(spark, q).first()
+        assert env["error"].startswith("SQL execution failed:") and env["row_count"] == 0, q
+    assert "://" not in U.run_select(spark, "SELECT raise_error('https://u:p@h')").first()["error"]
+    assert U.run_select(spark, "SELECT 1", 10**9).first()["error"]
+
+
+def test_envelope_names_are_valid_json_and_truncation_is_told(spark):
+    names = ["a\\b", 'q"t', "tab\there", "né"]
+    df = spark.createDataFrame([(1, 2, 3, 4), (5, 6, 7, 8)], "a int, b int, c int, d int").toDF(*names)
+    env = U.rows_to_json(df, 1).first()
+    assert json.loads(env["columns"]) == names and env["truncated"] and env["row_count"] == 1
+    assert not U.rows_to_json(df, 2).first()["truncated"]
+
+
+def test_lookup_counts_a_customer_once(spark):
+    t = U.load_support_requests(spark).limit(1)
+    both = t.selectExpr("id", "email AS customer_name", "email", "category", "priority", "status")
+    req = spark.createDataFrame([(1, "JOHN@example.com"), (1, "john@example.com")], "request_id int, term string")
+    assert [(r["n_records"], r["n_customers"]) for r in U.ticket_lookup(req, both).collect()] == [(1, 1), (1, 1)]
+
+
+def test_reconcile_reports_missing_rows_of_nulls(spark):
+    e = spark.createDataFrame([(1, None), (2, "b")], "id int, v string")
+    a = spark.createDataFrame([(2, "b"), (3, None)], "id int, v string")
+    got = sorted((r["id"], r["kind"], r["column"]) for r in U.reconcile(e, a, "id", ["v"]).collect())
+    assert got == [(1, "missing_row", None), (3, "extra_row", None)]
+
+
+def test_flow_keeps_messages_of_long_sessions_apart(spark):
+    from quire.plans.support_flow import support_flow
+
+    rows = [(1, 100, "find Sarah Cohen", "DATA_LOOKUP", "Sarah Cohen"), (2, 0, "find David Levi", "DATA_LOOKUP", "David Levi")]
+    m = spark.createDataFrame(rows, "session_id long, turn long, message string, intent string, subject string")
+    out = support_flow(m, U.load_support_requests(spark))
+    assert sorted((r["session_id"], r["lookup_urgency"]) for r in out.collect()) == [(1, "Medium"), (2, "Low")]
+    assert "app-password" not in out._jdf.queryExecution().toString()
