@@ -4,9 +4,12 @@ folder, columns whose names cannot clash, distributed connected components."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.session import shared_dir
 
@@ -35,6 +38,20 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name (dots, blanks): positions go through Spark,
+    ``run`` sees and gives the names."""
+    names, given = df.columns, schema.names
+    safe = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
+
+    def by_name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = (pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+        for out in run(named):
+            yield pa.RecordBatch.from_arrays(out.columns, names=safe.names)
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(by_name, safe).toDF(*given)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list by alternating large-star
     and small-star steps: every node is joined to the smallest node it knows.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, need, own
+from quire.llm.common import arrow_map, col, need, own
 from quire.llm.words import Words, portions
 
 WINDOW = 13
@@ -128,7 +128,7 @@ def scanned(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "
                         rows.append({"n_words": n, "n_hit": sum(b - a for a, b in all_spans), "spans": [{"a": a, "b": b} for a, b in all_spans], "items": sorted(names.get(i, set()) | set(old["items"]))})
                     yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(rows, arrow)], names=part.schema.names)
 
-        out = out.mapInArrow(scan, out.schema)
+        out = arrow_map(out, scan, out.schema)
     return out, found
 
 
@@ -165,7 +165,7 @@ def decontaminated(docs: DataFrame, bench: DataFrame, text: str = "text", remove
                 columns[i] = pa.array(texts, part.schema.field(i).type)
                 yield pa.RecordBatch.from_arrays(columns[:-1], names=part.schema.names[:-1])
 
-    return out.mapInArrow(cut, docs.schema)
+    return arrow_map(out, cut, docs.schema)
 
 
 def _start(column: pa.Array, row: int) -> int:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, need, own
+from quire.llm.common import arrow_map, col, need, own
 from quire.llm.words import portions
 
 MAX_PAD = 60
@@ -307,4 +307,4 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
                 made = pa.array([page_text(x) for x in part.column(part.num_columns - 1).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], text])
 
-    return rest.mapInArrow(run, schema)
+    return arrow_map(rest, run, schema)

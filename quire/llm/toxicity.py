@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, need, own, staged
+from quire.llm.common import arrow_map, col, need, own, staged
 from quire.llm.words import U, Words, mix, portions
 
 BITS = 18
@@ -137,7 +137,7 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", score: str = "
 
     rest = docs.drop(score)
     schema = rest.withColumn(score, F.lit(0.0)).schema
-    return rest.withColumn(raw, col(text).cast("string")).mapInArrow(run, schema)
+    return arrow_map(rest.withColumn(raw, col(text).cast("string")), run, schema)
 
 
 def held_out(doc_id: Column) -> Column:
