@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from quire.functions.text import CONTROL, WORD, WS
+from quire.functions.text import CONTROL, HEADING_MAX_LEN, HEADING_PUNCT, NUMBERED_HEADING, WORD, WS
 
 
 def _raw(pattern: str) -> str:
@@ -31,6 +31,19 @@ def clean_text_sql(x: str = "t") -> str:
     return f"regexp_replace({s}, {_raw(chr(92) + 'A' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '')"
 
 
+_EMPTY = "''"
+PARAGRAPH_BREAK = chr(10) + WS + "*" + chr(10)
+SENTENCE_BREAK = "(?<=[.!?])" + WS + "+"
+
+
+def _stripped(x: str) -> str:
+    return f"regexp_replace({x}, {_raw(chr(92) + 'A' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '')"
+
+
+def _paragraphs(x: str) -> str:
+    return f"filter(transform(split({x}, {_raw(PARAGRAPH_BREAK)}), p -> {_stripped('p')}), p -> p <> '')"
+
+
 FUNCTIONS = {
     "clean_text": ("t STRING", "STRING", clean_text_sql("t")),
     "strip_text": ("t STRING", "STRING", f"regexp_replace(t, {_raw(chr(92) + 'A' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '')"),
@@ -45,7 +58,20 @@ FUNCTIONS = {
         "message STRING, class_name STRING",
         "STRING",
         "CASE WHEN instr(coalesce(message, ''), '://') > 0 THEN concat(class_name, ' (details withheld: may contain credentials)') "
-        "WHEN trim(coalesce(message, '')) = '' THEN class_name ELSE left(message, 300) END",
+        f"WHEN {_stripped('coalesce(message, ' + _EMPTY + ')')} = '' THEN class_name "
+        f"ELSE left({_stripped('message')}, 300) END",
+    ),
+    "is_heading": (
+        "line STRING",
+        "BOOLEAN",
+        f"rlike(line, {_raw(NUMBERED_HEADING)}) OR (length(line) < {HEADING_MAX_LEN} AND "
+        f"right(line, 1) NOT IN ({', '.join(repr(c) for c in HEADING_PUNCT)}))",
+    ),
+    "split_paragraphs": ("t STRING", "ARRAY<STRING>", _paragraphs("t")),
+    "split_sentences": (
+        "t STRING",
+        "ARRAY<STRING>",
+        f"filter(transform(flatten(transform({_paragraphs('t')}, p -> split(p, {_raw(SENTENCE_BREAK)}))), s -> {_stripped('s')}), s -> s <> '')",
     ),
 }
 

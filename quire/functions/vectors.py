@@ -15,10 +15,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def as_double(v) -> Column:
-    return F.transform(_c(v), lambda x: x.cast("double"))
-
-
 def dot(a, b) -> Column:
     prods = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, x: acc + x)

@@ -76,14 +76,23 @@ def env_file_findings(paths: DataFrame, id_col: str, path_col: str, source: str)
 
 
 # G3
+MAX_BROADCAST_LITERALS = 500_000  # 8-byte hashes with a digest: under 64 MB
+
+
 def scan_literals(df: DataFrame, id_col: str, text_col: str, literals: DataFrame, value_col: str = "value") -> DataFrame:
-    """Rows containing any given literal, matched on SHA-256 of tokens so the
-    values never appear in plans or output. Literal hashes are joined by hash
-    key (AQE broadcasts them when their measured size allows)."""
-    toks = df.select(F.col(id_col).alias("row_id"), F.explode(F.split(F.col(text_col), LITERAL_TOKEN_SPLIT, -1)).alias("tok"))
-    th = toks.where(F.col("tok") != "").select("row_id", F.sha2("tok", 256).alias("h")).distinct()
-    lh = literals.select(F.sha2(F.col(value_col), 256).alias("h")).distinct()
-    return th.join(lh, "h").select("row_id", F.col("h").alias("literal_hash"))
+    """Rows containing any given literal, matched on hashes of tokens so the
+    values never appear in plans or output.
+
+    Tokens meet the literals by an 8-byte hash first, broadcast if they are counted to
+    be few (else both sides are shuffled by it); only hits are hashed in full, checked
+    and made distinct."""
+    full = lambda c: F.sha2(F.col(c), 256)
+    known = literals.select(F.xxhash64(value_col).alias("__h"), full(value_col).alias("literal_hash")).distinct()
+    if known.count() <= MAX_BROADCAST_LITERALS:
+        known = F.broadcast(known)
+    toks = df.select(F.col(id_col).alias("row_id"), F.explode(F.split(F.col(text_col), LITERAL_TOKEN_SPLIT, -1)).alias("__tok"))
+    hits = toks.where(F.col("__tok") != "").withColumn("__h", F.xxhash64("__tok")).join(known, "__h")
+    return hits.where(full("__tok") == F.col("literal_hash")).select("row_id", "literal_hash").distinct()
 
 
 # K1

@@ -190,11 +190,14 @@ w AS (SELECT f.doc_id, f.w, f.start, f.start + length(f.chunk_text) AS e, p.t, l
       FROM fx f JOIN prep p USING (doc_id) WHERE f.chunk_text <> ''),
 r AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prev_e FROM w),
 seg AS (SELECT doc_id, count(*) AS n_windows,
+               count(*) FILTER (WHERE start > 0 AND NOT regexp_matches(substr(t, start + 1, 1), {O.q('^' + X.WS + '$')})
+                                 AND NOT regexp_matches(substr(t, start, 1), {O.q('^' + X.WS + '$')})) AS n_midword_starts,
                count(*) FILTER (WHERE e > 0 AND e < n AND NOT regexp_matches(substr(t, e + 1, 1), {O.q('^' + X.WS + '$')})
                                  AND NOT regexp_matches(substr(t, e, 1), {O.q('^' + X.WS + '$')})) AS n_midword_ends,
                sum(CASE WHEN e > greatest(start, prev_e) THEN {_nonspace('substr(t, greatest(start, prev_e) + 1, e - greatest(start, prev_e))')} ELSE 0 END) AS covered
         FROM r GROUP BY doc_id)
 SELECT p.doc_id, CAST(coalesce(s.n_windows, 0) AS INTEGER) AS n_windows,
+       CAST(coalesce(s.n_midword_starts, 0) AS INTEGER) AS n_midword_starts,
        CAST(coalesce(s.n_midword_ends, 0) AS INTEGER) AS n_midword_ends,
        CAST({_nonspace('p.t')} - coalesce(s.covered, 0) AS INTEGER) AS lost_chars
 FROM prep p LEFT JOIN seg s USING (doc_id)"""

@@ -52,7 +52,7 @@ def scan_allowlist(spark, sf_dir):
 @register(
     "scan_literals",
     f"""WITH lit AS (SELECT DISTINCT regexp_extract(text, 'token = "([0-9a-f]+)"', 1) AS value FROM documents
-                 WHERE doc_id % 2 = 0 AND regexp_extract(text, 'token = "([0-9a-f]+)"', 1) <> ''),
+                 WHERE regexp_extract(text, 'token = "([0-9a-f]+)"', 1) <> ''),
 toks AS (SELECT DISTINCT doc_id AS row_id, sha256(tok) AS h FROM (
            SELECT doc_id, unnest(string_split_regex(text, {O.q(G.LITERAL_TOKEN_SPLIT)})) AS tok FROM documents) WHERE tok <> '')
 SELECT row_id, h AS literal_hash FROM toks WHERE h IN (SELECT sha256(value) FROM lit)""",
@@ -60,7 +60,7 @@ SELECT row_id, h AS literal_hash FROM toks WHERE h IN (SELECT sha256(value) FROM
 def scan_literals(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     val = F.regexp_extract("text", r'token = "([0-9a-f]+)"', 1)
-    literals = docs.where((F.col("doc_id") % 2 == 0) & (val != "")).select(val.alias("value")).distinct()
+    literals = docs.where(val != "").select(val.alias("value")).distinct()
     return G.scan_literals(docs, "doc_id", "text", literals)
 
 

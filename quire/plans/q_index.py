@@ -120,14 +120,14 @@ def chunk_table_schema(spark, sf_dir):
     "replace_chunks",
     f"""WITH cs AS ({O.chunk_store()}),
 nw AS (SELECT id, 'reindexed ' || chunk_text AS chunk_text, filename, split_strategy, chunk_index FROM cs
-       WHERE filename = 'file3' AND id % 2 = 0)
+       WHERE split_strategy = 'sentence' AND id % 2 = 0)
 SELECT id, chunk_text, filename, split_strategy, chunk_index FROM cs
 WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.filename = cs.filename AND nw.split_strategy = cs.split_strategy)
 UNION ALL SELECT * FROM nw""",
 )
 def replace_chunks(spark, sf_dir):
     cs = chunk_store(spark, sf_dir).select("id", "chunk_text", "filename", "split_strategy", "chunk_index")
-    new = cs.where((F.col("filename") == "file3") & (F.col("id") % 2 == 0)).withColumn(
+    new = cs.where((F.col("split_strategy") == "sentence") & (F.col("id") % 2 == 0)).withColumn(
         "chunk_text", F.concat(F.lit("reindexed "), F.col("chunk_text"))
     )
     return S.replace_chunks(cs, new)
@@ -180,12 +180,15 @@ FROM want JOIN cp ON cp.doc_id = want.doc_id AND cp.chunk_index = want.chunk_ind
 
 @register("hit_context", _HIT_SQL)
 def hit_context(spark, sf_dir):
-    """C14: neighbouring chunks (index -1, 0, +1) of the flagship's top-5 hits."""
-    hits = I.flagship(spark, sf_dir).select("filename", "split_strategy", "chunk_index")
-    chunks = C.chunk_text(prepared(spark, sf_dir), "text", "paragraph", SIZE, OVERLAP, keep=["doc_id"]).withColumn(
-        "filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))
-    )
-    return C.hit_context(hits, chunks)
+    """C14: neighbouring chunks (index -1, 0, +1) of the flagship's top-5 hits. The hits
+    (at most k rows) are taken first; then only their documents are chunked."""
+    names = ["id", "filename", "split_strategy", "chunk_index"]
+    found = I.flagship(spark, sf_dir).select(*names)
+    hits = spark.createDataFrame(found.collect(), found.schema)
+    docs = read_table(spark, sf_dir, "documents").withColumn("filename", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    docs = docs.join(F.broadcast(hits.select("filename").distinct()), "filename", "left_semi").select("filename", "text")
+    chunks = C.chunk_text(I.prepare_documents(docs), "text", "paragraph", SIZE, OVERLAP, keep=["filename"])
+    return C.hit_context(hits.drop("id"), chunks)
 
 
 # A table written, then part of it indexed again - a third of the documents, of

@@ -35,31 +35,35 @@ def _source_rows(spark, sf_dir):
         F.concat(F.lit("/data/"), F.col("source"), F.lit("/doc"), F.col("doc_id").cast("string"), ext).alias("path"),
         (F.col("doc_id") % 13 != 0).alias("exists"),
         text.alias("text"),
+        # as an indexer that found nothing to pack in documents of one kind would report
+        F.when(F.col("doc_id") % 19 == 0, 0).otherwise(1).alias("n_chunks"),
     )
 
 
 @register(
     "validate_sources",
     f"""WITH s AS (SELECT doc_id, '/data/' || source || '/doc' || doc_id || ([{', '.join(_EXT)}])[doc_id % 6 + 1] AS path,
-                      doc_id % 13 <> 0 AS exists_, CASE WHEN doc_id % 17 = 0 THEN ' ' || chr(7) || ' ' ELSE text END AS text
-               FROM documents),
+                      doc_id % 13 <> 0 AS exists_, CASE WHEN doc_id % 17 = 0 THEN ' ' || chr(7) || ' ' ELSE text END AS text,
+                      CASE WHEN doc_id % 19 = 0 THEN 0 ELSE 1 END AS n_chunks FROM documents),
 x AS (SELECT *, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+(\\.[^.]*)$', 1)) AS sfx,
              regexp_extract(path, '([^/]*)$', 1) AS name FROM s),
 c AS (SELECT doc_id, path, sfx, name,
              CASE WHEN NOT exists_ THEN 'FileNotFoundError'
                   WHEN sfx NOT IN ('.docx', '.pdf') THEN 'UnsupportedFileTypeError'
-                  WHEN {O.clean('text')} = '' THEN 'NoTextExtractedError' END AS error_class FROM x)
+                  WHEN {O.clean('text')} = '' THEN 'NoTextExtractedError'
+                  WHEN n_chunks = 0 THEN 'NoChunksError' END AS error_class FROM x)
 SELECT doc_id, path, error_class,
   CASE error_class WHEN 'FileNotFoundError' THEN 'File not found: ' || path
     WHEN 'UnsupportedFileTypeError' THEN 'Unsupported file type ''' || CASE WHEN sfx = '' THEN '(none)' ELSE sfx END
          || '''. Supported types: .docx, .pdf.'
     WHEN 'NoTextExtractedError' THEN 'No extractable text found in ' || name
-         || '. If this is a scanned document it would need OCR, which is not supported.' END AS error_message,
+         || '. If this is a scanned document it would need OCR, which is not supported.'
+    WHEN 'NoChunksError' THEN 'The ''paragraph'' strategy produced no chunks from ' || name || '.' END AS error_message,
   CASE WHEN error_class IS NULL THEN 'ok' ELSE 'quarantined' END AS status
 FROM c""",
 )
 def validate_sources(spark, sf_dir):
-    return FS.validate_sources(_source_rows(spark, sf_dir)).select("doc_id", "path", "error_class", "error_message", "status")
+    return FS.validate_sources(_source_rows(spark, sf_dir), n_chunks="n_chunks", strategy="paragraph").select("doc_id", "path", "error_class", "error_message", "status")
 
 
 @register(
@@ -83,7 +87,7 @@ def assemble_pages(spark, sf_dir):
   SELECT page_id // 10 AS doc_id, page_id, 0 AS g, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages
   UNION ALL
   SELECT page_id // 10, page_id, 1,
-         array_to_string(list_filter(list_transform([url, '  ', trim(substr(html, 1, 40))], lambda c: {O.strip('c')}),
+         array_to_string(list_filter(list_transform([url, '  ', trim(html)], lambda c: {O.strip('c')}),
                                      lambda c: c <> ''), ' | ') FROM pages)
 SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY g, page_id) AS text FROM b WHERE t <> '' OR g = 0 GROUP BY doc_id""",
 )
@@ -95,7 +99,7 @@ def table_rows_to_text(spark, sf_dir):
                          F.lit(None).cast("array<string>").alias("cells"))
     rows = pages.select(doc.alias("doc_id"), F.col("page_id").alias("block_no"), F.lit("table_row").alias("kind"),
                         F.lit(None).cast("string").alias("text"),
-                        F.array("url", F.lit("  "), F.trim(F.substring("html", 1, 40))).alias("cells"))
+                        F.array("url", F.lit("  "), F.trim("html")).alias("cells"))
     return ST.blocks_to_text(paras.unionByName(rows))
 
 
@@ -138,13 +142,22 @@ def chunk_text_udtf(spark, sf_dir):
 
 @register(
     "sql_functions",
-    f"""WITH s AS (SELECT doc_id, {O.soil('text')} AS text FROM documents)
-SELECT doc_id, {O.clean('text')} AS text, length({O.strip('text')}) AS stripped_len FROM s""",
+    f"""WITH s AS (SELECT doc_id, {O.soil('text')} AS text, source FROM documents),
+c AS (SELECT doc_id, text, {O.clean('text')} AS t, {O.strip("coalesce(text, '')")} AS m, source FROM s)
+SELECT doc_id, t AS text, length({O.strip('text')}) AS stripped_len, {O.is_heading("split_part(t, chr(10), 1)")} AS heading_first,
+  array_to_string({O.paragraphs_list('t')}, '|') AS paragraphs, array_to_string({O.sentences_list('t')}, '|') AS sentences,
+  CASE WHEN contains(m, '://') THEN source || ' (details withheld: may contain credentials)'
+       WHEN m = '' THEN source ELSE left(m, 300) END AS redacted
+FROM c""",
 )
 def sql_functions(spark, sf_dir):
     """SQL-bodied temporary functions used from plain Spark SQL."""
-    from quire.plans.fixtures import soiled_documents
+    from quire.plans.fixtures import soil
 
     QS.register_sql_functions(spark)
-    soiled_documents(spark, sf_dir).createOrReplaceTempView("soiled_documents")
-    return spark.sql("SELECT doc_id, clean_text(text) AS text, length(strip_text(text)) AS stripped_len FROM soiled_documents")
+    read_table(spark, sf_dir, "documents").select("doc_id", soil("text").alias("text"), "source").createOrReplaceTempView("soiled_documents")
+    return spark.sql(
+        "SELECT doc_id, t AS text, length(strip_text(text)) AS stripped_len, is_heading(split_part(t, char(10), 1)) AS heading_first, "
+        "array_join(split_paragraphs(t), '|') AS paragraphs, array_join(split_sentences(t), '|') AS sentences, "
+        "redact_error(text, source) AS redacted FROM (SELECT *, clean_text(text) AS t FROM soiled_documents)"
+    )

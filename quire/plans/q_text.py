@@ -25,6 +25,15 @@ _STEPS = [
 ]
 
 
+_WITH_NULLS = "SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN text END AS text FROM documents"
+
+
+def _nulls_query(spark, sf_dir):
+    """Every fourth text null."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", X.null_to_empty(F.when(F.col("doc_id") % 4 != 0, F.col("text"))).alias("text"))
+
+
 def _step_query(fn):
     def build(spark, sf_dir):
         return soiled_documents(spark, sf_dir).select("doc_id", fn(F.col("text")).alias("text"))
@@ -33,6 +42,9 @@ def _step_query(fn):
 
 
 for _name, _fn, _sql in _STEPS:
+    if _name == "null_to_empty":
+        register(_name, f"WITH s AS ({_WITH_NULLS}) SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE text END AS text FROM s")(_nulls_query)
+        continue
     register(_name, f"WITH s AS ({_SOILED}) SELECT doc_id, {_sql('text')} AS text FROM s")(_step_query(_fn))
 
 

@@ -46,9 +46,10 @@ def suffix(path) -> Column:
 
 
 # S2
-def validate_sources(df: DataFrame, path: str = "path", exists: str = "exists", text: str = "text") -> DataFrame:
+def validate_sources(df: DataFrame, path: str = "path", exists: str = "exists", text: str = "text", n_chunks: str | None = None, strategy: str = "fixed") -> DataFrame:
     """Ordered checks, first failure wins: missing file, unsupported suffix,
-    no text after cleaning. Adds ``status``, ``error_class``, ``error_message``."""
+    no text after cleaning, and - where a column of chunk counts is named - no chunks
+    by ``strategy``. Adds ``status``, ``error_class``, ``error_message``."""
     p = F.col(path)
     sfx = suffix(p)
     cleaned = clean_text(F.col(text))
@@ -58,6 +59,7 @@ def validate_sources(df: DataFrame, path: str = "path", exists: str = "exists",
         F.when(~F.coalesce(F.col(exists), F.lit(False)), "FileNotFoundError")
         .when(~sfx.isin(*SUPPORTED_EXTENSIONS), "UnsupportedFileTypeError")
         .when(cleaned == "", "NoTextExtractedError")
+        .when(F.col(n_chunks) == 0 if n_chunks else F.lit(False), "NoChunksError")
     )
     msg = (
         F.when(cls == "FileNotFoundError", F.concat(F.lit("File not found: "), p))
@@ -65,17 +67,13 @@ def validate_sources(df: DataFrame, path: str = "path", exists: str = "exists",
               F.concat(F.lit("Unsupported file type '"), shown, F.lit(f"'. Supported types: {supported}.")))
         .when(cls == "NoTextExtractedError",
               F.concat(F.lit("No extractable text found in "), base_name(p), F.lit(". " + OCR_HINT)))
+        .when(cls == "NoChunksError", F.concat(F.lit(f"The '{strategy}' strategy produced no chunks from "), base_name(p), F.lit(".")))
     )
     return df.withColumn("error_class", cls).withColumn("error_message", msg).withColumn(
         "status", F.when(F.col("error_class").isNull(), "ok").otherwise("quarantined")
     )
 
 
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine) frames from ``validate_sources`` output."""
-    return df.where(F.col("status") == "ok"), df.where(F.col("status") != "ok")
-
-
 # S5
 def docx_blocks(data: bytes) -> list[tuple[int, str, str | None, list[str] | None]]:
     """``(block_no, kind, text, cells)``: every paragraph, then every table row."""

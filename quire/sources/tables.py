@@ -9,30 +9,23 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
-# Tables whose rows carry whole texts: per-row CPU work (regex, chunking,
-# embedding) dominates, so they must be spread over all cores.
+# Tables whose rows carry whole texts: per-row CPU work (regex, chunking, embedding)
+# dominates, so a session may ask for a spread by these keys.
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
-
-
-def spread_rows(df: DataFrame, key: str, factor: int = 2) -> DataFrame:
-    """Hash-spread rows when the scan yields fewer partitions than the cluster
-    can run at once (e.g. a file written as a single row group). On large
-    inputs the scan already has enough splits and nothing is added."""
-    spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target, key)
+SPREAD = "quire.text.partitions"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """Read one driver table; Parquet carries the schema, nothing is inferred."""
+    """Read one driver table; Parquet carries the schema, nothing is inferred.
+
+    One rule at every size: if the session sets ``quire.text.partitions``, text tables
+    are hash-spread into that many partitions (for files of few, large row groups);
+    else rows stay in the scan's splits."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if spread and name in TEXT_TABLES:
-        df = spread_rows(df, TEXT_TABLES[name])
-    return df
+    parts = int(spark.conf.get(SPREAD, None) or 0)
+    return df.repartition(parts, TEXT_TABLES[name]) if spread and parts and name in TEXT_TABLES else df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
