@@ -46,6 +46,7 @@ BANDS, ROWS = 18, 4
 SMALL = 8
 BLOCK = 512
 EQUAL = 46
+MAX_BROADCAST_IDS = 4_000_000  # 32 MB of ids, about 100 MB as a hash table
 SKETCH_BITS = 21  # buckets of each of the sketch's two rows, as a power of two
 CHUNK = 1 << 14
 STEPS = 15
@@ -292,6 +293,13 @@ def jaccard(a: np.ndarray, wa: np.ndarray, ta: float, b: np.ndarray, wb: np.ndar
     return float(common / (ta + tb - common))
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids`` (distinct). Counted ids up to
+    MAX_BROADCAST_IDS are broadcast, so that no other text moves; more are joined by
+    shuffling both sides."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float) -> DataFrame:
     """(a, b): verified pairs among class representatives (rep, bands, samples, weight)
     that connect all links."""
@@ -306,8 +314,9 @@ def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float
     star = full.where((F.col("n") > SMALL) & (F.col("rep") != F.col("lead.rep"))).select("bucket", "rep", "weight", F.col("lead.rep").alias("lead"), ratio(F.col("weight"), F.col("lead.weight")).alias("most"))
     one = star.where(F.col("most") >= similarity).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     pairs = staged(two.unionByName(one).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = staged(docs.join(wanted, "id", "left_semi"), "texts")
+    # every text that is compared below, read once
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(star.select(F.col("rep").alias("id")))
+    texts = staged(only(docs, staged(wanted.distinct(), "wanted")), "texts")
     sims = staged(verified(pairs, texts, codes), "sims")
 
     # the left-over of large buckets: sim is exact or, where not compared, its bound
@@ -326,8 +335,7 @@ def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float
     rows = rows.select(*keys, F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "rep").join(reps.select("rep", "samples"), "rep")
     found = staged(rows.groupBy(*keys, "p", "q").applyInArrow(groups_of, "group long, rep long").distinct(), "groups")
     shared = spark.sparkContext.broadcast(codes)
-    whole = docs.join(found.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"])
-    work = found.join(reps.select("rep", "samples"), "rep").join(whole, F.col("rep") == F.col("id")).select("group", "rep", "samples", "text")
+    work = found.join(reps.select("rep", "samples"), "rep").join(texts.dropDuplicates(["id"]), F.col("rep") == F.col("id")).select("group", "rep", "samples", "text")
     more = work.groupBy("group").applyInArrow(lambda t: compared(t, _sampler(shared), similarity), "a long, b long")
     return known.unionByName(staged(more, "more-links"))
 
