@@ -81,19 +81,24 @@ def multipliers(cells: DataFrame, targets: DataFrame, cap: int = CAP, iterations
     return rows.select("source", "source_size", "target", F.when(full, 700.0).when(F.col("target") <= 0, -700.0).otherwise(lam).alias("lam"))
 
 
-def rated(rows: DataFrame, params: DataFrame, cap: int) -> DataFrame:
-    """``rows`` (with the struct column ``m``: key, size, prior) joined to their
-    source's parameters ``p``; adds r: base copies, gain of one more, place in [-1, 1)."""
+def rates(cells: DataFrame, duals: DataFrame, cap: int) -> DataFrame:
+    """(source, prior, source_size, target, rate, base, frac) of each cell: base copies
+    for all its documents, and the share of them that gets one more."""
+    d = duals.select(F.col("source").alias("s"), "source_size", "target", "lam")
+    rows = cells.join(d, cells["source"].eqNullSafe(d["s"])).drop("s", "tokens")
+    rate = F.least(F.lit(float(cap)), F.col("prior") * F.exp(F.col("lam")))
+    rows = rows.withColumn("rate", rate).withColumn("near", F.round("rate"))
+    rows = rows.withColumn("rate", F.when(F.abs(F.col("rate") - F.col("near")) < 1e-9, F.col("near")).otherwise(F.col("rate")))
+    return rows.select("source", "prior", "source_size", "target", "rate", F.floor("rate").cast("int").alias("base"), (F.col("rate") - F.floor("rate")).alias("frac"))
+
+
+def placed(rows: DataFrame, params: DataFrame) -> DataFrame:
+    """``rows`` (with the struct column ``m``: key, source, prior) joined to their cell's
+    parameters ``p``, and ``place``, in [-1, 1): one more copy for those under delta."""
     p = params.select(F.struct(*params.columns).alias("p"))
-    out = rows.join(p, F.col("m.source").eqNullSafe(F.col("p.source")))
-    rate = F.least(F.lit(float(cap)), F.col("m.prior") * F.exp(F.col("p.lam")))
-    near = F.round(rate)
-    rate = F.when(F.abs(rate - near) < 1e-9, near).otherwise(rate)
+    out = rows.join(p, F.col("m.source").eqNullSafe(F.col("p.source")) & (F.col("m.prior") == F.col("p.prior")))
     hexed = F.substring(F.md5(F.coalesce(F.col("m.key").cast("string"), F.lit(""))), 1, 12)
-    u = F.conv(hexed, 16, 10).cast("double") / F.lit(float(1 << 48))
-    more = (F.col("rate") < cap) & (F.col("rate") > F.floor("rate"))
-    out = out.withColumn("rate", rate).withColumn("u", u)
-    return out.withColumn("r", F.struct(F.floor("rate").alias("base"), F.when(more, F.col("m.size")).otherwise(F.lit(0).cast("long")).alias("gain"), (F.col("u") - (F.col("rate") - F.floor("rate"))).alias("at"), F.col("rate").alias("rate"))).drop("rate", "u")
+    return out.withColumn("place", F.conv(hexed, 16, 10).cast("double") / F.lit(float(1 << 48)) - F.col("p.frac"))
 
 
 def _crossing(hist: DataFrame, below: str) -> DataFrame:
@@ -104,18 +109,21 @@ def _crossing(hist: DataFrame, below: str) -> DataFrame:
     return rows.groupBy("source").agg(F.min(F.struct("bin", (F.col("upto") - F.col("gain")).alias("under"), "gain", "target")).alias("x")).select("source", "x.*")
 
 
-def thresholds(rows: DataFrame, params: DataFrame, cap: int) -> DataFrame:
-    """``params`` with delta: a document takes one more copy if its place is under it."""
-    out = rated(rows, params, cap).select(F.col("p.source").alias("source"), F.col("p.target").alias("target"), F.col("m.size").alias("size"), "r.base", "r.gain", "r.at")
-    bin1 = F.floor((F.col("at") + 1.0) * (BINS / 2))
+def thresholds(sized: DataFrame, params: DataFrame) -> DataFrame:
+    """``params`` with delta: a document with a fraction takes one more copy if its
+    place is under it."""
+    out = placed(sized, params).select(F.col("p.source").alias("source"), F.col("p.target").alias("target"), F.col("m.size").alias("size"), "p.base", "p.frac", "place")
+    bin1 = F.floor((F.col("place") + 1.0) * (BINS / 2))
     base = out.groupBy("source").agg(F.sum(F.col("size") * F.col("base")).alias("base"))
-    hist = out.where("gain > 0").groupBy("source", "target", bin1.alias("bin")).agg(F.sum("gain").alias("gain"))
+    more = out.where((F.col("frac") > 0) & (F.col("size") > 0))
+    hist = more.groupBy("source", "target", bin1.alias("bin")).agg(F.sum("size").alias("gain"))
     nul = lambda a, b: a["source"].eqNullSafe(b["source"])
-    hist = hist.join(base, nul(hist, base)).select(hist["*"], "base")
+    hist = hist.join(base, nul(hist, base)).select(hist["*"], base["base"])
     first = staged(_crossing(hist, "base"), "bins")
-    fine = out.where("gain > 0").join(F.broadcast(first.select(F.struct("source", "bin", "under").alias("f"))) if first.count() <= 10_000 else first.select(F.struct("source", "bin", "under").alias("f")), F.col("source").eqNullSafe(F.col("f.source")) & (bin1 == F.col("f.bin")))
-    inner = F.floor(((F.col("at") + 1.0) * (BINS / 2) - F.col("f.bin")) * BINS)
-    fine = fine.groupBy("source", "target", F.col("f.bin").alias("outer"), F.col("f.under").alias("base"), inner.alias("bin")).agg(F.sum("gain").alias("gain"))
+    held = first.select(F.struct("source", "bin", "under").alias("f"))
+    fine = more.join(held, F.col("source").eqNullSafe(F.col("f.source")) & (bin1 == F.col("f.bin")))
+    inner = F.floor(((F.col("place") + 1.0) * (BINS / 2) - F.col("f.bin")) * BINS)
+    fine = fine.groupBy("source", "target", F.col("f.bin").alias("outer"), F.col("f.under").alias("base"), inner.alias("bin")).agg(F.sum("size").alias("gain"))
     outer = fine.groupBy("source").agg(F.first("outer").alias("outer"))
     last = _crossing(fine, "base")
     last = last.join(outer, nul(last, outer)).select(last["*"], "outer")
@@ -125,9 +133,10 @@ def thresholds(rows: DataFrame, params: DataFrame, cap: int) -> DataFrame:
     return params.join(last, params["source"].eqNullSafe(last["s"]), "left").select(*params.columns, F.coalesce("delta", F.lit(1.0)).alias("delta"))
 
 
-def _keyed(docs: DataFrame, doc_id: str, source: str, size: Column, prior: Column | None) -> Column:
+def _keyed(docs: DataFrame, doc_id: str, source: str, size: Column | None, prior: Column | None) -> Column:
     level = F.lit(1.0) if prior is None else F.greatest(F.lit(1.0), F.round(F.coalesce(prior.cast("double"), F.lit(1.0)) * PRIOR_STEPS)) / PRIOR_STEPS
-    return F.struct(col(doc_id).alias("key"), col(source).alias("source"), size.alias("size"), level.alias("prior"))
+    measured = [] if size is None else [size.alias("size")]
+    return F.struct(col(doc_id).alias("key"), col(source).alias("source"), level.alias("prior"), *measured)
 
 
 def parameters(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, prior: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -137,29 +146,29 @@ def parameters(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     sources = sized.groupBy(F.col("m.source").alias("source"), F.col("m.prior").alias("prior")).agg(F.sum("m.size").alias("tokens"))
     sources = staged(sources, "cells")
     targets = weighted_targets(sources.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, share, cap)
-    params = staged(multipliers(sources, targets, cap), "duals")
-    return sized, staged(thresholds(sized, params, cap), "rates")
+    params = staged(rates(sources, multipliers(sources, targets, cap), cap), "rates")
+    return sized, staged(thresholds(sized, params), "thresholds")
 
 
-def _copies(cap: int) -> Column:
-    return F.least(F.lit(cap), F.col("r.base").cast("int") + ((F.col("r.gain") > 0) & (F.col("r.at") < F.col("p.delta"))).cast("int"))
+def _copies() -> Column:
+    return F.col("p.base") + ((F.col("p.frac") > 0) & (F.col("place") < F.col("p.delta"))).cast("int")
 
 
 def mix_report(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", cap: int = CAP, **options) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken, rate, copies."""
     sized, params = parameters(docs, doc_id, source, text, cap=cap, **options)
-    out = rated(sized, params, cap).withColumn("copies", _copies(cap))
-    return out.select(F.col("m.key").alias("doc_id"), F.col("m.size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), (F.col("m.size") * F.col("copies")).alias("taken"), F.col("r.rate").alias("rate"), "copies")
+    out = placed(sized, params).withColumn("copies", _copies())
+    return out.select(F.col("m.key").alias("doc_id"), F.col("m.size").alias("size"), F.col("p.source_size").alias("source_size"), F.col("p.target").alias("target"), (F.col("m.size") * F.col("copies")).alias("taken"), F.col("p.rate").alias("rate"), "copies")
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", cap: int = CAP, prior: Column | None = None, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` repeated as often as it is taken, with the
-    columns of ``docs``. Texts are never shuffled."""
+    columns of ``docs``. Texts are measured once, for the parameters, and never shuffled."""
     _, params = parameters(docs, doc_id, source, text, cap=cap, prior=prior, **options)
-    m, row = own("m"), own("row")
-    packed = docs.select(F.struct(*map(col, docs.columns)).alias(row), _keyed(docs, doc_id, source, size_of(text), prior).alias("m"))
-    out = rated(packed, params, cap).withColumn(m, _copies(cap)).where(F.col(m) > 0)
-    return out.select(F.explode(F.array_repeat(row, F.col(m))).alias(row)).select(*[F.col(row)[c].alias(c) for c in docs.columns])
+    n, row = own("n"), own("row")
+    packed = docs.select(F.struct(*map(col, docs.columns)).alias(row), _keyed(docs, doc_id, source, None, prior).alias("m"))
+    out = placed(packed, params).select(row, F.explode(F.array_repeat(F.lit(1), _copies())).alias(n))
+    return out.select(*[F.col(row)[c].alias(c) for c in docs.columns])
 
 
 #: DuckDB: the same targets and the same two histogram passes, as windows.

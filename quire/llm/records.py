@@ -273,7 +273,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "d
         n = tokens = at = 0
         out = index = None
         for batch in batches:
-            for some in portions(batch, "text"):
+            for some in portions(batch, "text", 4 << 20):
                 if out is None:
                     out, index = store.open_output_stream(path), store.open_output_stream(f"{base}/{name}.idx")
                 ids = some.column(0).fill_null(NONE).to_pylist()

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 STEP = 0xD1342543DE82EF95
 U = np.uint64
@@ -56,7 +56,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
 
 
-def portions(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of text; a longer row is alone."""
     i = batch.schema.get_field_index(text)
     off = text_bytes(batch.column(i))[1]

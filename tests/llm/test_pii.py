@@ -1,0 +1,86 @@
+"""PII surrogates: kinds, layout, coreference, distinctness."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import pii as P
+
+
+def replaced(documents, texts, key="k"):
+    rows = P.replaced(documents(list(enumerate(texts))), key).collect()
+    return [(r["text"], r["kinds"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def luhn(digits):
+    d = [int(c) for c in digits][::-1]
+    return sum(d[0::2] + [x * 2 - 9 * (x > 4) for x in d[1::2]]) % 10 == 0
+
+
+def test_layout_and_kind(documents):
+    text = "a.b+c7@mail3.example.com, 10.2.3.44; +1 (988) 555-2485 4041-8949-7460-8795 123-45-6789 DE89 3704 0044 0532 0130 00 1beb58b8af68854f0e01b4ad"
+    ((out, kinds),) = replaced(documents, [text])
+    assert kinds == ["email", "ip", "phone", "card", "ssn", "iban", "secret"]
+    assert re.fullmatch(r"[a-z]\.[a-z]\+[a-z]\d@[a-z]{4}\d\.[a-z]{7}\.com, 10\.\d+\.\d+\.\d+; \+1 \(\d{3}\) \d{3}-\d{4} 4\d{3}-\d{4}-\d{4}-\d{4} \d{3}-\d\d-\d{4} DE\d\d( \d{4}){4} \d\d [0-9a-f]{24}", out)
+    assert luhn(re.search(r"4[\d-]{18}", out)[0].replace("-", ""))
+    for old in text.replace(",", " ").replace(";", " ").split():
+        if len(old) > 4:
+            assert old not in out
+
+
+def test_coreference_across_documents_and_layouts(documents):
+    out = replaced(documents, [
+        "Mrs. Anna Smith and Dr Smith and John Smith. Herr Jürgen Groß", "call +1 (988) 555-2485, a@b.com, c@b.com", "+1-988-555-2485 is A@B.COM", "Анна Петрова и Иван Петрова", "MR. Smith said"])
+    a = re.fullmatch(r"Mrs\. (\w+) (\w+) and Dr (\w+) and (\w+) (\w+)\. Herr (\w+) (\w+)", out[0][0])
+    assert a[2] == a[3] == a[5] != a[7]
+    female, male = P.GIVEN["f"].split(), P.GIVEN["m"].split()
+    assert a[1] in female and a[4] in male and a[6] in male and "Smith" not in out[0][0]
+    phone = re.search(r"\(?(\d{3})\)?[ -](\d{3}-\d{4})", out[1][0])
+    again = re.search(r"\+1-(\d{3})-(\d{3}-\d{4})", out[2][0])
+    assert phone.groups() == again.groups()
+    one, two = re.findall(r"(\w)@([\w.]+)", out[1][0])
+    assert one[1] == two[1] and one[0] != two[0]
+    assert f"{one[0]}@{one[1]}".upper() in out[2][0]
+    b = re.fullmatch(r"(\w+) (\w+) и (\w+) (\w+)", out[3][0])
+    assert b[1] in P.GIVEN["F"].split() and b[3] in P.GIVEN["M"].split() and b[2] == b[4] and re.fullmatch("[А-Яа-я]+", b[2])
+
+
+def test_distinct_entities_stay_distinct(documents):
+    """One-letter addresses at one domain: 26 entities for 26 surrogates but their own."""
+    names = "abcdefghij"
+    texts = [f"{c}@x.com" for c in names] + [f"Mr. {a}{b}son" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeiou"]
+    out = [t for t, _ in replaced(documents, texts)]
+    assert len(set(out)) == len(texts) and not set(out) & set(texts)
+
+
+def test_key_and_reruns(documents):
+    texts = ["a1@b.com 42.144.35.254"] * 3 + ["Mr. Jones"]
+    one, two, other = replaced(documents, texts), replaced(documents, texts), replaced(documents, texts, "other")
+    assert one == two and len({t for t, _ in one[:3]}) == 1 and one[0][0] != other[0][0] and one[3] != other[3]
+
+
+def test_edges(documents):
+    long = "plain words " * 100_000 + "x@y.org"
+    texts = [None, "", "nothing here", "1.2.3 999.1.1.1 12345678 v1.2.3.4.5 a@b @ c. 1beb58b8", long, "A" * 100_000, "x@y.org" * 2000]
+    docs = documents(list(enumerate(texts)))
+    out = {r["doc_id"]: r for r in P.replaced(docs, "k").collect()}
+    assert [out[i]["text"] for i in range(4)] == texts[:4] and all(out[i]["n_entities"] == 0 for i in range(4))
+    assert out[4]["n_entities"] == 1 and out[4]["text"].startswith("plain words ") and not out[4]["text"].endswith("x@y.org")
+    assert out[5]["text"] == texts[5]
+    both = P.replaced(docs.unionByName(docs), "k")
+    assert both.count() == 2 * len(texts) and both.distinct().count() == len(texts)
+    assert [c for c in docs.columns if c not in both.columns] == []
+    assert P.replaced(docs.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("kind, pattern", P.KINDS)
+def test_one_pattern_and_all_patterns_agree(documents, spark, kind, pattern):
+    from conftest import SF_MID  # tests/conftest.py
+
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    if kind == "person":
+        return
+    alone = F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    counted = F.size(F.filter(P.entities(F.col("text")), lambda e: P.kind_of(e) == kind))
+    assert docs.where(alone != counted).count() == 0
