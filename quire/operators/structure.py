@@ -3,8 +3,9 @@
 ``ordered_concat`` joins a document's parts in two levels: first runs of at
 most ``block`` consecutive parts (grouped by document *and* block number, so
 a document with millions of parts is spread over many tasks), then the
-already-joined runs. No group ever holds more than ``block`` items, however
-large one document is.
+already-joined runs. Level one bounds what is sorted and joined at once; level two
+gathers a document's runs into one row, as its result - one string for each
+document - requires. A document must therefore fit one row (2 GB).
 """
 
 from __future__ import annotations

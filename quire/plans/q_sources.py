@@ -12,15 +12,24 @@ from quire.plans.q_chunking import _chunk_sql, prepared
 from quire.session import shared_dir
 from quire.sources import files as FS
 from quire.sources import store as S
-from quire.sources.tables import read_table
+from quire.sources.tables import TABLES, read_table
 
 
-@register("scan_sources")
+@register(
+    "scan_sources",
+    " UNION ALL ".join(f"SELECT '{t}.parquet' AS source, TRUE AS has_bytes, count(*) AS n_rows FROM {t}" for t in TABLES),
+)
 def scan_sources(spark, sf_dir):
-    """The driver tables as files (no bytes read); listing has no SQL oracle."""
-    return FS.scan_sources(spark, sf_dir, "*.parquet", recursive=False).select(
-        FS.base_name(F.col("path")).alias("name"), "length"
-    )
+    """The driver tables as files (listed, no bytes read), by table, beside the number of
+    rows that reading them finds."""
+    files = FS.scan_sources(spark, sf_dir, "*.parquet")
+    source = F.regexp_extract("path", r"([^/]+\.parquet)(?:/[^/]+)?$", 1)
+    listed = files.groupBy(source.alias("source")).agg((F.sum("length") > 0).alias("has_bytes"))
+    rows = None
+    for t in TABLES:
+        one = read_table(spark, sf_dir, t, spread=False).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(f"{t}.parquet").alias("source"), "n_rows")
+        rows = one if rows is None else rows.unionByName(one)
+    return listed.join(rows, "source", "full")
 
 
 _EXT = ["'.pdf'", "'.docx'", "'.PDF'", "''", "'.txt'", "'.Docx'"]
@@ -129,7 +138,7 @@ def incremental_index(spark, sf_dir):
     return S.read_chunks(spark, root, 64).select("id", "filename", "split_strategy", "chunk_index", "chunk_text")
 
 
-@register("chunk_text_udtf", _chunk_sql("fixed").replace("SELECT doc_id, chunk_index, chunk_text FROM ch", "SELECT doc_id, chunk_index, chunk_text FROM ch"))
+@register("chunk_text_udtf", _chunk_sql("fixed"))
 def chunk_text_udtf(spark, sf_dir):
     """``LATERAL chunk_text(...)`` over the prepared documents."""
     QS.register_chunk_udtf(spark)

@@ -36,3 +36,35 @@ def test_oracle_sql_binds_in_duckdb():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
     for name, sql in E.oracle_sql().items():
         con.execute(f"DESCRIBE {sql}")  # parses and binds without running the query
+
+
+def test_works_without_the_training_data_part():
+    """What is deleted with that part may be absent; other import errors are raised."""
+    import subprocess
+    import sys
+    import textwrap
+
+    code = """
+    import sys
+    class Absent:
+        def find_spec(self, name, path=None, target=None):
+            if name == "quire.llm" or name.startswith("quire.llm.") or name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {name!r}", name=sys.argv[1] or name)
+    sys.meta_path.insert(0, Absent())
+    import __spark_entry__ as E
+    names = set(E.queries())
+    assert "clean_text" in names and "pipeline" not in names and not any(n.startswith("op1") for n in names)
+    assert set(E.oracle_sql()) <= names
+    """
+    run = lambda arg: subprocess.run([sys.executable, "-c", textwrap.dedent(code), arg], cwd=ROOT, capture_output=True, text=True)
+    assert run("").returncode == 0
+    assert run("tokenizers").returncode != 0  # an operator's own import error is not swallowed
+
+
+def test_nothing_imports_the_training_data_part():
+    import pathlib
+    import re
+
+    for f in pathlib.Path(ROOT, "quire").rglob("*.py"):
+        if "llm" not in f.relative_to(ROOT).parts:
+            assert not re.search(r"quire\.llm|corpus_pipeline|from quire import llm", f.read_text()), f
