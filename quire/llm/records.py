@@ -355,7 +355,8 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{file['path']} does not hold what the manifest says")
                 yield _rows(rows)
 
-    files = files.repartition("path").select("part", "path", "records", "tokens", "bytes", "start")
+    # a given number of partitions: a manifest's few bytes must not make one task of all files
+    files = files.repartition(max(1, manifest.count())).select("part", "path", "records", "tokens", "bytes", "start")
     return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, part string")
 
 
