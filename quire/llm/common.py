@@ -3,11 +3,12 @@ folder, columns whose names cannot clash, distributed connected components."""
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 8 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Whole documents travel to Python in Arrow batches, which both sides hold: keep a
+    batch to 8 MB of this session's (64 MB by default) however many rows that is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def own(name: str) -> str:
     """A working column name that no input column has."""
     return f"_{name}_{uuid.uuid4().hex[:8]}"
@@ -41,6 +53,7 @@ def col(name: str) -> Column:
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` for columns of any name (dots, blanks): positions go through Spark,
     ``run`` sees and gives the names."""
+    lean(df.sparkSession)
     names, given = df.columns, schema.names
     safe = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema.fields)])
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, col, need, own
+from quire.llm.common import arrow_map, col, need
 from quire.llm.words import portions
 
 MAX_PAD = 60
@@ -296,15 +296,16 @@ def page_text(html: str | None) -> str | None:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """``pages`` with the rendered text in the column ``text`` (replacing one so named)."""
     need(pages, html)
-    raw = own("html")
-    rest = pages.select(*[col(c) for c in pages.columns if c != text], col(html).cast("string").alias(raw))
-    schema = rest.drop(raw).withColumn(text, F.lit("").cast("string")).schema
+    kept = [c for c in pages.columns if c != text]
+    given = pages.select(*map(col, pages.columns if html == text else kept))
+    schema = given.select(*map(col, kept)).withColumn(text, F.lit("").cast("string")).schema
     schema[text].nullable = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in portions(batch, raw):
-                made = pa.array([page_text(x) for x in part.column(part.num_columns - 1).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], made], names=[*part.schema.names[:-1], text])
+            for part in portions(batch, html):
+                made = pa.array([page_text(x) for x in part.column(part.schema.get_field_index(html)).to_pylist()], pa.string())
+                rest = [c for c, name in zip(part.columns, part.schema.names, strict=True) if name != text]
+                yield pa.RecordBatch.from_arrays([*rest, made], names=schema.names)
 
-    return arrow_map(rest, run, schema)
+    return arrow_map(given, run, schema)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, components, need, staged
+from quire.llm.common import col, components, lean, need, staged
 from quire.llm.words import U, Words, mix, portions, signed
 
 SHINGLE = 5
@@ -346,6 +346,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least ``similarity``), kept (doc_id = component_id). Rows without a doc_id give
     one row each, of nulls and kept = true."""
     need(docs, doc_id, text)
+    lean(docs.sparkSession)
     codes = idf_codes(docs, text, sketch_bits)
     sig = staged(signatures(docs.where(col(doc_id).isNotNull()), doc_id, text, codes), "signatures")
     classes = sig.where("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"))

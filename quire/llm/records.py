@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import col, need, staged
+from quire.llm.common import col, lean, need, staged
 from quire.llm.words import BASE, PIECE, U, grown, mix, portions, powers, text_bytes
 from quire.session import shared_dir
 
@@ -259,6 +259,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "d
     from pyarrow import fs
 
     need(docs, doc_id, text)
+    lean(docs.sparkSession)
     where, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     where.create_dir(root)
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import arrow_map, col, need, own, staged
+from quire.llm.common import arrow_map, col, lean, need, own, staged
 from quire.llm.words import U, Words, mix, portions
 
 BITS = 18
@@ -126,18 +126,17 @@ def scored(docs: DataFrame, machine: Machine, text: str = "text", score: str = "
     """``docs`` with the score of every whole text in the column ``score``."""
     need(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    raw = own("text")
+    rest = docs.drop(score)
+    at = rest.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in portions(batch, raw):
-                row, bucket = terms(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.scores(row, bucket, part.num_rows))], names=[*part.schema.names[:-1], score])
+            for part in portions(batch, text):
+                row, bucket = terms(part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.scores(row, bucket, part.num_rows))], names=[*part.schema.names, score])
 
-    rest = docs.drop(score)
-    schema = rest.withColumn(score, F.lit(0.0)).schema
-    return arrow_map(rest.withColumn(raw, col(text).cast("string")), run, schema)
+    return arrow_map(rest, run, rest.withColumn(score, F.lit(0.0)).schema)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -149,6 +148,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """Train on the labelled rows that are not held out."""
     need(docs, doc_id, text)
     need(labels, doc_id, label)
+    lean(docs.sparkSession)
     rows = docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("text"))
     known = labels.where(~held_out(col(doc_id))).select(col(doc_id).alias("id"), col(label).alias("label"))
     return trained(rows, known, **options)

@@ -50,7 +50,7 @@ def grown(n: int) -> int:
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column and its row offsets; null is empty."""
-    arr = pc.fill_null(column, "").cast(pa.large_string())
+    arr = pc.fill_null(column.cast(pa.large_string()), "")
     off = np.frombuffer(arr.buffers()[1], dtype=np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = arr.buffers()[2]
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), off
