@@ -91,13 +91,21 @@ def idf_codes(docs: DataFrame, text: str, bits: int = SKETCH_BITS) -> np.ndarray
     import pandas as pd
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((2, 1 << bits), np.uint32), 0
+        total, n, held = np.zeros((2, 1 << bits), np.uint32), 0, [np.zeros(0, U)]
+
+        def flush() -> None:
+            for line, at in zip(total, places(np.concatenate(held), bits), strict=True):
+                line += np.bincount(at, minlength=1 << bits).astype(np.uint32)
+            held[:] = [np.zeros(0, U)]
+
         for batch in batches:
             for part in portions(batch, "text"):
                 w = Words(part.column(0))
                 n += int((w.counts > 0).sum())
-                for line, at in zip(total, places(shingles(w)[1], bits), strict=True):
-                    np.add.at(line, at, 1)
+                held.append(shingles(w)[1])
+                if sum(map(len, held)) > 1 << 20:
+                    flush()
+        flush()
         flat = total.reshape(-1, min(CHUNK, 1 << bits))
         if n:
             lane = int(np.random.default_rng(int(total[0].argmax()) + n).integers(64))
