@@ -223,8 +223,7 @@ GROUP BY doc_id""",
 def strategy_collisions(spark, sf_dir):
     """Without reflow, documents with no blank line chunk identically under
     `paragraph` and `fixed` - the defect reflow exists to prevent."""
-    docs = clean_only(spark, sf_dir).select("doc_id", "text", F.explode(F.array(F.lit("fixed"), F.lit("paragraph"))).alias("s"))
-    both = C.chunk_text(docs, "text", F.col("s"), SIZE, OVERLAP, keep=["doc_id"])
+    both = C.chunk_text(clean_only(spark, sf_dir), "text", ("fixed", "paragraph"), SIZE, OVERLAP, keep=["doc_id"])
     return C.strategy_collisions(both)
 
 
