@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 from quire.session import shared_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder of ``spark.checkpoint.dir`` and
-    read it back: lineage is cut, lost executors only re-read files."""
+    read it back: lineage is cut, lost executors only re-read files. ``few``: little comes
+    from many tasks (a narrow scan's survivors, say), so it is rebalanced into files
+    of fair size instead of a tiny one for each task."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.hint("rebalance") if few else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -142,7 +142,7 @@ def _keyed(docs: DataFrame, doc_id: str, source: str, size: Column | None, prior
 def parameters(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, prior: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(sized rows, parameters of each source); texts are measured once."""
     need(docs, doc_id, source, text)
-    sized = staged(docs.select(_keyed(docs, doc_id, source, size_of(text), prior).alias("m")), "sizes")
+    sized = staged(docs.select(_keyed(docs, doc_id, source, size_of(text), prior).alias("m")), "sizes", few=True)
     sources = sized.groupBy(F.col("m.source").alias("source"), F.col("m.prior").alias("prior")).agg(F.sum("m.size").alias("tokens"))
     sources = staged(sources, "cells")
     targets = weighted_targets(sources.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, share, cap)

@@ -324,7 +324,7 @@ def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float
     pairs = staged(two.unionByName(one).distinct(), "pairs")
     # every text that is compared below, read once
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(star.select(F.col("rep").alias("id")))
-    texts = staged(only(docs, staged(wanted.distinct(), "wanted")), "texts")
+    texts = staged(only(docs, staged(wanted.distinct(), "wanted")), "texts", few=True)
     sims = staged(verified(pairs, texts, codes), "sims")
 
     # the left-over of large buckets: sim is exact or, where not compared, its bound

@@ -74,7 +74,7 @@ def sharded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     body = F.coalesce(raw, F.lit("")).cast("binary")
     digest = F.when(raw.isNull(), F.lit("")).otherwise(F.md5(body))
     rows = docs.select(col(doc_id).alias("doc_id"), size.alias("size"), F.crc32(body).alias("text_crc32"), F.xxhash64(digest, size).alias("g1"), F.xxhash64(F.reverse(digest), size).alias("g2"))
-    rows = staged(rows, "sizes")
+    rows = staged(rows, "sizes", few=True)
     total = rows.agg(F.sum("size")).first()[0] or 0
     least = max(1, -(-total // (shards * LARGE)))
     groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))

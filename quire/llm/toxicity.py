@@ -102,7 +102,7 @@ def trained(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS, trai
 
     known = labels.where("label is not null and id is not null").groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
     picked = staged(known.orderBy(F.xxhash64("id"), "id").limit(train_rows), "picked")
-    sample = staged(featurized(docs.join(F.broadcast(picked), "id").select("id", "label", "text")), "terms")
+    sample = staged(featurized(docs.join(F.broadcast(picked), "id").select("id", "label", "text")), "terms", few=True)
     n, toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     none = np.zeros(0), np.zeros((0, factors))
     if not 0 < toxic < n:
