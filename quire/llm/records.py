@@ -40,7 +40,7 @@ from quire.session import shared_dir
 END = 2
 NONE = -(1 << 63)
 HEAD = np.dtype([("size", "<u8"), ("crc", "<u4")])
-CACHE_PIECES = 1_000_000  # about 120 MB a worker
+CACHE_PIECES = 300_000  # about 40 MB a worker
 FILES = "part string, path string, records bigint, tokens bigint, bytes bigint"
 
 
@@ -274,7 +274,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "d
         n = tokens = at = 0
         out = index = None
         for batch in batches:
-            for some in portions(batch, "text", 4 << 20):
+            for some in portions(batch, "text", 2 << 20):
                 if out is None:
                     out, index = store.open_output_stream(path), store.open_output_stream(f"{base}/{name}.idx")
                 ids = some.column(0).fill_null(NONE).to_pylist()
