@@ -40,7 +40,7 @@ from quire.session import shared_dir
 END = 2
 NONE = -(1 << 63)
 HEAD = np.dtype([("size", "<u8"), ("crc", "<u4")])
-CACHE_PIECES = 300_000  # about 40 MB a worker
+CACHE_PIECES = 500_000  # about 65 MB a worker
 FILES = "part string, path string, records bigint, tokens bigint, bytes bigint"
 
 
