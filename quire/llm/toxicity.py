@@ -33,6 +33,7 @@ MAX_TERMS = 4096
 MIN_DOCS = 3
 MIN_CHI = 30.0  # one bucket in 10^7 passes by chance, of 2^18
 TRAIN_ROWS = 20_000
+TRAIN_PARTS = 8  # of the bounded sample: each iteration is so many tasks
 FACTORS = 4
 ITERATIONS = 120
 STEP = 0.05
@@ -114,7 +115,8 @@ def trained(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS, trai
     if not chosen:
         return Machine(np.zeros(0, np.int64), float(np.log(toxic / (n - toxic))), *none)
     vectors = CountVectorizerModel.from_vocabulary([str(b) for b in chosen], "terms", "features").setBinary(True)
-    rows = vectors.transform(sample.select(F.col("label").cast("double").alias("label"), F.transform("buckets", lambda b: b.cast("string")).alias("terms"))).select("label", "features").persist()
+    rows = vectors.transform(sample.select(F.col("label").cast("double").alias("label"), F.transform("buckets", lambda b: b.cast("string")).alias("terms"))).select("label", "features")
+    rows = rows.coalesce(TRAIN_PARTS).persist()
     try:
         model = FMClassifier(factorSize=factors, maxIter=iterations, stepSize=STEP, regParam=REG, initStd=0.01, solver="adamW", seed=7).fit(rows)
     finally:
