@@ -94,7 +94,7 @@ def slices(bench: DataFrame, item: str, text: str, most: int) -> Iterator[list[t
     """The benchmark in slices of at most about ``most`` bytes (one longer item is alone)."""
     rows = bench.select(col(item).cast("string").alias("item"), col(text).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    n = int(-(-total // most))
+    n = max(1, int(-(-total // most)))  # an empty benchmark is one empty slice
     for k in range(n):
         mine = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else rows
         yield [tuple(r) for r in mine.collect()]
@@ -111,7 +111,7 @@ def scanned(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "
     arrow = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))])
     out = docs.withColumn(found, F.lit(None).cast(kind))
     spark = docs.sparkSession
-    for items in list(slices(bench, item, item_text, max_broadcast_bytes)) or [[]]:
+    for items in slices(bench, item, item_text, max_broadcast_bytes):
         shared = spark.sparkContext.broadcast(items)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

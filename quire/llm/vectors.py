@@ -76,7 +76,7 @@ def codes(x: np.ndarray, k: int, tables: int, probes: int = PROBES) -> np.ndarra
 
 
 def signed_vectors(vectors: DataFrame, vec_id: str, embedding: str, n: int) -> DataFrame:
-    """(id, ok, h1, h2, dim, v, codes): codes flat, table by table, main first."""
+    """(id, ok, h1, h2, dim, v, tables, codes): codes flat, table by table, main first."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -91,11 +91,11 @@ def signed_vectors(vectors: DataFrame, vec_id: str, embedding: str, n: int) -> D
                     x = x / np.abs(x).max(1, keepdims=True)
                     for i, c in zip(group, codes(x, *plan(n, dim)), strict=True):
                         h = np.frombuffer(hashlib.blake2b((rows[i][1] + 0.0).tobytes(), digest_size=16).digest(), np.int64)
-                        out[i] |= {"ok": True, "h1": h[0], "h2": h[1], "dim": dim, "v": rows[i][1], "codes": c.ravel()}
-                yield pa.RecordBatch.from_pylist(list(out.values()), schema=pa.schema([("id", pa.int64()), ("ok", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("dim", pa.int32()), ("v", pa.list_(pa.float64())), ("codes", pa.list_(pa.int64()))]))
+                        out[i] |= {"ok": True, "h1": h[0], "h2": h[1], "dim": dim, "v": rows[i][1], "tables": len(c), "codes": c.ravel()}
+                yield pa.RecordBatch.from_pylist(list(out.values()), schema=pa.schema([("id", pa.int64()), ("ok", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("dim", pa.int32()), ("v", pa.list_(pa.float64())), ("tables", pa.int32()), ("codes", pa.list_(pa.int64()))]))
 
     rows = vectors.where(col(vec_id).isNotNull()).select(col(vec_id).cast("long").alias("id"), col(embedding).cast("array<double>").alias("v"))
-    return rows.mapInArrow(sign, "id long, ok boolean, h1 long, h2 long, dim int, v array<double>, codes array<long>")
+    return rows.mapInArrow(sign, "id long, ok boolean, h1 long, h2 long, dim int, v array<double>, tables int, codes array<long>")
 
 
 def first_meeting(t: int, a: dict, b: dict) -> np.ndarray:
@@ -164,15 +164,12 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     once = sig.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("ok", "h1", "h2")).alias("x"))
     ids = staged(once.select("id", "x.*"), "ids")
     classes = ids.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    reps = sig.join(classes, ["id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "n", "dim", "v", "codes")
-    tables = F.lit(0)
-    for dim in [r[0] for r in sig.where("ok").select("dim").distinct().limit(1000).collect()]:
-        tables = F.when(F.col("dim") == dim, plan(total, dim)[1]).otherwise(tables)
-    each = (F.size("codes") / F.col("t_n")).cast("int")
-    rows = reps.withColumn("t_n", tables).withColumn("each", each).select("*", F.posexplode("codes").alias("at", "code"))
+    reps = sig.join(classes, ["id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "n", "dim", "v", "tables", "codes")
+    each = (F.size("codes") / F.col("tables")).cast("int")
+    rows = reps.withColumn("each", each).select("*", F.posexplode("codes").alias("at", "code"))
     rows = rows.select("id", "n", "dim", "v", "codes", (F.col("at") / F.col("each")).cast("int").alias("t"), "code", (F.col("at") % F.col("each") == 0).alias("main"))
     keys = ["dim", "t", "code"]
-    small = sig.where("ok").join(classes.select("id"), "id").withColumn("t_n", tables).withColumn("each", each).select("dim", "each", F.posexplode("codes").alias("at", "code"))
+    small = sig.where("ok").join(classes.select("id"), "id").select("dim", each.alias("each"), F.posexplode("codes").alias("at", "code"))
     large = small.select("dim", (F.col("at") / F.col("each")).cast("int").alias("t"), "code").groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > block)
     large = staged(large.select(*keys, F.ceil(F.col("size") / block).cast("int").alias("blocks")), "large")
     rows = rows.join(F.broadcast(large) if large.count() <= 100_000 else large, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
