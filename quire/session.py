@@ -25,7 +25,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         # whole documents travel through the Python kernels: keep Arrow batches
         # small enough that a batch of very long texts stays in worker memory
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-        .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("QUIRE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
