@@ -6,7 +6,10 @@ miss. Terms are a document's distinct words, the first 4 and 5 bytes of its long
 words (word families) and its pairs of neighbouring words, hashed into 2^18 buckets.
 Labelled training rows choose the buckets that go on: document counts by label in one
 aggregation, then chi-square values of MIN_CHI and over, the MAX_TERMS largest (of at
-least MIN_DOCS documents). The machine is fitted by ``pyspark.ml.classification.FMClassifier`` on at most
+least MIN_DOCS documents). Beside these go the words of telling pairs, whatever they tell
+alone: over all pairs of a document's words, label less what the two marginal rates
+together foretell is summed in a hashed table of 2^PAIR_BITS, the HOT_CELLS largest of its
+cells of MIN_CHI and over are counted pair by pair, and again MIN_CHI decides. The machine is fitted by ``pyspark.ml.classification.FMClassifier`` on at most
 TRAIN_ROWS labelled rows (those whose doc_id hashes least: a documented bound); all
 whole texts are scored with the model, whose size MAX_TERMS bounds.
 
@@ -34,6 +37,9 @@ MIN_DOCS = 3
 MIN_CHI = 30.0  # one bucket in 10^7 passes by chance, of 2^18
 TRAIN_ROWS = 20_000
 TRAIN_PARTS = 8  # of the bounded sample: each iteration is so many tasks
+PAIR_BITS = 21
+PAIR_BLOCK = 1 << 20  # pairs worked on at once
+HOT_CELLS = 4096
 FACTORS = 4
 ITERATIONS = 120
 STEP = 0.05
@@ -63,11 +69,14 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def terms(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, bucket) pairs of a portion, sorted."""
+def terms(column: pa.Array, bits: int = BITS, words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, bucket) pairs of a portion, sorted; with ``words``, of whole words only."""
     w = Words(column, HEADS)
     rows, size = w.rows(), w.ends - w.starts
     keys, owners = [w.hashes], [rows]
+    if words:
+        key = np.unique(rows.astype(np.int64) << bits | (w.hashes >> U(64 - bits)).astype(np.int64))
+        return key >> bits, key & ((1 << bits) - 1)
     for n, h in zip(HEADS, w.heads, strict=True):
         long = size > n
         keys.append(h[long])
@@ -82,16 +91,94 @@ def terms(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def featurized(rows: DataFrame) -> DataFrame:
-    """(id, label, buckets) from (id, label, text)."""
+    """(id, label, buckets, words: the buckets of whole words) from (id, label, text)."""
+
+    def lists(row: np.ndarray, bucket: np.ndarray, n: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(bucket.astype(np.int32)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in portions(batch, "text"):
-                row, bucket = terms(part.column(2))
-                at = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(at), pa.array(bucket.astype(np.int32)))], names=["id", "label", "buckets"])
-
-    return rows.mapInArrow(make, "id long, label int, buckets array<int>")
+                text, n = part.column(2), part.num_rows
+                found = lists(*terms(text), n), lists(*terms(text, words=True), n)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], names=["id", "label", "buckets", "words"])
+
+    return rows.mapInArrow(make, "id long, label int, buckets array<int>, words array<int>")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks (first, second, label, foretold rate) of the pairs of known words of each
+    (label, words) row. ``odds`` has by bucket the log odds of the label over those of all
+    rows, nan if unknown, and at its end those of all rows."""
+    for batch in batches:
+        labels, lists = batch.column(0).to_numpy(), batch.column(1)
+        for r in range(batch.num_rows):
+            w = lists[r].values.to_numpy()
+            w = w[~np.isnan(odds[w])].astype(np.int64)
+            n, at = len(w), 0
+            step = max(1, PAIR_BLOCK // max(n, 1))
+            while at < n - 1:
+                i, j = np.nonzero(np.arange(n)[None, :] > np.arange(at, min(at + step, n))[:, None])
+                a, b = w[i + at], w[j]
+                yield a, b, labels[r], 1 / (1 + np.exp(-(odds[a] + odds[b] + odds[-1])))
+                at += step
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cell, key, label less foretold rate, its variance) of some PAIR_BLOCK pairs at a time."""
+    held, size = [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        key, over, var = (np.concatenate(x) for x in zip(*held, strict=True))
+        return (mix(key.astype(U) + U(1)) >> U(64 - PAIR_BITS)).astype(np.int64), key, over, var
+
+    for a, b, label, rate in _pairs(batches, odds):
+        held.append((a << BITS | b, label - rate, rate * (1 - rate)))
+        size += len(a)
+        if size >= PAIR_BLOCK:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def paired(sample: DataFrame, odds: np.ndarray) -> np.ndarray:
+    """The words (buckets) of pairs that tell more than both words do alone."""
+    shared = sample.sparkSession.sparkContext.broadcast(odds)
+    rows = sample.select("label", "words")
+    chunk = 1 << 14
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 1 << PAIR_BITS))
+        for cell, _, over, var in _blocks(batches, shared.value):
+            total[0] += np.bincount(cell, over, 1 << PAIR_BITS)
+            total[1] += np.bincount(cell, var, 1 << PAIR_BITS)
+        for at in range(0, total.shape[1], chunk):
+            part = total[:, at : at + chunk]
+            if part[1].any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + chunk)), pa.array(part[0]), pa.array(part[1])], names=["cell", "over", "var"])
+
+    score = F.col("over") ** 2 / F.col("var")
+    cells = rows.mapInArrow(summed, "cell long, over double, var double").groupBy("cell").agg(F.sum("over").alias("over"), F.sum("var").alias("var"))
+    hot = np.zeros(1 << PAIR_BITS, bool)
+    hot[[r[0] for r in cells.where((F.col("var") > 0) & (score >= MIN_CHI)).orderBy(score.desc(), "cell").limit(HOT_CELLS).select("cell").collect()]] = True
+    if not hot.any():
+        return np.zeros(0, np.int64)
+    marked = sample.sparkSession.sparkContext.broadcast(hot)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell, key, over, var in _blocks(batches, shared.value):
+            on = marked.value[cell]
+            if not on.any():
+                continue
+            keys, at = np.unique(key[on], return_inverse=True)
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, minlength=n)), pa.array(np.bincount(at, over[on], n)), pa.array(np.bincount(at, var[on], n))], names=["pair", "d", "over", "var"])
+
+    pairs = rows.mapInArrow(counted, "pair long, d long, over double, var double").groupBy("pair").agg(*(F.sum(x).alias(x) for x in ("d", "over", "var")))
+    telling = pairs.where((F.col("d") >= MIN_DOCS) & (F.col("var") > 0) & (score >= MIN_CHI)).orderBy(score.desc(), "pair").limit(MAX_TERMS).select("pair").collect()
+    pair = np.array([r[0] for r in telling], np.int64)
+    return np.unique(np.concatenate([pair >> BITS, pair & ((1 << BITS) - 1)]))
 
 
 def trained(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS, train_rows: int = TRAIN_ROWS, factors: int = FACTORS, iterations: int = ITERATIONS) -> Machine:
@@ -111,9 +198,16 @@ def trained(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS, trai
     seen = sample.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("d"), F.sum("label").alias("t"))
     expected = F.col("d") * F.lit(toxic / n)
     chi = (F.col("t") - expected) ** 2 / expected + (F.col("t") - expected) ** 2 / (F.col("d") - expected)
-    chosen = sorted(r[0] for r in seen.where((F.col("d") >= MIN_DOCS) & (chi >= MIN_CHI)).orderBy(chi.desc(), "bucket").limit(max_terms).select("bucket").collect())
+    counts = seen.where(F.col("d") >= MIN_DOCS).select("bucket", "d", "t", F.coalesce(chi, F.lit(0.0)).alias("chi")).toPandas()  # at most 2^BITS rows
+    base = float(np.log(toxic / (n - toxic)))
+    odds = np.full((1 << BITS) + 1, np.nan)
+    # each rate is drawn towards that of all rows by one row of it
+    odds[counts["bucket"]] = np.log((counts["t"] + toxic / n) / (counts["d"] - counts["t"] + 1 - toxic / n)) - base
+    odds[-1] = base
+    telling = counts[counts["chi"] >= MIN_CHI].sort_values(["chi", "bucket"], ascending=[False, True])["bucket"].to_numpy()[:max_terms]
+    chosen = [int(b) for b in np.union1d(telling, paired(sample, odds))]
     if not chosen:
-        return Machine(np.zeros(0, np.int64), float(np.log(toxic / (n - toxic))), *none)
+        return Machine(np.zeros(0, np.int64), base, *none)
     vectors = CountVectorizerModel.from_vocabulary([str(b) for b in chosen], "terms", "features").setBinary(True)
     rows = vectors.transform(sample.select(F.col("label").cast("double").alias("label"), F.transform("buckets", lambda b: b.cast("string")).alias("terms"))).select("label", "features")
     rows = rows.coalesce(TRAIN_PARTS).persist()

@@ -34,6 +34,23 @@ def test_learns_what_only_a_pair_tells(spark):
     assert s[2] > 0.5 and s[3] > 0.5 and max(s[0], s[1], s[4], s[5], s[6]) < 0.5
 
 
+def test_learns_a_pair_whose_words_tell_nothing_alone(spark):
+    """Toxic if both or neither of two words stand, never side by side: each word's own
+    chi-square with the label is far under the mark."""
+    r = random.Random(3)
+
+    def text(a, b):
+        n = [f"n{r.randint(0, 200)}" for _ in range(6)]
+        return " ".join([n[0], "insult" if a else n[1], n[2], n[3], "group" if b else n[4], n[5]])
+
+    kinds = [(bool(i & 1), bool(i & 2)) for i in range(2400)]
+    df = spark.createDataFrame([(i, text(a, b), int(a == b)) for i, (a, b) in enumerate(kinds[:2000])], "id long, text string, label int")
+    m = X.trained(df.select("id", "text"), df.select("id", "label"))
+    new = [text(a, b) for a, b in kinds[2000:]]
+    s = m.scores(*X.terms(pa.array(new)), len(new))
+    assert sum((p > 0.5) == (a == b) for p, (a, b) in zip(s, kinds[2000:], strict=True)) > 360
+
+
 def test_edges(documents, spark):
     rows = [(1, "fine words"), (2, None), (3, ""), (4, "x " * 300_000), (4, "twice"), (None, "no id")]
     docs = documents(rows)
