@@ -287,6 +287,30 @@ def redact_error(spark, sf_dir):
     return pages.select("page_id", U.redact_column(msg, F.lit("OperationalError")).alias("redacted"))
 
 
+@register(
+    "redact_error_pages",
+    f"""WITH m AS (SELECT page_id, 'address' AS form, 'could not connect to server at ' || url || html AS message FROM pages
+UNION ALL SELECT page_id, 'whole', html FROM pages
+UNION ALL SELECT page_id, 'plain', replace(html, '://', ' ') FROM pages
+UNION ALL SELECT page_id, 'blank', '   ' FROM pages),
+s AS (SELECT page_id, form, {O.strip("coalesce(message, '')")} AS m FROM m)
+SELECT page_id, form, CASE WHEN contains(m, '://') THEN 'OperationalError (details withheld: may contain credentials)'
+                           WHEN m = '' THEN 'OperationalError' ELSE left(m, 300) END AS redacted FROM s""",
+)
+def redact_error_pages(spark, sf_dir):
+    """Every page's whole html in each form, and a blank message beside them."""
+    pages = read_table(spark, sf_dir, "pages")
+    forms = {
+        "address": F.concat(F.lit("could not connect to server at "), F.col("url"), F.col("html")),
+        "whole": F.col("html"),
+        "plain": F.replace(F.col("html"), F.lit("://"), F.lit(" ")),
+        "blank": F.lit("   "),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("form"), m.alias("message")) for name, m in forms.items()]))
+    cases = pages.select("page_id", rows.alias("c")).select("page_id", "c.form", "c.message")
+    return cases.select("page_id", "form", U.redact_column("message", F.lit("OperationalError")).alias("redacted"))
+
+
 _REC_COLS = ["customer_name", "email", "category", "priority", "status"]
 
 

@@ -160,3 +160,17 @@ def test_flow_keeps_messages_of_long_sessions_apart(spark):
     out = support_flow(m, U.load_support_requests(spark))
     assert sorted((r["session_id"], r["lookup_urgency"]) for r in out.collect()) == [(1, "Medium"), (2, "Low")]
     assert "app-password" not in out._jdf.queryExecution().toString()
+
+
+def test_every_page_is_an_error_message(spark):
+    """No page is blanked: its whole html is a message of its own, beside a blank one."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF_SMALL}/pages.parquet").collect()}
+    rows = {(r["page_id"], r["form"]): r["redacted"] for r in E.queries()["redact_error_pages"](spark, SF_SMALL).collect()}
+    assert set(rows) == {(p, f) for p in pages for f in ("address", "whole", "plain", "blank")}
+    for p, html in pages.items():
+        assert rows[p, "whole"] == U.redact_message(html, "OperationalError")
+        assert rows[p, "plain"] == U.redact_message((html or "").replace("://", " "), "OperationalError")
+        assert rows[p, "blank"] == "OperationalError"
