@@ -11,7 +11,8 @@ Plans:
   Arrow batches of chunk vectors with the query matrix in numpy and keeps a
   running top-k per query, so only ``k`` rows per query per task leave the
   task (no pair is ever materialised as a row). A window on ``query_id``
-  merges them. Query sets over the size bound run as several bounded passes.
+  merges them. Query sets over the size bound run as several bounded passes, each
+  written before the next is fetched.
 * ``search_approx`` - IVF: ``pyspark.ml`` KMeans assigns every chunk a cell;
   each query is scored only against the chunks of its ``n_probe`` nearest
   cells, with the same bounded-output kernel.
@@ -19,7 +20,6 @@ Plans:
 
 from __future__ import annotations
 
-import functools
 import math
 import textwrap
 from typing import Iterable, Sequence
@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from quire.functions import vectors as V
 from quire.functions.text import WS, strip_text
+from quire.session import shared_dir
 
 DEFAULT_TOP_K = 5
 PREVIEW_WIDTH = 340
@@ -236,10 +237,28 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
     return dims, len(preds), fetch
 
 
-def _run_passes(n_pass: int, fetch, build) -> DataFrame | None:
-    """One lazy plan, a branch for each pass; a pass's queries go out as a broadcast."""
-    parts = [build(*got) for got in map(fetch, range(n_pass)) if got is not None]
-    return functools.reduce(DataFrame.unionByName, parts) if parts else None
+def _run_passes(spark: SparkSession, n_pass: int, fetch, build, k: int) -> DataFrame | None:
+    """Top-k of all queries. One pass stays a lazy plan; of several, each is merged and
+    written to the shared folder before the next is fetched, so the driver holds the
+    queries of one pass only and the result is one scan. ``build(qids, qmat, share)`` sends
+    what its tasks need by ``share``, which is destroyed after the pass."""
+    if n_pass == 0:
+        return None
+    share = spark.sparkContext.broadcast
+    if n_pass == 1:
+        return _merge_topk(build(*fetch(0), share), k)
+    root = shared_dir(spark, "knn")
+    for p in range(n_pass):
+        sent: list = []
+
+        def kept(value):
+            sent.append(share(value))
+            return sent[-1]
+
+        _merge_topk(build(*fetch(p), kept), k).write.mode("append").parquet(root)
+        for b in sent:
+            b.destroy()
+    return spark.read.parquet(root)
 
 
 def _merge_topk(local: DataFrame, k: int) -> DataFrame:
@@ -267,13 +286,11 @@ def search_batch(
         raise ValueError("top_k must be greater than 0.")
     dims, n_pass, fetch = _query_passes(queries, max_broadcast_bytes)
     vecs = chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding"))
-    share = chunks.sparkSession.sparkContext.broadcast
-    local = _run_passes(
-        n_pass, fetch, lambda qids, qmat: vecs.mapInArrow(_knn_partition(share((qids, qmat)), k, dims), KNN_SCHEMA)
+    spark = chunks.sparkSession
+    found = _run_passes(
+        spark, n_pass, fetch, lambda qids, qmat, share: vecs.mapInArrow(_knn_partition(share((qids, qmat)), k, dims), KNN_SCHEMA), k
     )
-    if local is None:
-        return chunks.sparkSession.createDataFrame([], "query_id long, rank int, id long, similarity double")
-    return _merge_topk(local, k)
+    return spark.createDataFrame([], "query_id long, rank int, id long, similarity double") if found is None else found
 
 
 # Q6
@@ -374,12 +391,14 @@ def build_ivf(chunks: DataFrame, n_cells: int | None = None, seed: int = 7, max_
     return KMeans(k=n_cells, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cell").fit(unit)
 
 
-def _ivf_partition(qids: np.ndarray, qmat: np.ndarray, probes: dict, k: int, dims: int):
+def _ivf_partition(shared, k: int, dims: int):
     """mapInArrow body: score each chunk only against the queries probing its
     cell; one dense running top-k per cell (k rows per query and cell leave
-    the task, at most n_probe x k per query)."""
+    the task, at most n_probe x k per query). ``shared`` is the broadcast (ids, matrix,
+    queries by cell) of one pass."""
 
     def run(batches: Iterable[pa.RecordBatch]):
+        qids, qmat, probes = shared.value
         per_cell: dict[int, _DenseTopK] = {}
         for rb in batches:
             if rb.num_rows == 0:
@@ -428,19 +447,18 @@ def search_approx(
         ).where(F.col("features").isNotNull())
     ).select("id", "embedding", F.col("cell").cast("int").alias("cell"))
 
-    def build(qids, qmat):
+    def build(qids, qmat, share):
         near = np.argsort(-_cosine(qmat, centers), axis=1)[:, : min(n_probe, len(centers))]
         probes: dict[int, list[int]] = {}
         for j, cells in enumerate(near):
             for c in cells:
                 probes.setdefault(int(c), []).append(j)
         probes = {c: np.array(v, np.int64) for c, v in probes.items()}
-        return celled.mapInArrow(_ivf_partition(qids, qmat, probes, k, dims), KNN_SCHEMA)
+        return celled.mapInArrow(_ivf_partition(share((qids, qmat, probes)), k, dims), KNN_SCHEMA)
 
-    local = _run_passes(n_pass, fetch, build)
-    if local is None:
-        return chunks.sparkSession.createDataFrame([], "query_id long, rank int, id long, similarity double")
-    return _merge_topk(local, k)
+    spark = chunks.sparkSession
+    found = _run_passes(spark, n_pass, fetch, build, k)
+    return spark.createDataFrame([], "query_id long, rank int, id long, similarity double") if found is None else found
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame) -> DataFrame:
@@ -477,7 +495,7 @@ def search_ivf_index(spark, root: str, queries: DataFrame, k: int = DEFAULT_TOP_
     stored = spark.read.parquet(f"{root}/vectors")
     dims, n_pass, fetch = _query_passes(queries, max_broadcast_bytes)
 
-    def build(qids, qmat):
+    def build(qids, qmat, share):
         near = np.argsort(-_cosine(qmat, centers), axis=1)[:, : min(n_probe, len(centers))]
         probes: dict[int, list[int]] = {}
         for j, cells in enumerate(near):
@@ -485,9 +503,7 @@ def search_ivf_index(spark, root: str, queries: DataFrame, k: int = DEFAULT_TOP_
                 probes.setdefault(int(c), []).append(j)
         probes = {c: np.array(v, np.int64) for c, v in probes.items()}
         wanted = stored.where(F.col("cell").isin(sorted(probes))).select("id", "embedding", "cell")
-        return wanted.mapInArrow(_ivf_partition(qids, qmat, probes, k, dims), KNN_SCHEMA)
+        return wanted.mapInArrow(_ivf_partition(share((qids, qmat, probes)), k, dims), KNN_SCHEMA)
 
-    local = _run_passes(n_pass, fetch, build)
-    if local is None:
-        return spark.createDataFrame([], "query_id long, rank int, id long, similarity double")
-    return _merge_topk(local, k)
+    found = _run_passes(spark, n_pass, fetch, build, k)
+    return spark.createDataFrame([], "query_id long, rank int, id long, similarity double") if found is None else found

@@ -213,3 +213,28 @@ def test_query_and_document_space_must_match():
     E.check_same_space(E.HashingProvider(64), E.HashingProvider(64))
     with pytest.raises(E.EmbeddingError, match="do not match"):
         E.check_same_space(E.HashingProvider(64), E.HashingProvider(32))
+
+
+def test_a_pass_is_written_before_the_next_is_fetched(spark, monkeypatch):
+    """The driver holds one pass of queries at a time; the result is no union of passes."""
+    cs = chunk_store(spark, SF_SMALL)
+    qs = query_vectors(spark, SF_SMALL).where("query_id < 40")
+    live, most, share = set(), [0], spark.sparkContext.broadcast
+
+    def watched(value):
+        b = share(value)
+        live.add(id(b))
+        most[0] = max(most[0], len(live))
+        end = b.destroy
+        b.destroy = lambda *a, **k: (live.discard(id(b)), end(*a, **k))
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
+    small = 64 * 8 * 10  # ten queries a pass
+    found = [R.search_batch(cs, qs, 3, max_broadcast_bytes=small), R.search_approx(cs, qs, 3, n_cells=4, n_probe=4, max_broadcast_bytes=small)]
+    assert most[0] == 1
+    monkeypatch.undo()
+    one = sorted(tuple(r)[:3] for r in R.search_batch(cs, qs, 3).collect())
+    for f in found:
+        assert "Union" not in f._jdf.queryExecution().toString()
+        assert sorted(tuple(r)[:3] for r in f.collect()) == one
