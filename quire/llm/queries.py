@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontam, html, lines, mixing, neardup, pii, records, shards, toxicity, vectors
+from quire.llm import decontam, html, language, lines, mixing, neardup, negatives, pii, prefixes, records, shards, toxicity, vectors
 
 #: The registered query's key; a real run passes its own.
 SURROGATE_KEY = "example key"
@@ -82,3 +82,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination", decontam.REPORT_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_hard_negatives", negatives.NEGATIVES_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_trie", prefixes.TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_language_id")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
