@@ -8,7 +8,7 @@ of sizes of the whole text are compared. A text shorter than REPEAT bytes is rep
 up to there, because zstandard stores very short input unencoded, at one size for all.
 
 A dictionary is learnt from a bounded sample of labelled rows: of the LANGUAGES languages
-with the most labelled rows, the ROWS rows whose id hashes least, and of each a slice of
+with the most labelled rows, up to ROWS rows chosen by the hash of their id, and of each a slice of
 SLICE characters at a hashed place; DICTIONARY bytes of the distinct slices make the
 dictionary. Nothing else is learnt, and every whole text is scored.
 
@@ -105,11 +105,13 @@ def learnt(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     need(docs, doc_id, text, lang)
     key = F.xxhash64(F.coalesce(col(doc_id).cast("string"), F.lit("")))
     known = docs.where(col(lang).isNotNull() & col(text).isNotNull()).select(col(lang).cast("string").alias("lang"), key.alias("key"), col(text).cast("string").alias("text"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    # the rows are picked by narrow columns; their texts are read afterwards
+    counts = staged(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages), "languages")
+    names = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").collect()]
+    # the rows are picked by narrow columns, their texts are read afterwards; a language's share of
+    # twice the rows wanted is taken by hash first, so one task sorts so few at any table size
     order = Window.partitionBy("lang").orderBy("key")
-    names = [r["lang"] for r in counts]
-    picked = known.where(F.col("lang").isin(names)).select("lang", "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
+    few = known.select("lang", "key").join(F.broadcast(counts), "lang").where(F.pmod("key", F.lit(1 << 40)) * F.col("n") < F.lit(2 * rows) * F.lit(float(1 << 40)))
+    picked = few.select("lang", "key").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows)
     picked = staged(picked.select("lang", "key").distinct(), "language-sample", few=True)
     at = F.pmod(F.xxhash64("key", F.lit("slice")), F.greatest(F.length("text") - SLICE, F.lit(0)) + 1).cast("int") + 1
     slices = known.join(F.broadcast(picked), ["lang", "key"]).select("lang", "key", F.substring("text", at, F.lit(SLICE)).alias("slice"))
