@@ -8,8 +8,9 @@ Labelled training rows choose the buckets that go on: document counts by label i
 aggregation, then chi-square values of MIN_CHI and over, the MAX_TERMS largest (of at
 least MIN_DOCS documents). Beside these go the words of telling pairs, whatever they tell
 alone: over all pairs of a document's words, label less what the two marginal rates
-together foretell is summed in a hashed table of 2^PAIR_BITS, the HOT_CELLS largest of its
-cells of MIN_CHI and over are counted pair by pair, and again MIN_CHI decides. The machine is fitted by ``pyspark.ml.classification.FMClassifier`` on at most
+together foretell is summed in hashed tables, one of 2^PAIR_BITS for each of PAIR_PARTS tasks; the HOT_CELLS largest
+cells of MIN_CHI and over are counted pair by pair, and again MIN_CHI decides. The pairs of a
+text are shared by those tasks and worked on PAIR_BLOCK at a time, so a long text fills no memory. The machine is fitted by ``pyspark.ml.classification.FMClassifier`` on at most
 TRAIN_ROWS labelled rows (those whose doc_id hashes least: a documented bound); all
 whole texts are scored with the model, whose size MAX_TERMS bounds.
 
@@ -20,8 +21,9 @@ label that is null is no label; without labels of both kinds every score is that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,8 @@ MIN_DOCS = 3
 MIN_CHI = 30.0  # one bucket in 10^7 passes by chance, of 2^18
 TRAIN_ROWS = 20_000
 TRAIN_PARTS = 8  # of the bounded sample: each iteration is so many tasks
-PAIR_BITS = 21
+PAIR_BITS = 21  # cells of each part
+PAIR_PARTS = 16  # tasks that share the pairs, by their first words
 PAIR_BLOCK = 1 << 20  # pairs worked on at once
 HOT_CELLS = 4096
 FACTORS = 4
@@ -106,76 +109,73 @@ def featurized(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "id long, label int, buckets array<int>, words array<int>")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks (first, second, label, foretold rate) of the pairs of known words of each
-    (label, words) row. ``odds`` has by bucket the log odds of the label over those of all
-    rows, nan if unknown, and at its end those of all rows."""
+def _blocks(batches: Iterator[pa.RecordBatch], odds: np.ndarray, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cell, key, label less foretold rate, its variance) of some PAIR_BLOCK pairs at a time: the pairs
+    of known words of the (label, words) rows, words sorted, whose first word belongs to ``part`` of ``parts``.
+    ``odds`` has by bucket the log odds of the label over those of all rows, nan if unknown, and
+    at its end those of all rows."""
     for batch in batches:
-        labels, lists = batch.column(0).to_numpy(), batch.column(1)
-        for r in range(batch.num_rows):
-            w = lists[r].values.to_numpy()
-            w = w[~np.isnan(odds[w])].astype(np.int64)
-            n, at = len(w), 0
-            step = max(1, PAIR_BLOCK // max(n, 1))
-            while at < n - 1:
-                i, j = np.nonzero(np.arange(n)[None, :] > np.arange(at, min(at + step, n))[:, None])
-                a, b = w[i + at], w[j]
-                yield a, b, labels[r], 1 / (1 + np.exp(-(odds[a] + odds[b] + odds[-1])))
-                at += step
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], odds: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cell, key, label less foretold rate, its variance) of some PAIR_BLOCK pairs at a time."""
-    held, size = [], 0
-
-    def joined() -> tuple[np.ndarray, ...]:
-        key, over, var = (np.concatenate(x) for x in zip(*held, strict=True))
-        return (mix(key.astype(U) + U(1)) >> U(64 - PAIR_BITS)).astype(np.int64), key, over, var
-
-    for a, b, label, rate in _pairs(batches, odds):
-        held.append((a << BITS | b, label - rate, rate * (1 - rate)))
-        size += len(a)
-        if size >= PAIR_BLOCK:
-            yield joined()
-            held, size = [], 0
-    if held:
-        yield joined()
-
-
-def paired(sample: DataFrame, odds: np.ndarray) -> np.ndarray:
+        off, labels = batch.column(1).offsets.to_numpy(), batch.column(0).to_numpy()
+        w = batch.column(1).values.to_numpy()[off[0] : off[-1]].astype(np.int64)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+        known = ~np.isnan(odds[w])
+        w, row = w[known], row[known]
+        end = np.searchsorted(row, row, side="right")
+        first = np.flatnonzero((mix(w.astype(U)) % U(parts) == part) & (end - 1 > np.arange(len(w))))
+        many = end[first] - 1 - first
+        total, at = np.cumsum(many), 0
+        while at < len(first):  # a word has at most 2^BITS partners
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIR_BLOCK, side="right")))
+            i, n = first[at:to], many[at:to]
+            before = np.cumsum(n) - n
+            a, b = np.repeat(w[i], n), w[np.repeat(i + 1 - before, n) + np.arange(n.sum())]
+            rate = 1 / (1 + np.exp(-(odds[a] + odds[b] + odds[-1])))
+            key = a << BITS | b
+            cell = (mix(key.astype(U) + U(1)) >> U(64 - PAIR_BITS)).astype(np.int64)
+            yield cell, key, np.repeat(labels[row[i]], n) - rate, rate * (1 - rate)
+            at = to
+
+
+def sliced(rows: DataFrame, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
+    """``run(part, all rows)`` as one task for each of ``parts``: each reads the whole (bounded, staged) sample and
+    works on its own share of the pairs, so nothing is shuffled and partial sums never meet."""
+    return reduce(DataFrame.unionByName, (rows.coalesce(1).mapInArrow(partial(run, part), schema) for part in range(parts)))
+
+
+def paired(sample: DataFrame, odds: np.ndarray, parts: int = PAIR_PARTS) -> np.ndarray:
     """The words (buckets) of pairs that tell more than both words do alone."""
     shared = sample.sparkSession.sparkContext.broadcast(odds)
     rows = sample.select("label", "words")
-    chunk = 1 << 14
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << PAIR_BITS))
-        for cell, _, over, var in _blocks(batches, shared.value):
-            total[0] += np.bincount(cell, over, 1 << PAIR_BITS)
-            total[1] += np.bincount(cell, var, 1 << PAIR_BITS)
-        for at in range(0, total.shape[1], chunk):
-            part = total[:, at : at + chunk]
-            if part[1].any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + chunk)), pa.array(part[0]), pa.array(part[1])], names=["cell", "over", "var"])
-
-    score = F.col("over") ** 2 / F.col("var")
-    cells = rows.mapInArrow(summed, "cell long, over double, var double").groupBy("cell").agg(F.sum("over").alias("over"), F.sum("var").alias("var"))
-    hot = np.zeros(1 << PAIR_BITS, bool)
-    hot[[r[0] for r in cells.where((F.col("var") > 0) & (score >= MIN_CHI)).orderBy(score.desc(), "cell").limit(HOT_CELLS).select("cell").collect()]] = True
-    if not hot.any():
+    cells = 1 << PAIR_BITS
+
+    def summed(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        over, var = np.zeros(cells), np.zeros(cells)
+        for cell, _, o, v in _blocks(batches, shared.value, part, parts):
+            over += np.bincount(cell, o, cells)
+            var += np.bincount(cell, v, cells)
+        score = np.divide(over**2, var, out=np.zeros(cells), where=var > 0)
+        hot = np.flatnonzero(score >= MIN_CHI)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hot), part)), pa.array(hot), pa.array(score[hot])], names=["part", "cell", "score"])
+
+    found = sliced(rows, summed, "part long, cell long, score double", parts).orderBy(F.desc("score"), "part", "cell").limit(HOT_CELLS).collect()
+    if not found:
         return np.zeros(0, np.int64)
-    marked = sample.sparkSession.sparkContext.broadcast(hot)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, key, over, var in _blocks(batches, shared.value):
-            on = marked.value[cell]
+    hot = np.zeros((parts, cells), bool)
+    hot[[r["part"] for r in found], [r["cell"] for r in found]] = True
+    marked = sample.sparkSession.sparkContext.broadcast(np.packbits(hot, axis=1))
+
+    def counted(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.unpackbits(marked.value[part]).astype(bool)
+        for cell, key, over, var in _blocks(batches, shared.value, part, parts):
+            on = mine[cell]
             if not on.any():
                 continue
             keys, at = np.unique(key[on], return_inverse=True)
             n = len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, minlength=n)), pa.array(np.bincount(at, over[on], n)), pa.array(np.bincount(at, var[on], n))], names=["pair", "d", "over", "var"])
 
-    pairs = rows.mapInArrow(counted, "pair long, d long, over double, var double").groupBy("pair").agg(*(F.sum(x).alias(x) for x in ("d", "over", "var")))
+    score = F.col("over") ** 2 / F.col("var")
+    pairs = sliced(rows, counted, "pair long, d long, over double, var double", parts).groupBy("pair").agg(*(F.sum(x).alias(x) for x in ("d", "over", "var")))
     telling = pairs.where((F.col("d") >= MIN_DOCS) & (F.col("var") > 0) & (score >= MIN_CHI)).orderBy(score.desc(), "pair").limit(MAX_TERMS).select("pair").collect()
     pair = np.array([r[0] for r in telling], np.int64)
     return np.unique(np.concatenate([pair >> BITS, pair & ((1 << BITS) - 1)]))

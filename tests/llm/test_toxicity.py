@@ -1,7 +1,10 @@
 """Toxicity: held-out accuracy, interactions, edges."""
 
+import itertools
+import math
 import random
 
+import numpy as np
 import pyarrow as pa
 from conftest import SF_MID  # tests/conftest.py
 from pyspark.sql import functions as F
@@ -72,3 +75,66 @@ def test_labels_of_held_out_rows_are_not_learnt(documents, spark):
     out = X.toxicity_report(docs, labels)
     assert {r["doc_id"] for r in out.where("held_out").collect()} == set(held)
     assert out.where("predicted = 1").count() == 0
+
+
+def plain_pairs(rows, odds, least=X.MIN_DOCS, mark=X.MIN_CHI):
+    """Words of telling pairs of (label, words) by a dictionary of all pairs."""
+    sums = {}
+    for label, words in rows:
+        known = [w for w in words if not np.isnan(odds[w])]
+        for a, b in itertools.combinations(known, 2):
+            rate = 1 / (1 + math.exp(-(odds[a] + odds[b] + odds[-1])))
+            d, over, var = sums.get((a, b), (0, 0.0, 0.0))
+            sums[a, b] = d + 1, over + label - rate, var + rate * (1 - rate)
+    return sorted({w for p, (d, over, var) in sums.items() if d >= least and var > 0 and over**2 / var >= mark for w in p})
+
+
+def test_pair_sums_equal_a_plain_count(spark):
+    r = random.Random(9)
+    rows = []
+    for i in range(400):
+        words = {r.randint(0, 60) * 1000 for _ in range(r.choice([0, 1, 5, 12]))} | ({7, 123_456} if i % 3 == 0 else {7} if i % 3 == 1 else {123_456})
+        rows.append((int(i % 3 == 0 or r.random() < 0.05), sorted(words)))
+    odds = np.full((1 << X.BITS) + 1, np.nan)
+    odds[[*range(0, 50_000, 1000), 7, 123_456]] = 0.1
+    odds[-1] = -0.6
+    df = spark.createDataFrame(rows, "label int, words array<int>").repartition(5)
+    want = plain_pairs(rows, odds)
+    assert {7, 123_456} <= set(want)
+    for parts in (1, 3, X.PAIR_PARTS):
+        assert X.paired(df, odds, parts).tolist() == want
+
+
+def test_blocks_of_a_text_of_many_words(monkeypatch):
+    """All pairs of a long text once, a bounded number at a time, shared by the parts."""
+    monkeypatch.setattr(X, "PAIR_BLOCK", 5000)
+    n = 700
+    odds = np.zeros((1 << X.BITS) + 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0, 1]), pa.array([[], list(range(3, n + 3)), [5]], pa.list_(pa.int32()))], names=["label", "words"])
+    seen = []
+    for part in range(4):
+        for cell, key, over, var in X._blocks([batch], odds, part, 4):
+            assert len(key) == len(cell) == len(over) <= 5000 + n and (over == -0.5).all() and (var == 0.25).all()
+            seen.append(key)
+    seen = np.concatenate(seen)
+    assert len(np.unique(seen)) == len(seen) == n * (n - 1) // 2
+    assert (seen >> X.BITS < seen & ((1 << X.BITS) - 1)).all()
+
+
+def test_many_distinct_words(spark):
+    words = " ".join(f"w{i}" for i in range(30_000))
+    df = spark.createDataFrame([(i, words if i % 2 else f"w{i}", i % 2) for i in range(8)], "id long, text string, label int")
+    m = X.trained(df.select("id", "text"), df.select("id", "label"))
+    assert len(m.scores(*X.terms(pa.array([words])), 1)) == 1
+
+
+def test_scores_equal_the_plain_double_sum():
+    g = np.random.default_rng(4)
+    buckets = np.sort(g.choice(1 << X.BITS, 40, replace=False))
+    m = X.Machine(buckets, 0.3, g.normal(size=40), g.normal(size=(40, 3)) * 0.3)
+    lists = [sorted(g.choice(buckets, k, replace=False).tolist() + [1, 2]) for k in (0, 1, 2, 9, 40)]
+    got = m.scores(np.repeat(np.arange(5), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64), 5)
+    for p, words in zip(got, lists, strict=True):
+        at = [int(np.flatnonzero(buckets == w)[0]) for w in words if w in buckets]
+        z = m.intercept + sum(m.linear[i] for i in at) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(at, 2))
+        assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
