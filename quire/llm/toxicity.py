@@ -39,8 +39,8 @@ MIN_DOCS = 3
 MIN_CHI = 30.0  # one bucket in 10^7 passes by chance, of 2^18
 TRAIN_ROWS = 20_000
 TRAIN_PARTS = 8  # of the bounded sample: each iteration is so many tasks
-PAIR_BITS = 21  # cells of each part
 PAIR_PARTS = 16  # tasks that share the pairs, by their first words
+PAIR_BITS = 17  # cells of each: 2^21 in all
 PAIR_BLOCK = 1 << 20  # pairs worked on at once
 HOT_CELLS = 4096
 FACTORS = 4
@@ -110,36 +110,42 @@ def featurized(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], odds: np.ndarray, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cell, key, label less foretold rate, its variance) of some PAIR_BLOCK pairs at a time: the pairs
-    of known words of the (label, words) rows, words sorted, whose first word belongs to ``part`` of ``parts``.
-    ``odds`` has by bucket the log odds of the label over those of all rows, nan if unknown, and
-    at its end those of all rows."""
+    """(cell, first word, second word, label less foretold rate, its variance) of some PAIR_BLOCK pairs at a
+    time: the pairs of known words of the (label, words) rows, words sorted, whose first word belongs to
+    ``part`` of ``parts``. ``odds`` has by bucket the log odds of the label over those of all rows, nan if
+    unknown, and at its end those of all rows."""
+    bucket = np.arange(1 << BITS, dtype=U)
+    mine = mix(bucket) % U(parts) == part
+    # a pair's cell is the XOR of two table entries
+    one, two = ((mix(bucket + U(salt << BITS)) >> U(64 - PAIR_BITS)).astype(np.int32) for salt in (1, 2))
+    against = np.exp(-odds[:-1])
+    base = np.exp(-odds[-1])
     for batch in batches:
         off, labels = batch.column(1).offsets.to_numpy(), batch.column(0).to_numpy()
-        w = batch.column(1).values.to_numpy()[off[0] : off[-1]].astype(np.int64)
+        w = batch.column(1).values.to_numpy()[off[0] : off[-1]]
         row = np.repeat(np.arange(batch.num_rows), np.diff(off))
         known = ~np.isnan(odds[w])
         w, row = w[known], row[known]
         end = np.searchsorted(row, row, side="right")
-        first = np.flatnonzero((mix(w.astype(U)) % U(parts) == part) & (end - 1 > np.arange(len(w))))
+        first = np.flatnonzero(mine[w] & (end - 1 > np.arange(len(w))))
         many = end[first] - 1 - first
         total, at = np.cumsum(many), 0
         while at < len(first):  # a word has at most 2^BITS partners
             to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIR_BLOCK, side="right")))
             i, n = first[at:to], many[at:to]
-            before = np.cumsum(n) - n
-            a, b = np.repeat(w[i], n), w[np.repeat(i + 1 - before, n) + np.arange(n.sum())]
-            rate = 1 / (1 + np.exp(-(odds[a] + odds[b] + odds[-1])))
-            key = a << BITS | b
-            cell = (mix(key.astype(U) + U(1)) >> U(64 - PAIR_BITS)).astype(np.int64)
-            yield cell, key, np.repeat(labels[row[i]], n) - rate, rate * (1 - rate)
+            spread = lambda x: np.repeat(x, n)  # noqa: B023, E731
+            b = w[spread(i + 1 - (np.cumsum(n) - n)) + np.arange(n.sum())]
+            rate = 1 / (1 + spread(against[w[i]] * base) * against[b])
+            yield spread(one[w[i]]) ^ two[b], spread(w[i]), b, spread(labels[row[i]]) - rate, rate * (1 - rate)
             at = to
 
 
 def sliced(rows: DataFrame, run: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, parts: int) -> DataFrame:
     """``run(part, all rows)`` as one task for each of ``parts``: each reads the whole (bounded, staged) sample and
     works on its own share of the pairs, so nothing is shuffled and partial sums never meet."""
-    return reduce(DataFrame.unionByName, (rows.coalesce(1).mapInArrow(partial(run, part), schema) for part in range(parts)))
+    # one branch that gives nothing and has no single partition, or Spark would run all branches as one task
+    idle = rows.coalesce(2).mapInArrow(lambda batches: (b for b in batches if False), schema)
+    return reduce(DataFrame.unionByName, (rows.coalesce(1).mapInArrow(partial(run, part), schema) for part in range(parts)), idle)
 
 
 def paired(sample: DataFrame, odds: np.ndarray, parts: int = PAIR_PARTS) -> np.ndarray:
@@ -150,7 +156,7 @@ def paired(sample: DataFrame, odds: np.ndarray, parts: int = PAIR_PARTS) -> np.n
 
     def summed(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         over, var = np.zeros(cells), np.zeros(cells)
-        for cell, _, o, v in _blocks(batches, shared.value, part, parts):
+        for cell, _, _, o, v in _blocks(batches, shared.value, part, parts):
             over += np.bincount(cell, o, cells)
             var += np.bincount(cell, v, cells)
         score = np.divide(over**2, var, out=np.zeros(cells), where=var > 0)
@@ -166,11 +172,11 @@ def paired(sample: DataFrame, odds: np.ndarray, parts: int = PAIR_PARTS) -> np.n
 
     def counted(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.unpackbits(marked.value[part]).astype(bool)
-        for cell, key, over, var in _blocks(batches, shared.value, part, parts):
-            on = mine[cell]
-            if not on.any():
+        for cell, a, b, over, var in _blocks(batches, shared.value, part, parts):
+            on = np.flatnonzero(mine[cell])
+            if not len(on):
                 continue
-            keys, at = np.unique(key[on], return_inverse=True)
+            keys, at = np.unique(a[on].astype(np.int64) << BITS | b[on], return_inverse=True)
             n = len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, minlength=n)), pa.array(np.bincount(at, over[on], n)), pa.array(np.bincount(at, var[on], n))], names=["pair", "d", "over", "var"])
 
