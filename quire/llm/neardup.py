@@ -17,7 +17,7 @@ shingles, banded, every candidate verified by weighted Jaccard similarity.
   (1 - weighted Jaccard is a metric) cannot excuse from a comparison with those, is
   left over; the left-over of a bucket is split by total weight and compared in blocks
   of at most about BLOCK members: first by the number of equal samples of 72 (fewer than
-  EQUAL has probability 3e-4 at similarity 0.8), then exactly, skipping pairs that are
+  EQUAL has probability 4.5e-4 at similarity 0.8), then exactly, skipping pairs that are
   connected already. So a group of near copies costs as many comparisons as it has
   members, whatever its size, and pairs that are not links never become rows.
 
@@ -251,11 +251,12 @@ def alike(samples: list[bytes]) -> np.ndarray:
 
 
 def groups_of(table: pa.Table) -> pa.Table:
-    """Of one pair of blocks, the members that may link, by connected component of
+    """Of one pair of blocks (or one block, against itself), the members that may link, by connected component of
     ``alike``: (group, rep), group being a hash of its members, so that what several
     buckets hold alike is compared once."""
-    rows = table.select(["rep", "samples"]).group_by("rep").aggregate([("samples", "min")]).sort_by("rep")
-    reps, found = rows["rep"].to_numpy(), alike(rows["samples_min"].to_pylist())
+    members = dict(m for block in table["members"].to_pylist() for m in ((x["rep"], x["samples"]) for x in block))
+    reps = np.array(sorted(members), np.int64)
+    found = alike([members[r] for r in reps.tolist()])
     label = np.arange(len(reps))
     while True:
         new = np.minimum(label, np.where(found, label[None, :], len(reps)).min(1, initial=len(reps)))
@@ -264,9 +265,9 @@ def groups_of(table: pa.Table) -> pa.Table:
         label = new
     out: list[tuple[int, int]] = []
     for x in np.unique(label[found.any(1)]):
-        members = reps[label == x]
-        name = int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
-        out += [(name, int(r)) for r in members]
+        group = reps[label == x]
+        name = int.from_bytes(hashlib.blake2b(group.tobytes(), digest_size=8).digest(), "little", signed=True)
+        out += [(name, int(r)) for r in group]
     return pa.table({"group": pa.array([g for g, _ in out], pa.int64()), "rep": pa.array([r for _, r in out], pa.int64())})
 
 
@@ -339,9 +340,12 @@ def links(reps: DataFrame, docs: DataFrame, codes: np.ndarray, similarity: float
         return known
     keys = ["bucket", "size"]
     counts = rest.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rest.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*keys, F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "rep").join(reps.select("rep", "samples"), "rep")
-    found = staged(rows.groupBy(*keys, "p", "q").applyInArrow(groups_of, "group long, rep long").distinct(), "groups")
+    rows = rest.join(counts, keys).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).join(reps.select("rep", "samples"), "rep")
+    # a block is one row of about BLOCK members; blocks are repeated for one another, their members are not
+    packed = staged(rows.groupBy(*keys, "blocks", "block").agg(F.collect_list(F.struct("rep", "samples")).alias("members")), "blocks")
+    packed = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    packed = packed.select(*keys, F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "members")
+    found = staged(packed.groupBy(*keys, "p", "q").applyInArrow(groups_of, "group long, rep long").distinct(), "groups")
     shared = spark.sparkContext.broadcast(codes)
     work = found.join(reps.select("rep", "samples"), "rep").join(texts.dropDuplicates(["id"]), F.col("rep") == F.col("id")).select("group", "rep", "samples", "text")
     more = work.groupBy("group").applyInArrow(lambda t: compared(t, _sampler(shared), similarity), "a long, b long")
