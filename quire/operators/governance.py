@@ -1,4 +1,4 @@
-"""Governance and metrics.
+"""Governance and metrics (G1, G2, K1, K2; G3 is in ``literals``).
 
 Secret scanning reports locations only, never the matched value. Each rule is
 a column predicate over exploded lines (no join with a rule table), so a scan
@@ -26,7 +26,6 @@ SECRET_RULES = [
 ENV_FILE = r"(^|/)\.env(\.[A-Za-z0-9_-]+)?$"  # .env, .env.local ... (a template such as .env.example is allowed)
 ENV_TEMPLATE = r"\.env\.(example|sample|template)$"
 PLACEHOLDER = r"(?i)(your[_-]|example[_-]?key|placeholder|xxxx|changeme|dummy|<[a-z_ -]+>)"
-LITERAL_TOKEN_SPLIT = r"[^A-Za-z0-9@._-]+"
 # Price per 1M tokens (input, output) from the model comparison slide.
 MODEL_PRICES = [
     ("GPT-5.6 Sol", Decimal("5.00"), Decimal("30.00")),
@@ -75,26 +74,6 @@ def env_file_findings(paths: DataFrame, id_col: str, path_col: str, source: str)
     )
 
 
-# G3
-MAX_BROADCAST_LITERALS = 500_000  # 8-byte hashes with a digest: under 64 MB
-
-
-def scan_literals(df: DataFrame, id_col: str, text_col: str, literals: DataFrame, value_col: str = "value") -> DataFrame:
-    """Rows containing any given literal, matched on hashes of tokens so the
-    values never appear in plans or output.
-
-    Tokens meet the literals by an 8-byte hash first, broadcast if they are counted to
-    be few (else both sides are shuffled by it); only hits are hashed in full, checked
-    and made distinct."""
-    full = lambda c: F.sha2(F.col(c), 256)
-    known = literals.select(F.xxhash64(value_col).alias("__h"), full(value_col).alias("literal_hash")).distinct()
-    if known.count() <= MAX_BROADCAST_LITERALS:
-        known = F.broadcast(known)
-    toks = df.select(F.col(id_col).alias("row_id"), F.explode(F.split(F.col(text_col), LITERAL_TOKEN_SPLIT, -1)).alias("__tok"))
-    hits = toks.where(F.col("__tok") != "").withColumn("__h", F.xxhash64("__tok")).join(known, "__h")
-    return hits.where(full("__tok") == F.col("literal_hash")).select("row_id", "literal_hash").distinct()
-
-
 # K1
 def support_kpis(tickets: DataFrame) -> DataFrame:
     """Per category: containment (closed without escalation), mean handling

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import governance as G
+from quire.operators import literals as L
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles
 from quire.plans.fixtures import tickets
@@ -49,19 +50,24 @@ def scan_allowlist(spark, sf_dir):
     return G.scan_allowlist(findings(spark, sf_dir), allow, ["origin"]).select("source", "row_id", "line_no", "rule")
 
 
+TOKEN = 'token = "([0-9a-f]+)"'
+PASSAGE = (11, 40)  # of benchmark texts: start and length of a value with blanks and punctuation
+
+
 @register(
     "scan_literals",
-    f"""WITH lit AS (SELECT DISTINCT regexp_extract(text, 'token = "([0-9a-f]+)"', 1) AS value FROM documents
-                 WHERE regexp_extract(text, 'token = "([0-9a-f]+)"', 1) <> ''),
-toks AS (SELECT DISTINCT doc_id AS row_id, sha256(tok) AS h FROM (
-           SELECT doc_id, unnest(string_split_regex(text, {O.q(G.LITERAL_TOKEN_SPLIT)})) AS tok FROM documents) WHERE tok <> '')
-SELECT row_id, h AS literal_hash FROM toks WHERE h IN (SELECT sha256(value) FROM lit)""",
+    f"""WITH lit AS (SELECT DISTINCT value FROM (
+           SELECT regexp_extract(text, '{TOKEN}', 1) AS value FROM documents
+           UNION ALL SELECT substr(text, {PASSAGE[0]}, {PASSAGE[1]}) FROM benchmark
+           UNION ALL SELECT substr(text, 2, 5) FROM benchmark) WHERE value <> '')
+SELECT DISTINCT doc_id AS row_id, sha256(value) AS literal_hash FROM documents JOIN lit ON contains(text, value)""",
 )
 def scan_literals(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents")
-    val = F.regexp_extract("text", r'token = "([0-9a-f]+)"', 1)
-    literals = docs.where(val != "").select(val.alias("value")).distinct()
-    return G.scan_literals(docs, "doc_id", "text", literals)
+    """Values standing anywhere in whole texts: tokens, passages of several words, and short stretches across words."""
+    docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    tokens = docs.select(F.regexp_extract("text", TOKEN, 1).alias("value"))
+    passages = bench.select(F.explode(F.array(F.substring("text", *PASSAGE), F.substring("text", 2, 5))).alias("value"))
+    return L.scan_literals(docs, "doc_id", "text", tokens.unionByName(passages))
 
 
 @register(
