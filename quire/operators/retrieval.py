@@ -6,13 +6,10 @@ Plans:
   ``orderBy(desc(similarity), id).limit(k)`` which Spark runs as
   ``TakeOrderedAndProject`` (k rows per partition, one small merge). Filters
   are added only when given, so they reach the Parquet scan / partition pruning.
-* ``search_batch`` - many queries (a kNN join): the query matrix is broadcast
-  after a size check, the chunk table is never broadcast. Each task multiplies
-  Arrow batches of chunk vectors with the query matrix in numpy and keeps a
-  running top-k per query, so only ``k`` rows per query per task leave the
-  task (no pair is ever materialised as a row). A window on ``query_id``
-  merges them. Query sets over the size bound run as several bounded passes, each
-  written before the next is fetched.
+* ``search_batch`` - many queries (a kNN join): blocks of queries meet blocks of chunks
+  as cogrouped tasks, a matrix product and a running top-k each, so only ``k`` rows per
+  query and block leave a task (no pair is ever a row). Windows on ``query_id`` merge them
+  in two levels.
 * ``search_approx`` - IVF: ``pyspark.ml`` KMeans assigns every chunk a cell;
   each query is scored only against the chunks of its ``n_probe`` nearest
   cells, with the same bounded-output kernel.
@@ -163,34 +160,6 @@ class _DenseTopK:
         )
 
 
-# Rows and queries scored at once: bounds the block of similarities (16 MB) that a task
-# holds beside its running top-k, whatever the batch and the query set.
-TILE_ROWS, TILE_QUERIES = 2048, 1024
-
-
-def _knn_partition(shared, k: int, dims: int):
-    """mapInArrow body: exact running top-k per query over one task's chunks, tile by
-    tile. ``shared`` is the broadcast (ids, matrix) of one pass of queries."""
-
-    def run(batches: Iterable[pa.RecordBatch]):
-        qids, qmat = shared.value
-        tiles = [slice(at, at + TILE_QUERIES) for at in range(0, len(qids), TILE_QUERIES)]
-        best = [_DenseTopK(len(qids[t]), k) for t in tiles]
-        for whole in batches:
-            for at in range(0, whole.num_rows, TILE_ROWS):
-                rb = whole.slice(at, TILE_ROWS)
-                ids = rb.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = _vectors(rb, 1, dims)
-                for tile, top in zip(tiles, best):
-                    top.offer_all(ids, _cosine(x, qmat[tile]))
-        for tile, top in zip(tiles, best):
-            out = top.batch(qids[tile])
-            if out is not None:
-                yield out
-
-    return run
-
-
 KNN_SCHEMA = T.StructType(
     [T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType())]
 )
@@ -209,7 +178,8 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
         return 0, 0, None
     if n_q != n_ids:
         raise ValueError("query_id values must be unique and not null")
-    dims = queries.select(F.size("query").alias("d")).first()["d"]
+    dims = queries.agg(F.max(F.size("query"))).first()[0]
+    dims = max(dims or 0, 0)  # -1: all are null
     per_pass = max(1, max_broadcast_bytes // (8 * max(dims, 1)))
     preds: list = []
 
@@ -232,7 +202,9 @@ def _query_passes(queries: DataFrame, max_broadcast_bytes: int):
         rows = qpart.select("query_id", "query").collect()  # at most per_pass rows, counted above
         if not rows:
             return None
-        return np.array([r["query_id"] for r in rows], np.int64), np.array([r["query"] for r in rows], np.float64)
+        # a null query, or one of another width, is zero: it has null similarities
+        fit = [r["query"] if r["query"] is not None and len(r["query"]) == dims else [0.0] * dims for r in rows]
+        return np.array([r["query_id"] for r in rows], np.int64), np.array(fit, np.float64).reshape(len(rows), dims)
 
     return dims, len(preds), fetch
 
@@ -270,27 +242,80 @@ def _merge_topk(local: DataFrame, k: int) -> DataFrame:
     )
 
 
-def search_batch(
-    chunks: DataFrame,
-    queries: DataFrame,
-    k: int = DEFAULT_TOP_K,
-    max_broadcast_bytes: int = MAX_QUERY_BROADCAST_BYTES,
-) -> DataFrame:
-    """Exact top-k for every row of ``queries(query_id, query)``.
+# Queries and chunks in one block of the kNN join, and blocks of chunks at least.
+QUERY_BLOCK, CHUNK_BLOCK, SPREAD = 1024, 8192, 32
+TILE_ROWS = 2048  # rows scored at once: 16 MB of similarities
+MERGED = 64  # blocks whose results meet in the first of two merges
+
+
+def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Rows of ``dims`` doubles; a null vector, or one of another width, is zero (its
+    similarity is null), a null component is nan."""
+    lists = column.combine_chunks().cast(pa.large_list(pa.float64()))
+    off, out = lists.offsets.to_numpy(), np.zeros((len(lists), dims))
+    fit = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(off) == dims))
+    if dims and len(fit):
+        out[fit] = lists.values.to_numpy(zero_copy_only=False)[off[fit][:, None] + np.arange(dims)]
+    return out
+
+
+def _knn_block(k: int):
+    """cogroup body: the exact top-k of a block of queries within a block of chunks."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if len(left) and len(right):
+            qids, ids, p = left["query_id"].to_numpy(), right["id"].to_numpy(), right["p"][0].as_py()
+            widths = np.array([0 if q is None else len(q) for q in left["query"].to_pylist()])
+            for dims in np.unique(widths):
+                mine = np.flatnonzero(widths == dims)
+                qmat, x = _matrix(left["query"].take(pa.array(mine)), int(dims)), _matrix(right["embedding"], int(dims))
+                best = _DenseTopK(len(mine), k)
+                for at in range(0, len(ids), TILE_ROWS):
+                    best.offer_all(ids[at : at + TILE_ROWS], _cosine(x[at : at + TILE_ROWS], qmat))
+                out = best.batch(qids[mine])
+                parts.append(pa.Table.from_batches([out]).append_column("part", pa.array(np.full(out.num_rows, p // MERGED))))
+        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64()), ("part", pa.int64()))})
 
-    Returns ``(query_id, rank, id, similarity)``. The query matrix is bounded
-    per pass by ``max_broadcast_bytes``; larger query sets run as several
-    passes, each streaming the chunk table once.
-    """
+    return run
+
+
+def blocks_joined(left: DataFrame, left_key: str, n_left: int, left_block: int, right: DataFrame, right_key: str, n_right: int, right_block: int, spread: int, run, schema) -> DataFrame:
+    """Every block of ``left`` meets every block of ``right`` as one cogrouped task (columns p and q
+    name the blocks). Rows are dealt by the hash of their keys, so blocks are alike in size whatever
+    the data; a row is repeated once for each block of the other side, and no pair becomes a row."""
+    lefts, rights = max(1, -(-n_left // left_block)), max(spread, -(-n_right // right_block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    a = left.withColumn("q", dealt(left_key, lefts)).withColumn("p", every(rights))
+    b = right.withColumn("p", dealt(right_key, rights)).withColumn("q", every(lefts))
+    return a.groupBy("p", "q").cogroup(b.groupBy("p", "q")).applyInArrow(run, schema)
+
+
+def checked_queries(queries: DataFrame) -> int:
+    """How many queries there are; their ids must be unique and not null."""
+    n, ids = queries.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    if n != ids:
+        raise ValueError("query_id values must be unique and not null")
+    return n
+
+
+def search_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+    """Exact top-k for every row of ``queries(query_id, query)``: (query_id, rank, id, similarity).
+
+    A block join in Spark: queries and chunks are dealt into blocks, each pair of blocks is one matrix product
+    with a running top-k, and k rows a query and block are merged in two levels. Nothing passes through the
+    driver and nothing is broadcast. A null query or chunk vector, a zero one, and a pair of different widths have a
+    null similarity and come last, by id."""
     if k <= 0:
         raise ValueError("top_k must be greater than 0.")
-    dims, n_pass, fetch = _query_passes(queries, max_broadcast_bytes)
-    vecs = chunks.select(F.col("id").cast("long").alias("id"), F.col("embedding"))
-    spark = chunks.sparkSession
-    found = _run_passes(
-        spark, n_pass, fetch, lambda qids, qmat, share: vecs.mapInArrow(_knn_partition(share((qids, qmat)), k, dims), KNN_SCHEMA), k
-    )
-    return spark.createDataFrame([], "query_id long, rank int, id long, similarity double") if found is None else found
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    right = chunks.select(F.col("id").cast("long").alias("id"), "embedding")
+    schema = "query_id long, id long, similarity double, part long"
+    found = blocks_joined(left, "query_id", checked_queries(left), query_block, right, "id", right.count(), chunk_block, SPREAD, _knn_block(k), schema)
+    order = [F.desc_nulls_last("similarity"), F.asc("id")]
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
+    return _merge_topk(first, k)
 
 
 # Q6
@@ -304,13 +329,15 @@ def shortened(text: pd.Series) -> pd.Series:
 def rank_results(results: DataFrame, full: bool = False, most: int = MOST_RANKED) -> DataFrame:
     """Rank (1-based), similarity to 4 places, word-cut preview, minute timestamp.
 
-    ``results`` is a top-k; its best ``most`` rows are ranked, so that the rank is a row
-    number over one small partition by construction.
+    ``results`` is a top-k of at most ``most`` rows, so that the rank is a row number over
+    one small partition; a longer result is refused when it runs.
     """
     order = [F.desc_nulls_last("similarity"), F.asc("id")]
     collapsed = F.btrim(F.regexp_replace(F.col("chunk_text"), WS + "+", " "))
-    return results.orderBy(*order).limit(most).select(
-        F.row_number().over(Window.orderBy(*order)).alias("rank"),
+    rank = F.row_number().over(Window.orderBy(*order))
+    fits = F.when(rank <= most, rank).otherwise(F.raise_error(F.lit(f"rank_results takes at most {most} rows.")))
+    return results.orderBy(*order).limit(most + 1).select(
+        fits.cast("int").alias("rank"),
         F.format_number(F.col("similarity"), 4).alias("similarity_text"),
         "id",
         "filename",
@@ -371,18 +398,21 @@ def cells_for(n: int) -> int:
 
 
 def build_ivf(chunks: DataFrame, n_cells: int | None = None, seed: int = 7, max_iter: int = 20,
-              train_fraction: float | None = None):
+              train_fraction: float | None = None, train_rows: int = 65_536):
     """Train IVF cells (``cells_for`` the rows unless given) with ``pyspark.ml``
     KMeans on unit vectors.
 
-    ``train_fraction`` trains the centroids on a sample (each KMeans
-    iteration is a pass over the training rows); search still scores every
-    chunk of the probed cells, so no result row is dropped.
+    The centroids are trained on at most ``train_rows`` chunks, those whose ids hash
+    least (and of those on ``train_fraction``); every chunk is assigned to a cell and search
+    scores every chunk of the probed cells, so no result row is dropped.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    n_cells = n_cells or cells_for(chunks.count())
+    total = chunks.count()
+    n_cells = n_cells or cells_for(total)
+    if total > train_rows:
+        chunks = chunks.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     unit = chunks.select(array_to_vector(V.l2_normalize("embedding")).alias("features")).where(
         F.col("features").isNotNull()
     )

@@ -99,3 +99,11 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stored vector is also a query (self-kNN over the whole table)."""
     emb = read_table(spark, sf_dir, "embeddings")
     return emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+QUERY_EVERY = 50  # the stated query set of searches: ids divisible by this, against all rows
+
+
+def stated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored vector whose id is divisible by 50 is a query."""
+    return query_vectors(spark, sf_dir).where(F.col("query_id") % QUERY_EVERY == 0)

@@ -8,7 +8,8 @@ from quire.functions import vectors as V
 from quire.operators import retrieval as R
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles
-from quire.plans.fixtures import chunk_store, query_vectors
+from quire.operators import quantized as Z
+from quire.plans.fixtures import QUERY_EVERY, chunk_store, stated_queries
 from quire.sources.tables import read_table
 from quire.functions.text import WS
 
@@ -70,7 +71,7 @@ def search_filtered(spark, sf_dir):
 
 
 _BATCH_SQL = f"""WITH cs AS ({O.chunk_store()}),
-qs AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings),
+qs AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0),
 scored AS (SELECT qs.query_id, cs.id, {O.cosine('cs.embedding', 'qs.v')} AS sim FROM qs, cs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity FROM ranked WHERE rank <= {TOP_K}"""
@@ -78,31 +79,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity
 
 @register("search_batch", _BATCH_SQL)
 def search_batch(spark, sf_dir):
-    return round_doubles(R.search_batch(chunk_store(spark, sf_dir), query_vectors(spark, sf_dir), TOP_K))
+    return round_doubles(R.search_batch(chunk_store(spark, sf_dir), stated_queries(spark, sf_dir), TOP_K))
 
 
-def _approx(spark, sf_dir, n_probe=None):
-    """The stored index over all vectors, searched with every vector as a query."""
+def _approx(spark, sf_dir, probe=None):
+    """The stored quantised index over all vectors, searched with the stated queries; ``probe`` is a share of the cells."""
     from quire.session import shared_dir
 
-    cs, root = chunk_store(spark, sf_dir), shared_dir(spark, "ivf")
-    model = R.build_ivf(cs)
-    R.write_ivf_index(cs, model, root)
-    return cs, R.search_ivf_index(spark, root, query_vectors(spark, sf_dir), TOP_K, n_probe or len(model.clusterCenters()))
+    cs, root = chunk_store(spark, sf_dir), shared_dir(spark, "quantized")
+    index = Z.fit(cs)
+    Z.write_index(cs, index, root)
+    return cs, Z.search_index(spark, root, index, stated_queries(spark, sf_dir), TOP_K, n_probe=probe and max(1, round(probe * len(index.centers))))
 
 
 @register("search_approx", _BATCH_SQL)
 def search_approx(spark, sf_dir):
-    """Stored IVF index, all cells probed: must equal the exact search."""
+    """Codes of all cells by look-up, CANDIDATES full vectors a query: at this size the exact result."""
     return round_doubles(_approx(spark, sf_dir)[1])
 
 
 @register("search_approx_recall")
 def search_approx_recall(spark, sf_dir):
-    """Recall of a quarter of the cells for every query (no SQL: the cells are learnt)."""
-    cs, found = _approx(spark, sf_dir, n_probe=R.cells_for(chunk_store(spark, sf_dir).count()) // 4)
-    exact = R.search_batch(cs, query_vectors(spark, sf_dir), TOP_K)
-    return round_doubles(R.recall_at_k(found, exact))
+    """Recall of each stated query with three quarters of the cells (no SQL: cells and codes are learnt)."""
+    cs, found = _approx(spark, sf_dir, probe=0.75)
+    return round_doubles(R.recall_at_k(found, R.search_batch(cs, stated_queries(spark, sf_dir), TOP_K)))
 
 
 @register(

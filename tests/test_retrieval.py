@@ -47,11 +47,12 @@ def test_batch_equals_brute_force(spark):
         assert [i for _, i in have] == list(ids[order])
 
 
-def test_batch_multi_pass_equals_single(spark):
+def test_batch_of_many_blocks_equals_few(spark, monkeypatch):
     cs = chunk_store(spark, SF_SMALL)
     qs = query_vectors(spark, SF_SMALL).where("query_id < 40")
     one = sorted(tuple(r) for r in R.search_batch(cs, qs, 3).collect())
-    many = sorted(tuple(r) for r in R.search_batch(cs, qs, 3, max_broadcast_bytes=64 * 8 * 10).collect())
+    monkeypatch.setattr(R, "MERGED", 3)
+    many = sorted(tuple(r) for r in R.search_batch(cs, qs, 3, query_block=10, chunk_block=9).collect())
     assert [(a, b, c) for a, b, c, _ in one] == [(a, b, c) for a, b, c, _ in many]
 
 
@@ -231,10 +232,35 @@ def test_a_pass_is_written_before_the_next_is_fetched(spark, monkeypatch):
 
     monkeypatch.setattr(spark.sparkContext, "broadcast", watched)
     small = 64 * 8 * 10  # ten queries a pass
-    found = [R.search_batch(cs, qs, 3, max_broadcast_bytes=small), R.search_approx(cs, qs, 3, n_cells=4, n_probe=4, max_broadcast_bytes=small)]
+    found = [R.search_approx(cs, qs, 3, n_cells=4, n_probe=4, max_broadcast_bytes=small)]
     assert most[0] == 1
     monkeypatch.undo()
     one = sorted(tuple(r)[:3] for r in R.search_batch(cs, qs, 3).collect())
     for f in found:
         assert "Union" not in f._jdf.queryExecution().toString()
         assert sorted(tuple(r)[:3] for r in f.collect()) == one
+
+
+def test_null_and_odd_queries_have_null_similarities(spark):
+    cs = spark.createDataFrame([(3, [1.0, 0.0]), (1, [0.0, 1.0]), (2, None), (4, [1.0, 2.0, 3.0]), (5, [None, 1.0])], "id long, embedding array<float>")
+    qs = spark.createDataFrame([(1, None), (2, [0.0, 0.0]), (3, [1.0, 0.1]), (4, [1.0, 2.0, 3.0]), (5, [])], "query_id long, query array<float>")
+    got = {}
+    for r in R.search_batch(cs, qs, 2).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], None if r["similarity"] is None else round(r["similarity"], 3)))
+    assert got == {1: [(1, None), (2, None)], 2: [(1, None), (2, None)], 3: [(3, 0.995), (1, 0.1)], 4: [(4, 1.0), (1, None)], 5: [(1, None), (2, None)]}
+    ivf = R.search_approx(cs.where("id in (1, 3)"), qs.where("query_id < 4"), 2, n_cells=2, n_probe=2)
+    assert {r["query_id"] for r in ivf.collect()} == {1, 2, 3}
+
+
+def test_batch_has_no_driver_hop(spark):
+    cs = chunk_store(spark, SF_SMALL)
+    plan = R.search_batch(cs, query_vectors(spark, SF_SMALL), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan and "CartesianProduct" not in plan
+
+
+def test_a_longer_result_than_can_be_ranked_is_refused(spark):
+    df = spark.createDataFrame([(i, "t", "f", "fixed", 0, 0.5) for i in range(4)], "id long, chunk_text string, filename string, split_strategy string, chunk_index int, similarity double")
+    df = df.withColumn("created_at", F.lit("2026-01-02 03:04:05").cast("timestamp"))
+    assert R.rank_results(df, most=4).count() == 4
+    with pytest.raises(Exception, match="at most 3 rows"):
+        R.rank_results(df, most=3).collect()
