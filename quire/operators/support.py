@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import strip_text
+from quire.session import shared_dir
 
 # Fixed values ---------------------------------------------------------------
 DEFAULT_MAX_ROWS = 50
@@ -418,3 +419,73 @@ def reconcile(expected: DataFrame, actual: DataFrame, key: str, columns: list[st
     found = F.when((F.size(found) == 0) & (rowstate != "differs"), nothing).otherwise(found)
     out = j.select(key, rowstate.alias("kind"), F.explode(found).alias("c"))
     return out.select(key, "kind", "c.column", "c.expected", "c.actual")
+
+
+# A10 by digests: two tables are compared bucket by bucket before any row is joined
+LEAF_ROWS, FAN_BITS, MAX_BITS = 64, 4, 40
+
+
+def _bucket(key: str, bits: int) -> Column:
+    """The first ``bits`` bits of the key's hash, as a number."""
+    return F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def tree_bits(rows: int) -> int:
+    """Depth in bits of a tree whose leaves hold about LEAF_ROWS rows: a multiple of FAN_BITS."""
+    need = max(0, (rows // LEAF_ROWS).bit_length())
+    return min(MAX_BITS, -(-need // FAN_BITS) * FAN_BITS)
+
+
+def digest_leaves(df: DataFrame, key: str, columns: list[str], bits: int) -> DataFrame:
+    """(bucket, n, h1, h2): count and order-free digests of the rows of each bucket that has any. Small enough to
+    keep beside a table, so that a later comparison reads only digests of an unchanged side."""
+    # nulls and empty strings differ; a cell's length parts it from the next
+    cells = F.concat(*(F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in [key, *columns]))
+    h = [F.xxhash64(F.lit(i), cells) for i in (1, 2)]
+    # summed in decimals: equal rows do not cancel out, whatever their number
+    rows = df.select(_bucket(key, bits).alias("bucket"), *(x.cast("decimal(38,0)").alias(f"h{i}") for i, x in enumerate(h, 1)))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+
+
+def differing_buckets(expected: DataFrame, actual: DataFrame, bits: int) -> DataFrame:
+    """Leaf buckets whose digests differ, by descent from the root: on each level only the children of
+    differing nodes are compared."""
+    spark = expected.sparkSession
+
+    def level(leaves: DataFrame, depth: int) -> DataFrame:
+        up = leaves.withColumn("bucket", F.shiftrightunsigned("bucket", bits - depth) if depth < bits else F.col("bucket"))
+        return up.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", "h1", "h2")))
+
+    nodes = None
+    for depth in range(0, bits + 1, FAN_BITS):
+        e, a = level(expected, depth), level(actual, depth)
+        if nodes is not None:
+            under = lambda t: t.join(nodes, F.shiftrightunsigned(t["bucket"], FAN_BITS) == nodes["node"], "left_semi")  # noqa: B023, E731
+            e, a = under(e), under(a)
+        pair = e.alias("e").join(a.alias("a"), "bucket", "full_outer")
+        same = F.lit(True)
+        for c in ("n", "h1", "h2"):
+            same = same & F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}"))
+        path = shared_dir(spark, "differing")
+        pair.where(~same).select(F.col("bucket").alias("node")).write.parquet(path)
+        nodes = spark.read.schema("node long").parquet(path)
+    return nodes.withColumnRenamed("node", "bucket")
+
+
+def differing_rows(expected: DataFrame, actual: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that lie in differing buckets: all that differ, and their bucket's others."""
+    spark = expected.sparkSession
+    bits = tree_bits(max(expected.count(), actual.count()))
+    kept = []
+    for side, name in ((expected, "expected"), (actual, "actual")):
+        path = shared_dir(spark, f"digests-{name}")
+        digest_leaves(side, key, columns, bits).write.parquet(path)
+        kept.append(spark.read.parquet(path))
+    nodes = differing_buckets(*kept, bits)
+    near = lambda df: df.join(nodes, _bucket(key, bits) == nodes["bucket"], "left_semi")
+    return near(expected), near(actual)
+
+
+def reconcile_by_digests(expected: DataFrame, actual: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``reconcile``'s rows, with a join of the rows of differing buckets only."""
+    return reconcile(*differing_rows(expected, actual, key, columns), key, columns)

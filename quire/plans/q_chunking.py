@@ -210,6 +210,33 @@ def audit_fixed_coverage(spark, sf_dir):
     return C.audit_fixed_coverage(prepared(spark, sf_dir), "text", SIZE, 0)
 
 
+# Units of each strategy (``fixed`` has one, the text); a unit's place in the text follows from
+# how many non-blank characters stand before it, as units leave out blanks alone.
+_GAPS_SQL = f"""{_PREP},{O.units_ctes('prep', ['doc_id'], 'sentence', 'us')},{O.units_ctes('prep', ['doc_id'], 'paragraph', 'up')},
+units AS (SELECT doc_id, 'fixed' AS split_strategy, 1 AS i, t AS unit FROM prep
+          UNION ALL SELECT doc_id, 'sentence', i, unit FROM us UNION ALL SELECT doc_id, 'paragraph', i, unit FROM up),
+placed AS (SELECT *, coalesce(sum({_nonspace('unit')}) OVER (PARTITION BY doc_id, split_strategy ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM units),
+big AS (SELECT doc_id, split_strategy, i, unit AS t FROM placed WHERE length(unit) > {SIZE}),{O.fixed_ctes('big', ['doc_id', 'split_strategy', 'i'], SIZE, 0, 'fx')},
+span AS (SELECT doc_id, split_strategy, i, start, start + length(chunk_text) AS e FROM fx WHERE chunk_text <> ''
+         UNION ALL SELECT doc_id, split_strategy, i, length(t), length(t) FROM big),
+swept AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id, split_strategy, i ORDER BY start, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM span),
+raw AS (SELECT s.doc_id, s.split_strategy, s.i, reach, substr(t, reach + 1, start - reach) AS part
+        FROM swept s JOIN big USING (doc_id, split_strategy, i) WHERE start > reach),
+gap AS (SELECT doc_id, split_strategy, i, reach + length(regexp_extract(part, {O.q('^' + X.WS + '*')})) AS lo, length({O.strip('part')}) AS n
+        FROM raw WHERE {O.strip('part')} <> ''),
+chars AS (SELECT doc_id, unnest(string_split(t, '')) AS ch, generate_subscripts(string_split(t, ''), 1) AS pos
+          FROM prep WHERE doc_id IN (SELECT doc_id FROM gap)),
+nth AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM chars WHERE NOT regexp_matches(ch, {O.q('^' + X.WS + '$')}))
+SELECT g.doc_id, g.split_strategy, CAST(nth.pos - 1 + g.lo AS INTEGER) AS start, CAST(nth.pos - 1 + g.lo + g.n AS INTEGER) AS "end"
+FROM gap g JOIN placed p USING (doc_id, split_strategy, i) JOIN nth ON nth.doc_id = g.doc_id AND nth.k = p.before + 1"""
+
+
+@register("uncovered_ranges", _GAPS_SQL)
+def uncovered_ranges(spark, sf_dir):
+    """What no chunk holds at overlap 0, for each document and strategy."""
+    return C.uncovered_ranges(prepared(spark, sf_dir), "text", SIZE, 0)
+
+
 @register(
     "strategy_collisions",
     f"""{_CLEAN_ONLY},

@@ -170,3 +170,21 @@ def sql_functions(spark, sf_dir):
         "array_join(split_paragraphs(t), '|') AS paragraphs, array_join(split_sentences(t), '|') AS sentences, "
         "redact_error(text, source) AS redacted FROM (SELECT *, clean_text(text) AS t FROM soiled_documents)"
     )
+
+
+@register(
+    "read_docx",
+    f"""SELECT doc_id, replace(regexp_replace(coalesce(text, ''), {O.q(FS.NO_XML)}, '', 'g'), chr(10), chr(10) || chr(10)) || chr(10) || chr(10)
+       || source || ' | ' || lang AS text FROM documents""",
+)
+def read_docx(spark, sf_dir):
+    """Each document written as a DOCX file - its lines as paragraphs, a table with its source and language and a blank
+    row -, staged, and read back."""
+    docs = read_table(spark, sf_dir, "documents")
+    cell = lambda c: F.concat(F.lit("  "), F.col(c), F.lit(" "))
+    rows = F.array(F.array(cell("source"), F.lit(""), cell("lang")), F.array(F.lit(" "), F.lit("")))
+    made = FS.write_docx(docs, F.concat(F.lit("/docs/doc"), F.col("doc_id").cast("string"), F.lit(".docx")), F.split(F.coalesce("text", F.lit("")), "\n", -1), rows)
+    path = shared_dir(spark, "docx")
+    made.write.parquet(path)
+    blocks = FS.read_docx(spark.read.schema("path string, content binary").parquet(path)).where("kind <> 'error'")
+    return ST.blocks_to_text(blocks.withColumn("doc_id", F.regexp_extract("path", r"doc(-?\d+)\.docx$", 1).cast("long")))

@@ -4,9 +4,12 @@ same statement text executed by DuckDB."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quire.operators import support as U
-from quire.plans.registry import register
-from quire.sources.tables import register_views
+from quire.operators.ranges import interval_join
+from quire.plans.registry import register, round_doubles
+from quire.sources.tables import read_table, register_views
 
 MATRIX = {
     "sql_join_inner": """SELECT n.n_name, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS revenue
@@ -70,3 +73,29 @@ def _make(name: str, sql: str):
 
 for _name, _sql in MATRIX.items():
     register(_name, _sql)(_make(_name, _sql))
+
+
+@register("sql_theta_bins", MATRIX["sql_theta"])
+def sql_theta_bins(spark, sf_dir):
+    """The statement of ``sql_theta`` as a join on interval bins."""
+    orders, region = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "region")
+    k = F.col("r_regionkey")
+    found = interval_join(orders, F.col("o_totalprice"), region, k * 100000, (k + 1) * 100000)
+    return found.groupBy(F.col("i.r_name").alias("r_name")).agg(F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("p.o_totalprice"), 2).alias("total"))
+
+
+BAND = 50
+
+
+@register(
+    "interval_join",
+    f"""SELECT s_suppkey, count(*) AS n_customers, round(sum(c_acctbal), 2) AS total, min(c_custkey) AS first_customer
+FROM supplier JOIN customer ON c_acctbal >= s_acctbal - {BAND} * (1 + s_suppkey % 4 * s_suppkey % 7) AND c_acctbal < s_acctbal + {BAND}
+GROUP BY s_suppkey""",
+)
+def suppliers_bands(spark, sf_dir):
+    """Customers whose balance lies in a band around each supplier's; bands of very different lengths."""
+    supplier, customer = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "customer")
+    s, k = F.col("s_acctbal"), F.col("s_suppkey")
+    found = interval_join(customer, F.col("c_acctbal"), supplier, s - BAND * (1 + k % 4 * k % 7), s + BAND)
+    return found.groupBy(F.col("i.s_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n_customers"), F.round(F.sum("p.c_acctbal"), 2).alias("total"), F.min("p.c_custkey").alias("first_customer"))

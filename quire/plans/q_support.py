@@ -271,19 +271,18 @@ def rows_to_json(spark, sf_dir):
 @register(
     "redact_error",
     f"""WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'could not connect to server at ' || url || html
-                                   WHEN 1 THEN replace(html, '://', ' ') ELSE CASE WHEN contains(html, url) THEN html ELSE '   ' END END AS message FROM pages),
+                                   WHEN 1 THEN replace(html, '://', ' ') ELSE html END AS message FROM pages),
 s AS (SELECT page_id, {O.strip("coalesce(message, '')")} AS m FROM m),
 c AS (SELECT page_id, CASE WHEN m = '' THEN 'OperationalError' ELSE m END AS m FROM s)
 SELECT page_id, CASE WHEN contains(m, '://') THEN 'OperationalError (details withheld: may contain credentials)'
                      ELSE left(m, 300) END AS redacted FROM c""",
 )
 def redact_error(spark, sf_dir):
+    """Every page's whole html in one of three forms (``redact_error_pages`` has all of them)."""
     pages = read_table(spark, sf_dir, "pages")
     v = F.col("page_id") % 3
-    # the third kind: a page that names its own address, else one with nothing to say
-    own = F.when(F.contains("html", "url"), F.col("html")).otherwise(F.lit("   "))
     plain = F.replace(F.col("html"), F.lit("://"), F.lit(" "))
-    msg = F.when(v == 0, F.concat(F.lit("could not connect to server at "), F.col("url"), F.col("html"))).when(v == 1, plain).otherwise(own)
+    msg = F.when(v == 0, F.concat(F.lit("could not connect to server at "), F.col("url"), F.col("html"))).when(v == 1, plain).otherwise(F.col("html"))
     return pages.select("page_id", U.redact_column(msg, F.lit("OperationalError")).alias("redacted"))
 
 
@@ -314,9 +313,7 @@ def redact_error_pages(spark, sf_dir):
 _REC_COLS = ["customer_name", "email", "category", "priority", "status"]
 
 
-@register(
-    "reconcile",
-    f"""WITH t0 AS ({O.tickets()}),
+_RECONCILE_SQL = f"""WITH t0 AS ({O.tickets()}),
 t AS (SELECT id, {', '.join(f"CASE WHEN id % 26 <> 0 THEN {c} END AS {c}" for c in _REC_COLS)} FROM t0),
 a AS (SELECT id, customer_name, CASE WHEN id % 7 = 0 THEN NULL ELSE email END AS email,
              CASE WHEN id % 11 = 0 THEN 'Technical Support' ELSE category END AS category, priority, status
@@ -327,9 +324,10 @@ j AS (SELECT coalesce(t.id, a.id) AS id,
       FROM t FULL OUTER JOIN a ON t.id = a.id)
 {' UNION ALL '.join(f"SELECT id, kind, '{c}' AS column, e_{c} AS expected, a_{c} AS actual FROM j WHERE e_{c} IS DISTINCT FROM a_{c}" for c in _REC_COLS)}
 UNION ALL SELECT id, kind, NULL, NULL, NULL FROM j
-WHERE kind <> 'differs' AND coalesce({', '.join(f'e_{c}, a_{c}' for c in _REC_COLS)}) IS NULL""",
-)
-def reconcile(spark, sf_dir):
+WHERE kind <> 'differs' AND coalesce({', '.join(f'e_{c}, a_{c}' for c in _REC_COLS)}) IS NULL"""
+
+
+def _reconciled(spark, sf_dir):
     """Expected rows whose number 26 divides hold nulls only, and are missing below."""
     t = tickets(spark, sf_dir)
     t = t.select("id", *[F.when(F.col("id") % 26 != 0, F.col(c)).alias(c) for c in _REC_COLS])
@@ -339,7 +337,17 @@ def reconcile(spark, sf_dir):
         F.when(F.col("id") % 11 == 0, F.lit("Technical Support")).otherwise(F.col("category")).alias("category"),
         "priority", "status",
     )
-    return U.reconcile(t, actual, "id", _REC_COLS)
+    return t, actual
+
+
+@register("reconcile", _RECONCILE_SQL)
+def reconcile(spark, sf_dir):
+    return U.reconcile(*_reconciled(spark, sf_dir), "id", _REC_COLS)
+
+
+@register("reconcile_by_digests", _RECONCILE_SQL)
+def reconcile_by_digests(spark, sf_dir):
+    return U.reconcile_by_digests(*_reconciled(spark, sf_dir), "id", _REC_COLS)
 
 
 _ELIDED_Q = "SELECT id, customer_name, status, created_at FROM support_requests WHERE status ILIKE 'open'"
@@ -402,3 +410,20 @@ def support_flow(spark, sf_dir):
     from quire.plans.support_flow import support_flow as flow
 
     return flow(messages(spark, sf_dir), tickets(spark, sf_dir))
+
+
+_SEEDS = ", ".join("(" + ", ".join("NULL" if v is None else O.q(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in U.SEED_ROWS)
+
+
+@register(
+    "load_support_requests",
+    f"""{_T}, s AS (SELECT * FROM (VALUES {_SEEDS}) v(id, customer_name, email, category, priority, status))
+SELECT CAST(s.id AS INTEGER) AS id, s.customer_name, s.email, s.category, s.priority, s.status, count(t.id) AS n_like
+FROM s LEFT JOIN t ON t.category = s.category AND t.status = s.status
+GROUP BY ALL""",
+)
+def load_support_requests(spark, sf_dir):
+    """The seed tickets, each with the number of given tickets of its category and status."""
+    like = tickets(spark, sf_dir).groupBy("category", "status").agg(F.count(F.lit(1)).alias("n_like"))
+    seeds = U.load_support_requests(spark).drop("created_at").join(like, ["category", "status"], "left")
+    return seeds.select("id", "customer_name", "email", "category", "priority", "status", F.coalesce("n_like", F.lit(0).cast("long")).alias("n_like"))

@@ -9,9 +9,11 @@ file per row, so parsing is spread over the cluster.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from typing import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,8 @@ from quire.functions.text import clean_text, strip_text
 SUPPORTED_EXTENSIONS = (".docx", ".pdf")
 OCR_HINT = "If this is a scanned document it would need OCR, which is not supported."
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+NO_XML = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"  # characters that XML 1.0 has no place for
+_NO_XML = re.compile(NO_XML + "|[\ufffe\uffff]")
 
 
 # S1
@@ -98,6 +102,28 @@ def docx_blocks(data: bytes) -> list[tuple[int, str, str | None, list[str] | Non
     return out
 
 
+def docx_package(paragraphs: list[str], rows: list[list[str]]) -> bytes:
+    """A DOCX file of paragraphs and one table; characters that XML has no place for are left out."""
+    text = lambda t: "<w:p><w:r><w:t xml:space=\"preserve\">" + escape(_NO_XML.sub("", t)) + "</w:t></w:r></w:p>"
+    table = "".join("<w:tr>" + "".join(f"<w:tc>{text(c)}</w:tc>" for c in r) + "</w:tr>" for r in rows)
+    body = "".join(map(text, paragraphs)) + (f"<w:tbl>{table}</w:tbl>" if rows else "")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(zipfile.ZipInfo("word/document.xml"), f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{_W[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def write_docx(docs: DataFrame, path: Column, paragraphs: Column, rows: Column) -> DataFrame:
+    """(path, content) of one DOCX file a row, in the shape of ``binaryFile``."""
+
+    def pack(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            made = [docx_package([x or "" for x in p], [[c or "" for c in r] for r in t]) for p, t in zip(pdf["paragraphs"], pdf["rows"])]
+            yield pd.DataFrame({"path": pdf["path"], "content": made})
+
+    return docs.select(path.alias("path"), paragraphs.alias("paragraphs"), rows.alias("rows")).mapInPandas(pack, "path string, content binary")
+
+
 def read_docx(binary: DataFrame) -> DataFrame:
     """``binaryFile`` rows -> blocks ``(path, block_no, kind, text, cells,
     error)``; an unreadable package yields one ``NoTextExtractedError`` row."""

@@ -174,3 +174,35 @@ def test_every_page_is_an_error_message(spark):
         assert rows[p, "whole"] == U.redact_message(html, "OperationalError")
         assert rows[p, "plain"] == U.redact_message((html or "").replace("://", " "), "OperationalError")
         assert rows[p, "blank"] == "OperationalError"
+
+
+def _two_tables(spark, n=20_000):
+    e = spark.range(n).selectExpr("id", "concat('name ', id) AS name", "IF(id % 10 = 0, NULL, cast(id % 7 AS string)) AS kind")
+    a = e.where("id <> 77").selectExpr("id", "IF(id = 500, 'other', name) AS name", "IF(id = 9000, '', kind) AS kind").unionByName(spark.createDataFrame([(n + 5, "more", None)], e.schema))
+    return e, a
+
+
+def test_digests_find_what_the_join_finds(spark):
+    e, a = _two_tables(spark)
+    cols = ["name", "kind"]
+    want = sorted(map(tuple, U.reconcile(e, a, "id", cols).collect()), key=str)
+    assert {r[0] for r in want} == {77, 500, 9000, 20_005}
+    assert sorted(map(tuple, U.reconcile_by_digests(e, a, "id", cols).collect()), key=str) == want
+
+
+def test_rows_joined_follow_the_differences(spark):
+    e, a = _two_tables(spark)
+    left, right = U.differing_rows(e, a, "id", ["name", "kind"])
+    assert 4 <= left.count() <= 4 * 4 * U.LEAF_ROWS and right.count() <= 4 * 4 * U.LEAF_ROWS
+    left, right = U.differing_rows(e, e, "id", ["name", "kind"])
+    assert left.count() == right.count() == 0
+
+
+def test_digests_of_small_and_odd_tables(spark):
+    schema = "id long, name string"
+    none = spark.createDataFrame([], schema)
+    one = spark.createDataFrame([(1, None), (2, ""), (3, "a")], schema)
+    two = spark.createDataFrame([(1, ""), (2, ""), (3, "a")], schema)
+    assert U.reconcile_by_digests(none, none, "id", ["name"]).collect() == []
+    assert {r["id"] for r in U.reconcile_by_digests(none, one, "id", ["name"]).collect()} == {1, 2, 3}
+    assert [tuple(r) for r in U.reconcile_by_digests(one, two, "id", ["name"]).collect()] == [(1, "differs", "name", None, "")]
