@@ -1,21 +1,23 @@
 """The chunk table (S6-S9): schema, checks, ids, and idempotent replacement.
 
-Layout under a table's root:
-
-* ``data/gen=G/split_strategy=S/bucket=B/*.parquet`` - rows, written once and never
-  changed. ``bucket`` is the hash of the filename modulo the table's bucket count.
-* ``manifest/v=N`` - which generation each (strategy, bucket) partition is read from,
-  and the bucket count and vector width the table was created with.
-* ``quarantine/v=N`` - documents that version N refused, with the reason.
-
-An upsert embeds nothing twice: new rows are written once to the shared folder, checked,
-merged with the partitions they touch (found by partition filter), and written as a new
-generation; publishing the manifest's next version makes all of it visible at once.
-A crashed write leaves files that no manifest names.
+A table is a plain Parquet dataset under its root, partitioned by (buckets, split_strategy, bucket),
+``bucket`` being the hash of the filename modulo the table's own bucket count, which
+the first load fixes and every row's partition names. Any Spark reader can read it.
+
+An upsert embeds nothing twice: new rows are staged once in the shared folder and checked;
+the partitions they touch, found by partition filter, are merged with them, staged, and put in place by
+Spark's dynamic partition overwrite, which replaces just these partitions and removes
+their old files. Beside the table and partitioned alike, ``quarantine`` holds the documents whose newest version
+was refused; one that is accepted later leaves it.
+
+Writers that touch different partitions do not disturb one another. Of two writers of one partition the later
+to finish wins for the whole partition, so such upserts belong one after another. An upsert that
+was broken off is repeated: writing the same rows twice leaves the same table.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,64 +96,62 @@ def replace_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 # S7 (physical form)
-BUCKETS = 64  # of a table created without a count of its own
+NO_NAME = "?"
+ROWS_A_BUCKET, MIN_BUCKETS = 4096, 16  # of a table created without a count of its own: by its first load
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
+def stored(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The Parquet dataset at ``path``, empty where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The newest manifest that was written to its end."""
-    fs, p, jvm = _fs(spark, f"{root}/manifest")
-    if not fs.exists(p):
-        return None
-    found = [st.getPath() for st in fs.listStatus(p) if st.getPath().getName().startswith("v=")]
-    done = [int(x.getName()[2:]) for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
-    return max(done, default=None)
+def _table(spark: SparkSession, root: str, dims: int) -> DataFrame:
+    parts = [T.StructField("buckets", T.IntegerType()), T.StructField("bucket", T.IntegerType())]
+    return stored(spark, f"{root}/data", T.StructType([*chunk_schema(dims).fields, *parts]))
 
 
-def _manifest(spark: SparkSession, root: str) -> tuple[int, int | None, dict[tuple[str, int], int]]:
-    """(version, bucket count, generation of each partition): 3 rows a bucket at most."""
-    v = current_version(spark, root)
-    if v is None:
-        return 0, None, {}
-    rows = spark.read.parquet(f"{root}/manifest/v={v}").collect()
-    return v, rows[0]["buckets"], {(r["split_strategy"], r["bucket"]): r["gen"] for r in rows if r["gen"] is not None}
+def read_chunks(spark: SparkSession, root: str, dims: int) -> DataFrame:
+    return _table(spark, root, dims).select(*chunk_schema(dims).names)
 
 
-def _partitions(wanted: dict[tuple[str, int], int]):
-    """A filter on partition columns alone, so only the named folders are listed and read."""
-    by: dict[tuple[int, str], list[int]] = {}
-    for (strategy, bucket), gen in wanted.items():
-        by.setdefault((gen, strategy), []).append(bucket)
-    out = F.lit(False)
-    for (gen, strategy), buckets in sorted(by.items()):
-        out = out | ((F.col("gen") == gen) & (F.col("split_strategy") == strategy) & F.col("bucket").isin(sorted(buckets)))
-    return out
+REFUSED = "filename string, reason string, buckets int, split_strategy string, bucket int"
 
 
-def _stored(spark: SparkSession, root: str, dims: int, wanted: dict[tuple[str, int], int]) -> DataFrame:
-    names = [f.name for f in chunk_schema(dims).fields]
-    if not wanted:
-        return spark.createDataFrame([], chunk_schema(dims))
-    schema = T.StructType([*chunk_schema(dims).fields, T.StructField("gen", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
-    return spark.read.schema(schema).parquet(f"{root}/data").where(_partitions(wanted)).select(*names)
+def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
+    """(filename, split_strategy, reason) of the documents whose newest version was refused."""
+    rows = stored(spark, f"{root}/quarantine", REFUSED).where("reason is not null")
+    return rows.select(*(F.col(c) if c == "reason" else F.nullif(F.col(c), F.lit(NO_NAME)).alias(c) for c in (*KEY, "reason")))
 
 
-def read_chunks(spark: SparkSession, root: str, dims: int) -> DataFrame:
-    """The table as its newest manifest has it."""
-    return _stored(spark, root, dims, _manifest(spark, root)[2])
+def _place(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Stage ``df`` (a partition is not read while it is overwritten), then replace the partitions it has rows of."""
+    from quire.session import shared_dir
 
+    staged = shared_dir(spark, "merged")
+    df.write.parquet(staged)
+    out = spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("buckets", "split_strategy", "bucket").parquet(path)
 
-def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
-    """(filename, split_strategy, reason) of what the newest version refused."""
-    v = current_version(spark, root)
-    if v is None:
-        return spark.createDataFrame([], "filename string, split_strategy string, reason string")
-    return spark.read.parquet(f"{root}/quarantine/v={v}")
+
+def _near(touched: dict[str, list[int]]):
+    """A filter on partition columns alone, so only these folders are listed and read."""
+    out = F.lit(False)
+    for strategy, mine in sorted(touched.items()):
+        out = out | ((F.col("split_strategy") == strategy) & F.col("bucket").isin(sorted(mine)))
+    return out
+
+
+def _touched(df: DataFrame) -> dict[str, list[int]]:
+    """The partitions of some rows: three a bucket at most."""
+    out: dict[str, list[int]] = {}
+    for r in df.select("split_strategy", "bucket").distinct().collect():
+        out.setdefault(r["split_strategy"], []).append(r["bucket"])
+    return out
 
 
 def bucket_of(buckets: int):
@@ -159,7 +159,7 @@ def bucket_of(buckets: int):
 
 
 def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buckets: int | None = None) -> int:
-    """Replace by (filename, split_strategy) and return the version published.
+    """Replace by (filename, split_strategy) and return how many partitions were rewritten.
 
     ``new`` may carry ``embed_error``. A document with a failed or unfit chunk
     (``check_chunks``) goes to quarantine whole: none of its rows is written and
@@ -167,32 +167,36 @@ def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buc
     Writing the same rows twice leaves the same table."""
     from quire.session import shared_dir
 
-    version, stored, gens = _manifest(spark, root)
-    if stored is not None and buckets not in (None, stored):
-        raise ValueError(f"the table has {stored} buckets, not {buckets}")
-    buckets = stored or buckets or BUCKETS
-    cols = [f.name for f in chunk_schema(dims).fields]
+    cols = chunk_schema(dims).names
     error = F.col("embed_error") if "embed_error" in new.columns else F.lit(None).cast("string")
-    path = shared_dir(spark, "new-chunks")
+    staged = shared_dir(spark, "new-chunks")
     checked = check_chunks(new.withColumn("embed_error", error), dims)
-    checked.select(*cols, F.coalesce("embed_error", "violation").alias("reason"), bucket_of(buckets).alias("bucket")).write.parquet(path)
-    fresh = spark.read.parquet(path)
+    checked.select(*cols, F.coalesce("embed_error", "violation").alias("reason")).write.parquet(staged)
+    fresh = spark.read.parquet(staged)
+
+    table = _table(spark, root, dims)
+    known = table.select("buckets").first()
+    if known is not None and buckets not in (None, known[0]):
+        raise ValueError(f"the table has {known[0]} buckets, not {buckets}")
+    buckets = known[0] if known is not None else buckets or max(MIN_BUCKETS, -(-fresh.count() // ROWS_A_BUCKET))
 
     refused = fresh.where("reason is not null").groupBy(*KEY).agg(F.min("reason").alias("reason"))
     key = [F.col(f"n.{c}").eqNullSafe(F.col(f"q.{c}")) for c in KEY]
-    good = fresh.alias("n").join(refused.alias("q"), key[0] & key[1], "left_anti")
-    touched = {(r["split_strategy"], r["bucket"]) for r in good.select("split_strategy", "bucket").distinct().collect()}
-    existing = _stored(spark, root, dims, {p: g for p, g in gens.items() if p in touched})
-    merged = replace_chunks(existing, good.select(*cols)).withColumn("bucket", bucket_of(buckets))
-
-    gen = version + 1
+    good = fresh.alias("n").join(refused.alias("q"), key[0] & key[1], "left_anti").select("n.*").withColumn("bucket", bucket_of(buckets))
+    touched = _touched(good)
     if touched:
+        merged = replace_chunks(table.where(_near(touched)).select(*cols), good.select(*cols))
+        merged = merged.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets))
         # AQE splits a large partition into several files and tasks: none is one task's alone
-        merged = merged.hint("rebalance", "split_strategy", "bucket").sortWithinPartitions("split_strategy", "bucket", "filename", "chunk_index")
-        merged.write.mode("overwrite").partitionBy("split_strategy", "bucket").parquet(f"{root}/data/gen={gen}")
-    refused.write.mode("overwrite").parquet(f"{root}/quarantine/v={gen}")
-    gens = gens | {p: gen for p in touched}
-    rows = [(s, b, g, buckets, dims) for (s, b), g in sorted(gens.items())] or [(None, None, None, buckets, dims)]
-    table = spark.createDataFrame(rows, "split_strategy string, bucket int, gen int, buckets int, dims int")
-    table.coalesce(1).write.mode("errorifexists").parquet(f"{root}/manifest/v={gen}")
-    return gen
+        _place(spark, merged.hint("rebalance", "split_strategy", "bucket").sortWithinPartitions("split_strategy", "bucket", "filename", "chunk_index"), f"{root}/data")
+
+    # documents without a name or strategy are filed under a stand-in
+    named = lambda df: df.select(*(F.coalesce(c, F.lit(NO_NAME)).alias(c) for c in KEY), "reason", F.lit(buckets).alias("buckets")).withColumn("bucket", bucket_of(buckets))
+    seen, now = named(fresh.groupBy(*KEY).agg(F.min("reason").alias("reason"))), named(refused)
+    held = stored(spark, f"{root}/quarantine", REFUSED)
+    if not now.isEmpty() or not held.isEmpty():
+        old = held.where(_near(_touched(seen)) & F.col("reason").isNotNull()).join(seen.select(*KEY), KEY, "left_anti")
+        # a row without a reason for each partition, so that one whose documents all left is replaced too
+        empty = seen.select(F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("reason"), "buckets", "split_strategy", "bucket").distinct()
+        _place(spark, now.unionByName(old).unionByName(empty), f"{root}/quarantine")
+    return sum(map(len, touched.values()))

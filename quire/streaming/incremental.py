@@ -9,17 +9,21 @@ and length of every indexed file go into a ledger beside the table;
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators.embedding import Provider
 from quire.plans import indexing as I
+from quire.session import shared_dir
 from quire.sources import store as S
 
 DOCUMENT_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LEDGER = "path string, modified timestamp, length bigint, noted timestamp"
 FILE = ["path", "modified", "length"]
+FILES_A_GROUP = 1000
 
 
 def _with_file(df: DataFrame) -> DataFrame:
@@ -36,10 +40,7 @@ def _index(batch: DataFrame, root: str, strategy: str, dims: int, provider: Prov
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """The last entry of every indexed file."""
-    fs, p, _ = S._fs(spark, f"{root}/ledger")
-    if not fs.exists(p):
-        return spark.createDataFrame([], LEDGER)
-    rows = spark.read.schema(LEDGER).parquet(f"{root}/ledger")
+    rows = S.stored(spark, f"{root}/ledger", LEDGER)
     return rows.groupBy("path").agg(F.max_by(F.struct("modified", "length"), "noted").alias("x")).select("path", "x.*")
 
 
@@ -75,13 +76,21 @@ def reindex_changed(
     provider: Provider | None = None,
 ) -> int:
     """Index the files whose modification time or length differ from the ledger's (or
-    that it lacks) and return how many there were. Only names reach the driver."""
+    that it lacks) and return how many there were. Only names reach the driver, FILES_A_GROUP
+    at a time."""
     files = spark.read.format("binaryFile").load(source).select("path", F.col("modificationTime").alias("modified"), "length")
     # the listing and the reader write a local path with one slash or three
     plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
     known = read_ledger(spark, target_root).select(plain("path").alias("path"), "modified", "length")
     changed = files.withColumn("path", plain("path")).join(known, FILE, "left_anti")
-    paths = [r["path"] for r in changed.select("path").collect()]
-    if paths:
-        _index(_with_file(spark.read.schema(DOCUMENT_SCHEMA).parquet(*paths)), target_root, strategy, dims, provider)
-    return len(paths)
+    # the list is fixed before the ledger grows, and read a bounded number of names at a time
+    path = shared_dir(spark, "changed-files")
+    changed.select("path").write.parquet(path)
+    n, group = 0, []
+    for r in itertools.chain(spark.read.parquet(path).toLocalIterator(), [None]):
+        if r is not None:
+            group.append(r["path"])
+        if group and (r is None or len(group) == FILES_A_GROUP):
+            _index(_with_file(spark.read.schema(DOCUMENT_SCHEMA).parquet(*group)), target_root, strategy, dims, provider)
+            n, group = n + len(group), []
+    return n
