@@ -97,3 +97,43 @@ def register_chunk_udtf(spark: SparkSession, name: str = "chunk_text") -> None:
                 yield i, piece
 
     spark.udtf.register(name, ChunkText)
+
+
+def register_chunk_table(spark: SparkSession, name: str = "chunk_table") -> None:
+    """A polymorphic table function: ``SELECT * FROM chunk_table(TABLE(docs) PARTITION BY (k), 'text', 1000, 200)``
+    chunks the named text column of any table under all strategies (or a comma-separated list as the last
+    argument) and keeps the caller's other columns, whatever they are. Names that clash are refused when the
+    statement is analysed, as are bad parameters."""
+    from pyspark.sql import types as T
+    from pyspark.sql.functions import udtf
+    from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
+
+    from quire.operators import chunking as C
+
+    @udtf
+    class ChunkTable:
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, text_column: AnalyzeArgument, size: AnalyzeArgument, overlap: AnalyzeArgument, strategies: AnalyzeArgument | None = None) -> AnalyzeResult:
+            if not rows.isTable:
+                raise ValueError("the first argument must be a table")
+            given = [text_column, size, overlap, *([strategies] if strategies else [])]
+            if not all(a.isConstantExpression and a.value is not None for a in given):
+                raise ValueError("the text column, sizes and strategies must be constants")
+            if text_column.value not in rows.dataType.names:
+                raise ValueError(f"no column {text_column.value!r} in the table")
+            for s in strategies.value.split(",") if strategies else C.STRATEGIES:
+                C.validate_chunk_params(s.strip(), size.value, overlap.value)
+            kept = [f for f in rows.dataType.fields if f.name != text_column.value]
+            made = [T.StructField("split_strategy", T.StringType()), T.StructField("chunk_index", T.IntegerType()), T.StructField("chunk_text", T.StringType())]
+            clash = {f.name for f in kept} & {f.name for f in made}
+            if clash:
+                raise ValueError(f"the table already has {sorted(clash)}")
+            return AnalyzeResult(T.StructType([*kept, *made]))
+
+        def eval(self, row, text_column, size, overlap, strategies=None):
+            kept = tuple(row[c] for c in row.__fields__ if c != text_column)
+            for s in strategies.split(",") if strategies else C.STRATEGIES:
+                for i, piece in enumerate(C.chunk_python(row[text_column] or "", s.strip(), size, overlap)):
+                    yield (*kept, s.strip(), i, piece)
+
+    spark.udtf.register(name, ChunkTable)

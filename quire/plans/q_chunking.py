@@ -231,6 +231,29 @@ SELECT g.doc_id, g.split_strategy, CAST(nth.pos - 1 + g.lo AS INTEGER) AS start,
 FROM gap g JOIN placed p USING (doc_id, split_strategy, i) JOIN nth ON nth.doc_id = g.doc_id AND nth.k = p.before + 1"""
 
 
+def _ll(k: str, n: str, p: str) -> str:
+    """The SQL of a binomial log-likelihood."""
+    return f"(CASE WHEN {k} > 0 THEN {k} * ln({p}) ELSE 0 END + CASE WHEN {n} - {k} > 0 THEN ({n} - {k}) * ln(1 - {p}) ELSE 0 END)"
+
+
+@register(
+    "abbreviation_scores",
+    f"""WITH tok AS (SELECT unnest(regexp_extract_all(text, {O.q(C.WORD_PERIOD)})) AS t FROM documents),
+w AS (SELECT CASE WHEN suffix(t, '.') THEN left(t, -1) ELSE t END AS word, suffix(t, '.') AS ends FROM tok),
+c AS (SELECT word, count(*) FILTER (WHERE ends) AS n_with, count(*) AS n_words FROM w GROUP BY word),
+a AS (SELECT sum(n_with)::DOUBLE AS ak, sum(n_words)::DOUBLE AS an FROM c),
+x AS (SELECT word, n_with, n_words, n_with::DOUBLE AS k, n_words::DOUBLE AS n, ak - n_with AS rk, an - n_words AS rn, ak / an AS p,
+             n_with / n_words AS p1, CASE WHEN an > n_words THEN (ak - n_with) / (an - n_words) ELSE 0 END AS p2
+      FROM c, a WHERE n_with >= {C.MIN_WITH}),
+s AS (SELECT *, 2 * ({_ll('k', 'n', 'p1')} + {_ll('rk', 'rn', 'p2')} - {_ll('k', 'n', 'p')} - {_ll('rk', 'rn', 'p')}) AS r FROM x)
+SELECT word, n_with, n_words, round(CASE WHEN p1 > p2 THEN r ELSE -r END, 4) AS score FROM s""",
+)
+def abbreviation_scores(spark, sf_dir):
+    """Which words of all texts end with a period more often than words do."""
+    out = C.abbreviation_scores(read_table(spark, sf_dir, "documents"), "text")
+    return out.withColumn("score", F.round("score", 4))
+
+
 @register("uncovered_ranges", _GAPS_SQL)
 def uncovered_ranges(spark, sf_dir):
     """What no chunk holds at overlap 0, for each document and strategy."""

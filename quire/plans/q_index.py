@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import vectors as V
 from quire.operators import chunking as C
+from quire.operators import cooccurrence as W
 from quire.operators import embedding as E
+from quire.operators import retrieval as R
 from quire.plans import indexing as I
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles
@@ -231,3 +233,42 @@ def upsert_chunks(spark, sf_dir):
     again = I.index_documents(second_version(docs), provider=FailingProvider(DIMS), waits=())
     S.upsert_chunks(spark, root, again, DIMS)
     return S.read_chunks(spark, root, DIMS).select("filename", "chunk_index", "chunk_text")
+
+
+# E2, learnt: scores of the co-occurrence matrix, and retrieval with what is learnt from it.
+_WORDS_SQL = f"""tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), {O.q(E.TOKEN_SPLIT)})) AS word FROM documents),
+vocabulary AS (SELECT word, count(DISTINCT doc_id) AS n_docs FROM tok WHERE word <> '' GROUP BY word
+               HAVING count(DISTINCT doc_id) >= {W.MIN_DOCS} ORDER BY n_docs DESC, word LIMIT {W.SIZE}),
+listed AS (SELECT doc_id, list_filter(string_split_regex(lower(text), {O.q(E.TOKEN_SPLIT)}), lambda x: x <> '') AS ws FROM documents),
+placed AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM listed),
+p AS (SELECT placed.* FROM placed JOIN vocabulary USING (word))"""
+
+
+@register(
+    "cooccurrence_scores",
+    f"""WITH {_WORDS_SQL},
+far AS (SELECT unnest(range(1, {W.WINDOW + 1})) AS d),
+n AS (SELECT least(a.word, b.word) AS word, greatest(a.word, b.word) AS other, count(*) AS n
+      FROM p a JOIN far ON TRUE JOIN p b ON b.doc_id = a.doc_id AND b.pos = a.pos + far.d GROUP BY ALL),
+s AS (SELECT w, sum(n)::DOUBLE AS s FROM (SELECT word AS w, n FROM n UNION ALL SELECT other, n FROM n) GROUP BY w),
+v AS (SELECT n.word, n.other, n.n, ln(n.n * (CASE WHEN n.word = n.other THEN 2 ELSE 1 END) * (SELECT sum(s) FROM s) / (a.s * b.s)) AS x
+      FROM n JOIN s a ON a.w = n.word JOIN s b ON b.w = n.other)
+SELECT word, other, n, round(x, 4) AS score FROM v WHERE x > 0""",
+)
+def cooccurrence_scores(spark, sf_dir):
+    """Positive pointwise mutual information of all pairs of vocabulary words, over whole texts."""
+    docs = read_table(spark, sf_dir, "documents")
+    words = [r["word"] for r in W.vocabulary(docs, "text").collect()]
+    names = spark.createDataFrame(list(enumerate(words)), "k long, w string")
+    out = W.ppmi(W.pair_counts(docs, "text", words)).join(names.select(F.col("k").alias("i"), F.col("w").alias("a")), "i").join(names.select(F.col("k").alias("j"), F.col("w").alias("b")), "j")
+    return out.select(F.least("a", "b").alias("word"), F.greatest("a", "b").alias("other"), "n", F.round("value", 4).alias("score"))
+
+
+@register("learnt_retrieval")
+def learnt_retrieval(spark, sf_dir):
+    """The five documents nearest to each benchmark text by the learnt embedding (no SQL: it is learnt)."""
+    docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    provider = W.learnt_provider(docs)
+    stored = E.embed_texts(docs.select(F.col("doc_id").alias("id"), "text"), "text", provider).select("id", "embedding")
+    asked = E.embed_texts(bench.select(F.col("item_id").alias("query_id"), "text"), "text", provider, E.QUERY_TASK).select("query_id", F.col("embedding").alias("query"))
+    return round_doubles(R.search_batch(stored, asked, 5))

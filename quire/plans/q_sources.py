@@ -8,7 +8,7 @@ from quire.functions import sql as QS
 from quire.operators import structure as ST
 from quire.plans import oracle as O
 from quire.plans.registry import register
-from quire.plans.q_chunking import _chunk_sql, prepared
+from quire.plans.q_chunking import _ALL_SQL, OVERLAP, SIZE, _chunk_sql, prepared
 from quire.session import shared_dir
 from quire.sources import files as FS
 from quire.sources import store as S
@@ -188,3 +188,11 @@ def read_docx(spark, sf_dir):
     made.write.parquet(path)
     blocks = FS.read_docx(spark.read.schema("path string, content binary").parquet(path)).where("kind <> 'error'")
     return ST.blocks_to_text(blocks.withColumn("doc_id", F.regexp_extract("path", r"doc(-?\d+)\.docx$", 1).cast("long")))
+
+
+@register("chunk_table_udtf", f"{_ALL_SQL}\nSELECT doc_id, split_strategy, chunk_index, chunk_text FROM allc")
+def chunk_table_udtf(spark, sf_dir):
+    """The polymorphic table function over prepared documents: the rows of ``chunk_all_strategies``."""
+    QS.register_chunk_table(spark)
+    prepared(spark, sf_dir).createOrReplaceTempView("prepared_documents")
+    return spark.sql(f"SELECT doc_id, split_strategy, chunk_index, chunk_text FROM chunk_table(TABLE(SELECT doc_id, text FROM prepared_documents) PARTITION BY (doc_id), 'text', {SIZE}, {OVERLAP})")
