@@ -79,6 +79,9 @@ def pair_counts(docs: DataFrame, text_col: str, words: list[str], window: int =
 def ppmi(counts: DataFrame) -> DataFrame:
     """(i, j, n, value) of the pairs that occur more than chance. The matrix is symmetric: a pair of two
     words counts in both their rows, one of a word with itself twice in its own."""
+    spark, path = counts.sparkSession, shared_dir(counts.sparkSession, "pair-counts")
+    counts.write.parquet(path)  # read twice below: texts are counted once
+    counts = spark.read.schema("i long, j long, n long").parquet(path)
     share = F.explode(F.array(F.struct(F.col("i").alias("k"), "n"), F.struct(F.col("j").alias("k"), "n")))
     sums = counts.select(share.alias("x")).groupBy("x.k").agg(F.sum("x.n").alias("s"))
     total = sums.agg(F.sum("s").alias("total"))
