@@ -124,6 +124,8 @@ def linked(table: pa.Table, cosine: float = COSINE) -> pa.Table:
     everything = {"id": table["id"].to_numpy(), "n": table["n"].to_numpy(), "main": table["main"].to_numpy(zero_copy_only=False), "block": table["block"].to_numpy()}
     everything["v"] = table["v"].combine_chunks().values.to_numpy().reshape(-1, dim)
     everything["codes"] = table["codes"].combine_chunks().values.to_numpy().reshape(len(table), plan(first["total"], dim)[1], -1)
+    # by the largest component first: norms of very large or very small vectors stay finite and above 0
+    everything["v"] = everything["v"] / np.abs(everything["v"]).max(1, keepdims=True)
     everything["v"] = everything["v"] / np.linalg.norm(everything["v"], axis=1, keepdims=True)
     a, b = ({k: v[everything["block"] == x] for k, v in everything.items()} for x in (p, q))
     hit = a["v"] @ b["v"].T >= cosine

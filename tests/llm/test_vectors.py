@@ -58,6 +58,12 @@ def test_edges(spark):
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
 
 
+def test_vectors_of_any_size(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.01e200]), (3, [1e-200, 1e-200]), (4, [3.0, 3.0]), (5, [-1e308, 1e-308]), (6, [5e-324, 0.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in V.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (0, 6)}
+
+
 def test_recall_of_the_hash_at_the_threshold():
     g = np.random.default_rng(3)
     for n, dim in ((10**5, 64), (10**9, 64), (10**5, 24), (10**5, 768)):
