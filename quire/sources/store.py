@@ -5,7 +5,7 @@ A table is a plain Parquet dataset under its root, partitioned by (buckets, spli
 the first load fixes and every row's partition names. Any Spark reader can read it.
 
 An upsert embeds nothing twice: new rows are staged once in the shared folder and checked;
-the partitions they touch, found by partition filter, are merged with them, staged, and put in place by
+the old rows that stay in the partitions they touch, found by partition filter, are staged too, and both are put in place by
 Spark's dynamic partition overwrite, which replaces just these partitions and removes
 their old files. Beside the table and partitioned alike, ``quarantine`` holds the documents whose newest version
 was refused; one that is accepted later leaves it.
@@ -128,13 +128,18 @@ def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(*(F.col(c) if c == "reason" else F.nullif(F.col(c), F.lit(NO_NAME)).alias(c) for c in (*KEY, "reason")))
 
 
-def _place(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Stage ``df`` (a partition is not read while it is overwritten), then replace the partitions it has rows of."""
+def _aside(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """``df`` staged: a partition is not read while it is overwritten."""
     from quire.session import shared_dir
 
-    staged = shared_dir(spark, "merged")
+    staged = shared_dir(spark, "kept")
     df.write.parquet(staged)
-    out = spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    return spark.read.schema(df.schema).parquet(staged)
+
+
+def _place(df: DataFrame, path: str) -> None:
+    """Replace the partitions that ``df`` has rows of."""
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     out.partitionBy("buckets", "split_strategy", "bucket").parquet(path)
 
 
@@ -185,10 +190,11 @@ def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buc
     good = fresh.alias("n").join(refused.alias("q"), key[0] & key[1], "left_anti").select("n.*").withColumn("bucket", bucket_of(buckets))
     touched = _touched(good)
     if touched:
-        merged = replace_chunks(table.where(_near(touched)).select(*cols), good.select(*cols))
-        merged = merged.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets))
+        # only old rows that stay are staged; new ones are already
+        kept = _aside(spark, table.where(_near(touched)).select(*cols).join(good.select(*KEY).distinct(), KEY, "left_anti").select(*cols))
+        merged = good.select(*cols).unionByName(kept).withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets))
         # AQE splits a large partition into several files and tasks: none is one task's alone
-        _place(spark, merged.hint("rebalance", "split_strategy", "bucket").sortWithinPartitions("split_strategy", "bucket", "filename", "chunk_index"), f"{root}/data")
+        _place(merged.hint("rebalance", "split_strategy", "bucket").sortWithinPartitions("split_strategy", "bucket", "filename", "chunk_index"), f"{root}/data")
 
     # documents without a name or strategy are filed under a stand-in
     named = lambda df: df.select(*(F.coalesce(c, F.lit(NO_NAME)).alias(c) for c in KEY), "reason", F.lit(buckets).alias("buckets")).withColumn("bucket", bucket_of(buckets))
@@ -198,5 +204,5 @@ def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buc
         old = held.where(_near(_touched(seen)) & F.col("reason").isNotNull()).join(seen.select(*KEY), KEY, "left_anti")
         # a row without a reason for each partition, so that one whose documents all left is replaced too
         empty = seen.select(F.lit(None).cast("string").alias("filename"), F.lit(None).cast("string").alias("reason"), "buckets", "split_strategy", "bucket").distinct()
-        _place(spark, now.unionByName(old).unionByName(empty), f"{root}/quarantine")
+        _place(_aside(spark, now.unionByName(old).unionByName(empty)), f"{root}/quarantine")
     return sum(map(len, touched.values()))
