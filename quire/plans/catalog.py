@@ -15,6 +15,7 @@ from quire.plans import (  # noqa: E402,F401
     q_routing,
     q_sources,
     q_sql,
+    q_streams,
     q_support,
     q_text,
 )
