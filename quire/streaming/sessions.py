@@ -34,6 +34,14 @@ from quire.operators.routing import CARRY_BLOCK
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CLOSING_TIME = "9000-01-01 00:00:00"
+#: Only changes go to the checkpoint at each batch, few versions stay, and the local
+#: copies of a query that has ended are removed soon (each partition has one).
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
 KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone")
 DAY_MS = 86_400_000
 
@@ -44,7 +52,8 @@ def state_session(spark: SparkSession) -> SparkSession:
     own = spark.newSession()
     for name in KEPT:
         own.conf.set(name, spark.conf.get(name))
-    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name, value in STATE.items():
+        own.conf.set(name, value)
     return own
 
 
