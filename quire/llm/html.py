@@ -6,10 +6,13 @@ one page and works with its own stack, so nesting depth is no matter.
 
 Rules. Not visible: head, script, style, template, noscript, the form controls' values,
 elements with ``hidden`` or a style of display:none or visibility:hidden, closed
-dialogs. Paragraphs, headings, lists, tables, quotes and preformatted text stand between
+dialogs, the body of closed details, descriptions and definitions of drawings. Text of svg and
+math and the options of a select are visible. Paragraphs, headings, lists, tables, quotes and preformatted text stand between
 blank lines, other blocks on lines of their own. White space collapses except in pre.
 List items have "- " or their number, nested ones are indented. A table row is one line
-(or as many as its tallest cell), cells padded to their column up to MAX_PAD.
+(or as many as its tallest cell), cells padded to their column up to MAX_PAD; a cell with rowspan keeps
+its columns free in the rows below (unless a table's spans would fill over MAX_FILL places: then
+its rows stand without them, with all their text). The time is linear in the page.
 
 Defined results: null html gives null text, empty html empty text; unclosed tags,
 comments and quotes end with the page; repeated rows are rendered each.
@@ -19,8 +22,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from quire.llm.words import portions
 
 MAX_PAD = 60
 MAX_SPAN = 100
+MAX_FILL = 1_000_000
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,65536}+"|'[^']{0,65536}+'|["'])*+)>|<[!?/][^>]*+>|[^<]++|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -38,10 +43,11 @@ BLANK = re.compile(r"[ \t\r\n\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas select textarea svg math".split())
+UNSEEN = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas textarea desc metadata defs annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer form header html legend li main nav section summary tr tbody thead tfoot td th menu optgroup option".split())
 #: An opening tag on the left ends these open elements, up to the nearest of the stops.
+CELL_OR_TABLE = ("table", "td", "th")
 LIST, TABLE = frozenset(("ul", "ol", "menu")), frozenset(("table",))
 ENDS = {
     "li": (frozenset(("li",)), LIST),
@@ -71,25 +77,30 @@ def attributes(raw: str) -> dict[str, str]:
 def tree(text: str) -> Node:
     """The page's elements; missing end tags, table rows and lists' items are implied."""
     root = Node("html", {})
-    stack, at, count = [root], 0, Counter()  # count: elements by tag, open or not
+    stack, at = [root], 0
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements in the stack, by tag
 
     def open_(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
+            places[tag].append(len(stack))
             stack.append(node)
-            count[tag] += 1
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            places[stack.pop().tag].pop()
+
+    def nearest(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def end(tags: frozenset, stops: frozenset) -> None:
         """Close everything from the outermost open element of ``tags`` above a stop."""
-        cut = None
-        for i in range(len(stack) - 1, 0, -1) if any(count[t] for t in tags) else ():
-            if stack[i].tag in stops:
-                break
-            if stack[i].tag in tags:
-                cut = i
-        if cut is not None:
-            del stack[cut:]
+        if any(places.get(t) for t in tags):
+            above = nearest(stops)
+            found = [places[t][i] for t in tags if places.get(t) and (i := bisect_right(places[t], above)) < len(places[t])]
+            if found:
+                cut(min(found))
 
     last = text.rfind(">")
     while at < len(text):
@@ -104,19 +115,16 @@ def tree(text: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack[-32:]):
+            if tag == "p" and nearest(("p",)) <= nearest(CELL_OR_TABLE):
                 open_("p", {})
             if tag == "br":
                 open_("br", {})
-            for i in range(len(stack) - 1, 0, -1) if count[tag] else ():
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            mine = nearest((tag,))
+            if mine and (mine >= nearest(CELL_OR_TABLE) or tag in ("table", "tr", "tbody", "thead", "tfoot", "body", "html")):
+                cut(mine)
             continue
         if len(stack) > 1 and stack[1].tag == "head" and tag in BLOCK:
-            del stack[1:]
+            cut(1)
         if tag in ("html", "body"):
             continue
         if tag in BLOCK:
@@ -131,7 +139,7 @@ def tree(text: str) -> Node:
             if tag not in UNSEEN:
                 stack[-1].children.append(text[at : close.start() if close else len(text)])
             at = close.end() if close else len(text)
-            del stack[-1]
+            cut(len(stack) - 1)
     return root
 
 
@@ -224,8 +232,10 @@ def rendered(root: Node, depth: int = 0) -> str:
                     x.attrs["_n"] = str(n)
             for f in after:
                 work.append((node, f))
+        shut = tag == "details" and "open" not in node.attrs
         for child in reversed(node.children):
-            work.append((child, None))
+            if not shut or isinstance(child, Node) and child.tag == "summary":
+                work.append((child, None))
     return page.done()
 
 
@@ -258,35 +268,58 @@ def table_lines(table: Node, depth: int) -> list[str]:
             work.extend(reversed(x.children))
         elif x.seen:
             captions.append(rendered(_as_block(x), depth + 1))
-    cells = [[(rendered(_as_block(c), depth + 1).split("\n"), _span(c)) for c in row] for row in rows]
+    cells = [[(rendered(_as_block(c), depth + 1).split("\n"), _span(c), _span(c, "rowspan", len(rows))) for c in row] for row in rows]
+    placed = _placed(cells)
     widths: dict[int, int] = {}
-    for row in cells:
-        at = 0
-        for lines, span in row:
+    for row in placed:
+        for at, lines, span in row:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), min(MAX_PAD, max(map(len, lines))))
-            at += span
     out = [line for c in captions if c for line in c.split("\n")]
-    for row in cells:
-        for n in range(max((len(lines) for lines, _ in row), default=0)):
-            at, parts = 0, []
-            for lines, span in row:
+    for own, row in zip(cells, placed, strict=True):
+        for n in range(max((len(x[0]) for x in own), default=0)):
+            parts = []
+            for at, lines, span in row:
                 width = sum(widths.get(i, 0) for i in range(at, at + span)) + 3 * (span - 1)
                 parts.append((lines[n] if n < len(lines) else "").ljust(width))
-                at += span
             out.append(" | ".join(parts).rstrip())
     return out
 
 
+def _placed(cells: list) -> list[list[tuple[int, list[str], int]]]:
+    """Every row's cells as (column, lines, span); places that a cell above still covers are empty ones."""
+    spans = sum(min(down, len(cells) - i) - 1 for i, row in enumerate(cells) for _, _, down in row)
+    spans = spans if spans <= MAX_FILL else 0
+    out: list = []
+    covered: dict[int, tuple[int, int]] = {}  # column: (rows still covered, span)
+    for row in cells:
+        line, at, left = [], 0, dict(covered)
+        for lines, span, down in row:
+            while at in left:
+                line.append((at, [""], left[at][1]))
+                at += left.pop(at)[1]
+            line.append((at, lines, span))
+            if spans and down > 1:
+                covered[at] = (down, span)
+            at += span
+        line += [(c, [""], s) for c, (_, s) in sorted(left.items()) if c >= at]
+        covered = {c: (n - 1, s) for c, (n, s) in covered.items() if n > 1}
+        out.append(line)
+    return out
+
+
 def _as_block(node: Node) -> Node:
     copy = Node("div", {})
     copy.children = node.children if node.tag in ("td", "th", "caption") else [node]
     return copy
 
 
-def _span(cell: Node) -> int:
-    s = cell.attrs.get("colspan", "1")
-    return min(MAX_SPAN, max(1, int(s))) if s.isdigit() and len(s) < 6 else 1
+def _span(cell: Node, name: str = "colspan", most: int = MAX_SPAN) -> int:
+    """How many columns or rows a cell covers; a rowspan of 0 goes to the end."""
+    s = cell.attrs.get(name, "1")
+    if not (s.isascii() and s.isdigit() and len(s) < 6):
+        return 1
+    return max(1, most) if name == "rowspan" and int(s) == 0 else min(most, max(1, int(s)))
 
 
 def page_text(html: str | None) -> str | None:

@@ -1,5 +1,7 @@
 """Rendered text, case by case."""
 
+import time
+
 import pytest
 
 from quire.llm import html as H
@@ -24,6 +26,13 @@ CASES = [
     ("<div>1<div>2</div>3</div>", "1\n2\n3"),
     ("t<br><br>u</p>v", "t\n\nu\n\nv"),
     ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c</table>", "A | b\n  | c"),
+    ("<table><tr><td>x<td rowspan=0>y<tr><td>1<td>2<tr><td>3</table>", "x | y\n1 |   | 2\n3 |"),
+    ("<table><tr><td rowspan=3 colspan=2>ab<td>c<tr><td>d</table>", "ab  | c\n    | d"),
+    ("<svg><title>no</title><desc>no</desc><text>drawn</text></svg> <math><mi>x</mi><mo>=</mo><mn>2</mn></math>", "drawn x=2"),
+    ("<select><option>one<option selected>two</select>", "one\ntwo"),
+    ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+    ("<p>a<button>b<hr>c</button></p>d", "ab\n\nc\n\nd"),
     ("", ""),
     (" \n ", ""),
     ("<p>", ""),
@@ -43,6 +52,18 @@ def test_deep_long_and_hostile_pages_end():
     assert H.page_text("<b>" * 50_000 + "x" + "</i>" * 50_000) == "x"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p></p>" + "<b>" * 60_000 + "<hr>" * 60_000 + "x", "x"),
+    ("<p><button>" + "<b>" * 60_000 + "<hr>" * 60_000 + "x", "x"),
+    ("<table><tr>" + "<td rowspan=9999>a" * 3_000 + "<tr><td>b" * 3_000, None),
+    ("<li>" * 100_000 + "</p>" * 50_000 + "x", None),
+])
+def test_hostile_pages_take_linear_time(page, text):
+    start = time.perf_counter()
+    out = H.page_text(page)
+    assert time.perf_counter() - start < 4 and (out == text if text else out.count("b") + out.count("x") > 0)
+
+
 def test_every_visible_word_is_kept(spark):
     from conftest import SF_SMALL  # tests/conftest.py
 
