@@ -2,13 +2,18 @@
 the same type, gender, script and format.
 
 Kinds: e-mail address, phone, IPv4, payment card (16 digits), social security number,
-IBAN, hexadecimal secret, and personal names (after a title, or a known given name with
-a surname). A surrogate is a function of the key, the kind and the entity's normal form
-alone, so an entity has the same surrogate wherever it stands and however it is
-written (coreference): names go word by word, given names to given names of the same
-gender and script by a keyed rotation, surnames to made-up words; an address keeps its
-domain's identity; digits keep their layout, cards their first digit and a valid check
-digit, phones their country code.
+IBAN, secrets (hexadecimal, or behind a known prefix), and personal names (after a title,
+before a Chinese honorific, or a known given name with a surname). A surrogate is a
+function of the key, the kind and the entity's normal form alone, so an entity has the
+same surrogate wherever it stands and however it is written (coreference). Names go word
+by word: listed given names to given names of the same gender and script by a keyed
+rotation, other first names behind a title to made-up names with an ending of the
+gender that most of their titles in the table tell (a tie, or no such title: a neutral
+one), surnames to made-up words. An address keeps its domain's identity; digits
+keep their layout; cards keep their first digit and get a valid check digit, IBANs their
+country and valid check digits; social security numbers have an area, group and serial
+that can be issued; phones keep their country code or the two first digits of a trunk
+prefix, secrets their known prefix.
 
 Collision check: all distinct (kind, normal form) of the whole table are compared with all
 surrogates; where two entities would get one surrogate, or a surrogate is an entity of
@@ -37,10 +42,21 @@ GIVEN = {
     "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Emma Anna Ursula Monika Petra Claudia Marie Sophie Camille Chloé María Carmen Ana Lucía Fatima Aisha Olivia",
     "M": "Александр Дмитрий Сергей Андрей Алексей Иван Михаил Николай",
     "F": "Анна Мария Елена Ольга Наталья Екатерина Татьяна Ирина",
+    "γ": "Γιώργος Γιάννης Κώστας Δημήτρης Νίκος Παναγιώτης Βασίλης Χρήστος",
+    "η": "Ελένη Κατερίνα Βασιλική Σοφία Αγγελική Γεωργία Δήμητρα Ιωάννα",
 }
 #: The syllables of made-up surnames, by script.
 LATIN = "ba be bo da de do fa fe ga go ha he ja ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wa zo".split()
 CYRILLIC = "ба бе бо да де до ва ве га ге го жа за зе ка ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то фа ха ша".split()
+GREEK = "βα βε γα γο δα δε ζα θε κα κε λα λο μα με να νο πα πε ρα ρο σα σε τα το φα χα".split()
+#: Endings of made-up first names, by script and gender.
+ENDINGS = {"latin": {"m": "rik", "f": "lina", "": "en"}, "cyrillic": {"m": "мир", "f": "мира", "": "ен"}, "greek": {"m": "νος", "f": "νια", "": "ι"}}
+#: Chinese surnames, characters of given names and honorifics by gender.
+HAN_SURNAMES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗"
+HAN_GIVEN = {"m": "伟强磊军勇杰涛明超刚平辉鹏斌波宇", "f": "芳娜敏静丽艳娟霞秀英华慧巧美玲雪"}
+HONORIFICS = {"m": "先生", "f": "女士 小姐 太太"}
+#: Prefixes of access keys and what follows them.
+SECRET_PREFIXES = {"AKIA": "[A-Z0-9]{16}", "ASIA": "[A-Z0-9]{16}", "sk-": "[A-Za-z0-9]{20,64}", "ghp_": "[A-Za-z0-9]{36}"}
 
 _O = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’\-]{1,30}"
@@ -56,22 +72,27 @@ def _any_of(words: str) -> str:
 
 _TITLES = _any_of(" ".join(TITLES.values()))
 _GIVEN = _any_of(" ".join(GIVEN.values()))
+_HONORIFICS = "|".join(" ".join(HONORIFICS.values()).split())
+_KEYED = "|".join(p + rest for p, rest in SECRET_PREFIXES.items())
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9][A-Za-z0-9.\-]{0,200}\.[A-Za-z]{2,24}(?![A-Za-z])"
 IP = rf"(?<![\d.])(?:{_O}\.){{3}}{_O}(?!\.?\d)"
 CARD = r"(?<![\d\-])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?![\d])"
-PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
+PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])|(?<![\d\-.])07\d{3} \d{6}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?=[A-Fa-f0-9]{16})(?=[0-9]{0,63}[A-Fa-f])(?=[A-Fa-f]{0,63}[0-9])[A-Fa-f0-9]{16,64}(?![A-Za-z0-9])"
-PERSON = rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_TITLES}\.? {_NAME}(?: {_NAME})?|{_GIVEN}(?: {_NAME}){{1,2}})"
+SECRET = rf"(?<![A-Za-z0-9])(?:(?=[A-Fa-f0-9]{{16}})(?=[0-9]{{0,63}}[A-Fa-f])(?=[A-Fa-f]{{0,63}}[0-9])[A-Fa-f0-9]{{16,64}}|{_KEYED})(?![A-Za-z0-9])"
+CASED = rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_TITLES}\.? {_NAME}(?: {_NAME})?|{_GIVEN}(?: {_NAME}){{1,2}})"
+HAN = rf"[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?:{_HONORIFICS})"
+PERSON = rf"(?:{CASED}|{HAN})"
 KINDS = (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("ssn", SSN), ("iban", IBAN), ("secret", SECRET), ("person", PERSON))
 #: All kinds, those that start alike behind one look at the first character.
-ANY = rf"(?:{EMAIL})|(?=[0-9])(?:{IP}|{CARD}|(?:{PHONE})|{SSN})|(?=[+(])(?:{PHONE})|(?:{SECRET})|(?=\p{{Lu}})(?:{IBAN}|{PERSON})"
+ANY = rf"(?:{EMAIL})|(?=[0-9])(?:{IP}|{CARD}|(?:{PHONE})|{SSN})|(?=[+(])(?:{PHONE})|(?:{SECRET})|(?=\p{{Lu}})(?:{IBAN}|{CASED})|{HAN}"
 
 
 def numbered(text: Column) -> Column:
-    """Whether a text can hold any kind but a name: all others have a digit or an @."""
-    return F.rlike(text, F.lit("[0-9@]"))
+    """Whether a text can hold any kind but a name: all others have a digit, an @ or a
+    key's prefix."""
+    return F.rlike(text, F.lit("[0-9@]|" + "|".join(SECRET_PREFIXES)))
 
 
 def entities(text: Column) -> Column:
@@ -101,7 +122,37 @@ def parts(entity: Column) -> Column:
             k = k.when(F.array_contains(names, w), F.lit(f"given {g}"))
         return F.struct(k.otherwise(F.lit("surname")).alias("kind"), w.alias("norm"), w.alias("said"))
 
-    return F.when(kind == "person", F.transform(F.split(entity, " "), word)).otherwise(one)
+    part = lambda k, w: F.struct(k.alias("kind"), w.alias("norm"), w.alias("said"))
+    words = F.transform(F.split(entity, " "), word)
+    # title, first name, surname: the title tells the gender of a name that is not listed
+    title = F.regexp_replace(words[0]["norm"], r"\.", "")
+    first = F.concat(F.lit("first "), _gender(title, TITLES))
+    named = F.when((F.size(words) == 3) & (words[0]["kind"] == "title") & (words[1]["kind"] == "surname"), F.array(words[0], part(first, words[1]["norm"]), words[2])).otherwise(words)
+    called, honorific = F.regexp_extract(entity, rf"\A(.*?)({_HONORIFICS})\z", 1), F.regexp_extract(entity, rf"\A(.*?)({_HONORIFICS})\z", 2)
+    han = F.array(part(F.concat(F.lit("han "), _gender(honorific, HONORIFICS)), called), part(F.lit("title"), honorific))
+    return F.when(kind != "person", one).when(_han(entity), han).otherwise(named)
+
+
+def _gender(title: Column, titles: dict[str, str]) -> Column:
+    out = F.lit("")
+    for gender in "mf":
+        out = F.when(title.isin(titles[gender].split()), gender).otherwise(out)
+    return out
+
+
+def _han(entity: Column) -> Column:
+    return F.rlike(entity, F.lit(r"\A\p{IsHan}"))
+
+
+def gendered(strings: DataFrame) -> DataFrame:
+    """``strings`` with one kind for each unlisted first name: the gender that most of
+    its entities' titles tell, neutral on a tie or without such a title."""
+    first = F.col("kind").startswith("first")
+    sides = [F.count_if(F.col("kind") == f"first {g}") for g in "mf"]
+    votes = strings.where(first).groupBy(F.col("norm").alias("voted")).agg((sides[0] - sides[1]).alias("lead"))
+    told = F.when(F.col("lead") > 0, "first m").when(F.col("lead") < 0, "first f").otherwise("first ")
+    out = strings.join(votes, first & (F.col("norm") == F.col("voted")), "left")
+    return out.withColumn("kind", F.when(first, told).otherwise(F.col("kind"))).drop("voted", "lead")
 
 
 def _byte(h: Column, i: Column) -> Column:
@@ -144,8 +195,31 @@ def _check_digit(first15: Column) -> Column:
 
 
 def _country(said: Column) -> Column:
-    """How many leading digits are a phone's country code."""
-    return F.length(F.regexp_extract(said, r"\A\+(\d{1,3})", 1))
+    """How many leading digits of a phone stay: its country code, or a trunk prefix."""
+    return F.length(F.regexp_extract(said, r"\A(?:\+(?=\d)|\(?(?=0))(\d{1,3})", 1)) - F.when(F.rlike(said, F.lit(r"\A\(?0\d\d")), 1).otherwise(0)
+
+
+def _ssn(h: Column) -> Column:
+    """An area of 001 to 899 but 666, a group of 01 to 99, a serial of 0001 to 9999."""
+    area = _byte(h, F.lit(0)) % 898 + 1
+    area = F.when(area >= 666, area + 1).otherwise(area)
+    return F.concat(F.lpad(area.cast("string"), 3, "0"), F.lpad((_byte(h, F.lit(2)) % 99 + 1).cast("string"), 2, "0"), F.lpad((_byte(h, F.lit(4)) % 9999 + 1).cast("string"), 4, "0"))
+
+
+def _iban(norm: Column, h: Column) -> Column:
+    """The same country, an account of the same layout, check digits by modulo 97."""
+    country, account = F.substring(norm, 1, 2), _like(F.substring(norm, F.lit(5), F.length(norm)), h)
+    spelt = F.split(F.concat(account, country, F.lit("00")), "")
+    left = F.aggregate(spelt, F.lit(0), lambda s, c: F.when(F.rlike(c, F.lit("[0-9]")), (s * 10 + F.ascii(c) - 48) % 97).otherwise((s * 100 + F.ascii(c) - 55) % 97))
+    return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), account)
+
+
+def _secret(norm: Column, h: Column) -> Column:
+    """A key's prefix and letters and digits alike, or hexadecimal digits."""
+    out = _hex_like(norm, h)
+    for p in SECRET_PREFIXES:
+        out = F.when(norm.startswith(p), F.concat(F.lit(p), _like(F.substring(norm, F.lit(len(p) + 1), F.length(norm)), h))).otherwise(out)
+    return out
 
 
 def canonical(key: str, kind: Column, norm: Column, said: Column, attempt: Column) -> Column:
@@ -158,17 +232,37 @@ def canonical(key: str, kind: Column, norm: Column, said: Column, attempt: Colum
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when((i == 0) & F.rlike(norm, F.lit(r"\A(?:10|127)\.")), F.substring_index(norm, ".", 1)).otherwise((_byte(h, i) % F.when(i == 0, 222).otherwise(254) + 1).cast("string")))
     head = F.substring(_digits(norm, F.lit(1), h), 1, 15)
     out = F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", F.concat(head, _check_digit(head)))
-    out = out.when(kind == "phone", _digits(norm, _country(said), h)).when(kind == "ssn", _digits(norm, F.lit(0), h))
-    out = out.when(kind == "iban", F.concat(F.substring(norm, 1, 2), _like(F.substring(norm, F.lit(3), F.length(norm)), h))).when(kind == "secret", _hex_like(norm, h))
+    out = out.when(kind == "phone", _digits(norm, _country(said), h)).when(kind == "ssn", _ssn(h))
+    out = out.when(kind == "iban", _iban(norm, h)).when(kind == "secret", _secret(norm, h))
     for g, names in GIVEN.items():
         names = names.split()
         shift = _byte(_stream(key, F.lit(f"given {g}")), F.lit(0)) % (len(names) - 1) + 1
         all_names = F.array(*map(F.lit, names))
         out = out.when(kind == f"given {g}", F.element_at(all_names, ((F.array_position(all_names, norm) - 1 + shift) % len(names) + 1).cast("int")))
-    syllables = lambda s: F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(2) + attempt), lambda i: F.element_at(F.array(*map(F.lit, s)), _byte(h, i) % len(s) + 1)), ""))
-    made = F.when(F.rlike(norm, F.lit(r"\p{IsCyrillic}")), syllables(CYRILLIC)).otherwise(syllables(LATIN))
+    scripts = {"cyrillic": CYRILLIC, "greek": GREEK, "latin": LATIN}
+    script = F.when(F.rlike(norm, F.lit(r"\p{IsCyrillic}")), "cyrillic").when(F.rlike(norm, F.lit(r"\p{IsGreek}")), "greek").otherwise("latin")
+
+    def joined(known: list[str] | str, many: Column) -> Column:
+        pick = lambda i: F.element_at(F.array(*map(F.lit, known)), _byte(h, i - 1) % len(known) + 1)
+        return F.array_join(F.transform(F.sequence(F.lit(1), many), pick), "")
+
+    def syllables(few: int) -> Column:
+        made = F.lit(None)
+        for name, known in scripts.items():
+            made = F.when(script == name, F.initcap(joined(known, attempt + few))).otherwise(made)
+        return made
+
+    ending = F.lit("")
+    for name, ends in ENDINGS.items():
+        for gender, end in ends.items():
+            ending = F.when((script == name) & (kind == f"first {gender}"), end).otherwise(ending)
+    made = F.when(kind == "surname", syllables(3)).otherwise(F.concat(syllables(2), ending))
     made = F.when(F.rlike(norm, F.lit(r"\A[^\p{Ll}]{2,}\z")), F.upper(made)).otherwise(made)
-    return out.when(kind == "surname", made).otherwise(norm)
+    shift = _byte(_stream(key, F.lit("han")), F.lit(0)) % (len(HAN_SURNAMES) - 1) + 1
+    family = F.substring(F.lit(HAN_SURNAMES), (F.instr(F.lit(HAN_SURNAMES), F.substring(norm, 1, 1)) - 1 + shift) % len(HAN_SURNAMES) + 1, F.lit(1))
+    for g, chars in HAN_GIVEN.items():
+        out = out.when(kind == f"han {g}", F.concat(family, joined(chars, F.length(norm) - 1 + F.floor(attempt / 8).cast("int"))))
+    return out.when((kind == "surname") | kind.startswith("first"), made).otherwise(norm)
 
 
 def dressed(kind: Column, said: Column, made: Column) -> Column:
@@ -208,10 +302,11 @@ def replaced(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "tex
     hits = docs.where(has).select(mine.alias("mark"), entities(raw).alias("e")).dropDuplicates(["mark"])
     hits = staged(hits, "entities")
     strings = staged(hits.select(F.explode("e").alias("entity")).distinct().select("entity", F.posexplode(parts(F.col("entity"))).alias("at", "part")).select("entity", "at", "part.*"), "parts")
+    strings = gendered(strings)
     made = assigned(strings, key)
     whole = strings.join(made, ["kind", "norm"]).select("entity", "at", "kind", dressed(F.col("kind"), F.col("said"), F.col("made")).alias("made"))
     whole = whole.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "made"))).alias("p"))
-    whole = whole.select("entity", F.array_join(F.col("p.made"), " ").alias("made"), F.when(F.size("p") > 1, "person").otherwise(F.col("p")[0]["kind"]).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    whole = whole.select("entity", F.when(_han(F.col("entity")), F.array_join(F.col("p.made"), "")).otherwise(F.array_join(F.col("p.made"), " ")).alias("made"), F.when(F.size("p") > 1, "person").otherwise(F.col("p")[0]["kind"]).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     each = hits.select("mark", F.posexplode("e").alias("at", "entity")).withColumn("salt", F.pmod(F.xxhash64("mark", "at"), F.lit(SALTS)).cast("int"))
     each = each.join(whole, ["entity", "salt"]).groupBy("mark").agg(F.sort_array(F.collect_list(F.struct("at", "made", "kind"))).alias("x"))
     each = each.select(F.col("mark").alias(mark), F.col("x.made").alias(made_by), F.col("x.kind").alias(kinds))
