@@ -29,6 +29,10 @@ are replaced alike; other columns, of whatever name, are untouched.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,9 +84,9 @@ CARD = r"(?<![\d\-])(?:\d{16}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?
 PHONE = r"(?<![\w.+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{4}(?!\d)|(?<![\w.])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])|(?<![\d\-.])07\d{3} \d{6}(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 IBAN = r"(?<![A-Z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = rf"(?<![A-Za-z0-9])(?:(?=[A-Fa-f0-9]{{16}})(?=[0-9]{{0,63}}[A-Fa-f])(?=[A-Fa-f]{{0,63}}[0-9])[A-Fa-f0-9]{{16,64}}|{_KEYED})(?![A-Za-z0-9])"
+SECRET = rf"(?<![A-Za-z0-9])(?:(?=[A-Fa-f0-9]{{16}})(?=[0-9]{{0,63}}[A-Fa-f])(?=[A-Fa-f]{{0,63}}[0-9])[A-Fa-f0-9]{{16,64}}|(?=[Asg])(?:{_KEYED}))(?![A-Za-z0-9])"
 CASED = rf"(?=\p{{Lu}})(?<![\p{{L}}])(?:{_TITLES}\.? {_NAME}(?: {_NAME})?|{_GIVEN}(?: {_NAME}){{1,2}})"
-HAN = rf"[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?:{_HONORIFICS})"
+HAN = rf"(?=[\u4E00-\u9FFF])[{HAN_SURNAMES}]\p{{IsHan}}{{1,2}}(?:{_HONORIFICS})"
 PERSON = rf"(?:{CASED}|{HAN})"
 KINDS = (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE), ("ssn", SSN), ("iban", IBAN), ("secret", SECRET), ("person", PERSON))
 #: All kinds, those that start alike behind one look at the first character.
@@ -92,7 +96,18 @@ ANY = rf"(?:{EMAIL})|(?=[0-9])(?:{IP}|{CARD}|(?:{PHONE})|{SSN})|(?=[+(])(?:{PHON
 def numbered(text: Column) -> Column:
     """Whether a text can hold any kind but a name: all others have a digit, an @ or a
     key's prefix."""
-    return F.rlike(text, F.lit("[0-9@]|" + "|".join(SECRET_PREFIXES)))
+    return _holds(text, SECRET_PREFIXES) | F.rlike(text, F.lit("[0-9@]"))
+
+
+def _holds(text: Column, strings: Iterable[str]) -> Column:
+    """Whether one of some strings stands in a text: a search of bytes, no pattern."""
+    return reduce(or_, (text.contains(s) for s in strings))
+
+
+def _private(text: Column) -> Column:
+    """Whether a text holds an entity; a pattern runs only where it can match."""
+    named = F.rlike(text, F.lit(CASED)) | (_holds(text, _HONORIFICS.split("|")) & F.rlike(text, F.lit(HAN)))
+    return F.when(numbered(text), F.rlike(text, F.lit(ANY))).otherwise(named)
 
 
 def entities(text: Column) -> Column:
@@ -296,7 +311,7 @@ def replaced(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "tex
     (kinds of the entities in order). ``key`` stands in the plan: show it to nobody."""
     need(docs, doc_id, text)
     raw, mark, made_by, kinds = col(text).cast("string"), own("key"), own("made"), own("kinds")
-    has = F.coalesce(F.when(numbered(raw), raw.rlike(ANY)).otherwise(raw.rlike(PERSON)), F.lit(False))
+    has = F.coalesce(_private(raw), F.lit(False))
     base = [c for c in docs.columns if c not in ("n_entities", "kinds")]
     mine = F.md5(F.concat_ws("\u0001", F.coalesce(col(doc_id).cast("string"), F.lit("")), raw).cast("binary"))
     hits = docs.where(has).select(mine.alias("mark"), entities(raw).alias("e")).dropDuplicates(["mark"])
