@@ -2,11 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from .test_words import plain
 
 from quire.llm import decontam as D
+from quire.llm.words import Words
 
 
 def brute(text, bench):
@@ -78,3 +82,35 @@ def test_empty_tables(documents, bench):
 def test_very_long_text(documents, bench):
     text = "filler words " * 200_000 + "short item"
     assert tuple(D.report(documents([(1, text)]), bench).first())[1:4] == (400_002, 2, 1)
+
+
+def test_large_benchmark_stays_compact():
+    """2 MiB of benchmark, every window findable, in a few times its bytes."""
+    r = random.Random(5)
+    items = [(i, " ".join(str(r.randrange(10**6)) for _ in range(300))) for i in range(1000)] + [(5000, None), (5001, ""), (5002, "one two")]
+    tracemalloc.start()
+    known = D.Windows(items)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 40 << 20
+    probe = [items[7][1].upper(), items[7][1][:-1] + "x", "one  TWO", "two one", items[999][1][5:], None]
+    spans, names = known.hits(Words(pa.array(probe)))
+    assert names[0] == names[1] == {"7"} and names[2] == {"5002"} and names[4] == {"999"} and set(names) == {0, 1, 2, 4}
+    assert D.merged(spans[0]) == [(0, 300)] and D.merged(spans[1]) == [(0, 299)]
+
+
+def test_hashes_alone_decide_nothing(monkeypatch):
+    """All hashes alike: every hit is told by its words."""
+    monkeypatch.setattr(Words, "windows", lambda self, n: np.zeros(max(0, len(self.hashes) - n + 1), np.uint64))
+    rows, items = case()
+    known = D.Windows(items)
+    spans, names = known.hits(Words(pa.array([t for _, t in rows], pa.string())))
+    for i, (_, text) in enumerate(rows):
+        n_hit = sum(b - a for a, b in D.merged(spans.get(i, [])))
+        assert (n_hit, len(names.get(i, ()))) == brute(text, items)[1:3]
+
+
+def test_windows_are_built_once_for_a_worker():
+    items = [(1, "a b c")]
+    one = D.built("t", items, 13)
+    assert D.built("t", items, 13) is one and D.built("u", items, 13) is not one
