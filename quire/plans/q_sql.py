@@ -97,5 +97,6 @@ def suppliers_bands(spark, sf_dir):
     """Customers whose balance lies in a band around each supplier's; bands of very different lengths."""
     supplier, customer = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "customer")
     s, k = F.col("s_acctbal"), F.col("s_suppkey")
-    found = interval_join(customer, F.col("c_acctbal"), supplier, s - BAND * (1 + k % 4 * k % 7), s + BAND)
-    return found.groupBy(F.col("i.s_suppkey").alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n_customers"), F.round(F.sum("p.c_acctbal"), 2).alias("total"), F.min("p.c_custkey").alias("first_customer"))
+    totals = {"total": ("sum", F.col("c_acctbal")), "first_customer": ("min", F.col("c_custkey"))}
+    found = interval_join(customer, F.col("c_acctbal"), supplier, s - BAND * (1 + k % 4 * k % 7), s + BAND, totals)
+    return found.groupBy(F.col("i.s_suppkey").alias("s_suppkey")).agg(F.sum("n").alias("n_customers"), F.round(F.sum("total"), 2).alias("total"), F.min("first_customer").alias("first_customer"))
