@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.chunking import text_slices
+
 # Fixed values
 BATCH_SIZE = 100
 RETRY_WAITS = (2.0, 4.0)  # seconds before the second and the third attempt
@@ -42,7 +44,7 @@ class EmbeddingError(Exception):
     pass
 
 
-@functools.lru_cache(maxsize=1 << 18)
+@functools.lru_cache(maxsize=1 << 16)
 def _md5_prefix(token: str) -> int:
     """First 8 hex digits of md5(token) as an integer (cached per worker)."""
     return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
@@ -161,15 +163,18 @@ def _embed_partition(provider: Provider, text_idx: int, task_type: str, batch_si
 
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document's rows stand together; those at a batch's end wait for the next."""
-        held: pa.Table | None = None
-        for rb in itertools.chain(batches, [None]):
-            if rb is not None and rb.num_rows == 0:
-                continue
-            new = [] if rb is None else [pa.Table.from_batches([rb])]
-            table = pa.concat_tables(([held] if held is not None else []) + new) if held is not None or new else None
-            if table is None:
+        held: list[pa.Table] = []
+        key = None
+        for rb in itertools.chain(text_slices(batches, text_idx), [None]):
+            mine = [] if rb is None else rb.column(doc_idx).to_pylist()
+            table = held + ([] if rb is None else [pa.Table.from_batches([rb])])
+            if not table:
                 return
-            keys = table.column(doc_idx).to_pylist()
+            if held and mine and all(k == key for k in mine):  # the same document goes on
+                held = table
+                continue
+            table = pa.concat_tables(table)
+            keys = [key] * (table.num_rows - len(mine)) + mine
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
             whole = cuts if rb is None else cuts[:-1]
             vecs, errors, texts = [], [], table.column(text_idx).to_pylist()
@@ -180,7 +185,7 @@ def _embed_partition(provider: Provider, text_idx: int, task_type: str, batch_si
                 errors += e if failed is None else [failed] * len(e)
             if errors:
                 yield from _with_vectors(table.slice(0, whole[-1]), np.concatenate(vecs), errors)
-            held = table.slice(whole[-1]) if rb is not None else None
+            held, key = ([table.slice(whole[-1])], keys[-1]) if rb is not None else ([], None)
 
     return rows_alone if doc_idx is None else documents
 
