@@ -14,7 +14,6 @@ engine with ``md5`` can reproduce.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
 import re
@@ -44,10 +43,21 @@ class EmbeddingError(Exception):
     pass
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def _md5_prefix(token: str) -> int:
-    """First 8 hex digits of md5(token) as an integer (cached per worker)."""
-    return int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
+class _Md5Prefixes(dict):
+    """First 8 hex digits of md5(token) as an integer, by token; a worker holds ``most`` of them."""
+
+    def __init__(self, most: int = 1 << 18):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        n = self[token] = int.from_bytes(hashlib.md5(token.encode("utf-8")).digest()[:4], "big")
+        return n
+
+
+_md5_prefix = _Md5Prefixes().__getitem__
 
 
 class Provider(Protocol):
@@ -60,7 +70,8 @@ class Provider(Protocol):
 class HashingProvider:
     """Hashed bag of words; ``task_type`` does not change the vector."""
 
-    _split = re.compile(r"[\W_]+")  # Python: anything but a letter or number
+    _words = re.compile(r"[^\W_]+")  # Python: letters and numbers
+    _ascii = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))  # the same for ASCII texts, faster
 
     def __init__(self, dims: int = 64):
         if dims <= 0:
@@ -69,7 +80,8 @@ class HashingProvider:
         self.name = f"hashing-md5-{dims}"
 
     def tokens(self, text: str) -> list[str]:
-        return [t for t in self._split.split((text or "").lower()) if t]
+        text = (text or "").lower()
+        return text.translate(self._ascii).split() if text.isascii() else self._words.findall(text)
 
     def bucket(self, token: str) -> int:
         return _md5_prefix(token) % self.dims
@@ -78,9 +90,9 @@ class HashingProvider:
         out = np.zeros((len(texts), self.dims), dtype=np.float64)
         d = self.dims
         for i, text in enumerate(texts):
-            ids = [_md5_prefix(tok) % d for tok in self.tokens(text)]
-            if ids:
-                out[i] = np.bincount(ids, minlength=d)
+            tokens = self.tokens(text)
+            if tokens:
+                out[i] = np.bincount(np.fromiter(map(_md5_prefix, tokens), np.int64, len(tokens)) % d, minlength=d)
         return out
 
 

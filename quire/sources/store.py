@@ -5,9 +5,9 @@ A table is a plain Parquet dataset under its root, partitioned by (buckets, spli
 the first load fixes and every row's partition names. Any Spark reader can read it.
 
 An upsert embeds nothing twice: new rows are staged once in the shared folder and checked;
-the old rows that stay in the partitions they touch, found by partition filter, are staged too, and both are put in place by
-Spark's dynamic partition overwrite, which replaces just these partitions and removes
-their old files. Beside the table and partitioned alike, ``quarantine`` holds the documents whose newest version
+the old rows that stay in the partitions they touch, found by partition filter, are read where they are, and both are
+put in place by Spark's dynamic partition overwrite, which replaces just these partitions and removes their old files
+once all rows are written. Beside the table and partitioned alike, ``quarantine`` holds the documents whose newest version
 was refused; one that is accepted later leaves it.
 
 Writers that touch different partitions do not disturb one another. Of two writers of one partition the later
@@ -129,7 +129,7 @@ def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _aside(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` staged: a partition is not read while it is overwritten."""
+    """``df`` staged: its size is known, and it is made once."""
     from quire.session import shared_dir
 
     staged = shared_dir(spark, "kept")
@@ -185,14 +185,21 @@ def upsert_chunks(spark: SparkSession, root: str, new: DataFrame, dims: int, buc
         raise ValueError(f"the table has {known[0]} buckets, not {buckets}")
     buckets = known[0] if known is not None else buckets or max(MIN_BUCKETS, -(-fresh.count() // ROWS_A_BUCKET))
 
-    refused = fresh.where("reason is not null").groupBy(*KEY).agg(F.min("reason").alias("reason"))
-    key = [F.col(f"n.{c}").eqNullSafe(F.col(f"q.{c}")) for c in KEY]
-    good = fresh.alias("n").join(refused.alias("q"), key[0] & key[1], "left_anti").select("n.*").withColumn("bucket", bucket_of(buckets))
+    # names are staged before they are joined: Spark then knows that they are few, and does not shuffle the vectors for them
+    refused = _aside(spark, fresh.where("reason is not null").groupBy(*KEY).agg(F.min("reason").alias("reason")))
+    good = fresh
+    if not refused.isEmpty():
+        key = [F.col(f"n.{c}").eqNullSafe(F.col(f"q.{c}")) for c in KEY]
+        good = fresh.alias("n").join(refused.alias("q"), key[0] & key[1], "left_anti").select("n.*")
+    good = good.withColumn("bucket", bucket_of(buckets))
     touched = _touched(good)
     if touched:
-        # only old rows that stay are staged; new ones are already
-        kept = _aside(spark, table.where(_near(touched)).select(*cols).join(good.select(*KEY).distinct(), KEY, "left_anti").select(*cols))
-        merged = good.select(*cols).unionByName(kept).withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets))
+        merged = good.select(*cols)
+        if known is not None:
+            # the old rows that stay come straight from the table: Spark's dynamic overwrite removes files only after all tasks are done
+            names = _aside(spark, good.select(*KEY).distinct())
+            merged = merged.unionByName(table.where(_near(touched)).select(*cols).join(names, KEY, "left_anti").select(*cols))
+        merged = merged.withColumn("buckets", F.lit(buckets)).withColumn("bucket", bucket_of(buckets))
         # AQE splits a large partition into several files and tasks: none is one task's alone
         _place(merged.hint("rebalance", "split_strategy", "bucket").sortWithinPartitions("split_strategy", "bucket", "filename", "chunk_index"), f"{root}/data")
 

@@ -111,6 +111,18 @@ def test_each_chunk_is_embedded_once_an_upsert(spark):
     assert counted.value == sum(len(_texts(spark, root, f"doc{i}")) for i in range(5)) > 5
 
 
+def test_old_vectors_are_not_staged(spark, monkeypatch):
+    """Old rows that stay are read from the table itself; beside it only names are staged."""
+    staged, aside = [], S._aside
+    monkeypatch.setattr(S, "_aside", lambda spark, df: staged.append(df.columns) or aside(spark, df))
+    root = shared_dir(spark, "test-stay")
+    S.upsert_chunks(spark, root, _rows(spark, [(i, f"{LONG} {i}") for i in range(30)]), 64, buckets=2)
+    before = {i: _texts(spark, root, f"doc{i}") for i in range(30)}
+    S.upsert_chunks(spark, root, _rows(spark, [(1, "new"), (2, f"{LONG} {FAILS}")], FailingProvider(64)), 64)
+    assert {i: _texts(spark, root, f"doc{i}") for i in range(30)} == before | {1: ["new"]}
+    assert staged and all("embedding" not in columns for columns in staged)
+
+
 def test_document_is_embedded_whole_across_arrow_batches(spark):
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
