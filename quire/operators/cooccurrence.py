@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.chunking import text_slices
 from quire.operators.embedding import TOKEN_SPLIT, HashingProvider
 from quire.session import shared_dir
 
@@ -65,11 +66,14 @@ def pair_counts(docs: DataFrame, text_col: str, words: list[str], window: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: k for k, w in enumerate(share.value)}
-        tokens, pairs = HashingProvider().tokens, _Pairs(len(number))
-        for batch in batches:
-            for text in batch.column(0):
-                pairs.add(np.array([number.get(t, -1) for t in tokens(text.as_py())], np.int64), window)
-                yield from pairs.taken(pairs.most)
+        tokens, pairs, gap = HashingProvider().tokens, _Pairs(len(number)), [-1] * window  # between two texts
+        for some in text_slices(batches, 0):
+            ids: list[int] = []
+            for text in some.column(0).to_pylist():
+                ids += [number.get(t, -1) for t in tokens(text)]
+                ids += gap
+            pairs.add(np.array(ids, np.int64), window)
+            yield from pairs.taken(pairs.most)
         yield from pairs.taken()
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "i long, j long, n long")

@@ -267,8 +267,12 @@ def cooccurrence_scores(spark, sf_dir):
 @register("learnt_retrieval")
 def learnt_retrieval(spark, sf_dir):
     """The five documents nearest to each benchmark text by the learnt embedding (no SQL: it is learnt)."""
+    from quire.session import shared_dir
+
     docs, bench = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     provider = W.learnt_provider(docs)
-    stored = E.embed_texts(docs.select(F.col("doc_id").alias("id"), "text"), "text", provider).select("id", "embedding")
+    path = shared_dir(spark, "learnt-vectors")
+    E.embed_texts(docs.select(F.col("doc_id").alias("id"), "text"), "text", provider).select("id", "embedding").write.parquet(path)
+    stored = spark.read.schema("id long, embedding array<float>").parquet(path)  # counted, then searched: embedded once
     asked = E.embed_texts(bench.select(F.col("item_id").alias("query_id"), "text"), "text", provider, E.QUERY_TASK).select("query_id", F.col("embedding").alias("query"))
     return round_doubles(R.search_batch(stored, asked, 5))

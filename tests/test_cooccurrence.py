@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest import SF_MID
+from conftest import SF_MID, SF_SMALL
 from pyspark.sql import functions as F
 
 from quire.functions import vectors as V
@@ -97,3 +97,26 @@ def test_finds_benchmark_passages_better_than_hashing(spark):
 
     learnt, hashed = score(W.learnt_provider(docs, size=16_384)), score(E.HashingProvider(64))
     assert math.isfinite(learnt) and learnt > hashed
+
+
+def test_pairs_do_not_reach_into_the_next_text(spark):
+    df = spark.createDataFrame([("a b",), ("b a a",), (None,), ("",), ("c",)], "text string").coalesce(1)
+    got = {(r["i"], r["j"]): r["n"] for r in W.pair_counts(df, "text", ["a", "b", "c"]).collect()}
+    assert got == {(0, 1): 3, (0, 0): 1}
+
+
+def test_learnt_retrieval_embeds_each_document_once(spark, monkeypatch):
+    from quire.plans import q_index
+    from quire.sources.tables import read_table
+
+    counted = spark.sparkContext.accumulator(0)
+
+    class Counting(E.HashingProvider):
+        def embed(self, texts, task_type):
+            if task_type == E.DOCUMENT_TASK:
+                counted.add(len(texts))
+            return super().embed(texts, task_type)
+
+    monkeypatch.setattr(q_index.W, "learnt_provider", lambda docs: Counting(64))
+    assert q_index.learnt_retrieval(spark, SF_SMALL).count()
+    assert counted.value == read_table(spark, SF_SMALL, "documents").count()
