@@ -40,7 +40,7 @@ from quire.session import shared_dir
 END = 2
 NONE = -(1 << 63)
 HEAD = np.dtype([("size", "<u8"), ("crc", "<u4")])
-CACHE_PIECES = 500_000  # about 65 MB a worker
+CACHE_PIECES = 500_000  # some 16 MB a worker, which an idle one keeps
 FILES = "part string, path string, records bigint, tokens bigint, bytes bigint"
 
 
@@ -78,7 +78,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}  # a word's hash -> its number
+        self.names, self.place = np.zeros(0, U), np.zeros(0, np.int64)  # words' hashes in order, and their numbers
         self.ids, self.used = np.zeros(1 << 16, self.kind), 0
         self.ends = np.zeros(1 << 14, np.int64)  # word n has ids[ends[n]:ends[n + 1]]
 
@@ -117,15 +117,18 @@ class Encoder:
         if len(self.place) > CACHE_PIECES:
             self._forget()
         unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        names = unique.tolist()
-        got = np.array([self.place.get(h, -1) for h in names], np.int64)
+        got = np.full(len(unique), -1)
+        spot = np.searchsorted(self.names, unique)
+        old = np.flatnonzero(spot < len(self.names))
+        old = old[self.names[spot[old]] == unique[old]]
+        got[old] = self.place[spot[old]]
         for kind, gap, glue in ((True, self.leads, b" "), (False, None, b"\n")):
             new = np.flatnonzero((got < 0) & (lead[at] == kind))
             raw = [data[a:b].tobytes() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-            got[new] = self._learn([names[i] for i in new.tolist()], raw, gap, glue)
+            got[new] = self._learn(unique[new], raw, gap, glue)
         return got[back]
 
-    def _learn(self, names: list[int], raw: list[bytes], leads: np.ndarray | None, glue: bytes) -> np.ndarray:
+    def _learn(self, names: np.ndarray, raw: list[bytes], leads: np.ndarray | None, glue: bytes) -> np.ndarray:
         """Encode new pieces, 200 in a text: each begins at an id that leads with the
         space between them, or they stand between the ids of single line ends."""
         groups = [raw[k : k + 200] for k in range(0, len(raw), 200)]
@@ -148,10 +151,12 @@ class Encoder:
             flat.append(ids)
             sizes.append(size)
         n = len(self.place)
-        if names:
+        numbers = np.arange(n, n + len(names))
+        if len(names):
             self._keep(np.concatenate(flat), np.concatenate(sizes), n)
-            self.place.update(zip(names, range(n, n + len(names)), strict=True))
-        return np.arange(n, n + len(names))
+            spot = np.searchsorted(self.names, names)
+            self.names, self.place = np.insert(self.names, spot, names), np.insert(self.place, spot, numbers)
+        return numbers
 
     def _keep(self, flat: np.ndarray, sizes: np.ndarray, n: int) -> None:
         while len(self.ids) < self.used + len(flat):

@@ -10,7 +10,8 @@ least MIN_DOCS documents). Beside these go the words of telling pairs, whatever
 alone: over all pairs of a document's words, label less what the two marginal rates
 together foretell is summed in hashed tables, one of 2^PAIR_BITS for each of PAIR_PARTS tasks; the HOT_CELLS largest
 cells of MIN_CHI and over are counted pair by pair, and again MIN_CHI decides. The pairs of a
-text are shared by those tasks and worked on PAIR_BLOCK at a time, so a long text fills no memory. The machine is fitted by ``pyspark.ml.classification.FMClassifier`` on at most
+text are shared by those tasks and worked on PAIR_BLOCK at a time, from rows of some PAIR_WORDS words, so neither
+long texts nor full Arrow batches fill a worker's memory. The machine is fitted by ``pyspark.ml.classification.FMClassifier`` on at most
 TRAIN_ROWS labelled rows (those whose doc_id hashes least: a documented bound); all
 whole texts are scored with the model, whose size MAX_TERMS bounds.
 
@@ -41,7 +42,8 @@ TRAIN_ROWS = 20_000
 TRAIN_PARTS = 8  # of the bounded sample: each iteration is so many tasks
 PAIR_PARTS = 16  # tasks that share the pairs, by their first words
 PAIR_BITS = 17  # cells of each: 2^21 in all
-PAIR_BLOCK = 1 << 20  # pairs worked on at once
+PAIR_BLOCK = 1 << 18  # pairs worked on at once
+PAIR_WORDS = 1 << 16  # words of the rows whose pairs are made
 HOT_CELLS = 4096
 FACTORS = 4
 ITERATIONS = 120
@@ -109,6 +111,17 @@ def featurized(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(make, "id long, label int, buckets array<int>, words array<int>")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(labels, words, row of each word) of some PAIR_WORDS words of (label, words) rows at a time; a longer row is alone."""
+    for batch in batches:
+        off, at = batch.column(1).offsets.to_numpy(), 0
+        labels, words = batch.column(0).to_numpy(), batch.column(1).values.to_numpy()
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(off, off[at] + PAIR_WORDS, side="right")) - 1)
+            yield labels[at:end], words[off[at] : off[end]], np.repeat(np.arange(end - at), np.diff(off[at : end + 1]))
+            at = end
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], odds: np.ndarray, part: int, parts: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(cell, first word, second word, label less foretold rate, its variance) of some PAIR_BLOCK pairs at a
     time: the pairs of known words of the (label, words) rows, words sorted, whose first word belongs to
@@ -120,10 +133,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], odds: np.ndarray, part: int, part
     one, two = ((mix(bucket + U(salt << BITS)) >> U(64 - PAIR_BITS)).astype(np.int32) for salt in (1, 2))
     against = np.exp(-odds[:-1])
     base = np.exp(-odds[-1])
-    for batch in batches:
-        off, labels = batch.column(1).offsets.to_numpy(), batch.column(0).to_numpy()
-        w = batch.column(1).values.to_numpy()[off[0] : off[-1]]
-        row = np.repeat(np.arange(batch.num_rows), np.diff(off))
+    for labels, w, row in _pieces(batches):
         known = ~np.isnan(odds[w])
         w, row = w[known], row[known]
         end = np.searchsorted(row, row, side="right")

@@ -42,6 +42,21 @@ def test_full_cache_is_emptied(tok, monkeypatch):
 ROWS = [(7, "seven"), (3, None), (3, "three times"), (3, ""), (None, "no id"), (-5, "below"), (10, "ten " * 30_000), (11, "é\n\n ü")]
 
 
+def test_learnt_pieces_stay_small():
+    """What an idle worker keeps of the pieces it has seen: arrays, no Python objects."""
+    import tracemalloc
+
+    enc, n = R.Encoder(tokenizer_path()), 30_000
+    enc.of(pa.array(["warm up"]))
+    texts = pa.array([" ".join(f"w{i}x" for i in range(k, k + 1000)) for k in range(0, n, 1000)])
+    tracemalloc.start()
+    enc.of(texts)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert len(enc.place) >= n
+    assert kept < 80 * n
+
+
 def test_round_trip(documents, spark, tok, tmp_path):
     folder = str(tmp_path / "out")
     manifest = R.write_records(documents(ROWS), folder, tokenizer_path())

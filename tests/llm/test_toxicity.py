@@ -137,3 +137,22 @@ def test_scores_equal_the_plain_double_sum():
         at = [int(np.flatnonzero(buckets == w)[0]) for w in words if w in buckets]
         z = m.intercept + sum(m.linear[i] for i in at) + sum(m.factors[i] @ m.factors[j] for i, j in itertools.combinations(at, 2))
         assert abs(p - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_pair_work_fills_no_memory():
+    """A full Arrow batch of words is paired in little memory, every pair once."""
+    import tracemalloc
+
+    n, k = 20_000, 60
+    words = np.sort(np.random.default_rng(2).integers(0, 1 << X.BITS, (n, k), np.int32), axis=1)
+    words += np.arange(k, dtype=np.int32)  # distinct
+    words = np.minimum(words, (1 << X.BITS) - k + np.arange(k, dtype=np.int32))
+    off = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.ListArray.from_arrays(off, pa.array(words.ravel()))], names=["label", "words"])
+    odds = np.zeros((1 << X.BITS) + 1)
+    tracemalloc.start()
+    pairs = sum(len(cell) for cell, *_ in X._blocks([batch], odds, 0, 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == n * k * (k - 1) // 2
+    assert peak < 40 << 20
