@@ -34,7 +34,7 @@ WORDS = 256
 ROUNDS = 12
 CANDIDATES = 100
 TILE = 256  # queries scored at once
-SPREAD = 16
+QUERY_BLOCK, SPREAD = 1024, 16
 
 
 @dataclass
@@ -191,7 +191,7 @@ def search_index(spark: SparkSession, root: str, index: Quantizer, queries: Data
     if not cells:
         return spark.createDataFrame([], "query_id long, rank int, id long, similarity double")
     left = asked.mapInArrow(aimed, "query_id long, unit array<double>, floor double")
-    found = R.blocks_joined(left, "query_id", n, R.QUERY_BLOCK, codes, "id", codes.count(), R.CHUNK_BLOCK, SPREAD, _looked_up(share, candidates), "query_id long, id long, score double")
+    found = R.blocks_joined(left, "query_id", n, QUERY_BLOCK, codes, "id", codes.count(), R.CHUNK_BLOCK, SPREAD, _looked_up(share, candidates), "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= candidates).select("query_id", "id")
     full = best.join(vectors, "id").join(asked, "query_id").withColumn("similarity", V.cosine_similarity("embedding", "query"))

@@ -7,7 +7,8 @@ Plans:
   ``TakeOrderedAndProject`` (k rows per partition, one small merge). Filters
   are added only when given, so they reach the Parquet scan / partition pruning.
 * ``search_batch`` - many queries (a kNN join): blocks of queries meet blocks of chunks
-  as cogrouped tasks, a matrix product and a running top-k each, so only ``k`` rows per
+  as cogrouped tasks. A product in floats picks, with a margin over its rounding error, the pairs
+  that can be among the best; these are scored in doubles, so only ``k`` rows per
   query and block leave a task (no pair is ever a row). Windows on ``query_id`` merge them
   in two levels.
 * ``search_approx`` - IVF: ``pyspark.ml`` KMeans assigns every chunk a cell;
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import textwrap
-from typing import Iterable, Sequence
+from typing import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -242,9 +243,11 @@ def _merge_topk(local: DataFrame, k: int) -> DataFrame:
     )
 
 
-# Queries and chunks in one block of the kNN join, and blocks of chunks at least.
-QUERY_BLOCK, CHUNK_BLOCK, SPREAD = 1024, 8192, 32
-TILE_ROWS = 2048  # rows scored at once: 16 MB of similarities
+# Queries and chunks in one block of the kNN join, and pairs of blocks at least.
+QUERY_BLOCK, CHUNK_BLOCK, SPREAD = 4096, 8192, 32
+TILE_ROWS, TILE_QUERIES = 2048, 1024  # scored at once: 8 MB of products
+FIRST_ROWS = 512  # rows from which a query's first threshold comes
+EXACT_PAIRS = 1 << 15  # pairs scored in doubles at once
 MERGED = 64  # blocks whose results meet in the first of two merges
 
 
@@ -259,22 +262,113 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
     return out
 
 
+def exact_cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosines of the pairs of rows, each summed by itself: equal vectors have equal ones wherever they stand."""
+    out = np.empty(len(x))
+    for at in range(0, len(x), EXACT_PAIRS):
+        a, b = x[at : at + EXACT_PAIRS], q[at : at + EXACT_PAIRS]
+        out[at : at + EXACT_PAIRS] = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
+    return out
+
+
+def directed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that have a direction, their unit vectors as floats)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt((x * x).sum(1))
+    ok = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+    return ok, (x[ok] / norms[ok, None]).astype(np.float32)
+
+
+def places_in_groups(groups: np.ndarray) -> np.ndarray:
+    """The place of each entry within its group, of a sorted array."""
+    new = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, np.int64)
+    return np.arange(len(groups)) - np.repeat(new, np.diff(np.r_[new, len(groups)]))
+
+
+def _least_of_equals(x: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """Of rows with the same vector the ``k`` least by ``order``: no other can be among the best k."""
+    _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_inverse=True)
+    by = np.lexsort((order, same))
+    return np.sort(by[places_in_groups(same[by]) < k])
+
+
+class Shortlist:
+    """Per query, the entries offered so far that can be among its best ``k``: those at least as good as its k-th
+    best less ``margin``. Entries are compared when some have gathered, so a threshold may lag behind."""
+
+    def __init__(self, n_queries: int, k: int, margin: float):
+        self.k, self.margin, self.pending = k, margin, 0
+        self.least = np.full(n_queries, -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def offer(self, query: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, row, score))
+        self.pending += len(query)
+        if self.pending > 2 * self.k * len(self.least):
+            self.entries()
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of what stays, by query, falling score and row."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        query, row, score = (np.concatenate(x) for x in zip(*self.parts))
+        by = np.lexsort((row, -score, query))
+        query, row, score = query[by], row[by], score[by]
+        kth = places_in_groups(query) == self.k - 1
+        self.least[query[kth]] = score[kth] - self.margin
+        stay = score >= self.least[query]
+        self.parts, self.pending = [(query[stay], row[stay], score[stay])], 0
+        return self.parts[0]
+
+
+def _best_pairs(x: np.ndarray, order: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, cosine) of the k best rows of each query, ties by ``order``, null cosines (nan) last, for some
+    queries at a time. Each product of float unit vectors is within ``(dims + 4) / 2^24`` of the true cosine, so the best
+    k are among the rows whose product is at most four such errors below the k-th greatest."""
+    ok, unit = directed(x)
+    kept = _least_of_equals(x[ok], order[ok], k) if len(ok) else ok
+    rows, unit = ok[kept], unit[kept]
+    asked, aim = directed(q)
+    bare = np.setdiff1d(np.arange(len(x)), ok)
+    bare = bare[np.argsort(order[bare], kind="stable")][: max(0, k - len(ok))]  # rows without direction, where others are too few
+    for at in range(0, len(asked), TILE_QUERIES):
+        mine = aim[at : at + TILE_QUERIES]
+        short = Shortlist(len(mine), k, 4 * (x.shape[1] + 4) * 2.0**-24)
+        edges = [0, *range(min(FIRST_ROWS, len(rows)), len(rows), TILE_ROWS), len(rows)] if len(rows) else [0]
+        for lo, hi in zip(edges, edges[1:]):
+            score = mine @ unit[lo:hi].T
+            if not lo and hi > k:
+                short.least = np.partition(score, hi - k, axis=1)[:, hi - k].astype(np.float64) - short.margin
+            query, row = np.nonzero(score >= short.least.astype(np.float32)[:, None] - np.float32(2.0**-23))
+            short.offer(query, row + lo, score[query, row].astype(np.float64))
+        query, row, _ = short.entries()
+        cosine = np.empty(len(query))
+        for lo in range(0, len(query), EXACT_PAIRS):
+            some = slice(lo, lo + EXACT_PAIRS)
+            cosine[some] = exact_cosine(x[rows[row[some]]], q[asked[at + query[some]]])
+        by = np.lexsort((order[rows[row]], -cosine, query))
+        by = by[places_in_groups(query[by]) < k]
+        yield asked[at + query[by]], rows[row[by]], cosine[by]
+        yield np.repeat(asked[at : at + TILE_QUERIES], len(bare)), np.tile(bare, len(mine)), np.full(len(mine) * len(bare), np.nan)
+    lost = np.setdiff1d(np.arange(len(q)), asked)
+    first = np.argsort(order, kind="stable")[:k]
+    yield np.repeat(lost, len(first)), np.tile(first, len(lost)), np.full(len(lost) * len(first), np.nan)
+
+
 def _knn_block(k: int):
     """cogroup body: the exact top-k of a block of queries within a block of chunks."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if len(left) and len(right):
-            qids, ids, p = left["query_id"].to_numpy(), right["id"].to_numpy(), right["p"][0].as_py()
-            widths = np.array([0 if q is None else len(q) for q in left["query"].to_pylist()])
+            p, order = right["p"][0].as_py(), pc.fill_null(right["id"], np.iinfo(np.int64).min).to_numpy()
+            widths = pc.fill_null(pc.list_value_length(left["query"]), 0).to_numpy()
             for dims in np.unique(widths):
                 mine = np.flatnonzero(widths == dims)
                 qmat, x = _matrix(left["query"].take(pa.array(mine)), int(dims)), _matrix(right["embedding"], int(dims))
-                best = _DenseTopK(len(mine), k)
-                for at in range(0, len(ids), TILE_ROWS):
-                    best.offer_all(ids[at : at + TILE_ROWS], _cosine(x[at : at + TILE_ROWS], qmat))
-                out = best.batch(qids[mine])
-                parts.append(pa.Table.from_batches([out]).append_column("part", pa.array(np.full(out.num_rows, p // MERGED))))
+                for query, row, cosine in _best_pairs(x, order, qmat, k):
+                    columns = [left["query_id"].take(pa.array(mine[query])), right["id"].take(pa.array(row)), pa.array(cosine, pa.float64(), from_pandas=True)]
+                    parts.append(pa.table([*columns, pa.array(np.full(len(query), p // MERGED))], names=["query_id", "id", "similarity", "part"]))
         return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64()), ("part", pa.int64()))})
 
     return run
@@ -300,19 +394,22 @@ def checked_queries(queries: DataFrame) -> int:
     return n
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK) -> DataFrame:
+def search_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK, unique: bool = True) -> DataFrame:
     """Exact top-k for every row of ``queries(query_id, query)``: (query_id, rank, id, similarity).
 
-    A block join in Spark: queries and chunks are dealt into blocks, each pair of blocks is one matrix product
-    with a running top-k, and k rows a query and block are merged in two levels. Nothing passes through the
+    A block join in Spark: queries and chunks are dealt into blocks, each pair of blocks is one task with
+    matrix products and a running top-k, and k rows a query and block are merged in two levels. Nothing passes through the
     driver and nothing is broadcast. A null query or chunk vector, a zero one, and a pair of different widths have a
-    null similarity and come last, by id."""
+    null similarity and come last, by id. Repeated query ids are refused, or with ``unique=False`` rows of one id
+    are one query: the k best of all their pairs."""
     if k <= 0:
         raise ValueError("top_k must be greater than 0.")
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
     right = chunks.select(F.col("id").cast("long").alias("id"), "embedding")
     schema = "query_id long, id long, similarity double, part long"
-    found = blocks_joined(left, "query_id", checked_queries(left), query_block, right, "id", right.count(), chunk_block, SPREAD, _knn_block(k), schema)
+    n = checked_queries(left) if unique else left.count()
+    spread = -(-SPREAD // max(1, -(-n // query_block)))
+    found = blocks_joined(left, "query_id", n, query_block, right, "id", right.count(), chunk_block, spread, _knn_block(k), schema)
     order = [F.desc_nulls_last("similarity"), F.asc("id")]
     first = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
     return _merge_topk(first, k)

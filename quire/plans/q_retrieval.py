@@ -9,7 +9,7 @@ from quire.operators import retrieval as R
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles
 from quire.operators import quantized as Z
-from quire.plans.fixtures import QUERY_EVERY, chunk_store, stated_queries
+from quire.plans.fixtures import QUERY_EVERY, chunk_store, query_vectors, stated_queries
 from quire.sources.tables import read_table
 from quire.functions.text import WS
 
@@ -71,7 +71,7 @@ def search_filtered(spark, sf_dir):
 
 
 _BATCH_SQL = f"""WITH cs AS ({O.chunk_store()}),
-qs AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0),
+qs AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings),
 scored AS (SELECT qs.query_id, cs.id, {O.cosine('cs.embedding', 'qs.v')} AS sim FROM qs, cs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC NULLS LAST, id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity FROM ranked WHERE rank <= {TOP_K}"""
@@ -79,7 +79,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity
 
 @register("search_batch", _BATCH_SQL)
 def search_batch(spark, sf_dir):
-    return round_doubles(R.search_batch(chunk_store(spark, sf_dir), stated_queries(spark, sf_dir), TOP_K))
+    """Every stored vector is a query against all of them."""
+    return round_doubles(R.search_batch(chunk_store(spark, sf_dir), query_vectors(spark, sf_dir), TOP_K, unique=False))
 
 
 def _approx(spark, sf_dir, probe=None):
@@ -92,7 +93,7 @@ def _approx(spark, sf_dir, probe=None):
     return cs, Z.search_index(spark, root, index, stated_queries(spark, sf_dir), TOP_K, n_probe=probe and max(1, round(probe * len(index.centers))))
 
 
-@register("search_approx", _BATCH_SQL)
+@register("search_approx", _BATCH_SQL.replace("FROM embeddings),\nscored", f"FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0),\nscored"))
 def search_approx(spark, sf_dir):
     """Codes of all cells by look-up, CANDIDATES full vectors a query: at this size the exact result."""
     return round_doubles(_approx(spark, sf_dir)[1])

@@ -264,3 +264,49 @@ def test_a_longer_result_than_can_be_ranked_is_refused(spark):
     assert R.rank_results(df, most=4).count() == 4
     with pytest.raises(Exception, match="at most 3 rows"):
         R.rank_results(df, most=3).collect()
+
+
+def _embeddings(spark, root, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{root}/embeddings.parquet")
+    return str(root)
+
+
+def test_every_stored_vector_is_a_query(spark, tmp_path):
+    """Row by row against brute force, ids not divisible by 50 and repeated ids included."""
+    import __spark_entry__ as E
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    x[40:50] = x[7]  # equal vectors: ties by id
+    rows = [(101 + i, [float(c) for c in v], 0) for i, v in enumerate(x)] + [(101, [float(c) for c in x[0]], 0), (300, None, 0)]
+    got = {}
+    for r in E.queries()["search_batch"](spark, _embeddings(spark, tmp_path, rows)).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["similarity"]))
+    assert set(got) == {i for i, _, _ in rows}
+    assert [(i, s) for _, i, s in got[300]] == [(101, None)] * 2 + [(102, None), (103, None), (104, None)]
+    assert [i for _, i, _ in got[101]][:4] == [101] * 4  # two rows by two rows
+    assert [i for _, i, _ in got[145]] == [108, 141, 142, 143, 144]
+    full, ids = x.astype(np.float64), np.arange(101, 161)
+    full, ids = np.vstack([full, full[:1]]), np.append(ids, 101)
+    for q in range(1, 60):
+        s = (full * full[q]).sum(1) / np.sqrt((full * full).sum(1) * (full[q] * full[q]).sum())
+        best = np.lexsort((ids, -np.round(s, 12)))[:5]
+        assert [i for _, i, _ in got[101 + q]] == list(ids[best])
+
+
+@pytest.mark.parametrize("n, dims", [(3, 4), (700, 6), (2600, 33)])
+def test_best_pairs_equal_brute_force(n, dims):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=(n, dims)), 1)  # many near and some equal rows
+    x[n // 2 :: 7] = x[0]
+    x[1] = 0
+    x[2, 0] = np.nan
+    order = rng.permutation(n)
+    q = np.vstack([x[: min(n, 1100)], np.zeros((1, dims)), 1e-3 * x[:1]])
+    got = [np.concatenate(c) for c in zip(*R._best_pairs(x, order, q, 5))]
+    for j in range(0, len(q), 9 if n > 3 else 1):
+        with np.errstate(invalid="ignore"):
+            s = R.exact_cosine(x, np.repeat(q[j : j + 1], n, 0))
+        want = np.lexsort((order, np.where(np.isfinite(s), -s, np.inf)))[:5]
+        rows = got[1][got[0] == j]
+        assert list(rows) == list(want) and np.array_equal(got[2][got[0] == j], s[want], equal_nan=True)
