@@ -6,7 +6,8 @@
 * Search: blocks of queries meet blocks of codes (``retrieval.blocks_joined``). The score of a code is the
   query's product with the cell's centre plus one table entry a stretch, for the ``n_probe`` cells whose
   centres have the highest products (all cells unless given). The CANDIDATES best codes of a query are
-  scored again by their full vectors, and the best k stay.
+  scored again by their full vectors, and the best k stay: a query goes once to each block of vectors that
+  holds some of its candidates, with their ids.
 
 A query thus reads one code (PARTS bytes) a row and CANDIDATES full vectors.
 
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,9 @@ WORDS = 256
 ROUNDS = 12
 CANDIDATES = 100
 TILE = 256  # queries scored at once
-QUERY_BLOCK, SPREAD = 1024, 16
+QUERY_BLOCK, SPREAD = 1024, 16  # queries in one block, pairs of blocks at least
+CODE_BLOCK = 1 << 18  # codes in one block: each block gives CANDIDATES rows a query, so it is large (7 MB)
+FULL_QUERIES = 8192  # queries in one block where full vectors are scored
 
 
 @dataclass
@@ -149,28 +153,67 @@ def _looked_up(index, k: int):
             floor = left["floor"].to_numpy()
             for at in range(0, len(qids), TILE):
                 q = unit[at : at + TILE]
-                base = q @ z.centers[cells].T
-                base[base < floor[at : at + TILE, None]] = -np.inf
-                score = base[:, cell]
+                base = z.centers[cells] @ q.T
+                base[base < floor[None, at : at + TILE]] = -np.inf
                 cut = z.padded(q).reshape(len(q), *z.books.shape[::2])
-                for m, book in enumerate(z.books):
-                    score += (cut[:, m] @ book.T)[:, code[:, m]]
-                n = min(k, len(ids))
-                # ids ascend, so a stable order settles ties
-                best = np.argpartition(-score, n - 1, axis=1)[:, :n] if n < len(ids) else np.broadcast_to(np.arange(n), (len(q), n))
-                found = np.take_along_axis(score, best, 1)
-                row, col = np.nonzero(found > -np.inf)
-                out["query_id"].append(qids[at : at + TILE][row])
-                out["id"].append(ids[best[row, col]])
-                out["score"].append(found[row, col])
+                tables = [np.ascontiguousarray(book @ cut[:, m].T) for m, book in enumerate(z.books)]  # words x queries
+                # ids ascend, so the place of a row settles ties
+                short = R.Shortlist(len(q), k, 0.0)
+                for lo in range(0, len(ids), R.TILE_ROWS):
+                    score = base[cell[lo : lo + R.TILE_ROWS]]
+                    for m, table in enumerate(tables):
+                        score += table[code[lo : lo + R.TILE_ROWS, m]]
+                    if not lo and len(score) > k:
+                        short.least = np.partition(score.T, len(score) - k, axis=1)[:, len(score) - k]
+                    row, query = np.nonzero((score >= short.least) & (score > -np.inf))
+                    short.offer(query, row + lo, score[row, query])
+                query, row, score = short.entries()
+                best = R.places_in_groups(query) < k
+                out["query_id"].append(qids[at : at + TILE][query[best]])
+                out["id"].append(ids[row[best]])
+                out["score"].append(score[best])
         kinds = {"query_id": pa.int64(), "id": pa.int64(), "score": pa.float64()}
         return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0), t, safe=False) for (c, v), t in zip(out.items(), kinds.values())})
 
     return run
 
 
-def search_index(spark: SparkSession, root: str, index: Quantizer, queries: DataFrame, k: int = R.DEFAULT_TOP_K, n_probe: int | None = None, candidates: int = CANDIDATES) -> DataFrame:
-    """(query_id, rank, id, similarity): the best k of each query's ``candidates`` best codes."""
+def _scored_in_full(k: int):
+    """cogroup body: the best k of each query among those of its candidates that one block of vectors holds."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+        if not len(left) or not len(right):
+            return out
+        right = right.combine_chunks().sort_by("id")
+        ids, found = right["id"].to_numpy(), []
+        widths = pc.fill_null(pc.list_value_length(left["query"]), 0).to_numpy()
+        for dims in np.unique(widths):
+            mine = left.take(pa.array(np.flatnonzero(widths == dims)))
+            x, q = R._matrix(right["embedding"], int(dims)), R._matrix(mine["query"], int(dims))
+            wanted = mine["ids"].combine_chunks()
+            query, want = np.repeat(np.arange(len(mine)), pc.list_value_length(wanted).to_numpy()), wanted.flatten().to_numpy()
+            first, last = np.searchsorted(ids, want), np.searchsorted(ids, want, "right")  # an id may have several rows
+            n = last - first
+            query, row = np.repeat(query, n), np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            cosine = np.empty(len(row))
+            for at in range(0, len(row), R.EXACT_PAIRS):
+                some = slice(at, at + R.EXACT_PAIRS)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine[some] = R.exact_cosine(x[row[some]], q[query[some]])
+            sound = np.isfinite(cosine)
+            query, row, cosine = query[sound], row[sound], cosine[sound]
+            by = np.lexsort((row, -cosine, query))
+            by = by[R.places_in_groups(query[by]) < k]
+            found.append(pa.table({"query_id": mine["query_id"].take(pa.array(query[by])), "id": ids[row[by]], "similarity": cosine[by]}))
+        return pa.concat_tables(found)
+
+    return run
+
+
+def search_index(spark: SparkSession, root: str, index: Quantizer, queries: DataFrame, k: int = R.DEFAULT_TOP_K, n_probe: int | None = None, candidates: int = CANDIDATES, unique: bool = True) -> DataFrame:
+    """(query_id, rank, id, similarity): the best k of each query's ``candidates`` best codes. Repeated query ids are
+    refused, or with ``unique=False`` rows of one id are one query: the best k of all their pairs."""
     if k <= 0 or candidates < k:
         raise ValueError("top_k must be greater than 0 and at most the candidates.")
     share, cells = spark.sparkContext.broadcast(index), len(index.centers)
@@ -185,14 +228,21 @@ def search_index(spark: SparkSession, root: str, index: Quantizer, queries: Data
                 floor = np.partition(near, cells - probed, axis=1)[:, cells - probed] if probed < cells else np.full(len(x), -np.inf)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), pa.array(list(x), pa.list_(pa.float64())), pa.array(floor)], names=["query_id", "unit", "floor"])
 
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
-    n = R.checked_queries(asked)
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
+    n = R.checked_queries(asked) if unique else asked.count()
     codes, vectors = spark.read.parquet(f"{root}/codes"), spark.read.parquet(f"{root}/vectors")
     if not cells:
         return spark.createDataFrame([], "query_id long, rank int, id long, similarity double")
     left = asked.mapInArrow(aimed, "query_id long, unit array<double>, floor double")
-    found = R.blocks_joined(left, "query_id", n, QUERY_BLOCK, codes, "id", codes.count(), R.CHUNK_BLOCK, SPREAD, _looked_up(share, candidates), "query_id long, id long, score double")
+    spread = -(-SPREAD // max(1, -(-n // QUERY_BLOCK)))
+    found = R.blocks_joined(left, "query_id", n, QUERY_BLOCK, codes, "id", codes.count(), CODE_BLOCK, spread, _looked_up(share, candidates), "query_id long, id long, score double")
+    # equal pairs of repeated rows are one candidate
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= candidates).select("query_id", "id")
-    full = best.join(vectors, "id").join(asked, "query_id").withColumn("similarity", V.cosine_similarity("embedding", "query"))
-    return R._merge_topk(full.where("similarity is not null"), k)
+    best = found.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= candidates)
+    ps, qs = max(SPREAD, -(-vectors.count() // R.CHUNK_BLOCK)), max(1, -(-n // FULL_QUERIES))
+    block = F.pmod(F.xxhash64("id"), F.lit(ps)).cast("int").alias("p")
+    sent = best.groupBy("query_id", block).agg(F.collect_set("id").alias("ids")).join(asked, "query_id")
+    sent = sent.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(qs)).cast("int"))
+    full = vectors.where("id is not null").select("id", "embedding", block).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(qs - 1))))
+    scored = sent.groupBy("p", "q").cogroup(full.groupBy("p", "q")).applyInArrow(_scored_in_full(k), "query_id long, id long, similarity double")
+    return R._merge_topk(scored, k)

@@ -9,7 +9,7 @@ from quire.operators import retrieval as R
 from quire.plans import oracle as O
 from quire.plans.registry import register, round_doubles
 from quire.operators import quantized as Z
-from quire.plans.fixtures import QUERY_EVERY, chunk_store, query_vectors, stated_queries
+from quire.plans.fixtures import chunk_store, query_vectors, stated_queries
 from quire.sources.tables import read_table
 from quire.functions.text import WS
 
@@ -83,26 +83,26 @@ def search_batch(spark, sf_dir):
     return round_doubles(R.search_batch(chunk_store(spark, sf_dir), query_vectors(spark, sf_dir), TOP_K, unique=False))
 
 
-def _approx(spark, sf_dir, probe=None):
-    """The stored quantised index over all vectors, searched with the stated queries; ``probe`` is a share of the cells."""
+def _approx(spark, sf_dir, queries, probe=None):
+    """The stored quantised index over all vectors, searched with ``queries``; ``probe`` is a share of the cells."""
     from quire.session import shared_dir
 
     cs, root = chunk_store(spark, sf_dir), shared_dir(spark, "quantized")
     index = Z.fit(cs)
     Z.write_index(cs, index, root)
-    return cs, Z.search_index(spark, root, index, stated_queries(spark, sf_dir), TOP_K, n_probe=probe and max(1, round(probe * len(index.centers))))
+    return cs, Z.search_index(spark, root, index, queries, TOP_K, n_probe=probe and max(1, round(probe * len(index.centers))), unique=False)
 
 
-@register("search_approx", _BATCH_SQL.replace("FROM embeddings),\nscored", f"FROM embeddings WHERE vec_id % {QUERY_EVERY} = 0),\nscored"))
+@register("search_approx", _BATCH_SQL)
 def search_approx(spark, sf_dir):
-    """Codes of all cells by look-up, CANDIDATES full vectors a query: at this size the exact result."""
-    return round_doubles(_approx(spark, sf_dir)[1])
+    """Every stored vector is a query: codes of all cells by look-up, CANDIDATES full vectors a query."""
+    return round_doubles(_approx(spark, sf_dir, query_vectors(spark, sf_dir))[1])
 
 
 @register("search_approx_recall")
 def search_approx_recall(spark, sf_dir):
     """Recall of each stated query with three quarters of the cells (no SQL: cells and codes are learnt)."""
-    cs, found = _approx(spark, sf_dir, probe=0.75)
+    cs, found = _approx(spark, sf_dir, stated_queries(spark, sf_dir), probe=0.75)
     return round_doubles(R.recall_at_k(found, R.search_batch(cs, stated_queries(spark, sf_dir), TOP_K)))
 
 

@@ -71,3 +71,42 @@ def test_defined_results(spark):
     empty = spark.createDataFrame([], schema)
     z, root = index_of(spark, empty)
     assert Z.search_index(spark, root, z, qs, 5).collect() == []
+
+
+def test_every_stored_vector_is_a_query(spark, tmp_path):
+    """The registered query over own rows: ids not divisible by 50, a repeated row, a null vector."""
+    import __spark_entry__ as E
+
+    x = np.random.default_rng(5).normal(size=(90, 8)).astype(np.float32)
+    rows = [(101 + i, [float(c) for c in v], 0) for i, v in enumerate(x)]
+    spark.createDataFrame(rows + rows[:1] + [(300, None, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    key = lambda name: sorted((r["query_id"], r["rank"], r["id"], r["similarity"]) for r in E.queries()[name](spark, str(tmp_path)).where("query_id < 300").collect())
+    got = key("search_approx")
+    assert {q for q, *_ in got} == {i for i, *_ in rows} and got == key("search_batch")
+    assert "% 50" not in E.oracle_sql()["search_approx"] + E.oracle_sql()["search_batch"]
+
+
+def test_look_up_keeps_the_best_codes_by_score_and_id():
+    """More rows than a tile, many equal codes, cells below the floor."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(3)
+    z = Z.Quantizer(8, g.normal(size=(5, 8)), g.normal(size=(4, 6, 2)))
+    n = 5000
+    cell, code = g.integers(0, 5, n), g.integers(0, 2, (n, 4)).astype(np.uint8)
+
+    class Shared:
+        value = z
+
+    ids, q = g.permutation(n), g.normal(size=(3, 8))
+    floor = np.array([-np.inf, np.sort(q[1] @ z.centers.T)[2], np.inf])
+    left = pa.table({"query_id": np.arange(3), "unit": list(q), "floor": floor})
+    right = pa.table({"id": ids, "cell": cell, "code": [c.tobytes() for c in code]})
+    out = Z._looked_up(Shared, 40)(left, right).to_pandas()
+    for j in range(3):
+        base = z.centers @ q[j]
+        score = np.where(base >= floor[j], base, -np.inf)[cell]
+        for m in range(4):
+            score = score + (z.books[m] @ q[j, 2 * m : 2 * m + 2])[code[:, m]]
+        best = np.lexsort((ids, -np.round(score, 12)))[:40]
+        assert list(out.id[out.query_id == j]) == (list(ids[best]) if j < 2 else [])
