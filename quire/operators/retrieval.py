@@ -7,10 +7,10 @@ Plans:
   ``TakeOrderedAndProject`` (k rows per partition, one small merge). Filters
   are added only when given, so they reach the Parquet scan / partition pruning.
 * ``search_batch`` - many queries (a kNN join): blocks of queries meet blocks of chunks
-  as cogrouped tasks. A product in floats picks, with a margin over its rounding error, the pairs
-  that can be among the best; these are scored in doubles, so only ``k`` rows per
+  as cogrouped tasks, a matrix product and a running top-k each, so only ``k`` rows per
   query and block leave a task (no pair is ever a row). Windows on ``query_id`` merge them
-  in two levels.
+  in two levels. With ``many`` (as many queries as chunks) a product in floats picks, with a margin over its
+  rounding error, the pairs that can be among the best, and these are scored in doubles.
 * ``search_approx`` - IVF: ``pyspark.ml`` KMeans assigns every chunk a cell;
   each query is scored only against the chunks of its ``n_probe`` nearest
   cells, with the same bounded-output kernel.
@@ -243,9 +243,10 @@ def _merge_topk(local: DataFrame, k: int) -> DataFrame:
     )
 
 
-# Queries and chunks in one block of the kNN join, and pairs of blocks at least.
-QUERY_BLOCK, CHUNK_BLOCK, SPREAD = 4096, 8192, 32
-TILE_ROWS, TILE_QUERIES = 2048, 1024  # scored at once: 8 MB of products
+# Queries and chunks in one block of the kNN join, and blocks of chunks at least.
+QUERY_BLOCK, CHUNK_BLOCK, SPREAD = 1024, 8192, 32
+TILE_ROWS = 2048  # rows scored at once: 16 MB of similarities
+MANY_BLOCK, TILE_QUERIES = 4096, 1024  # with as many queries as chunks: queries in one block, and scored at once
 FIRST_ROWS = 512  # rows from which a query's first threshold comes
 EXACT_PAIRS = 1 << 15  # pairs scored in doubles at once
 MERGED = 64  # blocks whose results meet in the first of two merges
@@ -358,6 +359,27 @@ def _best_pairs(x: np.ndarray, order: np.ndarray, q: np.ndarray, k: int) -> Iter
 def _knn_block(k: int):
     """cogroup body: the exact top-k of a block of queries within a block of chunks."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if len(left) and len(right):
+            qids, ids, p = left["query_id"].to_numpy(), right["id"].to_numpy(), right["p"][0].as_py()
+            widths = np.array([0 if q is None else len(q) for q in left["query"].to_pylist()])
+            for dims in np.unique(widths):
+                mine = np.flatnonzero(widths == dims)
+                qmat, x = _matrix(left["query"].take(pa.array(mine)), int(dims)), _matrix(right["embedding"], int(dims))
+                best = _DenseTopK(len(mine), k)
+                for at in range(0, len(ids), TILE_ROWS):
+                    best.offer_all(ids[at : at + TILE_ROWS], _cosine(x[at : at + TILE_ROWS], qmat))
+                out = best.batch(qids[mine])
+                parts.append(pa.Table.from_batches([out]).append_column("part", pa.array(np.full(out.num_rows, p // MERGED))))
+        return pa.concat_tables(parts) if parts else pa.table({n: pa.array([], t) for n, t in (("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64()), ("part", pa.int64()))})
+
+    return run
+
+
+def _many_block(k: int):
+    """cogroup body: as ``_knn_block``, for many queries, with equal similarities for equal vectors."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if len(left) and len(right):
@@ -394,22 +416,26 @@ def checked_queries(queries: DataFrame) -> int:
     return n
 
 
-def search_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK, unique: bool = True) -> DataFrame:
+def search_batch(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_TOP_K, query_block: int | None = None, chunk_block: int = CHUNK_BLOCK, many: bool = False) -> DataFrame:
     """Exact top-k for every row of ``queries(query_id, query)``: (query_id, rank, id, similarity).
 
-    A block join in Spark: queries and chunks are dealt into blocks, each pair of blocks is one task with
-    matrix products and a running top-k, and k rows a query and block are merged in two levels. Nothing passes through the
+    A block join in Spark: queries and chunks are dealt into blocks, each pair of blocks is one matrix product
+    with a running top-k, and k rows a query and block are merged in two levels. Nothing passes through the
     driver and nothing is broadcast. A null query or chunk vector, a zero one, and a pair of different widths have a
-    null similarity and come last, by id. Repeated query ids are refused, or with ``unique=False`` rows of one id
-    are one query: the k best of all their pairs."""
+    null similarity and come last, by id. Repeated query ids are refused.
+
+    ``many`` is for as many queries as chunks: larger blocks of queries, a cheaper choice of pairs, and each chosen pair
+    scored by itself, so equal vectors tie by id. Rows of one query id are then one query: the k best of all their pairs."""
     if k <= 0:
         raise ValueError("top_k must be greater than 0.")
-    left = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
+    query = F.col("query") if many else F.col("query").cast("array<double>")
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), query.alias("query"))
     right = chunks.select(F.col("id").cast("long").alias("id"), "embedding")
     schema = "query_id long, id long, similarity double, part long"
-    n = checked_queries(left) if unique else left.count()
-    spread = -(-SPREAD // max(1, -(-n // query_block)))
-    found = blocks_joined(left, "query_id", n, query_block, right, "id", right.count(), chunk_block, spread, _knn_block(k), schema)
+    query_block = query_block or (MANY_BLOCK if many else QUERY_BLOCK)
+    n = left.count() if many else checked_queries(left)
+    spread = -(-SPREAD // max(1, -(-n // query_block))) if many else SPREAD
+    found = blocks_joined(left, "query_id", n, query_block, right, "id", right.count(), chunk_block, spread, (_many_block if many else _knn_block)(k), schema)
     order = [F.desc_nulls_last("similarity"), F.asc("id")]
     first = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
     return _merge_topk(first, k)

@@ -80,7 +80,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(sim, 6) AS similarity
 @register("search_batch", _BATCH_SQL)
 def search_batch(spark, sf_dir):
     """Every stored vector is a query against all of them."""
-    return round_doubles(R.search_batch(chunk_store(spark, sf_dir), query_vectors(spark, sf_dir), TOP_K, unique=False))
+    return round_doubles(R.search_batch(chunk_store(spark, sf_dir), query_vectors(spark, sf_dir), TOP_K, many=True))
 
 
 def _approx(spark, sf_dir, queries, probe=None):
